@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, substring
 from .common import hex_of
 
 
@@ -19,5 +19,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash}
-SQL: dict[str, str] = {}
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under 13-word windows that start in a smaller document too are removed from all documents."""
+    found = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op2_substring": op2_substring, "op10_simhash": op10_simhash}
+
+SQL: dict[str, str] = {
+    "op2_substring": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) AS h
+  FROM (SELECT doc_id, unnest(range(1, len(words) - 11)) AS i, words FROM w WHERE len(words) >= 13)
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM win JOIN firsts USING (h) WHERE doc_id > first
+), each AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM w
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS line, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+}
