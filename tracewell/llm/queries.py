@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import sharding, simhash, substring, warc
 from .common import hex_of
 
 
@@ -13,19 +13,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back from them."""
+    path = warc.archive_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path)
+    kind, said = warc.field(F.col("head"), "WARC-Type"), warc.field(F.col("head"), "WARC-Payload-Digest")
+    number = lambda name: F.regexp_extract(warc.field(F.col("head"), name), r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    revisit = kind == "revisit"
+    told = found.select(
+        number("WARC-Record-ID").alias("page_id"),
+        F.when(revisit, F.lit(None).cast("long")).otherwise(F.col("payload_size")).alias("own"),
+        F.when(revisit, F.substring_index(said, ":", -1)).otherwise(F.col("payload_sha256")).alias("payload_digest"),
+        kind.alias("record_type"),
+        F.when(revisit, number("WARC-Refers-To")).alias("refers_to"),
+    )
+    sizes = told.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("own").alias("of_response"))
+    sized = told.where("record_type = 'revisit'").join(sizes, "payload_digest", "left").withColumn("own", F.col("of_response")).drop("of_response")
+    both = told.where("record_type = 'response'").unionByName(sized)
+    return both.select("page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 64-bit SimHash of 3-word shingles, 2 bits apart at most."""
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards whose sizes in rows differ by at most one."""
+    text = F.coalesce("text", F.lit(""))
+    sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    found = sharding.shard(sized, 24, ["text_crc32", "size"], seed=20240229)
+    return found.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 13-word windows that start in a smaller document too are removed from all documents."""
     found = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring": op2_substring, "op10_simhash": op10_simhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op8_warc": op8_warc, "op10_simhash": op10_simhash}
 
 SQL: dict[str, str] = {
     "op2_substring": r"""
@@ -45,5 +74,15 @@ WITH w AS (
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
 """,
 }
