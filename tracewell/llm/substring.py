@@ -33,7 +33,7 @@ from .common import partitions, staged
 
 LOG_CELLS, LOG_BLOCK, DEPTH = 28, 20, 2
 #: Windows, candidates and bytes of text handled at a time.
-FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 22, 1 << 20, 4 << 20
+FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 22, 1 << 20, 1 << 20
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
