@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -281,7 +282,10 @@ def _marks(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray, buckets: int,
 
 
 def _group(buckets: int):
-    """Rows sorted by bucket of the hash: exact groups within a bucket, repeats by document."""
+    """Rows sorted by bucket of the hash: exact groups within a bucket, repeats by document.
+
+    Rows of kind 1 know their document already and pass.
+    """
 
     def repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -307,7 +311,11 @@ def _group(buckets: int):
                 yield from _marks(*parts, buckets, 1)
 
         for batch in batches:
-            for now, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            known = batch.filter(pc.equal(batch.column("kind"), 1))
+            if len(known):
+                yield known
+            doubtful = batch.filter(pc.equal(batch.column("kind"), 0))
+            for now, blob in zip(doubtful.column("bucket").to_pylist(), doubtful.column("blob").to_pylist()):
                 if now != bucket and blobs:
                     found.append(repeats(blobs))
                     blobs = []
@@ -322,7 +330,7 @@ def _group(buckets: int):
     return task
 
 
-def _apply(window: int):
+def _apply(window: int, id_at: int, text_at: int):
     """Rows sorted by bucket of the id, positions before documents."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +338,7 @@ def _apply(window: int):
         for batch in batches:
             docs = pa.array([x == 2 for x in batch.column("kind").to_pylist()])
             spans, n_words, n_gone, kept = [], [], [], []
-            ids, texts = batch.column("doc_id").to_pylist(), _bytes(batch.column("text"))
+            ids, texts = batch.column("doc").field(id_at).to_pylist(), _bytes(batch.column("doc").field(text_at))
             for i, (kind, now, blob) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob").to_pylist())):
                 if now != bucket:
                     bucket, blobs, marks = now, [], None
@@ -393,23 +401,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         at = row["block"] << (LOG_BLOCK - 3)
         sketch[at : at + (1 << (LOG_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(sketch.tobytes())
-    found = staged(texts.mapInArrow(_entries(window, shared, buckets), "kind int, bucket int, blob binary"), "candidates")
-    doubtful = found.where("kind = 0").repartition(count, "bucket").sortWithinPartitions("bucket")
-    marks = found.where("kind = 1").unionByName(doubtful.mapInArrow(_group(buckets), "kind int, bucket int, blob binary"))
+    sent = texts.mapInArrow(_entries(window, shared, buckets), "kind int, bucket int, blob binary")
+    marks = sent.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_group(buckets), "kind int, bucket int, blob binary")
+    key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")
     row = F.struct(*[f"`{c}`" for c in docs.columns])
-    sent = docs.select(
-        F.lit(2).alias("kind"),
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int").alias("bucket"),
-        F.lit(None).cast("binary").alias("blob"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        row.alias("doc"),
-    )
-    empty = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(sent.schema["doc"].dataType).alias("doc")]
-    met = marks.select("kind", "bucket", "blob", *empty).unionByName(sent)
+    whole = docs.select(F.lit(2).alias("kind"), key.alias("bucket"), F.lit(None).cast("binary").alias("blob"), row.alias("doc"))
+    kind = whole.schema["doc"].dataType
+    met = marks.withColumn("doc", F.lit(None).cast(kind)).unionByName(whole)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([
-        T.StructField("doc", sent.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("doc", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType()), T.StructField("removed", span),
     ])
-    return met.repartition(count, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_apply(window), schema)
+    return met.repartition(count, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_apply(window, docs.columns.index(id_col), docs.columns.index(text_col)), schema)
