@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, substring, warc
+from . import minhash, sharding, simhash, substring, warc
 from .common import hex_of
 
 
@@ -34,6 +34,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("page_id", F.col("own").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-permutation MinHash fingerprints of all documents and of their edited texts."""
+    found = minhash.fingerprint_table(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 64-bit SimHash of 3-word shingles, 2 bits apart at most."""
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -54,7 +60,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op8_warc": op8_warc, "op10_simhash": op10_simhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 
 SQL: dict[str, str] = {
     "op2_substring": r"""
