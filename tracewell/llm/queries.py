@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, minhash, sharding, simhash, substring, warc
+from . import bpe, lattice, minhash, packing, sharding, simhash, substring, warc
 from .common import hex_of
 
 
@@ -18,6 +19,19 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    found = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with a 49k vocabulary and decoded again."""
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back from them."""
     path = warc.archive_folder(spark)
@@ -65,7 +79,7 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 
 SQL: dict[str, str] = {
     "op2_substring": r"""
