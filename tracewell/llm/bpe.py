@@ -1,6 +1,6 @@
 """Byte-pair encoding by a priority queue of merge ranks over a doubly linked symbol list, and its inverse.
 
-Follows tokenizer files of the kind: text normalized (NFC, runs of white space to one space, lower
+Follows tokenizer files of the kind: text normalized (NFC, white space only separates, lower
 case), cut into words by a pattern, words as byte symbols of which the last bears the word's end.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the tokenizer's patterns know it, and its words.
-BLANK = regex.compile("[\t-\r \x85\xa0  -     　]+")
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^ \p{L}\p{N}]+")
+BLANK = "\t-\r \x85\xa0  -     　"
+WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
 #: Words remembered by a worker; twice as many at most are held.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 #: Bytes of text that go into one batch of results.
 PIECE = 2 << 20
 
@@ -41,6 +43,8 @@ class Bpe:
         printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.inner = [self.vocab.get(self.byte[b], -1) for b in range(256)]
+        self.final = [self.vocab.get(self.byte[b] + self.suffix, -1) for b in range(256)]
         self.cut = regex.compile("|".join(f"({regex.escape(x)})" for x in self.special)) if self.special else None
         self.young: dict[str, tuple[bytes, str]] = {}
         self.old: dict[str, tuple[bytes, str]] = {}
@@ -51,21 +55,26 @@ class Bpe:
         The queue holds (rank, place, left id, right id, merged id). An entry is stale, and skipped,
         if the symbol at its place or the one after it is no longer the one it was made for.
         """
-        symbols = [self.byte[b] for b in text.encode("utf-8")]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[x] for x in symbols]
+        raw = text.encode("utf-8")
+        inner = self.inner
+        ids = [inner[b] for b in raw]
+        ids[-1] = self.final[raw[-1]]
         n = len(ids)
+        if n == 1:
+            return ids
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         queue: list[tuple[int, int, int, int, int]] = []
-        merges = self.merges
+        known = self.merges.get
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (found := merges.get((ids[i], ids[j]))):
+            if j >= 0 and (found := known((ids[i], ids[j]))):
                 heapq.heappush(queue, (found[0], i, ids[i], ids[j], found[1]))
 
-        for i in range(n - 1):
-            offer(i)
+        for i, pair in enumerate(pairwise(ids)):
+            if found := known(pair):
+                queue.append((found[0], i, *pair, found[1]))
+        heapq.heapify(queue)
         while queue:
             _, i, left, right, merged = heapq.heappop(queue)
             j = after[i]
@@ -81,10 +90,10 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
     def _new(self, word: str) -> tuple[bytes, str]:
-        found = self.old.get(word)
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
             ids = self.word(word)
-            found = np.array(ids, "<i4").tobytes(), self.decode(ids)
+            found = array("i", ids).tobytes(), self.decode(ids)
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         self.young[word] = found
@@ -100,10 +109,7 @@ class Bpe:
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 get, new = self.young.get, self._new
-                found = WORD.findall(BLANK.sub(" ", part).lower())
-                for word in found:
-                    out.append(get(word) or new(word))
-                    get = self.young.get
+                out += [get(word) or new(word) for word in WORD.findall(part.lower())]
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -111,7 +117,7 @@ class Bpe:
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings, joined as a file without a decoder has it: by spaces. Unknown ids are left out."""
-        return " ".join(self.text[i] for i in ids if i in self.text)
+        return " ".join([self.text[i] for i in ids if i in self.text])
 
 
 @lru_cache(maxsize=2)
