@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: White space as the tokenizer's patterns know it, and its words.
 BLANK = "\t-\r \x85\xa0  -     　"
 WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{BLANK}\p{{L}}\p{{N}}]+")
@@ -159,5 +161,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     all executors. Workers remember a bounded number of words. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_task(path), "doc_id long, ids array<int>, decoded string")

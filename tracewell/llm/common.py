@@ -37,6 +37,18 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have texts sent to Python a thousand rows at a time instead of ten thousand, unless the session chose otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if it has no more than ``rows`` rows, else joined by a shuffle. It is counted for that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

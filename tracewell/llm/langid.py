@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 #: The bound of the training sample: documents of each language, windows of each document, characters of each window.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 500, 4, 256
@@ -162,6 +164,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(spark, model: Model, text: Column) -> Column:
     """A struct (lang, score) for a text column; only the text is looked at."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

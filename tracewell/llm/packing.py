@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 
 CAPACITY, END = 1024, 2
 #: Hash buckets in which the pieces of one length are numbered.
@@ -105,6 +105,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     than ``capacity`` is cut into pieces of that length, of which the first may be shorter. ids is
     null unless ``keep_ids``. ``path`` is the tokenizer's file, the same on all executors.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_cut(path, capacity, end, keep_ids), _PIECES)
 

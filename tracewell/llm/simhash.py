@@ -10,13 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, small, staged
 from .components import connected_components
 
 #: Hashes that are turned into bits at a time, so a text of any length needs bounded memory.
 STEP = 1 << 16
 #: Members up to which a block's bucket is compared pair by pair.
 PAIRWISE = 64
+#: Rows (24 bytes each) up to which the verdicts on documents are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def simhash64(text: str | None, shingle: int = 3) -> int:
@@ -96,6 +98,7 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp) as written, and for each distinct fp its smallest id and its component's label."""
+    bounded_batches(docs.sparkSession)
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), simhash_column(F.col(text_col), shingle).alias("fp")), "simhash")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = connected_components(fingerprint_links(prints.select("fp"), max_bits))
@@ -132,8 +135,11 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = (F.col("c.component") == F.col("k.component")) & F.col("c.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("c.fp") == F.col("k.fp"))
     verdict = copies.alias("c").join(keeper.alias("k"), same, "left").select(F.col("c.doc_id").alias("__tw_id"), F.col("c.fp").alias("__tw_fp"), F.col("k.fp").isNull().alias("__tw_gone"), "n")
     noted = staged(verdict.where("__tw_gone or n > 1").select("__tw_id", "__tw_fp", "__tw_gone"), "verdicts")
+    repeated = not noted.where("not __tw_gone").isEmpty()
     printed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__tw_row"), F.col(id_col).alias("__tw_doc"), simhash_column(F.col(text_col), shingle).alias("__tw_print"))
-    told = printed.join(noted, F.col("__tw_doc").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_print") == F.col("__tw_fp")), "left")
+    told = printed.join(small(noted, BROADCAST_ROWS), F.col("__tw_doc").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_print") == F.col("__tw_fp")), "left")
     alone = told.where("__tw_gone is null")
+    if not repeated:
+        return alone.select("__tw_row.*")
     one = told.where("not __tw_gone").dropDuplicates(["__tw_doc", "__tw_print"])
     return alone.unionByName(one).select("__tw_row.*")

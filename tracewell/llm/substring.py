@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, staged
+from .common import bounded_batches, partitions, staged
 
 LOG_CELLS, LOG_BLOCK, DEPTH = 28, 20, 2
 #: Windows, candidates and bytes of text handled at a time.
@@ -391,6 +391,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``doc``. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     count = partitions(spark)
     buckets = 4 * count
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import bounded_batches, shared_dir, small, staged
 
 MAGIC = b"WARC/1.0\r\n"
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
@@ -27,10 +27,6 @@ CELL = 64 << 20
 LEAST_REVISIT = 100
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), F.regexp_replace(F.coalesce(value.cast("string"), F.lit("null")), r"[\r\n]", " "), F.lit("\r\n"))
 
@@ -48,7 +44,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     short = pages.select(id_.alias("id"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size")).where(F.col("size") >= LEAST_REVISIT)
     firsts = short.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     again = short.join(firsts, "digest").where("id is null or id <> first").select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), "first").distinct()
-    again = _small(staged(again, "revisits"))
+    again = small(staged(again, "revisits"), BROADCAST_ROWS)
     full = pages.select(id_.alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).alias("size"))
     told = full.join(again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     revisit = F.col("first").isNotNull()
@@ -121,6 +117,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
+    bounded_batches(spark)
     lines = spark.read.option("lineSep", MAGIC.decode()).option("recursiveFileLookup", "true").text(path)
     return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"))
 
@@ -176,7 +173,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     need = held.join(spans, ["file", "cell"]).where("at >= offset and at < to").select("file", "block", "idx", "at", "offset", "to", "head")
     need = staged(need, "continued")
     again = _scan(spark, path).mapInArrow(_numbered, "file string, block long, idx long, value binary")
-    got = again.join(_small(need), ["file", "block", "idx"])
+    got = again.join(small(need, BROADCAST_ROWS), ["file", "block", "idx"])
     joined = got.groupBy("file", "offset", "to", "head").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
     measured = joined.select("file", "offset", (F.col("to") - F.col("offset")).alias("length"), "head", F.udf(_measured, "payload_size long, payload_sha256 string")(F.col("parts.value"), F.col("to") - F.col("offset")).alias("m"))
     return out.unionByName(staged(measured.select("file", "offset", "length", "head", "m.payload_size", "m.payload_sha256"), "joined"))
