@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import bounded_batches, partitions, staged
 from .packing import tokenizer
 
 BUDGET, HISTORY = 2048, 256
@@ -60,7 +60,7 @@ def _tokens(path: str):
 def _summed(turns: DataFrame, what: dict[str, str]) -> DataFrame:
     """Running sums before each turn, in two levels: within blocks of turn numbers, and over whole blocks."""
     keys = ["conv_id", "block"]
-    inner = Window.partitionBy(*keys).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys).orderBy("turn", "role", "tie").rowsBetween(Window.unboundedPreceding, -1)
     blocks = turns.groupBy(*keys).agg(*[F.sum(c).alias(f"__{c}") for c in what])
     over = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = blocks.select(F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), *[F.coalesce(F.sum(f"__{c}").over(over), F.lit(0)).alias(f"b_{c}") for c in what])
@@ -76,38 +76,41 @@ def format_conversations(rows: DataFrame, path: str, *, budget: int = BUDGET, hi
     conversation's windows, ``spans`` are the code-point ranges of ``formatted`` under the loss
     mask, ``fresh_from`` is where turns begin that no window before it has had as its own.
 
-    Turns go by number; equal numbers by role and text, a null number comes first. A null role or
+    Turns go by number; equal numbers by role and a hash of the text, a null number comes first. A null role or
     text counts as empty. Rows without a conversation form one conversation, named null. Only a
     conversation's first turn, if its role is ``system``, is repeated. Repeated rows are turns of
     their own. ``path`` is the file of the tokenizer that tokens are counted by. Columns beyond the
     four are not read. An empty table gives no rows.
     """
+    bounded_batches(rows.sparkSession)
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    head = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n"))
-    turns = turns.select("*", head.alias("head"), escape(F.col("text")).alias("body")).withColumn("piece", F.concat("head", "body", F.lit(STOP)))
+    head, body = F.concat(F.lit(START), _role(F.col("role")), F.lit("\n")), escape(F.col("text"))
+    turns = turns.select("*", F.length(head).alias("head_chars"), F.length(body).alias("body_chars"), F.concat(head, body, F.lit(STOP)).alias("piece"), F.xxhash64("text").alias("tie")).drop("text")
     turns = turns.select("*", _tokens(path)("piece").alias("n"), F.lit(1).cast("long").alias("one"), F.expr(f"turn div {BLOCK}").alias("block"))
-    turns = _summed(turns, {"n": "before", "one": "number"})
-    system = turns.where("number = 0 and role = 'system'").select(F.col("conv_id").alias("s_conv"), F.col("piece").alias("s_piece"), F.col("n").alias("s_n"))
-    turns = turns.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left")
+    whole = staged(_summed(staged(turns, "turns"), {"n": "before", "one": "number"}), "turns")
+    turns = whole.drop("piece")
+    system = turns.where("number = 0 and role = 'system'").select(F.col("conv_id").alias("s_conv"), F.col("n").alias("s_n"))
+    turns = turns.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
     stretch = F.expr(f"greatest({budget} - {history} - coalesce(s_n, 0), {budget} div 4) div 2")
     turns = turns.withColumn("stretch", stretch).withColumn("long", (F.col("n") > F.col("stretch")).cast("long"))
-    turns = _summed(turns, {"long": "longs"})
     key = ["conv_id", "at", "longs", "long"]
-    turns = turns.withColumn("at", F.expr("before div stretch"))
-    fresh = turns.select(*key, F.lit(2).alias("kind"), "number", "piece", "role", F.length("head").alias("head_chars"), F.length("body").alias("body_chars"), "n")
-    windows = turns.groupBy(*key).agg(F.min("before").alias("from"), F.min("number").alias("first"), F.max("s_piece").alias("s_piece"), F.max("s_n").alias("s_n"))
+    turns = staged(_summed(turns, {"long": "longs"}).withColumn("at", F.expr("before div stretch")), "turns")
+    fresh = turns.select(*key, F.lit(2).alias("kind"), "number", "role", "head_chars", "body_chars", "n")
+    windows = turns.groupBy(*key).agg(F.min("before").alias("from"), F.min("number").alias("first"), F.max("s_n").alias("s_n"))
     later = windows.where("first > 0")
-    none = [F.lit(0).alias("head_chars"), F.lit(0).alias("body_chars")]
-    again = later.where("s_piece is not null").select(*key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("number"), F.col("s_piece").alias("piece"), F.lit("").alias("role"), *none, F.col("s_n").alias("n"))
+    none = [F.lit("").alias("role"), F.lit(0).alias("head_chars"), F.lit(0).alias("body_chars")]
+    again = later.where("s_n is not null").select(*key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("number"), *none, F.col("s_n").alias("n"))
     cells = F.array_distinct(F.array(F.expr(f"greatest(`from` - {history}, 0) div {history}"), F.expr(f"(`from` - 1) div {history}")))
     wanted = later.select(*[F.col(c).alias(f"w_{c}") for c in key], "from", F.explode(cells).alias("w_cell"))
-    past = turns.where("not (number = 0 and role = 'system')").select("conv_id", "before", "number", "piece", "n", F.expr(f"before div {history}").alias("cell"))
+    past = turns.where("not (number = 0 and role = 'system')").select("conv_id", "before", "number", "n", F.expr(f"before div {history}").alias("cell"))
     recent = past.join(wanted, F.col("conv_id").eqNullSafe(F.col("w_conv_id")) & (F.col("cell") == F.col("w_cell")))
-    recent = recent.where(f"before >= `from` - {history} and before + n <= `from`").select(*[F.col(f"w_{c}").alias(c) for c in key], F.lit(1).alias("kind"), "number", "piece", F.lit("").alias("role"), *none, "n")
+    recent = recent.where(f"before >= `from` - {history} and before + n <= `from`").select(*[F.col(f"w_{c}").alias(c) for c in key], F.lit(1).alias("kind"), "number", *none, "n")
     parts = fresh.unionByName(again).unionByName(recent)
+    texts = whole.select(F.col("conv_id").alias("p_conv"), F.col("number").alias("p_number"), "piece")
+    parts = parts.join(texts, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("number") == F.col("p_number")))
     item = F.struct("kind", "number", "piece", "role", "head_chars", "body_chars", "n")
     made = parts.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("items"))
     fresh_from = F.aggregate(F.filter("items", lambda x: x.kind < 2), F.lit(0), lambda a, x: a + F.length(x.piece))
