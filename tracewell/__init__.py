@@ -1,0 +1 @@
+"""Operational-log analytics on Spark."""
