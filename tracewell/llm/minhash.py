@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import let, words
 
 BINS, BITS = 128, 8
 #: Hexadecimal digits of a bin.
@@ -34,19 +34,19 @@ def shingle_hashes(found: Column, shingle: int = 5) -> Column:
 
     def runs(h: Column) -> Column:
         n = F.size(h)
-        whole = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
+        whole = F.transform(F.sequence(F.lit(1), n - shingle + 1), lambda i: F.xxhash64(F.slice(h, i, shingle)))
         return F.when(n >= shingle, whole).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(hashes), runs), 1)
+    return let(hashes, runs)
 
 
 def bins(hashes: Column) -> Column:
     """The smallest hash of each filled bin, by bin; hashes ascend as signed longs, bins as unsigned."""
 
     def first(h: Column) -> Column:
-        return F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, i - 1))))
+        return F.concat(F.slice(h, 1, 1), F.filter(h, lambda x, i: _bin(x.bitwiseXOR(F.get(h, i - 1))) > 0))
 
-    return F.element_at(F.transform(F.array(F.sort_array(hashes)), first), 1)
+    return let(F.sort_array(hashes), first)
 
 
 def packed(filled: Column) -> Column:
@@ -63,9 +63,9 @@ def packed(filled: Column) -> Column:
 
             return F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint")), one), "")
 
-        return F.element_at(F.transform(F.array(by), own), 1)
+        return F.when(F.size(f) == 0, F.lit("")).otherwise(let(by, own))
 
-    return F.when(F.size(filled) == 0, F.lit("")).otherwise(F.element_at(F.transform(F.array(filled), filled_in), 1))
+    return let(filled, filled_in)
 
 
 def fingerprint(text: Column, shingle: int = 5) -> Column:
