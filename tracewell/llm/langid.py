@@ -147,13 +147,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     text, id_ = F.col(text_col), F.col(id_col)
     usable = docs.where(~held_out(id_) & F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0))
-    labels = sorted(r[0] for r in usable.select(F.col(lang_col).cast("string")).distinct().collect())
+    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*")).collect()}
+    labels = sorted(sizes)
     slot = lambda k: F.pmod(F.xxhash64(id_, F.lit(k)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     cut = F.array_distinct(F.array(*[F.substring(text, slot(k), F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_WINDOWS)]))
     rows, target = [], []
     for k, label in enumerate(labels):
         own = usable.where(F.col(lang_col).cast("string") == label).select(F.xxhash64(id_).alias("o"), cut.alias("w"))
-        for found in own.orderBy("o", "w").limit(SAMPLE_DOCS).collect():
+        share = min(1.0, 4 * SAMPLE_DOCS / sizes[label])  # of all hashes; enough for the sample, so few rows are sorted
+        first = own.where(F.col("o") <= int(share * (2**64 - 2**11)) - 2**63).orderBy("o", "w").limit(SAMPLE_DOCS).collect()
+        if len(first) < min(SAMPLE_DOCS, sizes[label]):
+            first = own.orderBy("o", "w").limit(SAMPLE_DOCS).collect()
+        for found in first:
             for window in found["w"]:
                 rows.append(windows_of(window.encode("utf-8", "replace")[:WINDOW]))
                 target.append(k)
