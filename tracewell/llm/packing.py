@@ -27,7 +27,7 @@ from .common import bounded_batches, staged
 
 CAPACITY, END = 1024, 2
 #: Hash buckets in which the pieces of one length are numbered.
-BUCKETS = 256
+BUCKETS = 32
 #: Pairs of stacks the search looks at before it stops; the packing is whole and valid wherever it stops.
 EFFORT = 400_000
 #: Fixed value: how byte-level BPE cuts text into words.
