@@ -95,7 +95,42 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
 
+def _sharding_sql() -> str:
+    """The permutation as a recursive query: a row's halves go through the rounds until they are in range again."""
+    p, (f0, f1, _) = sharding.PRIME, sharding.FACTORS
+    keys = ", ".join(map(str, sharding._keys(20240229)))
+    stir = lambda x: f"xor(({{0}}), ({{0}}) >> 13)".replace("{0}", f"((xor(({{1}}), ({{1}}) >> 15)) * {f1} + key) % {p}").replace("{1}", f"(({x}) * {f0} + key) % {p}")
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), sized AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, bits
+), bucketed AS (
+  SELECT *, ((((((coalesce(doc_id, 0) % {p}) + {p}) % {p}) * {f0} + 12345) % {p}) >> 8) % {sharding.BUCKETS} AS bucket FROM sized
+), numbered AS (
+  SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS r, count(*) OVER () AS n FROM bucketed
+), sides AS (
+  SELECT *, (floor(sqrt(n - 1)) + 1)::BIGINT AS a FROM numbered
+), ruled AS (
+  SELECT *, (n + a - 1) // a AS b, [{keys}]::BIGINT[] AS keys FROM sides
+), walk AS (
+  SELECT r, n, a, b, keys, r // b AS lft, r % b AS rgt, 0 AS i FROM ruled
+  UNION ALL
+  SELECT r, n, a, b, keys,
+    CASE WHEN i % 2 = 0 THEN (lft + {stir("rgt")}) % a ELSE lft END,
+    CASE WHEN i % 2 = 1 THEN (rgt + {stir("lft")}) % b ELSE rgt END, i + 1
+  FROM (SELECT *, keys[i % {sharding.ROUNDS} + 1] AS key FROM walk WHERE i = 0 OR i % {sharding.ROUNDS} <> 0 OR lft * b + rgt >= n)
+), placed AS (
+  SELECT r, lft * b + rgt AS pos FROM walk WHERE i > 0 AND i % {sharding.ROUNDS} = 0 AND lft * b + rgt < n
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (pos % 24)::INT AS shard, (pos // 24)::BIGINT AS slot, NULL::INT AS grown_shard
+FROM numbered JOIN placed USING (r)"""
+
+
 SQL: dict[str, str] = {
+    "op1_sharding": _sharding_sql(),
     "op2_substring": r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
