@@ -9,15 +9,17 @@ draw made at once instead of by repeated tries). Of each bin the lowest BITS bit
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, partitions, words
 
 BINS, BITS = 128, 8
 #: Hexadecimal digits of a bin.
 DIGITS = BITS // 4
-#: Ranges of ids in which a document finds its successor.
+#: Ranges of ids in which a document finds its successor, at least; as many as shuffle partitions if those are more.
 RANGES = 256
 
 
@@ -90,8 +92,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame, id_col: str) -> tuple[list[int], int | None, bool]:
-    """Ids that begin a range (ascending, RANGES at most, each one a document's), the least id, whether any id is null."""
-    found = docs.agg(F.percentile_approx(id_col, [i / RANGES for i in range(1, RANGES)], 10_000), F.min(id_col), F.count_if(F.col(id_col).isNull())).first()
+    """Ids that begin a range (ascending, each one a document's), the least id, whether any id is null."""
+    ranges = max(RANGES, partitions(docs.sparkSession))
+    found = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)), F.min(id_col), F.count_if(F.col(id_col).isNull())).first()
     least = found[1]
     return sorted({x for x in found[0] or [] if x > least}), least, found[2] > 0
 
@@ -107,11 +110,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     starts, least, nulls = _ranges(docs, id_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_, last = F.col("doc_id"), len(starts)
-    part = F.size(F.filter(F.array(*[F.lit(x) for x in starts]).cast("array<bigint>"), lambda x: x <= F.coalesce(id_, x - 1)))
+    step = math.isqrt(last) + 1
+    inner = F.lit(starts) if starts else F.array().cast("array<bigint>")
+    upto = lambda a: F.size(F.filter(a, lambda x: x <= id_))
+    coarse = F.lit(starts[::step]) if starts else inner
+    docs = docs.withColumn("__tw_c", F.when(id_.isNull(), 0).otherwise(upto(coarse)))
+    block = (F.greatest(F.col("__tw_c"), F.lit(1)) - 1) * step
+    docs = docs.withColumn("__tw_part", F.when(F.col("__tw_c") == 0, 0).otherwise(block + upto(F.slice(inner, block + 1, step))))
+    part = F.col("__tw_part")
     first = id_.isNull() if nulls else id_ == F.lit(least)
-    inner = F.array(*[F.lit(x) for x in starts]).cast("array<bigint>")
+    starting = F.get(inner, part - 1) == id_
     ghosts = F.concat(
-        F.when(F.array_contains(inner, id_), F.array(part - 1)).otherwise(F.array().cast("array<int>")),
+        F.when(starting, F.array(part - 1)).otherwise(F.array().cast("array<int>")),
         F.when(first, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")),
     )
     places = F.concat(F.array(F.struct(part.alias("part"), F.lit(0).alias("ghost"))), F.transform(F.coalesce(ghosts, F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(1).alias("ghost"))))
