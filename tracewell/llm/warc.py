@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,14 +142,34 @@ def _reached(targets: DataFrame) -> DataFrame:
     return now.where("hit").select("file", "at")
 
 
+@contextmanager
+def _same_splits(spark: SparkSession) -> Iterator[None]:
+    """Fix what the size of splits depends on, so scans agree even if executors come or go between them."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, length, head binary, payload_size, payload_sha256) of each record below ``path``.
 
     Only records on the chain from the start of their file are returned; a magic inside a payload
     belongs to the payload. A record that the end of its file cuts off is left out, and so is
     whatever follows a broken header. A file that does not begin with the magic has no records, nor
-    has an empty folder. ``head`` is the header's lines; measures are of the whole payload.
+    has an empty folder. ``head`` is the header's lines; measures are of the whole payload. All
+    scans run before this returns, under one layout of splits.
     """
+    with _same_splits(spark):
+        return _read(spark, path)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     parts = staged(_scan(spark, path).mapInArrow(_segments, _SEGMENT), "segments")
     per = parts.groupBy("file", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     earlier = per.alias("x").join(per.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("y.block") < F.col("x.block")), "left")
@@ -195,7 +216,7 @@ def _measured(parts: list[bytes], length: int) -> tuple[int, str]:
     """Of a record put together from its segments; fails if the splits were cut otherwise than before."""
     record = MAGIC.join(bytes(x) for x in parts)
     if len(record) + len(MAGIC) != length:
-        raise ValueError("the archive was split differently at the second read; run again")
+        raise ValueError("the archive changed, or its splits did, between two reads")
     body = payload_of(record)
     return len(body), hashlib.sha256(body).hexdigest()
 
