@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tracewell import queries as Q
 from tracewell.functions import redact
 from tracewell.functions import text as X
+from tracewell.operators import changes as C
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.plans import diagnosis as D
+from tracewell.plans import retrieval as V
 from tracewell.sources import readers as S
 from tracewell.streaming.incremental import collect_available
 
@@ -180,3 +182,28 @@ def test_text_functions(spark):
     assert got[0].h.count("é") == 150 and "[LOG_TRUNCATED]" in got[0].h and "\ufffd" not in got[0].h
     assert got[1].e == "x\nx" and got[1].w == "2: x\n3: x"
     assert [r.p for r in got] == ["src/a.py", "src/b.py", "c.py"]
+
+
+def test_change_risks(spark):
+    changes, known = Q._changes(spark)
+    got = C.change_risks(changes, known, spark.createDataFrame(Q.REFERENCES, "path string, referenced string")).collect()
+    assert sorted((r.rule_id, r.path, r.referenced, r.expected) for r in got) == [
+        ("change.ci_path_case_mismatch", "ci/build.yml", "SRC/app/util.py", "src"),
+        ("change.ci_path_unverified", "ci/build.yml", "lib/util.py", None),
+        ("change.path_case_mismatch", "src/App/main.py", "src/App/main.py", "src/app"),
+    ]
+    assert C.added_lines(spark.createDataFrame([("a", None)], "change string, diff string"), "change", "diff").count() == 0
+
+
+def test_bundle_stops_at_the_budget(spark):
+    rows = [("k", 0, "a", "log", "x" * 20), ("k", 1, "b", "log", "y" * 20), ("k", 2, "c", "log", "z")]
+    got = V.bundle(spark.createDataFrame(rows, "k string, place int, evidence_id string, kind string, content string"), "k", 40).first()
+    assert got.context == "[a] log\n" + "x" * 20 + "\n\n[b] log\nyyy" and got.evidence == ["a", "b", "c"]
+
+
+def test_similar_incidents_stay_in_their_project(spark):
+    incidents = [(1, "p", "f", "c", "alpha beta", False), (2, "q", "f", "c", "alpha beta", True), (3, "p", "g", "c", "other", True), (4, "p", None, None, "gamma delta", False), (5, "p", "g", "d", None, False)]
+    incidents = spark.createDataFrame(incidents, "incident_id long, project string, fingerprint string, category string, text string, resolved boolean")
+    queries = spark.createDataFrame([(1, "p", "f", "c", "alpha beta"), (9, "p", "f", "c", None)], "query_id long, project string, fingerprint string, category string, text string")
+    got = {(r.query_id, r.rn): (r.incident_id, r.similarity) for r in V.similar_incidents(queries, incidents).collect()}
+    assert got == {(1, 1): (3, 0.35), (9, 1): (3, 0.35), (9, 2): (1, 1.0)}

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tracewell.functions import redact
 from tracewell.functions import rules as R
 from tracewell.functions import text as X
+from tracewell.operators import changes as C
 from tracewell.operators import logs as L
 from tracewell.operators import relational as Q
 from tracewell.plans import diagnosis as D
+from tracewell.plans import retrieval as V
 from tracewell.sources.readers import landed
 
 #: Logs of our own, since the supplied tables hold no CI output.
@@ -510,6 +512,158 @@ def q_stream(s, d):
 
 SQL["stream_incremental"] = r"SELECT DISTINCT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS row_hash FROM documents"
 
+DIFFS = [
+    ("d1", "--- a/x\n+++ b/x\n@@ -1,3 +1,4 @@\n a\n+b\n-c\n d\n+e\n@@ -20 +21,2 @@ f\n+g\n h\n\\ No newline at end of file"),
+    ("d2", "+early\n@@ -0,0 +7 @@\n+seven\r\n+eight"),
+    ("d3", " only context"),
+]
+CHANGES = [
+    ("src/app/main.py", "src/App/main.py", False, False, "a"), ("docs/Guide.md", "docs/guide.md", False, True, "b"), ("lib/util.py", "lib/util.py", True, False, "c"),
+    ("ci/build.yml", "ci/build.yml", False, False, "d"), (None, "./new/tool.py", False, False, "e"),
+]
+REFERENCES = [("ci/build.yml", "SRC/app/util.py"), ("ci/build.yml", "lib/util.py"), ("ci/build.yml", "new/tool.py"), ("ci/build.yml", "tests"), ("ci/build.yml", "$DIR/x"), ("other.yml", "gone.py")]
+COMMANDS = [("make test || true",), ("echo 'x || true'",), ("$ run; exit 0",), ("+ run '; exit 0'",), ("step ||: ",), ("ls # || true",), ("make || truefalse",), ("# a || true",), ("printf x || true",), ("",)]
+FINDINGS = [
+    ("r1", "test.failed", "test_failure", "error", "observed", "j1"), ("r1", "pipeline.failed", "pipeline_status", "error", "observed", None), ("r1", "job.no_failure_observed", "no_failure_observed", "info", "observed", "j2"),
+    ("r1", "auth.expired", "authentication", "warning", "likely", "j3"), ("r1", "ci.visibility_limited", "configuration", "warning", "unknown", None), ("r2", "deployment.failed", "deployment", "error", "observed", "j4"),
+    ("r2", "git.conflict", "git", "error", "observed", None), ("r2", "job.insufficient_evidence", "unknown", "warning", "unknown", "j5"), ("r2", "job.status", "job_status", "error", "likely", "j6"),
+]
+
+
+def q_added_lines(s, d):
+    return C.added_lines(s.createDataFrame(DIFFS, "change string, diff string"), "change", "diff")
+
+
+SQL["diff_added_lines_inline"] = rf"""
+WITH r AS (SELECT change, unnest(range(0, len(l)))::INT AS idx, unnest(l) AS raw FROM (SELECT change, regexp_split_to_array(diff, '\r?\n') AS l FROM {_values(DIFFS, 'change, diff')})),
+m AS (SELECT *, try_cast(nullif(regexp_extract(raw, {_sql(C.HUNK)}, 1), '') AS INT) AS start, NOT regexp_matches(raw, {_sql(C.NO_CONTENT)}) AS content FROM r),
+h AS (SELECT *, count(start) OVER w AS hunk, last_value(start IGNORE NULLS) OVER w AS first FROM m WINDOW w AS (PARTITION BY change ORDER BY idx ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, first + coalesce(sum(CASE WHEN content AND raw[1] IN ('+', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY change, hunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM h)
+SELECT change, idx, line::INT AS line, raw[2:] AS text FROM c WHERE content AND raw[1] = '+'"""
+
+
+def _changes(s):
+    return s.createDataFrame(CHANGES, "old_path string, new_path string, deleted_file boolean, renamed_file boolean, note string"), s.createDataFrame([(p,) for p in PATHS], "path string")
+
+
+def q_current_paths(s, d):
+    changes, known = _changes(s)
+    return C.current_paths(known, changes)
+
+
+_KNOWN_SQL, _CHANGES_SQL = _values([(p,) for p in PATHS], "path"), _values(CHANGES, "old_path, new_path, deleted_file, renamed_file, note")
+SQL["current_paths"] = f"SELECT path FROM {_KNOWN_SQL} EXCEPT SELECT old_path FROM {_CHANGES_SQL} WHERE deleted_file OR renamed_file UNION SELECT regexp_replace(new_path, '^\\./', '') FROM {_CHANGES_SQL} WHERE NOT deleted_file"
+
+
+def q_change_risks(s, d):
+    changes, known = _changes(s)
+    return C.change_risks(changes, known, s.createDataFrame(REFERENCES, "path string, referenced string"))
+
+
+def q_hidden_exit(s, d):
+    return s.createDataFrame(COMMANDS, "command string").select("command", C.hides_exit_code(F.col("command")).alias("hidden"))
+
+
+SQL["exit_suppressed_inline"] = f"SELECT command, NOT regexp_matches(plain, {_sql(C.PRINTING)}) AND regexp_matches(string_split(regexp_replace(plain, {_sql(C.QUOTED)}, '', 'g'), '#')[1], {_sql(C.MASKED)}) AS hidden FROM (SELECT command, trim(regexp_replace(command, '^[$+] ', '')) AS plain FROM {_values(COMMANDS, 'command')})"
+
+
+def _similar_incidents(s, d):
+    """Benchmark items as queries, all documents as incidents of one project; labelled quality stands for a resolution."""
+    good = landed(s, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
+    docs = landed(s, d, "documents").select("doc_id", "lang", "text", X.row_hash(F.col("text")).alias("fingerprint")).join(good, "doc_id", "left")
+    incidents = docs.select(F.col("doc_id").alias("incident_id"), F.lit("p").alias("project"), "fingerprint", F.col("lang").alias("category"), "text", F.coalesce("good", F.lit(False)).alias("resolved"))
+    items = landed(s, d, "benchmark")
+    queries = items.select((-1 - F.col("item_id")).alias("query_id"), F.lit("p").alias("project"), X.row_hash(F.col("text")).alias("fingerprint"), F.lit("en").alias("category"), "text")
+    return V.similar_incidents(queries, incidents)
+
+
+def q_similar_incidents(s, d):
+    return _similar_incidents(s, d).select("query_id", "incident_id", "resolved", F.bround("similarity", 6).alias("similarity"), "rn")
+
+
+_INCIDENTS_SQL = _SIM + r""", h AS (SELECT -1 - item_id AS query_id, item_id, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS fingerprint FROM benchmark),
+p AS (
+  SELECT query_id, doc_id AS incident_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS resolved, CASE
+    WHEN coalesce(h.fingerprint = sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')), false) THEN 1
+    WHEN coalesce(lang = 'en', false) THEN greatest(coalesce(overlap / total, 0), 0.35) ELSE coalesce(overlap / total, 0) END AS similarity
+  FROM h CROSS JOIN documents LEFT JOIN sim USING (item_id, doc_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY resolved DESC, similarity DESC, incident_id)::INT AS rn FROM p WHERE similarity >= 0.13 QUALIFY rn <= 5)
+"""
+SQL["similar_incidents"] = _INCIDENTS_SQL + "SELECT query_id, incident_id, resolved, round(similarity, 6) AS similarity, rn FROM best"
+
+
+def q_bundle(s, d):
+    """Each item's text, then its two most similar incidents, within 2,000 characters."""
+    own = landed(s, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.lit(0).alias("place"), F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("evidence_id"), F.lit("current job log").alias("kind"), F.col("text").alias("content"))
+    found = _similar_incidents(s, d).where("rn <= 2").join(landed(s, d, "documents").select(F.col("doc_id").alias("incident_id"), "text"), "incident_id")
+    past = found.select("query_id", F.col("rn").alias("place"), F.concat(F.lit("incident:"), F.col("incident_id").cast("string")).alias("evidence_id"), F.lit("historical incident").alias("kind"), F.col("text").alias("content"))
+    return V.bundle(own.unionByName(past), "query_id", 2000).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("evidence", ",").alias("evidence"))
+
+
+SQL["retrieval_bundle"] = _INCIDENTS_SQL + """, s AS (
+  SELECT -1 - item_id AS query_id, 0 AS place, 'item:' || item_id AS id, 'current job log' AS kind, text FROM benchmark
+  UNION ALL SELECT query_id, rn, 'incident:' || incident_id, 'historical incident', text FROM best JOIN documents ON doc_id = incident_id WHERE rn <= 2),
+r AS (SELECT query_id, place, id, '[' || id || '] ' || kind || chr(10) || trim(coalesce(text, ''), ' ') || chr(10) AS t FROM s),
+u AS (SELECT *, substr(t, 1, greatest(2000 - coalesce(sum(length(t)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT) AS used FROM r)
+SELECT query_id, sha256(string_agg(used, chr(10) ORDER BY place) FILTER (used <> '')) AS context_sha256, string_agg(id, ',' ORDER BY place) AS evidence FROM u GROUP BY 1"""
+
+
+def q_newest(s, d):
+    return Q.top_n(landed(s, d, "events").select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")], 3).select("event_id", "rn")
+
+
+SQL["newest3_confirmations"] = "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC)::INT AS rn FROM events QUALIFY rn <= 3"
+
+
+def q_retained(s, d):
+    return V.retained(landed(s, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "user_id")
+
+
+SQL["retention_projects_entries"] = "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 ORDER BY min(ts) DESC, user_id DESC LIMIT 50) ORDER BY ts DESC, event_id DESC LIMIT 200"
+
+_FINDING_COLUMNS = "run_id string, rule_id string, category string, severity string, confidence string, job_id string"
+_FINDING_SQL = _values(FINDINGS, "run_id, rule_id, category, severity, confidence, job_id")
+
+
+def q_ordered(s, d):
+    return V.ordered_findings(s.createDataFrame(FINDINGS, _FINDING_COLUMNS), "run_id").select("run_id", "rule_id", "rn")
+
+
+SQL["finding_order_inline"] = f"SELECT run_id, rule_id, row_number() OVER (PARTITION BY run_id ORDER BY list_position(['error', 'warning', 'info'], severity), list_position(['observed', 'likely', 'unknown'], confidence), rule_id IN ('deployment.failed', 'pipeline.failed'), rule_id, coalesce(job_id, ''))::INT AS rn FROM {_FINDING_SQL}"
+
+
+def q_display_rank(s, d):
+    return s.createDataFrame(FINDINGS, _FINDING_COLUMNS).select("run_id", "rule_id", V.display_rank(F.col("rule_id"), F.col("category"), F.col("severity"), F.col("job_id")).alias("rank"))
+
+
+SQL["display_rank_inline"] = "SELECT * FROM (VALUES ('r1', 'test.failed', 0), ('r1', 'pipeline.failed', 2), ('r1', 'job.no_failure_observed', 6), ('r1', 'auth.expired', 3), ('r1', 'ci.visibility_limited', 7), ('r2', 'deployment.failed', 0), ('r2', 'git.conflict', 4), ('r2', 'job.insufficient_evidence', 5), ('r2', 'job.status', 1)) v(run_id, rule_id, rank)"
+
+
+def q_import_report(s, d):
+    rows = landed(s, d, "documents").select("source", "text", X.row_hash(F.col("text")).alias("row_hash"))
+    return V.import_report(rows, rows.where("source = 'src0'"), "row_hash", "text")
+
+
+SQL["import_report"] = r"""
+WITH r AS (SELECT source, text, sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS row_hash, coalesce(trim(text, ' ') = '', true) AS blank FROM documents),
+c AS (SELECT count(*) AS read, count_if(blank)::BIGINT AS blank, (SELECT count(DISTINCT row_hash) FROM r WHERE NOT blank AND row_hash NOT IN (SELECT row_hash FROM r WHERE source = 'src0' AND row_hash IS NOT NULL)) AS stored FROM r)
+SELECT read, blank, read - blank - stored AS duplicates, stored, CASE WHEN read = blank THEN 'empty' WHEN blank > 0 THEN 'shortfall' ELSE 'complete' END AS state FROM c"""
+
+
+def q_line_search(s, d):
+    """The first 30 turns of each conversation that hold a literal, whatever its case."""
+    hits = landed(s, d, "conversations").where(F.contains(F.lower("text"), F.lit("the")))
+    return Q.top_n(hits.select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn")], 30)
+
+
+def q_first_distinct(s, d):
+    first = landed(s, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
+    return first.select("conv_id", "role", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("place"))
+
+
+SQL["line_search"] = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS rn FROM conversations WHERE contains(lower(text), 'the') QUALIFY rn <= 30"
+SQL["ordered_distinct"] = "SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role)::INT AS place FROM conversations GROUP BY conv_id, role"
+
 QUERIES = {
     "fingerprint_clusters": q_fingerprint_clusters, "line_explode": q_line_explode, "clean_lines": q_clean_lines, "rule_signals_inline": q_first_rule,
     "failure_signals_inline": q_failure_signals, "top_signal_per_log": q_top_signal, "fingerprint_logs_inline": q_fingerprint_logs, "chunk_full": q_chunk_windows,
@@ -523,4 +677,7 @@ QUERIES = {
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
     "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup_inline": q_artifact, "stream_incremental": q_stream,
+    "diff_added_lines_inline": q_added_lines, "current_paths": q_current_paths, "change_risks_inline": q_change_risks, "exit_suppressed_inline": q_hidden_exit,
+    "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
+    "finding_order_inline": q_ordered, "display_rank_inline": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
 }
