@@ -329,6 +329,46 @@ def test_stages(spark, docs):
         assert stage(spark, docs.limit(0), "").collect() == []
 
 
+def brute_near_copies(rows):
+    """Pairs of distinct texts with a 5-word Jaccard likeness of 0.8 or more, and the ids that stay."""
+    sets = {}
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(tuple(w), {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    names, holders, shared = list(sets), {}, {}
+    for k, n in enumerate(names):
+        for x in sets[n]:
+            for other in holders.setdefault(x, []):
+                shared[other, k] = shared.get((other, k), 0) + 1
+            holders[x].append(k)
+    pairs = [(a, b) for (a, b), n in shared.items() if 5 * n >= 4 * (len(sets[names[a]]) + len(sets[names[b]]) - n)]
+    label = list(range(len(names)))
+    for a, b in pairs:
+        x, y = label[a], label[b]
+        label = [y if v == x else v for v in label]
+    place, least = {n: k for k, n in enumerate(names)}, {}
+    for i, t in rows:
+        c = label[place[tuple((t or "").encode().lower().split())]]
+        least[c] = min(i, least.get(c, i))
+    return pairs, sorted(least.values())
+
+
+def test_near_duplicates_stage_finds_all_of_likeness(spark):
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pairs, want = brute_near_copies([(r.doc_id, r.text) for r in given.collect()])
+    assert len(pairs) == 5 and sorted(r.doc_id for r in stage(spark, given, "").collect()) == want
+    rng, rows = random.Random(11), []
+    for k in range(60):  # chains, and pairs on both sides of the likeness
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(3, 400))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            words = [w if rng.random() > rng.choice((0.01, 0.02, 0.03)) else "new" for w in words]
+    pairs, want = brute_near_copies(rows)
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(pairs) > 60 and sorted(r.doc_id for r in stage(spark, made, "").collect()) == want
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 

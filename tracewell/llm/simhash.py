@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, small, staged
@@ -129,6 +129,11 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows, labelled = _labelled(docs, id_col, text_col, shingle, max_bits)
     each = rows.join(labelled.select("fp", "component"), "fp")
+    return keep_one(docs, each, id_col, simhash_column(F.col(text_col), shingle))
+
+
+def keep_one(docs: DataFrame, each: DataFrame, id_col: str, print_: Column) -> DataFrame:
+    """The rows of ``docs`` that ``simhash_keep`` keeps, given (doc_id, fp, component) of each and fp as a column of ``docs``."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
     keeper = each.groupBy("component").agg(F.min(order).alias("k")).select("component", "k.doc_id", "k.fp")
     copies = each.groupBy("doc_id", "fp", "component").agg(F.count("*").alias("n"))
@@ -136,7 +141,7 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verdict = copies.alias("c").join(keeper.alias("k"), same, "left").select(F.col("c.doc_id").alias("__tw_id"), F.col("c.fp").alias("__tw_fp"), F.col("k.fp").isNull().alias("__tw_gone"), "n")
     noted = staged(verdict.where("__tw_gone or n > 1").select("__tw_id", "__tw_fp", "__tw_gone"), "verdicts")
     repeated = not noted.where("not __tw_gone").isEmpty()
-    printed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__tw_row"), F.col(id_col).alias("__tw_doc"), simhash_column(F.col(text_col), shingle).alias("__tw_print"))
+    printed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__tw_row"), F.col(id_col).alias("__tw_doc"), print_.alias("__tw_print"))
     told = printed.join(small(noted, BROADCAST_ROWS), F.col("__tw_doc").eqNullSafe(F.col("__tw_id")) & (F.col("__tw_print") == F.col("__tw_fp")), "left")
     alone = told.where("__tw_gone is null")
     if not repeated:
