@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small rows: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -172,6 +173,28 @@ def test_local_search_keeps_pieces_and_saves_bins():
     assert squares(packing.local_search(start, 1024)) > squares(start)
 
 
+def gain(low, high, free):
+    """The most that an exchange of up to three lengths adds to ``high``, tried one by one; 0 if none does."""
+    some = lambda p, k: {c for n in range(k + 1) for c in itertools.combinations(p, n)}
+    return max((x for a in some(low, 2) for b in some(high, 2) if len(a) + len(b) <= 3 and 0 < (x := sum(a) - sum(b)) <= free), default=0)
+
+
+def test_local_search_runs_until_nothing_helps():
+    rng = random.Random(4)
+    for lengths in ([rng.randint(180, 360) for _ in range(9000)], [min(1024, max(5, round(rng.lognormvariate(5, 1)))) for _ in range(3000)], [7, 9, 11] * 50):
+        counts = packing.Counter(lengths)
+        found = packing.local_search(packing.first_fit(counts, 1024), 1024)
+        total = packing.Counter()
+        for p, n in found.items():
+            for x in p:
+                total[x] += n
+        assert total == counts
+        left = sorted((p for p in found if sum(p) < 1024), key=sum)
+        pairs = [(a, b) for i, a in enumerate(left) for b in left[i:] if a != b or found[a] > 1]
+        for a, b in rng.sample(pairs, min(len(pairs), 20_000)):
+            assert not gain(a, b, 1024 - sum(b)) and (sum(a) < sum(b) or not gain(b, a, 1024 - sum(a)))
+
+
 def test_bpe(docs):
     exact = Tokenizer.from_file(WORDS)
     got = bpe.encode_documents(docs, WORDS).collect()

@@ -28,8 +28,6 @@ from .common import bounded_batches, staged
 CAPACITY, END = 1024, 2
 #: Hash buckets in which the pieces of one length are numbered.
 BUCKETS = 32
-#: Pairs of stacks the search looks at before it stops; the packing is whole and valid wherever it stops.
-EFFORT = 400_000
 #: Fixed value: how byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TEXT_BYTES = 2 << 20
@@ -147,17 +145,39 @@ def first_fit(counts: dict[int, int], capacity: int) -> Counter:
     return sum(stacks.values(), Counter())
 
 
-def _exchange(low: tuple, high: tuple, free: int) -> tuple[tuple, tuple] | None:
-    """What bin ``low`` gives and gets so that ``high``, with ``free`` left, gets fullest; None if nothing helps."""
-    gives = {(a,) for a in low} | {tuple(sorted(x)) for x in combinations(low, 2)}
-    gets = {(): 0} | {(b,): b for b in high} | {tuple(sorted(x)): sum(x) for x in combinations(high, 2)}
-    best, gain = None, 0
-    for give in gives:
-        size = sum(give)
-        for get, back in gets.items():
-            if len(give) + len(get) <= 3 and gain < size - back <= free:
-                best, gain = (give, get), size - back
-    return best
+class _Sums:
+    """What one or two of a bin's lengths add up to, as {sum: lengths} and as the bits of an integer."""
+
+    def __init__(self, pattern: tuple, capacity: int):
+        own = Counter(pattern)
+        self.free = capacity - sum(pattern)
+        self.one = {a: (a,) for a in own}
+        self.two = {a + b: (a, b) for a, b in combinations(sorted(own), 2)} | {2 * a: (a, a) for a, n in own.items() if n > 1}
+        self.bits_one = sum(1 << a for a in self.one)
+        self.bits = self.bits_one | sum(1 << a for a in self.two.keys() - self.one.keys())
+        self.bits_two_down = sum(1 << capacity - a for a in self.two)
+
+
+def _exchange(low: _Sums, high: _Sums, capacity: int) -> tuple[tuple, tuple] | None:
+    """What bin ``low`` gives and gets so that ``high`` gets fullest; None if nothing helps.
+
+    One or two lengths go for nothing, one or two for one, one for two. All differences are worked
+    out at once: a shift of an integer whose bits are sums takes one length from each of them.
+    """
+    gains = low.bits
+    for b in high.one:
+        gains |= low.bits >> b
+    for a in low.one:
+        gains |= high.bits_two_down >> capacity - a
+    gain = (gains & (2 << high.free) - 2).bit_length() - 1
+    if gain < 1:
+        return None
+    for give, more in ((low.one, high.two), (low.two, {})):
+        for size, pieces in give.items():
+            back = size - gain
+            if back == 0 or back in high.one or back in more:
+                return pieces, high.one.get(back) or more.get(back) or ()
+    return None
 
 
 def _without(pattern: tuple, gone: tuple, more: tuple) -> tuple:
@@ -167,53 +187,82 @@ def _without(pattern: tuple, gone: tuple, more: tuple) -> tuple:
     return tuple(sorted([*left, *more], reverse=True))
 
 
-def local_search(bins: Counter, capacity: int, effort: int = EFFORT) -> Counter:
-    """Exchanges between underfull bins until none raises the sum of squared fills, or ``effort`` is spent.
+def local_search(bins: Counter, capacity: int) -> Counter:
+    """Exchanges between underfull bins until none raises the sum of squared fills.
 
     A move, a one-for-one, a two-for-one or a one-for-two exchange makes the fuller bin of a pair
     fuller and the other emptier, until it is empty. Each raises the sum of squares, so the search
-    ends. Stacks of equal bins exchange as one.
+    ends. Stacks of equal bins exchange as one. Bins wait, the emptiest first; one that waits is
+    compared with all settled ones, the fullest first, and settles once none of them exchanges with
+    it. So no two settled bins ever exchange, each pair is looked at once, and a bin that comes up
+    later is held against all that settled before.
     """
-    done = Counter({p: n for p, n in bins.items() if sum(p) == capacity})
-    open_ = Counter({tuple(sorted(p, reverse=True)): 0 for p, n in bins.items() if sum(p) < capacity})
-    for p, n in bins.items():
-        if sum(p) < capacity:
-            open_[tuple(sorted(p, reverse=True))] += n
-    seen: set[tuple] = set()
-    waiting = [(sum(p), p) for p in open_]
-    heapq.heapify(waiting)
-    while waiting and effort > 0:
-        fill, low = heapq.heappop(waiting)
-        if not open_[low]:
-            continue
-        for high in sorted((p for p in open_ if sum(p) >= fill), key=lambda p: (-sum(p), p)):
-            effort -= 1
-            if effort <= 0:
-                break
-            n = open_[low] // 2 if high == low else min(open_[low], open_[high])
-            if not n or (low, high) in seen:
+    done: Counter = Counter()
+    open_: Counter = Counter()
+    sums: dict[tuple, _Sums] = {}
+    settled: list[tuple[int, tuple]] = []  # (free, pattern)
+    waiting: list[tuple[int, tuple]] = []  # (fill, pattern)
+
+    def put(pattern: tuple, n: int) -> None:
+        fill = sum(pattern)
+        if not n or not fill:
+            return
+        if fill == capacity:
+            done[pattern] += n
+            return
+        new = pattern not in open_
+        open_[pattern] += n
+        if new:
+            sums[pattern] = _Sums(pattern, capacity)
+            heapq.heappush(waiting, (fill, pattern))
+        elif open_[pattern] - n < 2 and (at := bisect_left(settled, (capacity - fill, pattern))) < len(settled) and settled[at][1] == pattern:
+            # settled while it was the only one of its kind: it may exchange with its equal
+            if _exchange(sums[pattern], sums[pattern], capacity):
+                settled.pop(at)
+                heapq.heappush(waiting, (fill, pattern))
+
+    def take(pattern: tuple, n: int) -> None:
+        open_[pattern] -= n
+        if not open_[pattern]:
+            del open_[pattern], sums[pattern]
+            free = capacity - sum(pattern)
+            at = bisect_left(settled, (free, pattern))
+            if at < len(settled) and settled[at][1] == pattern:
+                settled.pop(at)
+
+    for p, n in sorted(bins.items()):
+        put(tuple(sorted(p, reverse=True)), n)
+    while waiting:
+        fill, own = heapq.heappop(waiting)
+        if own not in open_ or (at := bisect_left(settled, (capacity - fill, own))) < len(settled) and settled[at][1] == own:
+            continue  # gone, or it came back while an older entry waited
+        mine, free = sums[own], capacity - fill
+        for other_free, other in [(free, own), *settled]:
+            if other not in open_:
                 continue
-            found = _exchange(low, high, capacity - sum(high))
+            n = open_[own] // 2 if other == own else min(open_[own], open_[other])
+            theirs = sums[other]
+            if not n:
+                continue
+            low, high, found = own, other, None
+            if other_free <= free:
+                found = _exchange(mine, theirs, capacity)
+            if not found and other_free >= free:  # of two bins as full, either may become the fuller one
+                low, high, found = other, own, _exchange(theirs, mine, capacity)
             if not found:
-                seen.add((low, high))
                 continue
-            open_[low] -= n
-            open_[high] -= n
-            fuller, emptier = _without(high, found[1], found[0]), _without(low, found[0], found[1])
-            for p in (low, high):
-                if not open_[p]:
-                    del open_[p]
-            for p in (fuller, emptier):
-                if not p:
-                    continue
-                if sum(p) == capacity:
-                    done[p] += n
-                else:
-                    open_[p] += n
-                    heapq.heappush(waiting, (sum(p), p))
-            if open_.get(low):
-                heapq.heappush(waiting, (fill, low))
-            break
+            take(low, n)
+            take(high, n)
+            put(_without(high, found[1], found[0]), n)
+            put(_without(low, found[0], found[1]), n)
+            if own not in open_ or sums[own] is not mine:
+                break
+        if own not in open_ or sums[own] is not mine:
+            continue
+        if open_[own] > 1 and _exchange(mine, mine, capacity):
+            heapq.heappush(waiting, (fill, own))  # more of its kind came up meanwhile
+        else:
+            insort(settled, (free, own))
     return done + open_
 
 
@@ -241,7 +290,7 @@ class Plan:
         return self.bases[slot] + number, self.offsets[slot]
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, effort: int = EFFORT) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset, in as few sequences as the search finds.
 
     Places within a sequence have no gaps. Equal pieces are told apart by number, so repeated rows
@@ -251,7 +300,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, effort: int = EFFORT) -
     """
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = Plan(local_search(first_fit(counts, capacity), capacity, effort))
+    plan = Plan(local_search(first_fit(counts, capacity), capacity))
     shared = spark.sparkContext.broadcast(plan)
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int").alias("__tw_b")
     sizes = pieces.groupBy("length", bucket).agg(F.count("*").alias("n"))
@@ -269,7 +318,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, effort: int = EFFORT) -
     return placed.select(*pieces.columns, "__tw_p.sequence_id", "__tw_p.offset")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False, effort: int = EFFORT) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """``cut_documents`` and ``pack``: one row a piece, with its sequence and its place there."""
     pieces = staged(cut_documents(docs, path, id_col, text_col, capacity=capacity, end=end, keep_ids=keep_ids), "pieces")
-    return pack(pieces, capacity=capacity, effort=effort)
+    return pack(pieces, capacity=capacity)
