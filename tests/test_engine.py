@@ -1,5 +1,6 @@
 """Every query against its SQL on the small tables, and the operators on rows of their own."""
 
+import json
 import os
 import zipfile
 
@@ -123,6 +124,42 @@ def test_redaction():
     assert "tokenCount\": 5" in out[4][0] and "hunter2" not in out[0][0]
 
 
+def nested(depth):
+    text = '{"password": "s3cr3t"}'
+    for _ in range(depth):
+        text = json.dumps({"body": text})
+    return text
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("password: |\n  s3cr3t one\n\n  s3cr3t two\nuser: bob\n", "password: |\n  [REDACTED]\n\n  \nuser: bob\n"),
+        ("a:\n  token: >-\r\n    s3cr3t\r\n  b: 1", "a:\n  token: >-\r\n    [REDACTED]\r\n  b: 1"),
+        ('password: "s3cr3t one\n  s3cr3t two"\nuser: bob', 'password: "[REDACTED]\n"\nuser: bob'),
+        ("secret='s3cr3t\nit''s s3cr3t'\nuser: bob", "secret='[REDACTED]\n'\nuser: bob"),
+        ("password: s3cr3t of several words # why\nuser: bob", "password: [REDACTED] # why\nuser: bob"),
+        ("{password: s3cr3t two words, user: bob}", "{password: [REDACTED], user: bob}"),
+        (r'body={\"password\": \"s3cr3t, and more\"} end', r'body={\"password\": \"[REDACTED]\"} end'),
+        ("don't: password: 's3cr3t one'", "don't: password: '[REDACTED]'"),
+        ('password: "s3cr3t never closed', 'password: "[REDACTED]'),
+        ("password: ${{ secrets.A }}\ntoken: |\n  $TOKEN\n", "password: ${{ secrets.A }}\ntoken: |\n  $TOKEN\n"),
+    ],
+)
+def test_redaction_of_blocks_and_lines(raw, want):
+    assert redact.redact(raw) == (want, int(raw != want)) and redact.redact(want) == (want, 0)
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 7, 12, 15, 16, 17])
+def test_redaction_of_nested_strings(depth):
+    text, n = redact.redact(nested(depth))
+    assert "s3cr3t" not in text and n == 1 and redact.redact(text) == (text, 0)
+    inner = json.loads(text)
+    while "body" in inner and inner["body"].startswith("{"):
+        inner = json.loads(inner["body"])
+    assert inner == {"password": redact.MARK} if depth < 16 else inner == {"body": redact.MARK}
+
+
 def test_redact_column(spark):
     got = spark.createDataFrame([(x,) for x in [*SECRETS, None, "nothing here"]], "t string").select(redact.redact_column(F.col("t")).alias("r")).collect()
     assert [r.r.replacements for r in got] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 0] and got[-1].r.content == "nothing here"
