@@ -321,6 +321,22 @@ def test_fingerprint_links_in_full_buckets(spark, monkeypatch):
     assert {x: got.get(x, x) for x in prints} == label
 
 
+@pytest.mark.parametrize("bits", [0, 1])
+def test_fingerprint_links_of_fewer_bits_in_full_buckets(spark, monkeypatch, bits):
+    monkeypatch.setattr(simhash, "PAIRWISE", 1)
+    # b and c are one bit apart; x, two bits from c, and y, two bits from b, are smaller than both
+    b, c = 0b1100 << 10, 0b1101 << 10
+    prints = {b, c, b ^ (1 << 13), c ^ (1 << 12), b ^ (0b11 << 30), c ^ (0b111 << 35)}
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    from tracewell.llm.components import connected_components
+
+    got = {r.node: r.component for r in connected_components(simhash.fingerprint_links(df, bits)).collect()}
+    label = {x: x for x in prints}
+    for _ in prints:
+        label = {x: min(label[y] for y in prints if (x ^ y).bit_count() <= bits) for x in prints}
+    assert {x: got.get(x, x) for x in prints} == label
+
+
 def brute_pipeline(rows):
     keep = {}
     for i, print_, component in brute_groups(rows):

@@ -92,7 +92,12 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks])
     points = members.where(F.col("n") > PAIRWISE).select("c", "key", "fp", F.explode(F.element_at(flips, F.col("c") + 1)).alias("flip"))
     at = points.groupBy("c", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("point")).agg(F.collect_set("fp").alias("all")).where(F.size("all") > 1)
-    stars = at.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where((F.col("a") < F.col("b")) & near("a", "b"))
+    if max_bits < 2:  # two members at a point may be two bits apart, the point itself is one bit from each
+        stars = at.where(F.array_contains("all", F.col("point"))).select(F.col("point").alias("x"), F.explode("all").alias("y"))
+        stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    else:
+        stars = at.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
+    stars = stars.where((F.col("a") < F.col("b")) & near("a", "b"))
     return pairs.unionByName(stars).distinct()
 
 
