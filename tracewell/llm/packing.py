@@ -3,7 +3,8 @@
 Where a piece goes depends on its length alone, so the search runs on the histogram of lengths: a
 bin is the tuple of its lengths and stands for as many bins as have the same contents. However many
 pieces there are, the driver sees one count for each length and moves whole stacks of bins at once.
-Pieces are then numbered within their length, in parallel, and a piece's number tells its place.
+Pieces are numbered within their length by the tasks that cut them, without a shuffle of pieces, and
+a piece's number tells its place.
 """
 
 from __future__ import annotations
@@ -20,26 +21,35 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import small, staged
 
 CAPACITY, END = 1024, 2
-#: Hash buckets in which the pieces of one length are numbered.
-BUCKETS = 32
+#: Rows (24 bytes each) up to which the tasks' first numbers are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 #: Fixed value: how byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TEXT_BYTES = 2 << 20
 
 
+def ranked(vocab: dict[str, int], merges: list, special: set[str], letters: set[str]) -> bool:
+    """Whether every token is a letter or the result of one merge, and later merges have larger ids."""
+    made = ["".join(x.split(" ") if isinstance(x, str) else x) for x in merges]
+    ids = [vocab.get(x, -1) for x in made]
+    ascending = all(a < b for a, b in zip(ids, ids[1:])) and max((vocab.get(x, -1) for x in letters), default=-1) < min(ids, default=1 << 62)
+    return ascending and -1 not in ids and set(vocab) - special == set(made) | letters
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """A function from a text to its token ids, as the tokenizers library gives them for ``path``.
 
-    The vocabulary's ids are its merge ranks, so a tiktoken encoding of the same vocabulary gives
+    Where the vocabulary's ids are its merge ranks, a tiktoken encoding of the same vocabulary gives
     the same ids several times as fast; texts that hold a special token, or that it can't take, go
-    to the tokenizers library itself.
+    to the tokenizers library itself, as do all texts if ids and merges do not agree.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -51,6 +61,8 @@ def tokenizer(path: str):
     printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    if not ranked(said["model"]["vocab"], said["model"]["merges"], set(special), set(byte)):
+        return lambda text: exact.encode(text, add_special_tokens=False).ids
     ranks = {bytes(byte[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("byte_level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
@@ -58,24 +70,25 @@ def tokenizer(path: str):
         if not any(x in text for x in special):
             try:
                 return fast.encode_ordinary(text)
-            except BaseException as error:  # noqa: BLE001  the native library raises its panics as such
-                if isinstance(error, (KeyboardInterrupt, SystemExit)):
+            except BaseException as error:  # noqa: BLE001  a panic of the native library is no Exception
+                if type(error).__name__ != "PanicException":
                     raise
         return exact.encode(text, add_special_tokens=False).ids
 
     return encode
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>, part int, number long"
 
 
 def _cut(path: str, capacity: int, end: int, keep_ids: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode, part = tokenizer(path), TaskContext.get().partitionId()
+        seen: Counter = Counter()
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
             batch = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in _PIECES.split(", ")])
             rows.clear()
             return batch
@@ -86,7 +99,8 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
                 at, n = 0, len(ids) % capacity or min(len(ids), capacity)
                 for piece in range(-(-len(ids) // capacity)):
                     own = ids[at : at + n]
-                    rows.append((doc, piece, at, n, zlib.crc32(own.tobytes()), own.astype(np.int32) if keep_ids else None))
+                    rows.append((doc, piece, at, n, zlib.crc32(own.tobytes()), own.astype(np.int32) if keep_ids else None, part, seen[n]))
+                    seen[n] += 1
                     at, n = at + n, capacity
                 if len(rows) >= 4096:
                     yield out()
@@ -97,13 +111,16 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
 
 
 def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of each piece of each document.
+    """(doc_id, piece, start, length, ids_crc32, ids, part, number) of each piece of each document.
 
     A document is its text's token ids and then ``end``; a null text counts as empty. One longer
     than ``capacity`` is cut into pieces of that length, of which the first may be shorter. ids is
-    null unless ``keep_ids``. ``path`` is the tokenizer's file, the same on all executors.
+    null unless ``keep_ids``. ``number`` counts the pieces of a length from 0 within the task
+    ``part`` that cut them: both hold for one run of the job, so the table is to be written before
+    it is packed. A null id stays null, repeated rows are documents of their own, an empty table
+    gives no rows, and other columns are not read. ``path`` is the tokenizer's file, the same on all
+    executors.
     """
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_cut(path, capacity, end, keep_ids), _PIECES)
 
@@ -291,34 +308,39 @@ class Plan:
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, length and more) with sequence_id and offset, in as few sequences as the search finds.
+    """``pieces``, as ``cut_documents`` makes them, with sequence_id and offset, in as few sequences as the search finds.
 
     Places within a sequence have no gaps. Equal pieces are told apart by number, so repeated rows
     all find a place. An empty table gives no rows. Only counts by length reach the driver, at most
-    ``capacity`` of them; the plan that goes back is as long as the stacks are varied. ``pieces`` is
-    read twice, so it should be a written table.
+    ``capacity`` of them; the plan that goes back is as long as the stacks are varied. Pieces stay
+    where they are: a task's first number for each length, a running sum over tasks, is joined to
+    them, so no length is a hot key however many pieces have it. ``pieces`` is read three times and
+    its numbers are made as it is written, so it has to be a written table.
     """
     spark = pieces.sparkSession
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = Plan(local_search(first_fit(counts, capacity), capacity))
     shared = spark.sparkContext.broadcast(plan)
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int").alias("__tw_b")
-    sizes = pieces.groupBy("length", bucket).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__tw_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "__tw_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_before"))
-    within = Window.partitionBy("length", "__tw_b").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = pieces.withColumn("__tw_b", bucket).withColumn("__tw_n", F.row_number().over(within)).join(F.broadcast(offsets), ["length", "__tw_b"])
+    sizes = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = staged(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_first")), "firsts")
+    numbered = pieces.join(small(firsts, BROADCAST_ROWS), ["length", "part"])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
         ids, at = shared.value.places(length.to_numpy(np.int64), number.to_numpy(np.int64))
         return pd.DataFrame({"sequence_id": ids, "offset": at})
 
-    placed = numbered.withColumn("__tw_p", place("length", (F.col("__tw_before") + F.col("__tw_n") - 1).cast("long")))
-    return placed.select(*pieces.columns, "__tw_p.sequence_id", "__tw_p.offset")
+    placed = numbered.withColumn("__tw_p", place("length", (F.col("__tw_first") + F.col("number")).cast("long")))
+    own = [c for c in pieces.columns if c not in ("part", "number")]
+    return placed.select(*own, "__tw_p.sequence_id", "__tw_p.offset")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """``cut_documents`` and ``pack``: one row a piece, with its sequence and its place there."""
+    """``cut_documents`` and ``pack``: one row a piece, with its sequence and its place there.
+
+    Null and empty texts are one piece of the end token; null ids, repeated rows, an empty table and
+    other columns as in ``cut_documents``.
+    """
     pieces = staged(cut_documents(docs, path, id_col, text_col, capacity=capacity, end=end, keep_ids=keep_ids), "pieces")
     return pack(pieces, capacity=capacity)
