@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import values
 
 #: White space as the tokenizer's patterns know it, and its words.
 BLANK = "\t-\r \x85\xa0  -     　"
@@ -138,8 +138,8 @@ def _task(path: str):
         for batch in batches:
             held: tuple[list, list, list, list] = ([], [], [], [])
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                parts = bpe.parts(text := text.as_py() or "")
+            for doc, text in zip(values(batch.column(0)), values(batch.column(1))):
+                parts = bpe.parts(text := text or "")
                 ids = b"".join([x[0] for x in parts])
                 for into, value in zip(held, (doc, len(ids) // 4, ids, " ".join([x[1] for x in parts]))):
                     into.append(value)
@@ -161,6 +161,5 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     all executors. Workers remember a bounded number of words. An empty table gives no rows. Other
     columns are not read, whatever their names.
     """
-    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_task(path), "doc_id long, ids array<int>, decoded string")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +17,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the session has it.
 
-    Only where neither the setting nor a checkpoint folder exists (a local test session) a
-    temporary folder is made and set.
+    Where neither the setting nor a checkpoint folder exists, a temporary folder is made and set if
+    the master is local; on a cluster, where executors would not see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -30,19 +33,39 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here.
 
-    A lost executor then costs no more than the tasks that were running on it. The tables stay
-    until the folder is emptied, as the frames returned to callers read them lazily.
+    A lost executor then costs no more than the tasks that were running on it. Tables that a returned
+    frame reads stay until the folder is emptied; ``released`` takes away those of finished rounds.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._tracewell_path = path
+    return written
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Have texts sent to Python a thousand rows at a time instead of ten thousand, unless the session chose otherwise."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+def released(*frames: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``frames``, which nothing is to read again."""
+    for frame in frames:
+        spark, path = frame.sparkSession, frame._tracewell_path
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows that are turned into Python objects at a time; Spark bounds an Arrow batch in bytes, not in what Python makes of it.
+ROWS = 1000
+
+
+def values(column: pa.Array) -> Iterator:
+    """The values of an Arrow array as Python objects, ROWS at a time."""
+    for at in range(0, len(column), ROWS):
+        yield from column.slice(at, ROWS).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     the larger ones, then the smaller ones, so paths shrink at each round and a star remains. No
     neighbour list is ever gathered: minima are aggregated map-side and joined back, so a node with
     a third of all links is a skewed join that adaptive execution splits, not a group in one task.
-    Each round is written to the shared folder; nothing but two numbers a round reaches the driver.
+    Each round is written to the shared folder and the one before it deleted; nothing but two
+    numbers a round reaches the driver. An empty table gives no rows.
     """
     now = staged(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -34,6 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = staged(small.select("e.*").where("u > v").distinct(), "links")
+        after = staged(small.select("e.*").where("u > v").distinct(), "links")
+        released(now)
+        now = after
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

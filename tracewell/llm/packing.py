@@ -19,13 +19,12 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import small, staged, values
 
 CAPACITY, END = 1024, 2
 #: Rows (24 bytes each) up to which the tasks' first numbers are broadcast; beyond it they are joined by a shuffle.
@@ -94,8 +93,8 @@ def _cut(path: str, capacity: int, end: int, keep_ids: bool):
             return batch
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end], "<u4")
+            for doc, text in zip(values(batch.column(0)), values(batch.column(1))):
+                ids = np.array([*encode(text or ""), end], "<u4")
                 at, n = 0, len(ids) % capacity or min(len(ids), capacity)
                 for piece in range(-(-len(ids) // capacity)):
                     own = ids[at : at + n]
@@ -326,10 +325,10 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     firsts = staged(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_first")), "firsts")
     numbered = pieces.join(small(firsts, BROADCAST_ROWS), ["length", "part"])
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, number: pd.Series) -> pd.DataFrame:
-        ids, at = shared.value.places(length.to_numpy(np.int64), number.to_numpy(np.int64))
-        return pd.DataFrame({"sequence_id": ids, "offset": at})
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(length: pa.Array, number: pa.Array) -> pa.Array:
+        ids, at = shared.value.places(np.asarray(length), np.asarray(number))
+        return pa.StructArray.from_arrays([pa.array(ids), pa.array(at)], ["sequence_id", "offset"])
 
     placed = numbered.withColumn("__tw_p", place("length", (F.col("__tw_first") + F.col("number")).cast("long")))
     own = [c for c in pieces.columns if c not in ("part", "number")]

@@ -5,12 +5,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, small, staged
+from .common import released, small, staged, values
 from .components import connected_components
 
 #: Hashes that are turned into bits at a time, so a text of any length needs bounded memory.
@@ -47,9 +47,9 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
 def simhash_column(text, shingle: int = 3):
     """``simhash64`` over a text column, as a signed long; null texts count as empty."""
 
-    @F.pandas_udf("long")
-    def fingerprints(batches: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash64(x, shingle) for x in batches], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash64(x, shingle) for x in values(texts)], np.uint64).view(np.int64))
 
     return fingerprints(text)
 
@@ -103,7 +103,6 @@ def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, fp) as written, and for each distinct fp its smallest id and its component's label."""
-    bounded_batches(docs.sparkSession)
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), simhash_column(F.col(text_col), shingle).alias("fp")), "simhash")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     found = connected_components(fingerprint_links(prints.select("fp"), max_bits))

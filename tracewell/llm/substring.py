@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, partitions, staged
+from .common import partitions, slices, staged
 
 LOG_CELLS, LOG_BLOCK, DEPTH = 28, 20, 2
 #: Windows, candidates and bytes of text handled at a time.
-FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 22, 1 << 20, 1 << 20
+FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 21, 1 << 19, 1 << 20
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -107,7 +107,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids and texts, about PIECE bytes at a time, without rows that have no id."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), _bytes(batch.column(1))
         at = size = 0
         for i, text in enumerate(texts):
@@ -335,7 +335,7 @@ def _apply(window: int, id_at: int, text_at: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs, marks = None, [], None
-        for batch in batches:
+        for batch in slices(batches):
             docs = pa.array([x == 2 for x in batch.column("kind").to_pylist()])
             spans, n_words, n_gone, kept = [], [], [], []
             ids, texts = batch.column("doc").field(id_at).to_pylist(), _bytes(batch.column("doc").field(text_at))
@@ -391,7 +391,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``doc``. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     count = partitions(spark)
     buckets = 4 * count
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
