@@ -8,15 +8,17 @@ is cut into windows end to end, none is left out, and their probabilities are av
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import values
 
 WINDOW, DIM, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 #: The bound of the training sample: documents of each language, windows of each document, characters of each window.
@@ -137,6 +139,36 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 5 == 0, F.lit(True))
 
 
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
+    """(language, windows) of the sample that ``fit`` describes, ordered.
+
+    Languages are counted without reading a text. One pass then takes from each language the
+    documents whose hash lies below a bound that about four times the sample passes, and ranks
+    those few; a language that came short of its sample has its bound lifted in a further pass.
+    """
+    text, id_ = F.col(text_col), F.col(id_col)
+    named = docs.where(~held_out(id_) & F.col(lang_col).isNotNull()).withColumn("__tw_l", F.col(lang_col).cast("string"))
+    sizes = {r[0]: r[1] for r in named.groupBy("__tw_l").agg(F.count("*")).collect()}
+    slot = lambda k: F.pmod(F.xxhash64(id_, F.lit(k)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    cut = F.array_distinct(F.array(*[F.substring(text, slot(k), F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_WINDOWS)]))
+    usable = named.where(F.length(F.trim(text)) > 0)
+    rank = Window.partitionBy("l").orderBy("o", "w")
+
+    def first(languages: dict[str, int]) -> list[tuple[str, list[str]]]:
+        if not languages:
+            return []
+        bounds = F.broadcast(docs.sparkSession.createDataFrame(list(languages.items()), "__tw_k string, __tw_top long"))
+        low = usable.join(bounds, F.col("__tw_l") == F.col("__tw_k")).where(F.xxhash64(id_) <= F.col("__tw_top"))
+        few = low.select(F.col("__tw_l").alias("l"), F.xxhash64(id_).alias("o"), cut.alias("w"))
+        return [(r.l, r.w) for r in few.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= SAMPLE_DOCS).orderBy("l", "n").collect()]
+
+    share = {k: min(1.0, 4 * SAMPLE_DOCS / n) for k, n in sizes.items()}
+    found = first({k: int(x * (2**64 - 2**11)) - 2**63 if x < 1 else 2**63 - 1 for k, x in share.items()})
+    have = Counter(k for k, _ in found)
+    short = {k for k, x in share.items() if x < 1 and have[k] < SAMPLE_DOCS}
+    return sorted([x for x in found if x[0] not in short] + first(dict.fromkeys(sorted(short), 2**63 - 1)), key=lambda x: x[0])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the languages in ``lang_col`` of the documents that are not held out.
 
@@ -145,46 +177,39 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     each language reaches the driver. Null and blank texts and null languages teach nothing;
     without any language the model knows none and calls every text UNKNOWN.
     """
-    text, id_ = F.col(text_col), F.col(id_col)
-    usable = docs.where(~held_out(id_) & F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0))
-    sizes = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col).cast("string").alias("l")).agg(F.count("*")).collect()}
-    labels = sorted(sizes)
-    slot = lambda k: F.pmod(F.xxhash64(id_, F.lit(k)), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
-    cut = F.array_distinct(F.array(*[F.substring(text, slot(k), F.lit(SAMPLE_CHARS)) for k in range(SAMPLE_WINDOWS)]))
-    rows, target = [], []
-    for k, label in enumerate(labels):
-        own = usable.where(F.col(lang_col).cast("string") == label).select(F.xxhash64(id_).alias("o"), cut.alias("w"))
-        share = min(1.0, 4 * SAMPLE_DOCS / sizes[label])  # of all hashes; enough for the sample, so few rows are sorted
-        first = own.where(F.col("o") <= int(share * (2**64 - 2**11)) - 2**63).orderBy("o", "w").limit(SAMPLE_DOCS).collect()
-        if len(first) < min(SAMPLE_DOCS, sizes[label]):
-            first = own.orderBy("o", "w").limit(SAMPLE_DOCS).collect()
-        for found in first:
-            for window in found["w"]:
-                rows.append(windows_of(window.encode("utf-8", "replace")[:WINDOW]))
-                target.append(k)
-    if not rows:
+    found = _sample(docs, id_col, text_col, lang_col)
+    labels = sorted({k for k, _ in found})
+    place = {k: i for i, k in enumerate(labels)}
+    pairs = [(windows_of(w.encode("utf-8", "replace")[:WINDOW]), place[k]) for k, own in found for w in own]
+    if not pairs:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
-    return train(np.frombuffer(b"".join(rows), np.uint8).reshape(-1, WINDOW), np.array(target), labels)
+    return train(np.frombuffer(b"".join(x for x, _ in pairs), np.uint8).reshape(-1, WINDOW), np.array([k for _, k in pairs]), labels)
 
 
 def predict(spark, model: Model, text: Column) -> Column:
     """A struct (lang, score) for a text column; only the text is looked at."""
-    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def languages(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double")
+    def languages(texts: pa.Array) -> pa.Array:
         labels: list[str] = []
         scores: list[float] = []
-        held, size = [], 0
-        for x in [*texts, ""]:
+        held: list[str | None] = []
+        size = 0
+
+        def judge() -> None:
+            for into, told in zip((labels, scores), shared.value.texts(held)):
+                into += told
+            held.clear()
+
+        for x in values(texts):
             held.append(x)
             size += len(x or "")
             if size >= 1 << 20:
-                a, b = shared.value.texts(held)
-                labels, scores, held, size = labels + a, scores + b, [], 0
-        a, b = shared.value.texts(held)
-        return pd.DataFrame({"lang": (labels + a)[:-1], "score": (scores + b)[:-1]})
+                judge()
+                size = 0
+        judge()
+        return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return languages(text)
 
@@ -202,7 +227,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return told.select("doc", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is recognized with a score of ``least`` or more, as they were."""
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, languages: Iterable[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they were, whose text is recognized as one of ``languages`` (None: any learned one).
+
+    A score of ``least`` is required: by default that the language is likelier than all others
+    together. Null texts and texts without a letter go, whatever ``lang_col`` says; a text in none of
+    the learned languages goes if the network finds none of them likely. Repeated rows are judged
+    alike, null ids too. Where no language can be learned, or the table is empty, no row stays.
+    """
     found = identify(docs, id_col, text_col, lang_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc.*")
+    named = F.lit(True) if languages is None else F.col("lang_pred").isin(*languages)
+    return found.where((F.col("lang_pred") != UNKNOWN) & named & (F.col("score") >= least)).select("doc.*")
