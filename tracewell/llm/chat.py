@@ -5,11 +5,13 @@ texts and roles ``<`` followed by any number of backslashes and ``|`` gets one b
 no text can hold a marker, and taking one away gives the text back.
 
 Windows follow from prefix sums of turn tokens, without a pass from turn to turn: a conversation's
-token line is ruled into stretches of half the room that the budget leaves; turns that start in one
-stretch share a window, and a turn longer than a stretch has one of its own. So a window keeps to
-the budget unless a single turn does not fit. Each window but the first repeats the system turn
-and the turns of the last HISTORY tokens before it; only its own assistant turns are under the loss
-mask.
+token line is ruled into stretches. The room of a conversation is what the budget leaves beside its
+system turn and the history; a turn of more than half the room has a window of its own, and a
+stretch is the room less the longest of the others, so the turns that start in one stretch fit into
+a window. Each window but the first repeats the system turn, then the turns of the last HISTORY
+tokens before it as far as the budget goes; only its own assistant turns are under the loss mask. A
+window exceeds its budget only if it is a single turn that does. Where a turn fits, but not beside
+the system turn, its window does without the system turn.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, staged
+from .common import partitions, slices, staged, values
 from .packing import tokenizer
 
 BUDGET, HISTORY = 2048, 256
@@ -49,10 +50,10 @@ def _role_back(role: str) -> str:
 
 
 def _tokens(path: str):
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
         encode = tokenizer(path)
-        return texts.map(lambda x: len(encode(x)))
+        return pa.array([len(encode(x)) for x in values(texts)], pa.int64())
 
     return count
 
@@ -78,11 +79,10 @@ def format_conversations(rows: DataFrame, path: str, *, budget: int = BUDGET, hi
 
     Turns go by number; equal numbers by role and a hash of the text, a null number comes first. A null role or
     text counts as empty. Rows without a conversation form one conversation, named null. Only a
-    conversation's first turn, if its role is ``system``, is repeated. Repeated rows are turns of
-    their own. ``path`` is the file of the tokenizer that tokens are counted by. Columns beyond the
+    conversation's first turn, if its role is ``system``, is repeated, in each window that it fits
+    into beside the window's own turns. Repeated rows are turns of their own. ``path`` is the file of the tokenizer that tokens are counted by. Columns beyond the
     four are not read. An empty table gives no rows.
     """
-    bounded_batches(rows.sparkSession)
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -94,20 +94,24 @@ def format_conversations(rows: DataFrame, path: str, *, budget: int = BUDGET, hi
     turns = whole.drop("piece")
     system = turns.where("number = 0 and role = 'system'").select(F.col("conv_id").alias("s_conv"), F.col("n").alias("s_n"))
     turns = turns.join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").drop("s_conv")
-    stretch = F.expr(f"greatest({budget} - {history} - coalesce(s_n, 0), {budget} div 4) div 2")
-    turns = turns.withColumn("stretch", stretch).withColumn("long", (F.col("n") > F.col("stretch")).cast("long"))
+    free = f"greatest({budget} - coalesce(s_n, 0), 0)"
+    turns = turns.withColumn("room", F.expr(f"{free} - least({history}, {free} div 4)")).withColumn("long", F.expr("cast(n > room div 2 as long)"))
+    longest = turns.where("long = 0").groupBy(F.col("conv_id").alias("l_conv")).agg(F.max("n").alias("l_n"))
+    turns = turns.join(longest, F.col("conv_id").eqNullSafe(F.col("l_conv")), "left").drop("l_conv")
+    turns = turns.withColumn("stretch", F.expr("greatest(room - coalesce(l_n, 0), 1)"))
     key = ["conv_id", "at", "longs", "long"]
     turns = staged(_summed(turns, {"long": "longs"}).withColumn("at", F.expr("before div stretch")), "turns")
     fresh = turns.select(*key, F.lit(2).alias("kind"), "number", "role", "head_chars", "body_chars", "n")
-    windows = turns.groupBy(*key).agg(F.min("before").alias("from"), F.min("number").alias("first"), F.max("s_n").alias("s_n"))
-    later = windows.where("first > 0")
+    windows = turns.groupBy(*key).agg(F.min("before").alias("from"), F.min("number").alias("first"), F.max("s_n").alias("s_n"), F.sum("n").alias("own"))
+    later = windows.where("first > 0").withColumn("s_n", F.expr(f"if(own + s_n <= {budget}, s_n, null)"))
+    later = later.withColumn("back", F.expr(f"greatest(least({history}, {budget} - own - coalesce(s_n, 0)), 0)"))
     none = [F.lit("").alias("role"), F.lit(0).alias("head_chars"), F.lit(0).alias("body_chars")]
     again = later.where("s_n is not null").select(*key, F.lit(0).alias("kind"), F.lit(0).cast("long").alias("number"), *none, F.col("s_n").alias("n"))
-    cells = F.array_distinct(F.array(F.expr(f"greatest(`from` - {history}, 0) div {history}"), F.expr(f"(`from` - 1) div {history}")))
-    wanted = later.select(*[F.col(c).alias(f"w_{c}") for c in key], "from", F.explode(cells).alias("w_cell"))
+    cells = F.array_distinct(F.array(F.expr(f"greatest(`from` - back, 0) div {history}"), F.expr(f"(`from` - 1) div {history}")))
+    wanted = later.where("back > 0").select(*[F.col(c).alias(f"w_{c}") for c in key], "from", "back", F.explode(cells).alias("w_cell"))
     past = turns.where("not (number = 0 and role = 'system')").select("conv_id", "before", "number", "n", F.expr(f"before div {history}").alias("cell"))
     recent = past.join(wanted, F.col("conv_id").eqNullSafe(F.col("w_conv_id")) & (F.col("cell") == F.col("w_cell")))
-    recent = recent.where(f"before >= `from` - {history} and before + n <= `from`").select(*[F.col(f"w_{c}").alias(c) for c in key], F.lit(1).alias("kind"), "number", *none, "n")
+    recent = recent.where("before >= `from` - back and before + n <= `from`").select(*[F.col(f"w_{c}").alias(c) for c in key], F.lit(1).alias("kind"), "number", *none, "n")
     parts = fresh.unionByName(again).unionByName(recent)
     texts = whole.select(F.col("conv_id").alias("p_conv"), F.col("number").alias("p_number"), "piece")
     parts = parts.join(texts, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("number") == F.col("p_number")))
@@ -152,7 +156,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> tuple:
         return now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
-    for batch in batches:
+    for batch in slices(batches):
         for conv, text, spans, at in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "spans", "fresh_from"))):
             if state is None or conv != now:
                 if state is not None:
