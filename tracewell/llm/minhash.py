@@ -10,6 +10,7 @@ draw made at once instead of by repeated tries). Of each bin the lowest BITS bit
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,42 +92,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), fair)))
 
 
-def _ranges(docs: DataFrame, id_col: str) -> tuple[list[int], int | None, bool]:
-    """Ids that begin a range (ascending, each one a document's), the least id, whether any id is null."""
+def _key(hash_: Column) -> Column:
+    """Rows in order: null ids first, then by id, equal ids by the hash of their text."""
+    return F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), hash_.alias("h"))
+
+
+def _ranges(docs: DataFrame) -> tuple[list[int], dict[int | None, int]]:
+    """Ids that begin a range, ascending, and into how many parts an id (None: no id) is split that fills whole ranges alone."""
     ranges = max(RANGES, partitions(docs.sparkSession))
-    found = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)), F.min(id_col), F.count_if(F.col(id_col).isNull())).first()
-    least = found[1]
-    return sorted({x for x in found[0] or [] if x > least}), least, found[2] > 0
+    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges)), F.count("*"), F.count("doc_id")).first()
+    often = Counter(found[0] or [])
+    parts: dict[int | None, int] = {x: n for x, n in often.items() if n > 1}
+    if nulls := found[1] - found[2]:
+        parts[None] = max(1, ranges * nulls // found[1])
+    return sorted(often), parts
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Window]:
-    """``docs`` as (doc_id, text, next_text, ghost, part) and the window that orders them.
-
-    The next document is that with the next larger id (equal ids: by text), after the last the
-    first; null ids come first. Rows are dealt by range of ids, so no task sees all of them; the
-    row that begins a range is sent to the range before it as well, as a ghost at its end, and the
-    first row of all to the last range. Ghosts are to be dropped once the window has been used.
+    """``docs`` as (doc_id, text, next_text, ghost, part, sub) and the window that orders them.
+
+    The next document is that with the next larger id (equal ids: by the XXH64 of the text), after
+    the last the first; null ids come first. Rows are dealt by range of ids, so no task sees all of
+    them; null ids and an id that fills whole ranges alone are dealt further by the hash, so only
+    copies of one row share a task. The row that begins a part goes to the part before it as well, as
+    a ghost at its end, and the first row of all to the last part: one ghost a part, found by its
+    key. Ghosts are to be dropped once the window has been used. The driver sees a few numbers a part.
     """
-    starts, least, nulls = _ranges(docs, id_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_, last = F.col("doc_id"), len(starts)
-    step = math.isqrt(last) + 1
+    starts, split = _ranges(docs)
+    id_, hash_ = F.col("doc_id"), F.xxhash64("text")
+    step = math.isqrt(len(starts)) + 1
     inner = F.lit(starts) if starts else F.array().cast("array<bigint>")
     upto = lambda a: F.size(F.filter(a, lambda x: x <= id_))
     coarse = F.lit(starts[::step]) if starts else inner
     docs = docs.withColumn("__tw_c", F.when(id_.isNull(), 0).otherwise(upto(coarse)))
     block = (F.greatest(F.col("__tw_c"), F.lit(1)) - 1) * step
-    docs = docs.withColumn("__tw_part", F.when(F.col("__tw_c") == 0, 0).otherwise(block + upto(F.slice(inner, block + 1, step))))
-    part = F.col("__tw_part")
-    first = id_.isNull() if nulls else id_ == F.lit(least)
-    starting = F.get(inner, part - 1) == id_
-    ghosts = F.concat(
-        F.when(starting, F.array(part - 1)).otherwise(F.array().cast("array<int>")),
-        F.when(first, F.array(F.lit(last))).otherwise(F.array().cast("array<int>")),
-    )
-    places = F.concat(F.array(F.struct(part.alias("part"), F.lit(0).alias("ghost"))), F.transform(F.coalesce(ghosts, F.array().cast("array<int>")), lambda p: F.struct(p.alias("part"), F.lit(1).alias("ghost"))))
-    dealt = docs.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.part", "p.ghost")
-    order = Window.partitionBy("part").orderBy("ghost", "doc_id", "text")
+    docs = docs.withColumn("part", F.when(id_.isNull(), -1).when(F.col("__tw_c") == 0, 0).otherwise(block + upto(F.slice(inner, block + 1, step))))
+    parts = F.when(id_.isNull(), split.get(None, 1))
+    if heavy := {k: n for k, n in split.items() if k is not None}:
+        parts = parts.otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kn in heavy.items() for x in kn]), id_), F.lit(1)))
+    # a heavy id begins a range; what follows it there comes after all its parts
+    top = F.shiftrightunsigned(hash_.bitwiseXOR(F.lit(-(2**63))), 33)
+    sub = F.when(parts > 1, F.shiftright(top * parts, 31).cast("int")).when(id_.isNull(), 0).otherwise(len(starts) + RANGES + partitions(docs.sparkSession))
+    docs = docs.select("doc_id", "text", "part", sub.alias("sub"))
+    firsts = docs.groupBy("part", "sub").agg(F.min(_key(hash_)).alias("k")).select("part", "sub", "k.known", "k.id", "k.h").collect()
+    firsts.sort(key=lambda r: (r.part, r.sub))
+    to = [(b.known, b.id, b.h, a.part, a.sub) for a, b in zip(firsts, [*firsts[1:], *firsts[:1]])]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(to, "known boolean, id long, h long, to_part int, to_sub int"))
+    ghosts = docs.join(wanted, (id_.isNotNull() == F.col("known")) & (F.coalesce(id_, F.lit(0)) == F.col("id")) & (hash_ == F.col("h")))
+    one = ghosts.groupBy(F.col("to_part").alias("part"), F.col("to_sub").alias("sub")).agg(F.min("text").alias("text"))
+    ghost = one.select(F.lit(None).cast("long").alias("doc_id"), "text", "part", "sub", F.lit(1).alias("ghost"))
+    dealt = docs.withColumn("ghost", F.lit(0)).unionByName(ghost)
+    order = Window.partitionBy("part", "sub").orderBy("ghost", "doc_id", hash_, "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)), order
 
 
@@ -135,13 +152,14 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     edited_text is the text with its last floor(n_chars / 2) code points replaced by the first as
     many (or all) of the next document, as ``with_next`` finds it; a single document is its own
-    next. Null texts count as empty. Repeated rows stay, next to each other. Ids are longs. An
-    empty table gives no rows. Other columns are not read, whatever their names.
+    next. Null texts count as empty and have the fingerprint ''. Repeated rows stay, next to each
+    other. Ids are longs; rows without one come first, ordered by a hash of their text. An empty
+    table gives no rows. Other columns are not read, whatever their names.
     """
     rows, order = with_next(docs, id_col, text_col)
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - int(length(text) div 2))"), F.expr("substring(next_text, 1, int(length(text) div 2))"))
-    prints = rows.select("doc_id", "part", "ghost", "text", n.cast("long").alias("n_chars"), edited.alias("edited_text"), fingerprint(F.col("text"), shingle).alias("fingerprint"))
+    prints = rows.select("doc_id", "part", "sub", "ghost", "text", n.cast("long").alias("n_chars"), edited.alias("edited_text"), fingerprint(F.col("text"), shingle).alias("fingerprint"))
     after = prints.withColumn("next_fingerprint", F.lead("fingerprint").over(order)).where("ghost = 0")
     out = after.select("doc_id", "n_chars", "edited_text", "fingerprint", "next_fingerprint", fingerprint(F.col("edited_text"), shingle).alias("edited_fingerprint"))
     return out.select(
