@@ -13,8 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash buckets in which rows are numbered; the table of their sizes is what gets broadcast.
-BUCKETS = 4096
+#: Hash buckets in which rows are numbered, at least, and rows in a bucket on average, at most; the table of bucket sizes is what gets broadcast.
+BUCKETS, BUCKET_ROWS = 4096, 1 << 20
 ROUNDS = 6
 #: The round function works modulo this prime, so products stay below 2**62.
 PRIME = 2147483647
@@ -120,10 +120,18 @@ def permuted(df: DataFrame, row: str, to: str, rows: int, seed: int) -> DataFram
     return out.select(*[f"`{c}`" for c in names], F.col(at).alias(to))
 
 
-def bucket_of(ids: Column) -> Column:
-    """A bucket below BUCKETS for each id, null ids in the first."""
-    folded = F.pmod(F.coalesce(ids.cast("long"), F.lit(0)), F.lit(PRIME))
-    return F.shiftright((folded * FACTORS[0] + F.lit(12345)) % PRIME, 8) % BUCKETS
+def buckets_for(rows: int) -> int:
+    """BUCKETS, doubled until a bucket has BUCKET_ROWS rows or fewer on average."""
+    count = BUCKETS
+    while count * BUCKET_ROWS < rows:
+        count *= 2
+    return count
+
+
+def bucket_of(ids: Column, others: list[Column], buckets: int) -> Column:
+    """A bucket below ``buckets`` for each id; a row without an id goes by a hash of its other columns."""
+    folded = F.pmod(F.coalesce(ids.cast("long"), F.xxhash64(*others) if others else F.lit(0)), F.lit(PRIME))
+    return F.shiftright((folded * FACTORS[0] + F.lit(12345)) % PRIME, 8) % buckets
 
 
 def shard(df: DataFrame, shards: int, order: list[str], *, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
@@ -132,22 +140,25 @@ def shard(df: DataFrame, shards: int, order: list[str], *, id_col: str = "doc_id
     Rows are numbered by hash bucket of the id and within a bucket by id and ``order``; numbers are
     0 to the number of rows less one. The law is `rows`: shard sizes differ by at most one and slots
     run from 0 without gaps. Repeated rows get numbers of their own (which of them gets which does
-    not matter, as they are alike); null ids share the first bucket. Columns may have any names, as
-    they stay inside ``row``. An empty table gives no rows.
+    not matter, as they are alike); rows with a null id are spread by a hash of ``order``, so that
+    they share no bucket. Columns may have any names, as they stay inside ``row``. An empty table
+    gives no rows.
 
-    One shuffle by bucket carries the rows; the sizes of the BUCKETS buckets, read from the ids
-    alone, are summed up in one small window and broadcast: at most BUCKETS rows of 16 bytes.
+    One shuffle by bucket carries the rows; the sizes of the buckets, read from the ids alone (and
+    ``order`` where an id is null), are summed up in one small window and broadcast: 16 bytes for
+    each of the ``buckets_for`` the rows, one in a million of them.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     rows = df.count()
+    buckets = buckets_for(rows)
     row = F.struct(*[f"`{c}`" for c in df.columns])
-    sizes = df.groupBy(bucket_of(F.col(id_col)).alias("__tw_b")).agg(F.count("*").alias("n"))
+    sizes = df.groupBy(bucket_of(F.col(id_col), [F.col(f"`{c}`") for c in order], buckets).alias("__tw_b")).agg(F.count("*").alias("n"))
     before = Window.orderBy("__tw_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__tw_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__tw_before"))
     keys = [F.col(f"row.`{c}`") for c in [id_col, *order]]
     within = Window.partitionBy("__tw_b").orderBy(*keys)
-    numbered = df.select(row.alias("row"), bucket_of(F.col(id_col)).alias("__tw_b")).withColumn("__tw_n", F.row_number().over(within))
+    numbered = df.select(row.alias("row"), bucket_of(F.col(id_col), [F.col(f"`{c}`") for c in order], buckets).alias("__tw_b")).withColumn("__tw_n", F.row_number().over(within))
     placed = numbered.join(F.broadcast(offsets), "__tw_b").select("row", (F.col("__tw_before") + F.col("__tw_n") - 1).alias("row_number"))
     out = permuted(placed, "row_number", "position", max(1, rows), seed)
     return out.select("row", "row_number", "position", (F.col("position") % shards).cast("int").alias("shard"), F.expr(f"position div {shards}").alias("slot"))
