@@ -14,10 +14,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, small, staged
+from .common import released, shared_dir, slices, small, staged
 
 MAGIC = b"WARC/1.0\r\n"
 #: Rows up to which a side is broadcast; beyond it the join shuffles.
@@ -98,7 +98,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     now, idx, at, run, expected = None, 0, 0, 0, None
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for value, file, size, block in zip(*(batch.column(c).to_pylist() for c in ("value", "file", "file_size", "block"))):
             if (file, block) != now:
@@ -118,7 +118,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _scan(spark: SparkSession, path: str) -> DataFrame:
-    bounded_batches(spark)
     lines = spark.read.option("lineSep", MAGIC.decode()).option("recursiveFileLookup", "true").text(path)
     return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("file_size"), F.col("_metadata.file_block_start").alias("block"))
 
@@ -138,7 +137,9 @@ def _reached(targets: DataFrame) -> DataFrame:
         moved = both.select("a.file", "a.at", F.col("b.to").alias("to"), "a.hit")
         marked = now.where("hit and to is not null").select("file", F.col("to").alias("at"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("hit"))
         merged = moved.withColumn("own", F.lit(True)).unionByName(marked.withColumn("own", F.lit(False)))
-        now = staged(merged.groupBy("file", "at").agg(F.max("to").alias("to"), F.max("hit").alias("hit"), F.max("own").alias("own")).where("own").drop("own"), "chain")
+        after = staged(merged.groupBy("file", "at").agg(F.max("to").alias("to"), F.max("hit").alias("hit"), F.max("own").alias("own")).where("own").drop("own"), "chain")
+        released(now)
+        now = after
     return now.where("hit").select("file", "at")
 
 
@@ -172,8 +173,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def _read(spark: SparkSession, path: str) -> DataFrame:
     parts = staged(_scan(spark, path).mapInArrow(_segments, _SEGMENT), "segments")
     per = parts.groupBy("file", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    earlier = per.alias("x").join(per.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("y.block") < F.col("x.block")), "left")
-    base = earlier.groupBy("x.file", "x.block").agg((F.coalesce(F.sum("y.bytes"), F.lit(0)) + len(MAGIC) * (F.coalesce(F.sum("y.n"), F.lit(0)) - 1)).alias("base"))
+    earlier = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per.select("file", "block", (earlier("bytes") + len(MAGIC) * (earlier("n") - 1)).alias("base"))
     each = parts.join(base, ["file", "block"]).select("file", "file_size", "block", "idx", "run", "alone", "size", "head", "payload_size", "payload_sha256", (F.col("at") + F.col("base")).alias("at"), (F.col("next") + F.col("base")).alias("to"))
     each = staged(each, "candidates")
     runs = each.groupBy("file", "block", "run").agg(F.max_by("to", "at").alias("exit"))
@@ -196,14 +197,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     again = _scan(spark, path).mapInArrow(_numbered, "file string, block long, idx long, value binary")
     got = again.join(small(need, BROADCAST_ROWS), ["file", "block", "idx"])
     joined = got.groupBy("file", "offset", "to", "head").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("parts"))
-    measured = joined.select("file", "offset", (F.col("to") - F.col("offset")).alias("length"), "head", F.udf(_measured, "payload_size long, payload_sha256 string")(F.col("parts.value"), F.col("to") - F.col("offset")).alias("m"))
+    measured = joined.select("file", "offset", (F.col("to") - F.col("offset")).alias("length"), "head", _measured(F.col("parts.value"), F.col("to") - F.col("offset")).alias("m"))
     return out.unionByName(staged(measured.select("file", "offset", "length", "head", "m.payload_size", "m.payload_sha256"), "joined"))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments with their number within the split, as ``_segments`` counts them."""
     now, idx = None, 0
-    for batch in batches:
+    for batch in slices(batches):
         keys, numbers = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist())), []
         for key in keys:
             idx = idx + 1 if key == now else 0
@@ -212,13 +213,22 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("file"), batch.column("block"), pa.array(numbers, pa.int64()), batch.column("value")], ["file", "block", "idx", "value"])
 
 
-def _measured(parts: list[bytes], length: int) -> tuple[int, str]:
-    """Of a record put together from its segments; fails if the splits were cut otherwise than before."""
-    record = MAGIC.join(bytes(x) for x in parts)
-    if len(record) + len(MAGIC) != length:
-        raise ValueError("the archive changed, or its splits did, between two reads")
-    body = payload_of(record)
-    return len(body), hashlib.sha256(body).hexdigest()
+def _measured(parts: Column, length: Column) -> Column:
+    """Size and SHA-256 of the payloads of records put together from their segments; fails if the splits were cut otherwise than before."""
+
+    @F.arrow_udf("payload_size long, payload_sha256 string")
+    def measured(segments: pa.Array, lengths: pa.Array) -> pa.Array:
+        sizes, digests = [], []
+        for own, n in zip(segments, lengths.to_pylist()):
+            record = MAGIC.join(own.as_py())
+            if len(record) + len(MAGIC) != n:
+                raise ValueError("the archive changed, or its splits did, between two reads")
+            body = payload_of(record)
+            sizes.append(len(body))
+            digests.append(hashlib.sha256(body).hexdigest())
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(digests, pa.string())], ["payload_size", "payload_sha256"])
+
+    return measured(parts, length)
 
 
 def field(head: Column, name: str) -> Column:
