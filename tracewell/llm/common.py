@@ -51,6 +51,16 @@ def released(*frames: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have the session send texts to Python ``rows`` rows at a time instead of ten thousand, unless it was set otherwise.
+
+    Operators change no settings; this is for the queries and jobs that own their session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(rows))
+
+
 #: Rows that are turned into Python objects at a time; Spark bounds an Arrow batch in bytes, not in what Python makes of it.
 ROWS = 1000
 

@@ -34,7 +34,7 @@ from .common import partitions, slices, staged
 
 LOG_CELLS, LOG_BLOCK, DEPTH = 28, 20, 2
 #: Windows, candidates and bytes of text handled at a time.
-FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 21, 1 << 19, 1 << 20
+FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 20, 1 << 18, 1 << 20
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
