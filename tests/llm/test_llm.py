@@ -84,6 +84,20 @@ def test_substring(docs):
     assert substring.substring_dedup(docs.limit(0)).collect() == []
 
 
+def test_substring_with_buckets_in_parts_and_a_full_sketch(docs, monkeypatch):
+    monkeypatch.setattr(substring, "GROUP_ENTRIES", 50)
+    monkeypatch.setattr(substring, "FLUSH_ENTRIES", 300)
+    monkeypatch.setattr(substring, "log_cells", lambda size: substring.LOG_BLOCK)
+    plan = substring.substring_dedup(docs)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 4
+    same(plan.select("doc.doc_id", "n_words", "n_removed", "kept_text").collect(), brute_substring(ROWS))
+    assert substring._parsed(substring._blob(np.array([4, 4, 9]), np.array([1, 1, 2], np.uint32), np.array([0, 7, 3], np.uint32)) + b"\1" * 24 + b"\2" * 12)[2].tolist() == [0, 7, 3]
+
+
+def test_sketch_follows_the_corpus():
+    assert substring.log_cells(0) == 20 and substring.log_cells(10**8) == 26 and substring.log_cells(10**14) == 28
+
+
 def test_word_hashes_follow_words():
     texts = [b"", b" a  b\n", b"a b", "é\x0bç".encode(), b"ab", b"\xe2\x80\xa8 x"]
     got, counts = substring.word_hashes(texts)

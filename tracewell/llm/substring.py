@@ -4,12 +4,14 @@ Four passes, none of which gathers a window's occurrences in one place:
 
 1. Each task hashes all windows of its texts and sends the sketch cells they fall into, sorted and
    packed; cells are merged by block of the sketch into "counted twice or more".
-2. The merged sketch, DEPTH rows of CELLS bits (a fixed 64 MB), is broadcast. Each task keeps the
+2. The merged sketch, DEPTH rows of bits (about three for each window, 64 MB at most), is broadcast. Each task keeps the
    windows whose cells are all counted twice. Of a window's occurrences within one batch only those
    in the batch's smallest document are in doubt; the others are repeats at once. The ones in doubt
    are sent by hash, so a window of a third of all documents costs one entry a batch.
 3. Entries are grouped exactly by 96 bits of two independent hashes; those of larger documents than
-   the group's smallest are repeats. Positions go to their documents' buckets.
+   the group's smallest are repeats. Positions go to their documents' buckets. Where a bucket could
+   hold more than GROUP_ENTRIES, its entries are first spread over parts within the same task, so a
+   task holds one part at a time however many windows there are.
 4. Documents meet their positions, words under a repeated window go, the rest is joined.
 
 The sketch only overestimates, so no repeated window is lost; what it lets through in vain is sorted
@@ -30,9 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, slices, staged
+from .common import partitions, released, slices, staged
 
-LOG_CELLS, LOG_BLOCK, DEPTH = 28, 20, 2
+#: Cells of a row of the sketch, as powers of two: at least one block, at most what a worker can hold.
+LOG_BLOCK, LOG_MOST, DEPTH = 20, 28, 2
+#: Bytes of text for each word, at least in prose; cells for each window; entries grouped at a time.
+WORD_BYTES, CELLS_EACH, GROUP_ENTRIES = 6, 3, 1 << 22
 #: Windows, candidates and bytes of text handled at a time.
 FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 20, 1 << 18, 1 << 20
 
@@ -86,8 +91,13 @@ def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarra
     return _mixed(one), (_mixed(two) >> U(32)).astype(np.uint32)
 
 
-def _cells(hashes: np.ndarray, row: int) -> np.ndarray:
-    return (hashes * U(_CELL[row]) >> U(64 - LOG_CELLS)).astype(np.uint32)
+def _cells(hashes: np.ndarray, row: int, log: int) -> np.ndarray:
+    return (hashes * U(_CELL[row]) >> U(64 - log)).astype(np.uint32)
+
+
+def log_cells(size: int) -> int:
+    """The sketch's size for a corpus of so many bytes."""
+    return min(LOG_MOST, max(LOG_BLOCK, (CELLS_EACH * size // WORD_BYTES).bit_length()))
 
 
 def _pack(ascending: np.ndarray) -> bytes:
@@ -126,18 +136,18 @@ def _starts(counts: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(np.arange(n) + window <= ends[:n])
 
 
-def _sketch(window: int):
+def _sketch(window: int, log: int):
     def rows(hashes: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
         for row in range(DEPTH):
-            cells = np.sort(_cells(hashes, row))
+            cells = np.sort(_cells(hashes, row, log))
             new = np.diff(cells, prepend=cells[0] ^ np.uint32(1)) != 0
             once = cells[new]
             twice = np.diff(np.append(np.flatnonzero(new), len(cells))) > 1
-            cut = np.searchsorted(once, np.arange(0, (1 << LOG_CELLS) + 1, 1 << LOG_BLOCK, dtype=np.int64))
+            cut = np.searchsorted(once, np.arange(0, (1 << log) + 1, 1 << LOG_BLOCK, dtype=np.int64))
             for block in np.flatnonzero(np.diff(cut)).tolist():
                 own, more = once[cut[block] : cut[block + 1]], twice[cut[block] : cut[block + 1]]
                 own = own & np.uint32((1 << LOG_BLOCK) - 1)
-                yield row << (LOG_CELLS - LOG_BLOCK) | block, _pack(own), _pack(own[more])
+                yield row << (log - LOG_BLOCK) | block, _pack(own), _pack(own[more])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -182,7 +192,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _entries(window: int, sketch, buckets: int):
+def _entries(window: int, sketch, buckets: int, log: int):
     """Candidates: doubtful ones by bucket of their hash (kind 0), sure repeats by document (kind 1)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +229,7 @@ def _entries(window: int, sketch, buckets: int):
             one, two = one[at], two[at]
             keep = np.arange(len(at))
             for row in range(DEPTH):
-                cell = _cells(one[keep], row)
+                cell = _cells(one[keep], row, log)
                 keep = keep[(bits[row][cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8) & 1).astype(bool)]
             if not len(keep):
                 continue
@@ -281,19 +291,54 @@ def _marks(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray, buckets: int,
         yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([_blob(ids[own], crcs[own], places[own])], pa.binary())], ["kind", "bucket", "blob"])
 
 
+def _parsed(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Ids, crcs, places and both hashes of the entries of a doubtful row."""
+    ids, crcs, places, at = _unblob(blob)
+    n = len(ids)
+    return ids, crcs, places, np.frombuffer(blob, np.uint8, 8 * n, at).view(U), np.frombuffer(blob, np.uint8, 4 * n, at + 8 * n).view(np.uint32)
+
+
+def _spread(parts: int):
+    """Rows sorted by bucket: doubtful entries of a bucket spread by their hash over so many parts; others stay in part 0."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, size = None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, crcs, places, ones, twos = (np.concatenate(x) for x in zip(*held))
+            part = (ones >> U(20)) % U(parts)
+            order = np.lexsort((places, crcs, ids, part))
+            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                own = order[cut[p] : cut[p + 1]]
+                blob = _blob(ids[own], crcs[own], places[own]) + ones[own].tobytes() + twos[own].tobytes()
+                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([p], pa.int32())], ["kind", "bucket", "blob", "part"])
+
+        for batch in slices(batches):
+            for kind, now, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+                if kind == 1:
+                    yield pa.record_batch([pa.array([1], pa.int32()), pa.array([now], pa.int32()), pa.array([blob], pa.binary()), pa.array([0], pa.int32())], ["kind", "bucket", "blob", "part"])
+                    continue
+                if held and (now != bucket or size >= FLUSH_ENTRIES):
+                    yield from out()
+                    held, size = [], 0
+                bucket = now
+                held.append(_parsed(blob))
+                size += len(held[-1][0])
+        if held:
+            yield from out()
+
+    return task
+
+
 def _group(buckets: int):
-    """Rows sorted by bucket of the hash: exact groups within a bucket, repeats by document.
+    """Rows sorted by bucket of the hash and part of it: exact groups within a part, repeats by document.
 
     Rows of kind 1 know their document already and pass.
     """
 
     def repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for blob in blobs:
-            ids, crcs, places, at = _unblob(blob)
-            n = len(ids)
-            parts.append((ids, crcs, places, np.frombuffer(blob, np.uint8, 8 * n, at).view(U), np.frombuffer(blob, np.uint8, 4 * n, at + 8 * n).view(np.uint32)))
-        ids, crcs, places, ones, twos = (np.concatenate(x) for x in zip(*parts))
+        ids, crcs, places, ones, twos = (np.concatenate(x) for x in zip(*map(_parsed, blobs)))
         order = np.lexsort((twos, ones))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(ones[order]) != 0) | (np.diff(twos[order]) != 0)
@@ -313,9 +358,10 @@ def _group(buckets: int):
         for batch in batches:
             known = batch.filter(pc.equal(batch.column("kind"), 1))
             if len(known):
-                yield known
+                yield known.select(["kind", "bucket", "blob"])
             doubtful = batch.filter(pc.equal(batch.column("kind"), 0))
-            for now, blob in zip(doubtful.column("bucket").to_pylist(), doubtful.column("blob").to_pylist()):
+            parts = doubtful.column("part").to_pylist() if "part" in batch.schema.names else [0] * len(doubtful)
+            for *now, blob in zip(doubtful.column("bucket").to_pylist(), parts, doubtful.column("blob").to_pylist()):
                 if now != bucket and blobs:
                     found.append(repeats(blobs))
                     blobs = []
@@ -394,15 +440,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count = partitions(spark)
     buckets = 4 * count
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = texts.mapInArrow(_sketch(window), "block int, once binary, twice binary")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log, parts = log_cells(size), -(-size // WORD_BYTES // (buckets * GROUP_ENTRIES)) or 1
+    packed = texts.mapInArrow(_sketch(window, log), "block int, once binary, twice binary")
     merged = packed.repartition(count, "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    sketch = np.zeros(DEPTH << (LOG_CELLS - 3), np.uint8)
-    for row in staged(merged, "sketch").toLocalIterator():  # at most DEPTH << (LOG_CELLS - LOG_BLOCK) rows of 128 KB
+    sketch = np.zeros(DEPTH << (log - 3), np.uint8)
+    blocks = staged(merged, "sketch")
+    for row in blocks.toLocalIterator():  # at most DEPTH << (log - LOG_BLOCK) rows of 128 KB
         at = row["block"] << (LOG_BLOCK - 3)
         sketch[at : at + (1 << (LOG_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
+    released(blocks)
     shared = spark.sparkContext.broadcast(sketch.tobytes())
-    sent = texts.mapInArrow(_entries(window, shared, buckets), "kind int, bucket int, blob binary")
-    marks = sent.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(_group(buckets), "kind int, bucket int, blob binary")
+    sent = texts.mapInArrow(_entries(window, shared, buckets, log), "kind int, bucket int, blob binary")
+    dealt = sent.repartition(count, "bucket").sortWithinPartitions("bucket")
+    if parts > 1:
+        dealt = dealt.mapInArrow(_spread(parts), "kind int, bucket int, blob binary, part int").sortWithinPartitions("bucket", "part")
+    marks = dealt.mapInArrow(_group(buckets), "kind int, bucket int, blob binary")
     key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")
     row = F.struct(*[f"`{c}`" for c in docs.columns])
     whole = docs.select(F.lit(2).alias("kind"), key.alias("bucket"), F.lit(None).cast("binary").alias("blob"), row.alias("doc"))
