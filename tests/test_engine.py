@@ -1,5 +1,6 @@
 """Every query against its SQL on the small tables, and the operators on rows of their own."""
 
+import hashlib
 import json
 import os
 import zipfile
@@ -97,9 +98,40 @@ def test_fingerprints_and_chunks(spark):
     got = {r.job_id: r for r in L.fingerprint_logs(df).collect()}
     assert got["0"].digest == got["1"].digest and got["0"].command == "make" and got["0"].exit_code == 2
     assert got["2"].category == "no_failure_observed"
+    odd = {r.job_id: r for r in L.fingerprint_logs(logs(spark, "$  Make ALL \nexit code 99999999999", "", None, "exit code 3\n$ exit 4\nexited with code 0")).collect()}
+    assert (odd["0"].exit_code, odd["0"].command) == (None, "Make ALL") and odd["3"].exit_code == 0
+    assert odd["1"].category == odd["2"].category == "unknown" and odd["1"].digest == odd["2"].digest
+
+
+def chunked(spark, *texts, **options):
+    return [[(c.line_start, c.line_end, c.chunk_type, c.score) for c in own] for own in (L.chunk_logs(logs(spark, t), **options).orderBy("rank").collect() for t in texts)]
+
+
+def test_chunks(spark):
     long = "\n".join(["x"] * 200 + ["ERROR: boom"] + ["y"] * 200)
-    chunks = L.chunk_logs(logs(spark, long, "calm\n" * 60)).orderBy("job_id").collect()
-    assert [(c.line_start, c.line_end, c.chunk_type) for c in chunks] == [(198, 208, "error"), (1, 40, "context")]
+    assert chunked(spark, long, "calm\n" * 60, "", "a") == [[(198, 208, "error", 0.5)], [(1, 40, "context", 0.0)], [], [(1, 1, "context", 0.0)]]
+    # the best evidence first, cut every 80 lines
+    many = "\n".join(["ERROR: boom"] * 170 + ["x"] * 20 + ["HTTP 401"])
+    assert chunked(spark, many) == [[(188, 191, "http", 0.9), (1, 80, "error", 0.5), (81, 160, "error", 0.5), (161, 177, "error", 0.5)]]
+    # line numbers stop being known, and the id says so
+    cut = "a\nERROR: b\nc\n[LOG_TRUNCATED]\nd\nERROR: e"
+    got = L.chunk_logs(logs(spark, cut)).orderBy("line_start").collect()
+    assert [(c.line_start, c.line_end) for c in got] == [(1, 3), (4, 6)]
+    digest = lambda a, b, lines: hashlib.sha256(f"{a}:{b}:{'|'.join(lines)}".encode()).hexdigest()[:16]
+    assert [c.chunk_id for c in got] == ["log-" + digest(0, 2, cut.split("\n")[:3]), "log-retained-" + digest(3, 5, cut.split("\n")[3:])]
+    # a chunk does not begin inside a fence, nor with the mark that closes it
+    fenced = "\n".join(["```", *["ERROR: example"] * 5, "```", "x", "ERROR: real"])
+    assert chunked(spark, fenced) == [[(8, 9, "error", 0.5)]]
+    # one that begins inside an upload says what came before, within 80 lines
+    upload = "\n".join(["Uploading artifacts for failed job", *["y"] * 20, *["ERROR: no files to upload"] * 90])
+    got = L.chunk_logs(logs(spark, upload)).orderBy("line_start").collect()
+    assert [(c.line_start, c.line_end, c.score) for c in got] == [(19, 96, 0.2), (97, 111, 0.2)] and all(c.chunk_id.startswith("log-retained-") for c in got)
+    assert all(c.content.split("\n")[:2] == list(L.CONTEXT) and c.content.count("\n") < 80 for c in got)
+
+
+def test_chunks_fold_once(spark):
+    plan = L.chunk_logs(logs(spark, "a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marks(") == 1 and " Join " not in plan
 
 
 def test_islands_are_idempotent(spark):
@@ -140,6 +172,13 @@ def nested(depth):
         ("secret='s3cr3t\nit''s s3cr3t'\nuser: bob", "secret='[REDACTED]\n'\nuser: bob"),
         ("password: s3cr3t of several words # why\nuser: bob", "password: [REDACTED] # why\nuser: bob"),
         ("{password: s3cr3t two words, user: bob}", "{password: [REDACTED], user: bob}"),
+        ("DB_PASS=s3cr3t", "DB_PASS=[REDACTED]"),
+        ("pwd: s3cr3t more", "pwd: [REDACTED]"),
+        ("MY_PAT=s3cr3t\nvendorPwd=s3cr3t", None),
+        ("github_pat_11S3CR3TS3CR3TS3CR3T", "[REDACTED]"),
+        ("glpat-s3cr3t", "[REDACTED]"),
+        ("https://h/k?X-Amz-Signature=s3cr3t&x=1#sig=s3cr3t", None),
+        ("openai_total_tokens=55 and path=/usr/bin, compass: north", "openai_total_tokens=55 and path=/usr/bin, compass: north"),
         (r'body={\"password\": \"s3cr3t, and more\"} end', r'body={\"password\": \"[REDACTED]\"} end'),
         ("don't: password: 's3cr3t one'", "don't: password: '[REDACTED]'"),
         ('password: "s3cr3t never closed', 'password: "[REDACTED]'),
@@ -147,7 +186,9 @@ def nested(depth):
     ],
 )
 def test_redaction_of_blocks_and_lines(raw, want):
-    assert redact.redact(raw) == (want, int(raw != want)) and redact.redact(want) == (want, 0)
+    text, n = redact.redact(raw)
+    assert "s3cr3t" not in text.lower() and redact.redact(text) == (text, 0)
+    assert (text, n) == (want, int(raw != want)) if want else n == 2
 
 
 @pytest.mark.parametrize("depth", [0, 1, 2, 3, 7, 12, 15, 16, 17])
@@ -171,13 +212,43 @@ def test_similarity_is_symmetric_and_one_with_itself(spark):
     assert got[1, 2] == got[2, 1] == (1, 4) and got[1, 1] == (3, 3)
 
 
+JOBS = [
+    ("1", "failed", None, None, "ERROR: x"), ("2", "completed", "success", None, "ERROR: x"), ("3", "success", None, None, "ok"), ("4", "failed", None, "runner_system_failure", "ERROR: x"), ("5", "failed", None, None, None),
+    ("6", "success", None, "runner_system_failure", "ok"), ("7", "success", None, None, ""), ("8", "passed", None, None, "$ make || true\nHTTP 401"), ("9", "failed", None, None, "HTTP 401\npassword=hunter2"),
+    ("10", "failed", None, None, "Number of errors - 1\nComponentName Type ErrorMessage\n"), ("11", "failed", None, None, "$ sf apex run test --wait 90\nERROR: Job failed: execution took longer than 1h0m0s seconds"), ("12", "succeeded", None, None, "ERROR: x"), (None, "failed", None, None, "x"),
+]
+
+
 def test_findings(spark):
-    df = spark.createDataFrame([("1", "failed", None, None, "ERROR: x"), ("2", "completed", "success", None, "ERROR: x"), ("3", "success", None, None, "ok"), ("4", "failed", None, "runner_system_failure", "calm"), ("5", "failed", None, None, None)], "job_id string, status string, conclusion string, failure_reason string, log string")
-    got = {r.job_id: (r.rule_id, r.severity, r.confidence) for r in D.findings(df).collect()}
-    assert got == {
-        "1": ("log.explicit_error", "error", "observed"), "2": ("log.explicit_error", "warning", "likely"), "3": ("job.no_failure_observed", "info", "observed"),
-        "4": ("runner.reported_system_failure", "error", "observed"), "5": ("job.insufficient_evidence", "warning", "unknown"),
+    df = spark.createDataFrame(JOBS, "job_id string, status string, conclusion string, failure_reason string, log string")
+    found = {r.job_id: r for r in D.findings(df, spark.createDataFrame([("12", "- ./deploy.sh ; exit 0"), ("2", "# x || true")], "job_id string, command string")).collect()}
+    assert {k: (r.rule_id, r.severity, r.confidence) for k, r in found.items()} == {
+        "1": ("log.explicit_error", "error", "unknown"), "2": ("log.explicit_error", "warning", "likely"), "3": ("job.no_failure_observed", "info", "observed"),
+        "4": ("runner.reported_system_failure", "error", "unknown"), "5": ("job.insufficient_evidence", "error", "unknown"), "6": ("job.no_failure_observed", "info", "observed"),
+        "7": ("job.no_failure_observed", "info", "unknown"), "8": ("script.failure_masked", "warning", "likely"), "9": ("auth.authentication_rejected", "error", "observed"),
+        "10": ("salesforce.validation_failed", "error", "unknown"), "11": ("runner.job_timeout", "error", "observed"), "12": ("script.failure_masked", "warning", "likely"),
     }
+    assert found["11"].title.startswith("Apex tests") and found["8"].masking == "$ make || true" and found["2"].title.startswith("In a successful job") and found["9"].line == 1
+    assert all(r.title and r.steps for r in found.values())
+
+
+def test_findings_name_their_subject(spark):
+    tables = ['Component Failures [1]\nFlow  My_Flow  Duplicate name here', 'InvalidJob : Unable to find object: Account.csv', '3 | Prod target | FAIL | AMBIGUOUS', 'Number of errors - 2\nComponentName\tType\tErrorMessage\n"A"\t"Flow"\t"not found"']
+    df = spark.createDataFrame([(str(i), "failed", None, None, t) for i, t in enumerate(tables)], "job_id string, status string, conclusion string, failure_reason string, log string")
+    assert [r.title.split(": ")[1] for r in D.findings(df).orderBy("job_id").collect()] == ["My_Flow", "Account.csv", "Prod target", "A"]
+    rows = L.component_failures(df).orderBy("job_id").collect()
+    assert [(r.job_id, r.place, r.kind, r["name"], r.problem) for r in rows] == [("0", 1, "Flow", "My_Flow", "Duplicate name here"), ("3", 1, "Flow", "A", "not found")]
+
+
+def test_diagnoses(spark):
+    got = {r.job_id: r for r in D.diagnoses(logs(spark, "HTTP 401\n" + "x\n" * 30 + "ERROR: y\n" + "x\n" * 30 + "HTTP 403\nERROR: z", "calm", "Job succeeded", "")).collect()}
+    assert got["0"].confidence == 0.96 and [c.text for c in got["0"].cited] == ["HTTP 401", "HTTP 403", "ERROR: y"]
+    assert (got["1"].confidence, got["1"].category, [c.text for c in got["1"].cited]) == (0.3, "unknown", [None]) and got["2"].confidence == 0.9 and got["3"].cited is None
+
+
+def test_classified(spark):
+    got = D.classified(spark.createDataFrame([(1, "HTTP 401"), (2, "ERROR: x"), (3, ""), (4, None)], "id long, t string"), "id", "t").collect()
+    assert sorted(map(tuple, got)) == [(1, "classified", "auth.authentication_rejected", "authentication_failure"), (2, "unknown", "log.explicit_error", "unknown"), (3, "unknown", "job.insufficient_evidence", "unknown"), (4, "unknown", "job.insufficient_evidence", "unknown")]
 
 
 def test_csv_source(spark, tmp_path):
@@ -217,7 +288,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("é" * 400, "./src/a.py"), ("x\n" * 9, "/home/u/src/b.py"), (None, "C:\\w\\c.py")], "t string, p string")
     got = df.select(X.head_tail(F.col("t"), 301).alias("h"), X.excerpt(F.col("t"), 2).alias("e"), X.source_path(F.col("p")).alias("p"), X.numbered_window(F.col("t"), 2, 2).alias("w")).collect()
     assert got[0].h.count("é") == 150 and "[LOG_TRUNCATED]" in got[0].h and "\ufffd" not in got[0].h
-    assert got[1].e == "x\nx" and got[1].w == "2: x\n3: x"
+    assert got[0].e == "é" * 400 and got[1].e == "x\nx" and got[1].w == "2: x\n3: x"
     assert [r.p for r in got] == ["src/a.py", "src/b.py", "c.py"]
 
 

@@ -1,21 +1,117 @@
-"""Lines, failure signals, evidence chunks and fingerprints of logs."""
+"""Lines, failure signals, evidence chunks and fingerprints of logs.
 
-from __future__ import annotations
+Everything here follows from one frame, ``diagnosed_lines``: each line of each log with its states
+and with what it says. What a line is (a fence, a table's header, a row) is told by patterns in the
+JVM; only the codes go to Python, where a small machine walks over them, and marks come back.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import redact
 from tracewell.functions import rules as R
 from tracewell.functions import text as X
 
-#: Failure tables, their rows and what ends them.
-TABLE_END = r"(?i)^(?:test results summary|test failures|deployment status|elapsed time|uploading artifacts|cleaning up|section_(?:start|end):|```|~~~)"
-ROW = r"^\s*([A-Za-z][A-Za-z0-9_]*)\s{2,}(\S+)\s{2,}(.+?)\s*$"
-QUOTED_ROW = r'^"([^"\t]+)"\t+"([A-Za-z][A-Za-z0-9_]*)"\t+"(.+)"\s*$'
-PENDING_LINES = 6
+#: Kinds of lines, as the machine sees them.
+TEXT, TICKS, TILDES, OMITTED, END, BLANK, NOISE, COMPONENTS, NO_COMPONENTS, COUNT, NO_COUNT, COLUMNS, ROW, QUOTED_ROW = range(14)
+#: What closes a failure table: other reports, sections and fences.
+REPORTS = r"(?i)^(?:test (?:results summary|failures)|deployment status|elapsed time|uploading artifacts|cleaning up|section_(?:start|end):)"
+#: A row is a kind, a name and a problem, in columns two blanks apart; or name, kind and problem, quoted, with tabs between.
+SPACED = r"^\s*([A-Za-z]\w*)\s{2,}(\S+)\s{2,}(.*\S)\s*$"
+TABBED = r'^"([^"\t]+)"\t+"([A-Za-z]\w*)"\t+"(.+)"\s*$'
+#: Lines between a report's count and its column header, at most.
+REACH = 6
+#: Marks: hidden in a fence; header of a table; the count of a report; a row of either table.
+HIDDEN, HEADER, REPORTED, LISTED, QUOTED = 1, 2, 3, 4, 5
+
+
+def kind_of(line: Column, noisy: Column) -> Column:
+    """The kind of a cleaned line; fences, omissions and ends count even where they are noise."""
+    is_ = lambda p: line.rlike(p)
+    typed = lambda p, g: F.lower(F.regexp_extract(line, p, g)) != "type"
+    return (
+        F.when(line.startswith("```"), TICKS).when(line.startswith("~~~"), TILDES).when(is_(X.OMISSION), OMITTED)
+        .when(is_(REPORTS) | is_(R.COMMAND), END).when(is_(r"(?i)^component failures\s*\[\s*0\s*\]$"), END)
+        .when(line == "", BLANK).when(noisy, NOISE)
+        .when(is_(r"(?i)^component failures\s*\[\s*[1-9]"), COMPONENTS).when(is_("(?i)^component failures"), NO_COMPONENTS)
+        .when(is_(r"(?i)^number of errors\s*-\s*0*[1-9]\d*\s*$"), COUNT).when(is_(r"(?i)^number of errors\s*-\s*\d+\s*$"), NO_COUNT)
+        .when(is_(r"(?i)^componentname\s+type\s+errormessage$"), COLUMNS)
+        .when(is_(TABBED) & typed(TABBED, 2), QUOTED_ROW).when(is_(SPACED) & typed(SPACED, 1), ROW).otherwise(TEXT)
+    )
+
+
+def walk(kinds: list[int]) -> list[int]:
+    """A mark for each line of a log, from the kinds of its lines in order.
+
+    Three things are remembered: which fence is open, which table (LISTED or QUOTED rows) is open and
+    whether it had a row, and where a report's count stood. Only the fence that opened closes again,
+    an omission opens everything up, and a blank line ends a table that had a row.
+    """
+    marks = [0] * len(kinds)
+    fence = table = 0
+    rows, counted = False, -REACH - 1
+    for at, kind in enumerate(kinds):
+        if kind == OMITTED:
+            fence = 0
+        elif kind in (TICKS, TILDES):
+            fence = kind if not fence else 0 if fence == kind else fence
+        elif fence:
+            marks[at] = HIDDEN
+            continue
+        if kind in (TICKS, TILDES, OMITTED, END) or kind == BLANK and rows:
+            table, rows, counted = 0, False, -REACH - 1
+        elif kind in (COMPONENTS, NO_COMPONENTS):
+            table, rows, counted = (LISTED if kind == COMPONENTS else 0), False, -REACH - 1
+            marks[at] = HEADER if kind == COMPONENTS else 0
+        elif kind in (COUNT, NO_COUNT):
+            table, rows, counted = 0, False, at if kind == COUNT else -REACH - 1
+        elif kind == COLUMNS:
+            if at - counted <= REACH:
+                table, marks[counted] = QUOTED, REPORTED
+            counted = -REACH - 1
+        elif (kind, table) in ((ROW, LISTED), (QUOTED_ROW, QUOTED)):
+            rows, marks[at] = True, table
+    return marks
+
+
+def _walked(kinds: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def marks(logs: pa.Array) -> pa.Array:
+        return pa.array([walk(x.as_py()) for x in logs], pa.list_(pa.int32()))
+
+    return marks(kinds)
+
+
+#: Rules of failed components: kinds they are for (none: all), what the problem says, the rule; the first that fits.
+COMPONENT_RULES = (
+    (("ApexClass", "ApexTrigger"), r"(?i)\b(?:method|variable) does not exist\b|\bneeds recompilation\b|\bno such column\b|\binvalid type:", "salesforce.apex_compile"),
+    ((), r"(?i)\berror parsing file\b|\bxml parse error\b|\bparseerror\b", "salesforce.metadata_parse"),
+    ((), r"(?i)^duplicate (?:name|property)\b", "salesforce.metadata_duplicate"),
+    ((), r"(?i)\breferenced by\b|\bdependent metadata\b|\bno .*named .*found\b|\binvalid (?:type|reference)\b|\bdoes not exist\b|\bnot found\b", "salesforce.metadata_dependency"),
+)
+COMPONENT_ELSE = "salesforce.metadata_error"
+
+
+def component(line: Column, mark: Column) -> Column:
+    """(kind, name, problem, line, column) of a table row as its mark says it is to be read; null for other lines."""
+    pick = lambda spaced, tabbed: F.when(mark == LISTED, F.regexp_extract(line, SPACED, spaced)).when(mark == QUOTED, F.regexp_extract(line, TABBED, tabbed))
+    problem = pick(3, 3)
+    place = lambda g: F.regexp_extract(problem, r"\b([0-9]+):([0-9]+)\b", g).try_cast("int")
+    found = F.struct(pick(1, 2).alias("kind"), pick(2, 1).alias("name"), problem.alias("problem"), place(1).alias("line"), place(2).alias("column"))
+    return F.when(mark.isin(LISTED, QUOTED), found)
+
+
+def table_rule(line: Column, mark: Column) -> Column:
+    """The rule of a line that is part of a failure table, null for others."""
+    part = component(line, mark)
+    rule = None
+    for kinds, says, name in COMPONENT_RULES:
+        hit = part.problem.rlike(says) & (part.kind.isin(*kinds) if kinds else F.lit(True))
+        rule = F.when(hit, name) if rule is None else rule.when(hit, name)
+    return F.when(mark == HEADER, "salesforce.component_failure").when(mark == REPORTED, "salesforce.validation_failed").when(part.isNotNull(), rule.otherwise(COMPONENT_ELSE))
 
 
 def explode_lines(logs: DataFrame, key: str, log: str) -> DataFrame:
@@ -26,83 +122,62 @@ def explode_lines(logs: DataFrame, key: str, log: str) -> DataFrame:
     return rows.withColumn("line", F.when(~seen, F.col("idx") + 1))
 
 
-def _metadata_rule(kind: str, problem: str) -> str:
-    if kind in ("ApexClass", "ApexTrigger") and re.search(r"(?i)method does not exist or incorrect signature|variable does not exist|dependent class is invalid and needs recompilation|no such column|invalid type:", problem):
-        return "salesforce.apex_compile"
-    if re.search(r"(?i)error parsing file:|\b(?:XML|meta XML) parse error:|ParseError at", problem):
-        return "salesforce.metadata_parse"
-    if re.match(r"(?i)duplicate (?:name|property)\b", problem):
-        return "salesforce.metadata_duplicate"
-    if re.search(r"(?i)referenced by|dependent metadata|no .*named .*found|invalid (?:type|reference)|does not exist|not found", problem):
-        return "salesforce.metadata_dependency"
-    return "salesforce.metadata_error"
-
-
-def fold_lines(lines: list[str], noisy: list[bool]) -> list[tuple[bool, str | None]]:
-    """(hidden in a code fence, rule of a failure table) for each cleaned line: the two sequential states of a log."""
-    out, fence, table, pending, rows = [], None, None, None, False
-    found: dict[int, str] = {}
-    for i, line in enumerate(lines):
-        omitted = re.search(X.OMISSION, line) is not None
-        fence = None if omitted else fence
-        mark = line[:3] if line[:3] in ("```", "~~~") else None
-        hidden = fence is not None and mark is None
-        if mark:
-            fence = mark if fence is None else None if fence == mark else fence
-        out.append(hidden)
-        if hidden:
-            continue
-        if re.search(TABLE_END, line) or re.match(R.COMMAND, line) or omitted or (not line and rows) or re.fullmatch(r"(?i)component failures\s*\[\s*0\s*\]", line):
-            table, pending, rows = None, None, False
-        if noisy[i]:
-            continue
-        low = line.lower()
-        if low.startswith("component failures"):
-            table, pending, rows = None, None, False
-            if re.search(r"(?i)\bcomponent failures\s*\[\s*[1-9]\d*\s*\]", line):
-                table, found[i] = "standard", "salesforce.component_failure"
-        elif count := re.fullmatch(r"(?i)Number of errors\s*-\s*(\d+)\s*", line):
-            table, rows, pending = None, False, i if count[1].lstrip("0") else None
-        elif re.fullmatch(r"(?i)ComponentName\s+Type\s+ErrorMessage", line):
-            if pending is not None and i - pending <= PENDING_LINES:
-                table, found[pending] = "validation", "salesforce.validation_failed"
-            pending = None
-        elif table and (m := re.fullmatch(QUOTED_ROW if table == "validation" else ROW, line)):
-            kind, problem = (m[2], m[3]) if table == "validation" else (m[1], m[3])
-            if kind.lower() != "type":
-                rows, found[i] = True, _metadata_rule(kind, problem)
-    return [(hidden, found.get(i)) for i, hidden in enumerate(out)]
-
-
-def _folded(lines, noisy):
-    @F.pandas_udf("array<struct<hidden:boolean,table_rule:string>>")
-    def fold(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([[{"hidden": h, "table_rule": r} for h, r in fold_lines(list(a), list(b))] for a, b in zip(texts, marks)])
-
-    return fold(lines, noisy)
-
-
-def diagnostic_lines(logs: DataFrame, key: str, log: str) -> DataFrame:
-    """``explode_lines`` with hidden, table_rule and uploading (inside a failed job's upload)."""
-    cleaned = F.transform(X.physical_lines(F.col(log)), X.clean_line)
-    arrays = logs.select(F.col(key), cleaned.alias("texts")).select(key, "texts", F.transform("texts", R.noise).alias("noisy"))
-    states = arrays.select(key, F.posexplode(F.arrays_zip("texts", _folded(F.col("texts"), F.col("noisy")).alias("state"))).alias("idx", "z"))
-    rows = states.select(key, "idx", F.col("z.texts").alias("text"), F.col("z.state.hidden").alias("hidden"), F.col("z.state.table_rule").alias("table_rule"))
-    ordered = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    visible = ~F.col("hidden")
-    state = F.when(visible & F.col("text").rlike(R.UPLOAD), True).when(visible & (F.col("text").rlike(X.OMISSION) | F.col("text").rlike(R.COMMAND) | F.col("text").rlike(R.UPLOAD_END)), False)
-    rows = rows.withColumn("uploading", F.coalesce(F.last(state, ignorenulls=True).over(ordered), F.lit(False)))
-    omitted = F.max(F.col("text").rlike(X.OMISSION)).over(ordered)
-    return rows.withColumn("line", F.when(~omitted, F.col("idx") + 1))
+def redacted(logs: DataFrame, log: str = "log") -> DataFrame:
+    """``logs`` with secrets of the log masked; the number of its lines stays."""
+    return logs.withColumn(log, redact.redact_column(F.regexp_replace(F.col(log), X.ANSI, "")).getField("content"))
 
 
-def failure_signals(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
-    """(key, idx, line, text, rule_id, category, priority, chunk_type, rank): what each log says, best evidence first."""
-    rows = diagnostic_lines(logs, key, log).where(~F.col("hidden"))
-    placed = rows.where(~R.noise(F.col("text"))).withColumn("place", R.first_rule(F.col("text")))
-    found = placed.withColumn("v", R.classify(F.col("text"), F.col("place"), F.col("uploading"), F.col("table_rule"))).where("v is not null")
+def diagnosed_lines(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
+    """(key, idx, raw, text, line, fence, hidden, uploading, part, v) of each line of each log.
+
+    ``hidden`` lines are in a code fence, ``fence`` ones mark one, ``uploading`` ones belong to a
+    failed job's upload, ``part`` is a failed component, ``v`` (rule_id, category, priority,
+    chunk_type) what a line says, null if nothing. A null or empty log has no lines. A log's lines
+    stay together: they are told apart once, in one shuffle by ``key``.
+    """
+    raw = X.physical_lines(F.col(log))
+    lines = logs.select(F.col(key), raw.alias("raw")).withColumn("texts", F.transform("raw", X.clean_line))
+    marked = lines.withColumn("marks", _walked(F.transform("texts", lambda x: kind_of(x, R.noise(x)))))
+    rows = marked.select(key, F.posexplode(F.arrays_zip("raw", "texts", "marks")).alias("idx", "z")).select(key, "idx", "z.raw", F.col("z.texts").alias("text"), F.col("z.marks").alias("mark"))
+    hidden, text = F.col("mark") == HIDDEN, F.col("text")
+    upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.when(hidden, None).when(text.rlike(R.UPLOAD), True).when(text.rlike(X.OMISSION) | text.rlike(R.COMMAND) | text.rlike(R.UPLOAD_END), False)
+    rows = rows.withColumn("uploading", F.coalesce(F.last(turn, ignorenulls=True).over(upto), F.lit(False)))
+    rows = rows.withColumn("line", F.when(~F.max(text.rlike(X.OMISSION)).over(upto), F.col("idx") + 1))
+    said = R.classify(text, R.first_rule(text), F.col("uploading"), table_rule(text, F.col("mark")))
+    return rows.select(
+        key, "idx", "raw", "text", "line", (text.startswith("```") | text.startswith("~~~")).alias("fence"), hidden.alias("hidden"), "uploading",
+        F.when(~F.col("uploading"), component(text, F.col("mark"))).alias("part"), F.when(~hidden & ~R.noise(text), said).alias("v"),
+    )
+
+
+def ranked(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, idx, line, text, rule_id, category, priority, chunk_type, rank) of ``diagnosed_lines``: best evidence first."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("v.priority"), "idx"))
-    return found.select(key, "idx", "line", "text", "v.rule_id", "v.category", "v.priority", "v.chunk_type", rank.alias("rank"))
+    return lines.where("v is not null").select(key, "idx", "line", "text", "v.rule_id", "v.category", "v.priority", "v.chunk_type", rank.alias("rank"))
+
+
+def failure_signals(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
+    """What each log says, best evidence first: ``ranked`` of its ``diagnosed_lines``."""
+    return ranked(diagnosed_lines(logs, key, log), key)
+
+
+def component_failures(logs: DataFrame, key: str = "job_id", log: str = "log", *, limit: int = 10) -> DataFrame:
+    """(key, place, kind, name, problem, line, column): the first rows of each log's failure tables."""
+    rows = diagnosed_lines(logs, key, log).where("part is not null")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("idx"))
+    return rows.select(key, place.alias("place"), "part.*").where(F.col("place") <= limit)
+
+
+def code_locations(logs: DataFrame, key: str = "job_id", log: str = "log", *, limit: int = 10) -> DataFrame:
+    """(key, place, path, line, column, message): the first distinct source locations of each log, no warnings' or commands'."""
+    lines = explode_lines(logs, key, log).where(~F.col("text").rlike(R.COMMAND))
+    for pattern in (R.NOISE[1], R.NOISE[2]):
+        lines = lines.where(~F.col("text").rlike(pattern))
+    found = lines.select(key, "idx", F.posexplode(X.locations(F.col("text"))).alias("at", "p"))
+    first = found.groupBy(key, "p.path", "p.line", "p.column").agg(F.min_by(F.struct("p.message"), F.struct("idx", "at")).alias("m"), F.min(F.struct("idx", "at")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first"))
+    return first.select(key, place.alias("place"), "path", "line", "column", "m.message").where(F.col("place") <= limit)
 
 
 def islands(windows: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -115,49 +190,115 @@ def islands(windows: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> Dat
     return numbered.groupBy(key, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
 
 
-def chunk_logs(logs: DataFrame, key: str = "job_id", log: str = "log", *, before: int = 3, after: int = 7, lines: int = 80, head: int = 40) -> DataFrame:
-    """(key, chunk_id, chunk_type, line_start, line_end, score, content): evidence around signals, best first by score.
+#: Lines of a chunk, and of one that begins within an upload: two lines of context go before it.
+CHUNK, CHUNK_UPLOAD = 80, 78
+CONTEXT = ("[LOG_OMITTED: earlier upload context]", "Uploading artifacts for failed job [earlier in the log]")
+
 
-    Windows around signals are merged and cut every ``lines`` lines; a log without a signal gives
-    its first ``head`` lines as context. Score is the best signal's priority in hundredths.
+def cut(lines: list[dict], trim: bool) -> list[int]:
+    """The chunk, from 1, of each line of a stretch of evidence; 0 where it is left out.
+
+    A line is (fenced, known, inside an upload that began before it). Fenced lines do not begin a
+    chunk if ``trim``; a chunk is full at CHUNK or CHUNK_UPLOAD lines and does not go on where
+    original line numbers stop being known.
     """
-    every = diagnostic_lines(logs, key, log)
-    signals = failure_signals(logs, key, log)
-    last = every.groupBy(key).agg(F.max("idx").alias("last"))
-    around = signals.join(last, key).select(key, F.greatest(F.col("idx") - before, F.lit(0)).alias("lo"), F.least(F.col("idx") + after, F.col("last")).alias("hi"))
-    quiet = last.join(signals.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("island"), F.lit(0).alias("lo"), F.least(F.col("last"), F.lit(head - 1)).alias("hi"))
-    ranges = islands(around, key).unionByName(quiet)
-    pieces = ranges.select(key, "lo", "hi", F.explode(F.sequence(F.lit(0), F.expr(f"(hi - lo) div {lines}"))).alias("part"))
-    pieces = pieces.select(key, (F.col("lo") + F.col("part") * lines).alias("a"), F.least(F.col("hi"), F.col("lo") + (F.col("part") + 1) * lines - 1).alias("b"))
-    inside = pieces.join(every.select(key, "idx", "text", "hidden", "line"), key).where("idx between a and b and not hidden")
-    best = pieces.join(signals, key).where("idx between a and b").groupBy(key, "a").agg(F.max_by(F.struct("priority", "chunk_type"), F.struct("priority", -F.col("idx"))).alias("best"))
-    made = inside.groupBy(key, "a", "b").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("l"))
-    texts = F.col("l.text")
-    told = made.join(best, [key, "a"], "left")
-    return told.select(
-        key, X.chunk_id(F.col("a") + 1, F.col("b") + 1, texts).alias("chunk_id"), F.coalesce("best.chunk_type", F.lit("context")).alias("chunk_type"),
-        (F.col("a") + 1).alias("line_start"), (F.col("b") + 1).alias("line_end"), F.coalesce(F.col("best.priority") / 100, F.lit(0.0)).alias("score"), F.array_join(texts, "\n").alias("content"),
+    out, chunk, room, known = [], 0, 0, None
+    for x in lines:
+        if not room or x["known"] != known:
+            if trim and x["fenced"]:
+                out.append(0)
+                room = 0
+                continue
+            chunk, room, known = chunk + 1, CHUNK_UPLOAD if x["inside"] else CHUNK, x["known"]
+        room -= 1
+        out.append(chunk)
+    return out
+
+
+def _cut(lines: Column, trim: Column) -> Column:
+    @F.arrow_udf("array<int>")
+    def chunks_of(stretches: pa.Array, trims: pa.Array) -> pa.Array:
+        return pa.array([cut(a.as_py(), b.as_py()) for a, b in zip(stretches, trims)], pa.list_(pa.int32()))
+
+    return chunks_of(lines, trim)
+
+
+def chunks(lines: DataFrame, key: str = "job_id", *, before: int = 3, after: int = 7, head: int = 40) -> DataFrame:
+    """(key, rank, chunk_id, chunk_type, line_start, line_end, score, content, signals) of ``diagnosed_lines``, best first.
+
+    Lines around signals, from ``before`` above to ``after`` below, are cut into chunks; a log
+    without a signal gives its first ``head`` lines as context. Score is the best signal's priority
+    in hundredths. A chunk's id says whether its numbers are the original log's. Windows over a
+    log's lines find the stretches, so no line is joined to anything.
+    """
+    every, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("idx")
+    hit = F.when(F.col("v").isNotNull(), F.col("idx"))
+    last = F.last(hit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    next_ = F.first(hit, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    seen = lines.withColumn("any", F.count(hit).over(every) > 0).withColumn("last", last).withColumn("next", next_)
+    near = F.when(F.col("any"), F.coalesce(F.col("idx") - F.col("last") <= after, F.lit(False)) | F.coalesce(F.col("next") - F.col("idx") <= before, F.lit(False))).otherwise(F.col("idx") < head)
+    kept = seen.where(near).withColumn("stretch", F.col("idx") - F.row_number().over(order))
+    inside = F.col("uploading") & ~F.col("hidden") & ~F.col("text").rlike(R.UPLOAD)
+    flags = F.struct((F.col("fence") | F.col("hidden")).alias("fenced"), F.col("line").isNotNull().alias("known"), inside.alias("inside"))
+    best = F.when(F.col("v").isNotNull(), F.struct("v.priority", (-F.col("idx")).alias("early"), "v.chunk_type", "idx", "line", "text", "v.rule_id"))
+    stretches = kept.groupBy(key, "stretch", "any").agg(F.sort_array(F.collect_list(F.struct("idx", "raw", flags.alias("f"), best.alias("b")))).alias("l"))
+    cut_ = stretches.withColumn("c", _cut(F.col("l.f"), F.col("any"))).select(key, "stretch", F.explode(F.arrays_zip("l", "c")).alias("z"))
+    made = cut_.where("z.c > 0").groupBy(key, "stretch", "z.c").agg(F.sort_array(F.collect_list("z.l")).alias("l"), F.max("z.l.b").alias("best"))
+    first, end = F.col("l")[0], F.element_at("l", -1)
+    upload = first.f.inside
+    shown = F.when(upload, F.concat(F.array(*map(F.lit, CONTEXT)), F.col("l.raw"))).otherwise(F.col("l.raw"))
+    told = made.select(
+        key, X.chunk_id(first.idx, end.idx, shown, first.f.known & ~upload).alias("chunk_id"), F.coalesce("best.chunk_type", F.lit("context")).alias("chunk_type"),
+        (first.idx + 1).alias("line_start"), (end.idx + 1).alias("line_end"), F.coalesce(F.col("best.priority") / 100, F.lit(0.0)).alias("score"), F.array_join(shown, "\n").alias("content"),
+        F.transform(F.filter("l.b", lambda x: x.isNotNull()), lambda x: F.struct(x.idx.alias("idx"), x.line.alias("line"), x.priority.alias("priority"), x.rule_id.alias("rule_id"), x.text.alias("text"))).alias("signals"),
     )
+    return told.select(key, F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "line_start")).alias("rank"), *told.columns[1:])
 
 
-def fingerprint_logs(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
-    """(key, digest, category, message, command, exit_code): the primary failure of each log, normalized and hashed."""
-    lines, signals = diagnostic_lines(logs, key, log), failure_signals(logs, key, log)
-    ambiguous = F.max((F.col("rank") == 1) & (F.col("rule_id") == "rlp.datasync_ambiguous")).over(Window.partitionBy(key))
-    preferred = ambiguous & (F.col("rule_id") == "rlp.datasync_failed")
-    first = signals.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(preferred), "rank"))).where("r = 1")
-    first = first.select(key, F.col("idx").alias("at"), F.col("text").alias("said"), "category")
-    joined = lines.join(first, key, "left")
+def chunk_logs(logs: DataFrame, key: str = "job_id", log: str = "log", *, before: int = 3, after: int = 7, head: int = 40) -> DataFrame:
+    """Evidence of each log in ``chunks``; a null or empty log has none."""
+    return chunks(diagnosed_lines(logs, key, log), key, before=before, after=after, head=head)
+
+
+def primary(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """``diagnosed_lines`` with ``top``, the (idx, text, rule_id, category) that a log's failure is named by, on every line.
+
+    That is the best signal; a data-sync row that is ambiguous gives way to the run's own failure.
+    """
+    every = Window.partitionBy(key)
+    what, order = F.struct("idx", "text", "v.rule_id", "v.category"), F.struct("v.priority", -F.col("idx"))
+    told = F.col("v").isNotNull()
+    best = F.max_by(F.when(told, what), F.when(told, order)).over(every)
+    run = told & (F.col("v.rule_id") == "rlp.datasync_failed")
+    other = F.max_by(F.when(run, what), F.when(run, order)).over(every)
+    found = lines.withColumn("best", best).withColumn("other", other)
+    swap = (F.col("best.rule_id") == "rlp.datasync_ambiguous") & F.col("other").isNotNull()
+    return found.withColumn("top", F.when(swap, F.col("other")).otherwise(F.col("best"))).drop("best", "other")
+
+
+def fingerprints(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, digest, category, message, command, exit_code) of ``diagnosed_lines``: the primary failure, normalized and hashed.
+
+    The command is the last one up to the failure, as it stands; the exit code is the last that the
+    log names outside commands, null where it is no int.
+    """
+    found = primary(lines, key)
     command = F.nullif(F.trim(F.regexp_extract("text", R.COMMAND, 1)), F.lit(""))
     codes = F.regexp_extract_all("text", F.lit(R.EXIT_CODE), 1)
-    upto = F.coalesce(F.col("idx") <= F.col("at"), F.lit(True))
-    facts = joined.groupBy(key).agg(
-        F.max_by(F.when(upto, command), F.when(upto & command.isNotNull(), F.col("idx"))).alias("command"),
+    upto = F.coalesce(F.col("idx") <= F.col("top.idx"), F.lit(True))
+    facts = found.groupBy(key).agg(
+        F.max_by(command, F.when(upto & command.isNotNull(), F.col("idx"))).alias("command"),
         F.max_by(F.element_at(codes, -1), F.when((F.size(codes) > 0) & ~F.col("text").rlike(R.COMMAND), F.col("idx"))).alias("exit_code"),
-        F.max(F.col("text").rlike(R.SUCCESS)).alias("success"),
-        F.first("said", ignorenulls=True).alias("said"), F.first("category", ignorenulls=True).alias("category"),
+        F.max(F.col("text").rlike(R.SUCCESS)).alias("success"), F.any_value("top").alias("top"),
     )
-    facts = logs.select(key).join(facts, key, "left")
-    category = F.coalesce("category", F.when(F.col("success"), "no_failure_observed").otherwise("unknown"))
-    message = F.coalesce("said", F.lit("No explicit failure signal observed"))
-    return facts.select(key, X.fingerprint(category, F.col("command"), message).alias("digest"), category.alias("category"), X.normalize_message(message).alias("message"), X.normalize_message(F.col("command")).alias("command"), F.col("exit_code").cast("int").alias("exit_code"))
+    category = F.coalesce("top.category", F.when(F.col("success"), "no_failure_observed").otherwise("unknown"))
+    message = F.coalesce("top.text", F.lit("No explicit failure signal observed"))
+    return facts.select(key, X.fingerprint(category, F.col("command"), message).alias("digest"), category.alias("category"), X.normalize_message(message).alias("message"), "command", F.col("exit_code").try_cast("int").alias("exit_code"))
+
+
+def fingerprint_logs(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
+    """``fingerprints`` of each log; one without lines is of unknown category."""
+    found = logs.select(key).join(fingerprints(diagnosed_lines(logs, key, log), key), key, "left")
+    nothing, unknown = F.lit("No explicit failure signal observed"), F.lit("unknown")
+    digest = F.coalesce("digest", X.fingerprint(unknown, F.lit(None).cast("string"), nothing))
+    return found.select(key, digest.alias("digest"), F.coalesce("category", unknown).alias("category"), F.coalesce("message", X.normalize_message(nothing)).alias("message"), "command", "exit_code")

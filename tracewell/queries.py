@@ -66,11 +66,25 @@ def _rules_sql() -> str:
     return "CASE " + "\n".join(whens) + " END"
 
 
-_NOISE_SQL = "(text = '' OR " + " OR ".join(f"regexp_matches(text, {_sql(p)})" for p in (R.COMMAND, R.WARNING, R.BENIGN, R.EXAMPLE, X.OMISSION)) + ")"
+_NOISE_SQL = "(text = '' OR " + " OR ".join(f"regexp_matches(text, {_sql(p)})" for p in R.NOISE) + ")"
 _SIGNALS_SQL = f"""
-ruled AS (
-  SELECT job_id, idx, text, CASE WHEN regexp_matches(text, {_sql(R.FOOTER)}) THEN {{'rule_id': 'script.nonzero_exit', 'category': 'unknown', 'priority': 15}} ELSE {_rules_sql()} END AS v
-  FROM lines WHERE NOT {_NOISE_SQL}
+kinds AS (
+  SELECT *, CASE WHEN starts_with(text, '```') THEN 1 WHEN starts_with(text, '~~~') THEN 2 WHEN regexp_matches(text, {_sql(X.OMISSION)}) THEN 3 ELSE 0 END AS kind FROM lines
+), fences AS (
+  SELECT job_id, idx, text, kind % 3 AS fence, false AS hidden FROM kinds WHERE idx = 0
+  UNION ALL
+  SELECT k.job_id, k.idx, k.text, CASE WHEN k.kind = 3 THEN 0 WHEN k.kind = 0 THEN fence WHEN fence = 0 THEN k.kind WHEN fence = k.kind THEN 0 ELSE fence END, k.kind = 0 AND fence <> 0
+  FROM fences f JOIN kinds k ON k.job_id = f.job_id AND k.idx = f.idx + 1
+), states AS (
+  SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY idx), false) AS uploading FROM (
+    SELECT *, CASE WHEN starts_with(text, 'Uploading artifacts for failed job') THEN true WHEN regexp_matches(text, {_sql(X.OMISSION)}) OR regexp_matches(text, {_sql(R.COMMAND)}) OR regexp_matches(lower(text), '^(cleaning up|section_end:|section_start:)') THEN false END AS turn
+    FROM fences WHERE NOT hidden)
+), ruled AS (
+  SELECT job_id, idx, text, CASE
+    WHEN regexp_matches(text, {_sql(R.FOOTER)}) THEN {{'rule_id': 'script.nonzero_exit', 'category': 'unknown', 'priority': 15}}
+    WHEN uploading AND ({_rules_sql()}) IS NOT NULL AND NOT starts_with(({_rules_sql()}).rule_id, 'runner.') THEN {{'rule_id': 'artifact.upload_failed', 'category': 'unknown', 'priority': 20}}
+    ELSE {_rules_sql()} END AS v
+  FROM states WHERE NOT {_NOISE_SQL}
 ), signals AS (
   SELECT job_id, idx::INT AS idx, text, v.rule_id AS rule_id, v.category AS category, v.priority AS priority,
     row_number() OVER (PARTITION BY job_id ORDER BY v.priority DESC, idx)::INT AS rank
@@ -105,7 +119,7 @@ SQL["clean_lines"] = f"WITH {_LINES_SQL} SELECT job_id, idx::INT AS idx, text, C
 
 
 def q_first_rule(s, d):
-    rows = L.explode_lines(_logs(s), "job_id", "log").where(~R.noise(F.col("text"))).withColumn("v", R.verdict(R.first_rule(F.col("text")))).where("v is not null")
+    rows = L.explode_lines(_logs(s), "job_id", "log").where(~R.noise(F.col("text"))).withColumn("place", R.first_rule(F.col("text"))).where("place is not null").withColumn("v", R.verdict(F.col("place")))
     return rows.select("job_id", "idx", "v.rule_id", "v.category", "v.priority")
 
 
@@ -116,12 +130,14 @@ def q_failure_signals(s, d):
     return L.failure_signals(_logs(s)).select("job_id", "idx", "rule_id", "priority", "rank")
 
 
+SQL["failure_signals_inline"] = f"WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL} SELECT job_id, idx, rule_id, priority, rank FROM signals"
+
+
 def q_top_signal(s, d):
-    plain = _logs(s).where(~F.col("job_id").isin("a4", "a6"))
-    return L.failure_signals(plain).where("rank = 1").select("job_id", "idx", "rule_id", "category", "priority")
+    return L.failure_signals(_logs(s)).where("rank = 1").select("job_id", "idx", "rule_id", "category", "priority")
 
 
-SQL["top_signal_per_log"] = f"WITH {_LINES_SQL}, {_SIGNALS_SQL} SELECT job_id, idx, rule_id, category, priority FROM signals WHERE rank = 1 AND job_id NOT IN ('a4', 'a6')"
+SQL["top_signal_per_log"] = f"WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL} SELECT job_id, idx, rule_id, category, priority FROM signals WHERE rank = 1"
 
 
 def q_fingerprint_logs(s, d):
@@ -129,7 +145,22 @@ def q_fingerprint_logs(s, d):
 
 
 def q_chunk_windows(s, d):
-    return L.chunk_logs(_logs(s))
+    return L.chunk_logs(L.redacted(_logs(s))).drop("signals")
+
+
+#: What chunks of the inline logs hold: a1 to a9 have one stretch each, which a6's upload and a8's omission leave whole or cut.
+def q_diagnoses(s, d):
+    found = D.diagnoses(_logs(s))
+    return found.select("job_id", "category", "confidence", F.transform("cited", lambda x: x.text).alias("lines"))
+
+
+SQL["diagnosis_inline"] = f"""
+WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL},
+best AS (SELECT job_id, idx, text, category, priority, row_number() OVER (PARTITION BY job_id ORDER BY priority DESC, idx) AS n FROM signals)
+SELECT j.job_id, coalesce(b.category, CASE WHEN j.log LIKE '%ucceeded%' THEN 'no_failure_observed' ELSE 'unknown' END) AS category,
+  CASE WHEN b.category IS NULL THEN CASE WHEN j.log LIKE '%ucceeded%' THEN 0.9 ELSE 0.3 END WHEN b.category <> 'unknown' THEN 0.96 ELSE 0.42 END::DOUBLE AS confidence,
+  CASE WHEN j.log = '' THEN NULL ELSE [b.text] END AS lines
+FROM {_LOG_SQL} j LEFT JOIN best b ON b.job_id = j.job_id AND n = 1"""
 
 
 def q_last_exit_code(s, d):
@@ -139,9 +170,62 @@ def q_last_exit_code(s, d):
 SQL["last_exit_code"] = f"WITH {_LINES_SQL} SELECT job_id, arg_max(c[len(c)]::INT, idx) AS exit_code FROM (SELECT job_id, idx, regexp_extract_all(text, {_sql(R.EXIT_CODE)}, 1) AS c FROM lines WHERE NOT regexp_matches(text, {_sql(R.COMMAND)})) WHERE len(c) > 0 GROUP BY job_id"
 
 
+#: (job, status, conclusion, failure reason, inline log): each log as it ended, and outcomes that contradict it.
+FINDING_JOBS = [
+    *[(i, status, None, None, i) for i, status, _ in LOGS],
+    ("b1", "success", None, None, "a1"), ("b2", "completed", "success", "runner_system_failure", "a9"), ("b3", "failed", None, "runner_system_failure", "a1"),
+    ("b4", "failed", None, "runner_system_failure", "a5"), ("b5", "canceled", None, None, "a7"), ("b6", "failed", None, None, "a7"), ("b7", "success", None, None, "a7"),
+    ("b8", "success", None, None, "m1"), ("b9", "passed", None, None, "m2"), ("c1", "Completed", "timed_out", None, "a3"), ("c2", "running", None, None, "a3"),
+]
+MASKED = [("m1", "success", "$ make deploy || true\nERROR: it broke\nJob succeeded\n"), ("m2", "success", "$ echo '|| true'\nERROR: it broke\n")]
+
+
 def q_findings(s, d):
-    jobs = _logs(s).select("job_id", "status", F.lit(None).cast("string").alias("conclusion"), F.lit(None).cast("string").alias("failure_reason"), "log")
-    return D.findings(jobs)
+    logs = s.createDataFrame([(i, x) for i, _, x in [*LOGS, *MASKED]], "name string, log string")
+    jobs = s.createDataFrame(FINDING_JOBS, "job_id string, status string, conclusion string, failure_reason string, name string").join(logs, "name")
+    return D.findings(jobs).select("job_id", "rule_id", "category", "severity", "confidence")
+
+
+SQL["finding_status_inline"] = f"""
+WITH RECURSIVE {_LINES_SQL.replace(_LOG_SQL, _values([*LOGS, *MASKED], 'job_id, status, log'))}, {_SIGNALS_SQL},
+jobs AS (SELECT * FROM {_values(FINDING_JOBS, 'job_id, status, conclusion, reason, name')}),
+seen AS (
+  SELECT j.job_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(reason, '') = 'runner_system_failure' AS system, name,
+    name = 'm1' AS masked, name <> 'a7' AS logged FROM jobs j
+), good AS (SELECT *, outcome IN ('success', 'succeeded', 'passed') AS good FROM seen),
+top AS (
+  SELECT g.job_id, arg_min(x.rule_id, x.rank) AS rule_id, arg_min(x.category, x.rank) AS category FROM good g JOIN signals x ON x.job_id = g.name
+  WHERE NOT g.system OR g.good OR starts_with(x.rule_id, 'runner.') GROUP BY g.job_id
+)
+SELECT g.job_id,
+  CASE WHEN t.rule_id IS NULL AND g.system AND NOT g.good THEN 'runner.reported_system_failure' WHEN t.rule_id IS NULL AND g.good THEN 'job.no_failure_observed' WHEN t.rule_id IS NULL THEN 'job.insufficient_evidence'
+    WHEN g.good AND g.masked THEN 'script.failure_masked' ELSE t.rule_id END AS rule_id,
+  CASE WHEN t.rule_id IS NULL AND g.system AND NOT g.good THEN 'runner_infrastructure_failure' WHEN t.rule_id IS NULL AND g.good THEN 'no_failure_observed' WHEN t.rule_id IS NULL THEN 'unknown'
+    WHEN g.good AND g.masked THEN 'script_exit_masking' ELSE t.category END AS category,
+  CASE WHEN t.rule_id IS NULL THEN CASE WHEN g.system AND NOT g.good OR g.outcome IN ('failed', 'failure', 'timed_out') THEN 'error' ELSE 'info' END WHEN g.good THEN 'warning' ELSE 'error' END AS severity,
+  CASE WHEN t.rule_id IS NULL THEN CASE WHEN g.good AND g.logged THEN 'observed' ELSE 'unknown' END WHEN g.good THEN 'likely' WHEN t.category = 'unknown' THEN 'unknown' ELSE 'observed' END AS confidence
+FROM good g LEFT JOIN top t USING (job_id)"""
+
+RUNS = [("r1", "failed", None, False), ("r2", "success", None, False), ("r3", "success", None, True), ("r4", "running", None, False), ("r5", "completed", "success", False), ("r6", "canceled", None, False), ("r7", None, None, False), ("r8", "Completed", "timed_out", None), ("r9", "passed", None, None)]
+RUN_FINDINGS = [("r1", "warning"), ("r2", "info"), ("r5", "info"), ("r5", "warning"), ("r4", "error")]
+
+
+def q_overall(s, d):
+    return D.overall_status(s.createDataFrame(RUNS, "run_id string, status string, conclusion string, partial boolean"), s.createDataFrame(RUN_FINDINGS, "run_id string, severity string"))
+
+
+SQL["overall_status"] = f"""
+WITH r AS (SELECT run_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(partial, false) AS partial FROM {_values(RUNS, 'run_id, status, conclusion, partial')})
+SELECT run_id, CASE WHEN outcome IS NULL THEN 'configuration_only' WHEN outcome IN ('failed', 'failure', 'timed_out') THEN 'failed'
+  WHEN outcome IN ('created', 'waiting_for_resource', 'preparing', 'pending', 'running', 'scheduled', 'canceling') THEN 'in_progress'
+  WHEN outcome IN ('success', 'succeeded', 'passed') AND NOT partial AND run_id NOT IN (SELECT run_id FROM {_values(RUN_FINDINGS, 'run_id, severity')} WHERE severity IN ('error', 'warning')) THEN 'passed' ELSE 'warning' END AS status
+FROM r"""
+
+
+def q_classified(s, d):
+    """All documents read as rows of an imported data set of logs; the exclamation marks of some look like nothing."""
+    docs = landed(s, d, "documents").select("doc_id", "text").unionByName(s.createDataFrame([(-1 - k, x) for k, (_, _, x) in enumerate(LOGS)], "doc_id long, text string"))
+    return D.classified(docs, "doc_id", "text")
 
 
 def q_error_islands(s, d):
@@ -362,25 +446,47 @@ SQL["incremental_new_rows"] = r"WITH r AS (SELECT source, sha256(regexp_replace(
 
 
 def q_head_tail(s, d):
-    cut = X.head_tail(F.col("text"), 500)
-    return landed(s, d, "documents").select("doc_id", F.when(F.octet_length("text") <= 500, F.sha2(cut, 256)).alias("whole_sha256"), (F.octet_length(cut) <= 500 + 17).alias("bounded"))
+    return landed(s, d, "documents").select("doc_id", F.sha2(X.head_tail(F.col("text"), 500), 256).alias("cut_sha256"), F.sha2(X.byte_prefix(F.col("text"), 300), 256).alias("prefix_sha256"))
+
 
+def _fitting(side: str, limit: int) -> str:
+    """The most characters of one side of a text that fit into so many bytes."""
+    return f"{side}(text, list_max(list_filter(range(0, {limit + 1}), lambda i: octet_length(encode({side}(text, i))) <= {limit}))::INT)"
 
-SQL["head_tail_truncate"] = "SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 500 THEN sha256(text) END AS whole_sha256, true AS bounded FROM documents"
+
+SQL["head_tail_truncate"] = f"""
+SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) <= 500 THEN text ELSE {_fitting('left', 100)} || chr(10) || '[LOG_TRUNCATED]' || chr(10) || {_fitting('right', 400)} END) AS cut_sha256,
+  sha256(CASE WHEN octet_length(encode(text)) <= 300 THEN text ELSE {_fitting('left', 288)} || ' [truncated]' END) AS prefix_sha256
+FROM documents"""
 
 
 def q_excerpt(s, d):
     return landed(s, d, "documents").select("doc_id", F.sha2(X.excerpt(F.col("text")), 256).alias("sha256"))
 
 
-SQL["excerpt_last6"] = "SELECT doc_id, sha256(substr(array_to_string(CASE WHEN coalesce(text, '') = '' THEN [] ELSE l[greatest(len(l) - 5, 1):] END, chr(10)), 1, 800)) AS sha256 FROM (SELECT doc_id, text, string_split(regexp_replace(text, '\\n+$', ''), chr(10)) AS l FROM documents)"
+#: Telling words as the excerpt is meant: something went wrong, was refused or took too long.
+SQL["excerpt_last6"] = rf"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS every FROM documents),
+t AS (SELECT *, list_filter(every, lambda x: regexp_matches(lower(x), 'error|exception|fail|fatal|denied|timed? ?out|invalid|unable')) AS telling FROM l),
+e AS (SELECT doc_id, array_to_string(CASE WHEN len(telling) > 0 THEN telling[greatest(len(telling) - 5, 1):] ELSE every[greatest(len(every) - 5, 1):] END, chr(10)) AS text FROM t)
+SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) <= 800 THEN text ELSE {_fitting('left', 788)} || ' [truncated]' END) AS sha256 FROM e"""
+
+
+#: Lines with and without locations of source files.
+TRACES = [
+    ("t1", r"C:\w\src\A.cs(10,5): error CS0103: no name" + "\nat src/a.py:10:2 and src/a.py:10:2\nlib/b.go:7: boom"),
+    ("t2", 'Traceback\n  File "/home/u/tests/test_x.py", line 42, in f\nwarning: src/w.py:1\n$ cat src/c.py:3\n./z.rs:0: no\n./z.rs:5\n/opt/other/y.java:9:0'),
+    ("t3", None), ("t4", "\n".join(f"src/m{k}.ts:{k}" for k in range(1, 15))),
+]
 
 
-def q_code_refs(s, d):
-    return _logs(s).union(s.createDataFrame([("b1", "failed", "at src/a.py:10:2 and src/a.py:10:2\nlib/b.go:7: boom")], "job_id string, status string, log string")).select("job_id", F.explode(X.code_references(F.col("log"))).alias("ref"))
+def q_code_locations(s, d):
+    return L.code_locations(s.createDataFrame(TRACES, "job_id string, log string"))
 
 
-SQL["code_references_inline"] = f"SELECT job_id, unnest(list_distinct(regexp_extract_all(log, '((?:[A-Za-z]:)?[^\\s:]+?\\.(?:py|tsx|ts|jsx|js|java|go|rb|rs):\\d+(?::\\d+)?)', 1))) AS ref FROM {_values([*LOGS, ('b1', 'failed', 'at src/a.py:10:2 and src/a.py:10:2' + chr(10) + 'lib/b.go:7: boom')], 'job_id, status, log')}"
+SQL["code_locations_inline"] = f"""
+SELECT * FROM (VALUES ('t1', 1, 'src/A.cs', 10, 5, 'CS0103: no name'), ('t1', 2, 'src/a.py', 10, 2, NULL), ('t1', 3, 'lib/b.go', 7, NULL, NULL), ('t2', 1, 'tests/test_x.py', 42, NULL, NULL), ('t2', 2, 'z.rs', 5, NULL, NULL)) v(job_id, place, path, line, "column", message)
+UNION ALL SELECT 't4', k, 'src/m' || k || '.ts', k, NULL, NULL FROM (SELECT unnest(range(1, 11))::INT AS k)"""
 
 
 def q_url(s, d):
@@ -446,6 +552,12 @@ def q_history(s, d):
     return Q.top_n(ranked, ["item_id"], [F.desc("score"), "doc_id"], 6).select("item_id", "doc_id", "rn")
 
 
+SQL["history_search"] = _SIM + """, scored AS (
+  SELECT item_id, doc_id, CASE WHEN source = 'src1' THEN 2.0 ELSE least(1, overlap / total + CASE WHEN source = 'src2' THEN 0.25 WHEN lang = 'en' THEN 0.1 ELSE 0 END) END AS raw FROM sim JOIN documents USING (doc_id)
+), ranked AS (SELECT item_id, doc_id, CASE WHEN raw = 2 THEN raw ELSE round_even(raw, 3) END AS score FROM scored)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rn FROM ranked WHERE score >= 0.12 QUALIFY rn <= 6"""
+
+
 def q_closure(s, d):
     return Q.closure(s.createDataFrame(EDGES, "src string, dst string"), "src", "dst")
 
@@ -471,14 +583,21 @@ SQL["store_violations"] = "SELECT * FROM (SELECT 'quantity_positive' AS \"check\
 
 def q_sample_jobs(s, d):
     e = landed(s, d, "events")
-    jobs = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("job_id"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.lit(None).cast("string").alias("conclusion"), F.lit(False).alias("selected"))
+    stages = F.array(*map(F.lit, STAGES))
+    jobs = e.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("job_id"), F.col("event_type").alias("name"), F.get(stages, (F.col("event_id") % len(STAGES)).cast("int")).alias("stage"),
+        F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "manual").otherwise("success").alias("status"), F.lit(None).cast("string").alias("conclusion"), (F.col("event_id") % 97 == 0).alias("selected"),
+    )
     return D.sample_jobs(jobs)
 
 
-SQL["job_sampling"] = """
-WITH j AS (SELECT user_id AS run_id, event_id AS job_id, CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS grp FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY run_id, grp ORDER BY job_id) AS i FROM j)
-SELECT run_id, job_id, row_number() OVER (PARTITION BY run_id ORDER BY grp, job_id)::INT AS place FROM k WHERE grp < 2 OR i <= 3 QUALIFY place <= 8"""
+STAGES = ["lint", "Sonar", "docs", "pre-build", "Validation", "repackage", "redeploy", "test", "misc"]
+SQL["job_sampling"] = f"""
+WITH j AS (
+  SELECT user_id AS run_id, event_id AS job_id, event_type AS name, (event_id % {len(STAGES)})::INT AS s,
+    CASE WHEN event_id % 97 = 0 THEN 0 WHEN event_type = 'error' THEN 1 WHEN event_type <> 'signup' THEN 2 END AS grp FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, grp ORDER BY CASE WHEN grp = 2 THEN CASE s WHEN 6 THEN 0 WHEN 5 THEN 1 WHEN 4 THEN 2 WHEN 3 THEN 3 WHEN 1 THEN 4 ELSE 5 END END, CASE WHEN grp = 2 THEN name END, job_id) AS i FROM j WHERE grp IS NOT NULL)
+SELECT run_id, job_id, row_number() OVER (PARTITION BY run_id ORDER BY grp, i)::INT AS place FROM k WHERE grp < 2 OR i <= 3 QUALIFY place <= 8"""
 
 
 def q_stable_ids(s, d):
@@ -488,13 +607,19 @@ def q_stable_ids(s, d):
 SQL["stable_ids"] = "SELECT event_id, substr(sha256('p:' || user_id || ':' || event_type || ':' || event_id), 1, 24) AS incident_id, regexp_replace(lower(event_type), '[^a-z0-9]', '', 'g') AS job, lower(event_type) AS outcome FROM events"
 
 
+ARTIFACTS = [("z1", '{"failedCount": 2, "failures": [{"error": "connection reset by peer"}, {"error": "bad"}]}'), ("z2", '{"failedCount": 0, "failures": []}'), ("z3", '{"failedCount": 1, "failures": [{"error": "refused"}]}')]
+
+
 def q_artifact(s, d):
-    rows = s.createDataFrame([("z1", '{"failedCount": 2, "failures": [{"error": "connection reset by peer"}, {"error": "bad"}]}'), ("z2", '{"failedCount": 0, "failures": []}')], "path string, json string")
+    rows = s.createDataFrame(ARTIFACTS, "path string, json string")
     failures = F.from_json(F.get_json_object("json", "$.failures"), "array<struct<error:string>>")
     return rows.select("path", F.get_json_object("json", "$.failedCount").cast("long").alias("failed"), F.size(failures).cast("long").alias("listed"), F.exists(failures, lambda x: x.error.contains("connection reset")).alias("reset"))
 
 
-SQL["artifact_rollup_inline"] = "SELECT * FROM (VALUES ('z1', 2::BIGINT, 2::BIGINT, true), ('z2', 0::BIGINT, 0::BIGINT, false)) v(path, failed, listed, reset)"
+SQL["artifact_rollup_inline"] = f"""
+SELECT path, (json->>'$.failedCount')::BIGINT AS failed, json_array_length(json, '$.failures')::BIGINT AS listed,
+  coalesce(list_bool_or(list_transform((json->'$.failures[*].error')::VARCHAR[], lambda x: contains(x, 'connection reset'))), false) AS reset
+FROM {_values(ARTIFACTS, 'path, json')}"""
 
 
 def q_stream(s, d):
@@ -560,6 +685,25 @@ def q_change_risks(s, d):
     return C.change_risks(changes, known, s.createDataFrame(REFERENCES, "path string, referenced string"))
 
 
+_PREFIXES = "(SELECT {key}, unnest(range(1, len(string_split({key}, '/')) + 1)) AS k FROM {t})"
+SQL["change_risks_inline"] = f"""
+WITH clean AS (SELECT regexp_replace(old_path, '^\\./', '') AS o, regexp_replace(new_path, '^\\./', '') AS n, deleted_file AS gone, renamed_file AS moved FROM {_CHANGES_SQL}),
+touched AS (SELECT n AS path, moved AND lower(o) = lower(n) AS meant FROM clean WHERE NOT gone),
+known AS (SELECT path FROM {_KNOWN_SQL}),
+now AS (SELECT path FROM known WHERE path NOT IN (SELECT coalesce(o, n) FROM clean WHERE gone OR moved) UNION SELECT n FROM clean WHERE NOT gone),
+kp AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='known')}),
+np AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='now')}),
+k1 AS (SELECT lower(p) AS f, min(p) AS p FROM kp GROUP BY 1 HAVING count(*) = 1), n1 AS (SELECT lower(p) AS f, min(p) AS p FROM np GROUP BY 1 HAVING count(*) = 1),
+refs AS (SELECT DISTINCT path, referenced FROM {_values(REFERENCES, 'path, referenced')} WHERE NOT contains(referenced, '$') AND path IN (SELECT path FROM touched)),
+tp AS (SELECT path, k, array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='touched')} WHERE path IN (SELECT path FROM touched WHERE NOT meant)),
+rp AS (SELECT referenced, k, array_to_string(string_split(referenced, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='referenced', t='refs')}),
+moved AS (SELECT path, arg_min(k1.p, k) AS expected FROM tp JOIN k1 ON lower(tp.p) = f AND k1.p <> tp.p GROUP BY 1),
+spelled AS (SELECT referenced, arg_min(n1.p, k) AS expected FROM rp JOIN n1 ON lower(rp.p) = f AND n1.p <> rp.p GROUP BY 1)
+SELECT 'change.path_case_mismatch' AS rule_id, path, path AS referenced, expected FROM moved
+UNION ALL SELECT 'change.ci_path_case_mismatch', path, referenced, expected FROM refs JOIN spelled USING (referenced)
+UNION ALL SELECT 'change.ci_path_unverified', path, referenced, NULL FROM refs WHERE referenced NOT IN (SELECT referenced FROM spelled) AND referenced NOT IN (SELECT p FROM np)"""
+
+
 def q_hidden_exit(s, d):
     return s.createDataFrame(COMMANDS, "command string").select("command", C.hides_exit_code(F.col("command")).alias("hidden"))
 
@@ -636,7 +780,14 @@ def q_display_rank(s, d):
     return s.createDataFrame(FINDINGS, _FINDING_COLUMNS).select("run_id", "rule_id", V.display_rank(F.col("rule_id"), F.col("category"), F.col("severity"), F.col("job_id")).alias("rank"))
 
 
-SQL["display_rank_inline"] = "SELECT * FROM (VALUES ('r1', 'test.failed', 0), ('r1', 'pipeline.failed', 2), ('r1', 'job.no_failure_observed', 6), ('r1', 'auth.expired', 3), ('r1', 'ci.visibility_limited', 7), ('r2', 'deployment.failed', 0), ('r2', 'git.conflict', 4), ('r2', 'job.insufficient_evidence', 5), ('r2', 'job.status', 1)) v(run_id, rule_id, rank)"
+#: Errors of jobs, then errors of the run's status, then what can be acted on, then warnings about status, then nothing, then the rest.
+SQL["display_rank_inline"] = f"""
+WITH f AS (
+  SELECT *, category IN ('pipeline_status', 'downstream_pipeline', 'job_status') AS of_status, severity IN ('error', 'warning') AS loud,
+    severity IN ('error', 'warning') AND category NOT IN ('pipeline_status', 'downstream_pipeline', 'job_status', 'no_failure_observed', 'unknown') AND NOT starts_with(rule_id, 'pipeline.') AND NOT starts_with(rule_id, 'ci.visibility') AS act
+  FROM {_FINDING_SQL})
+SELECT run_id, rule_id, (CASE WHEN severity = 'error' AND job_id IS NOT NULL THEN CASE WHEN act THEN 0 ELSE 1 END WHEN severity = 'error' AND of_status THEN 2 WHEN act AND job_id IS NOT NULL THEN 3 WHEN act THEN 4
+  WHEN loud AND (of_status OR category = 'unknown') THEN 5 WHEN category = 'no_failure_observed' THEN 6 ELSE 7 END)::INT AS rank FROM f"""
 
 
 def q_import_report(s, d):
@@ -673,7 +824,8 @@ QUERIES = {
     "retention_newest_n": q_retention, "orphan_check": q_orphans, "status_summary": q_status_summary, "rule_histogram": q_rule_histogram, "project_summary": q_project_summary,
     "having_gt2": q_having, "distinct_subquery": q_distinct, "set_union": lambda s, d: _keys(s, d)[0].union(_keys(s, d)[1]).distinct(),
     "set_intersect": lambda s, d: _keys(s, d)[0].intersect(_keys(s, d)[1]), "set_except": lambda s, d: _keys(s, d)[0].subtract(_keys(s, d)[1]),
-    "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, "code_references_inline": q_code_refs,
+    "diagnosis_inline": q_diagnoses, "overall_status": q_overall, "rows_classified": q_classified, "code_locations_inline": q_code_locations,
+    "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
     "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup_inline": q_artifact, "stream_incremental": q_stream,
