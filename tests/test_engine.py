@@ -13,6 +13,7 @@ from tracewell import queries as Q
 from tracewell.functions import redact
 from tracewell.functions import text as X
 from tracewell.operators import changes as C
+from tracewell.operators import graph as G
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.plans import diagnosis as D
@@ -315,3 +316,32 @@ def test_similar_incidents_stay_in_their_project(spark):
     queries = spark.createDataFrame([(1, "p", "f", "c", "alpha beta"), (9, "p", "f", "c", None)], "query_id long, project string, fingerprint string, category string, text string")
     got = {(r.query_id, r.rn): (r.incident_id, r.similarity) for r in V.similar_incidents(queries, incidents).collect()}
     assert got == {(1, 1): (3, 0.35), (9, 1): (3, 0.35), (9, 2): (1, 1.0)}
+
+CI = {
+    ".gitlab-ci.yml": "include:\n  - local: /ci/base.yml\n  - ci/more.yml\n  - ci/none.yml\nstages: [build, test]\nvariables: {A: '1'}\nbuild:\n  stage: build\n  variables: {X: own}\n  script:\n    - make\n    - !reference [.shared, script]\nunit:\n  extends: [.base, .tests]\n  needs: [build, {job: lint}]\nlost:\n  extends: .nowhere\n  script: !reference [.none, script]\nring:\n  extends: ring2\n  script: [r]\nring2:\n  extends: ring\n",
+    "ci/base.yml": ".shared:\n  script: [a, b]\n.base:\n  stage: early\n  variables: {X: base, Y: base}\n  script: [base]\nlint:\n  script: lint\nbuild:\n  variables: {X: first, Z: first}\n  image: old\n",
+    "ci/more.yml": "include: ci/base.yml\n.tests:\n  stage: test\n  variables: {X: tests}\nbuild:\n  variables: gone\n",
+    "ci/broken.yml": "a: [",
+}
+
+
+def test_ci_graph(spark):
+    files = spark.createDataFrame([("p", k, v) for k, v in CI.items()] + [("q", "a.yml", "include: b.yml\nx: {script: 1}"), ("q", "b.yml", "include: a.yml\ny: {script: [!reference [x, script]]}"), ("r", "z.yml", "a: [")], "config string, path string, content string")
+    roots = spark.createDataFrame([("p", ".gitlab-ci.yml"), ("q", "a.yml"), ("r", "z.yml")], "config string, root string")
+    jobs, notes = G.ci_graph(files, roots)
+    got = {(r.config, r.key): r for r in jobs.collect()}
+    assert set(got) == {("p", "build"), ("p", "unit"), ("p", "lint"), ("p", "lost"), ("p", "ring"), ("p", "ring2"), ("q", "x"), ("q", "y")}
+    unit, build = got["p", "unit"], got["p", "build"]
+    assert (unit.stage, unit.needs, unit.script, unit.inherited, unit.path, unit.line_start) == ("test", ["build", "lint"], ["base"], [".base", ".tests"], "ci/base.yml", 3)
+    assert (build.stage, build.script, build.path, build.line_start, build.line_end) == ("build", ["make", "a", "b"], ".gitlab-ci.yml", 7, 12)
+    assert got["q", "y"].script == ["1"] and got["p", "lint"].script == ["lint"] and got["p", "lost"].script == []
+    assert {tuple(r) for r in notes.collect()} == {
+        ("p", "include not found", "ci/none.yml"), ("p", "missing parent", ".nowhere"), ("p", "reference to nothing", ".none:script"), ("p", "cyclic inheritance", "ring"), ("p", "cyclic inheritance", "ring2"),
+        ("q", "include cycle ignored", "a.yml"), ("r", "source not analyzed: invalid YAML", "z.yml"),
+    }
+
+
+def test_deep_merge_replaces_mappings_and_scalars(spark):
+    rows = [(["v", "x"], [0], "1"), (["v", "y"], [0], "2"), (["v"], [1], "s"), (["v", "x"], [2], "3"), (["w"], [0], "4"), (["w", "a"], [1], "5"), (["u"], [3], "6"), (["u"], [2], "7")]
+    df = spark.createDataFrame([("k", a, p, 0, v) for a, p, v in rows], "k string, at array<string>, place array<int>, ordinal int, value string")
+    assert {(tuple(r["at"]), r.value) for r in G.merged(df, ["k"]).collect()} == {(("v", "x"), "3"), (("w", "a"), "5"), (("u",), "6")}
