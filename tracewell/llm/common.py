@@ -51,14 +51,17 @@ def released(*frames: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have the session send texts to Python ``rows`` rows at a time instead of ten thousand, unless it was set otherwise.
+def small_workers(spark: SparkSession) -> None:
+    """Have the session's Python workers take less memory, unless its settings were chosen otherwise.
 
-    Operators change no settings; this is for the queries and jobs that own their session.
+    Texts go to Python a thousand rows at a time instead of ten thousand. Shortened tracebacks are
+    switched off: they are a variable of UDFs' workers alone, so executors would keep one set of
+    workers for UDFs and another for ``mapInArrow``. Operators change no settings; this is for the
+    queries and jobs that own their session.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, str(rows))
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
 
 
 #: Rows that are turned into Python objects at a time; Spark bounds an Arrow batch in bytes, not in what Python makes of it.

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, warc
-from .common import hex_of, small_batches
+from .common import hex_of, small_workers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the query's session, which sends texts to Python in small batches."""
-    small_batches(spark)
+    """A table of the query's session, whose Python workers are kept small."""
+    small_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
