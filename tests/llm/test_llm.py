@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewell.llm import bpe, chat, langid, lattice, minhash, packing, queries, sharding, simhash, substring, warc
+from tracewell.llm import bpe, chat, langid, lattice, likeness, minhash, packing, queries, sharding, simhash, substring, warc
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 random.seed(5)
@@ -595,6 +595,19 @@ def test_near_duplicates_stage_finds_all_of_likeness(spark):
     assert len(pairs) > 60 and sorted(r.doc_id for r in stage(spark, made, "").collect()) == want
 
 
+@pytest.mark.parametrize("at_once", [8, 512])
+def test_near_copies_in_dense_buckets(spark, monkeypatch, at_once):
+    """A hundred edits of one text, most pairs of which are a little too different, against brute force."""
+    monkeypatch.setattr(likeness, "AT_ONCE", at_once)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    rows = [(k, " ".join(w if rng.random() > 0.025 else f"e{rng.randrange(9000)}" for w in base)) for k in range(100)]
+    pairs, want = brute_near_copies(rows)
+    assert 20 < len(pairs) < 1000 and 20 < len(want) < 95
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == want
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 
