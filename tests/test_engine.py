@@ -1,22 +1,25 @@
 """Every query against its SQL on the small tables, and the operators on rows of their own."""
 
+import base64
 import hashlib
 import json
 import os
 import zipfile
+from urllib.parse import quote
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell import queries as Q
-from tracewell.functions import redact
+from tracewell.functions import redact, scrub
 from tracewell.functions import text as X
 from tracewell.operators import changes as C
 from tracewell.operators import graph as G
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.plans import diagnosis as D
+from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
 from tracewell.sources import readers as S
 from tracewell.streaming.incremental import collect_available
@@ -345,3 +348,64 @@ def test_deep_merge_replaces_mappings_and_scalars(spark):
     rows = [(["v", "x"], [0], "1"), (["v", "y"], [0], "2"), (["v"], [1], "s"), (["v", "x"], [2], "3"), (["w"], [0], "4"), (["w", "a"], [1], "5"), (["u"], [3], "6"), (["u"], [2], "7")]
     df = spark.createDataFrame([("k", a, p, 0, v) for a, p, v in rows], "k string, at array<string>, place array<int>, ordinal int, value string")
     assert {(tuple(r["at"]), r.value) for r in G.merged(df, ["k"]).collect()} == {(("v", "x"), "3"), (("w", "a"), "5"), (("u",), "6")}
+
+
+def test_inspection(spark):
+    got = [(r.run_id, r.rn, r.rule_id, r.severity, r.job_id, r.status) for r in Q.QUERIES["run_inspection_inline"](spark, SF).orderBy("run_id", "rn").collect()]
+    assert got == [
+        ("c1", 1, "runner.ssh_executor_unavailable", "error", "k1", "failed"), ("c1", 2, "script.invalid_json", "error", "k2", "failed"), ("c1", 3, "pipeline.failed", "error", None, "failed"),
+        ("r1", 1, "dependency.resolution_failed", "error", "j3", "failed"), ("r1", 2, "downstream.failed", "error", None, "failed"), ("r1", 3, "test.failed", "error", "j1", "failed"), ("r1", 4, "pipeline.failed", "error", None, "failed"),
+        ("r1", 5, "downstream.unavailable", "warning", None, "failed"), ("r2", 1, "dependency.resolution_failed", "error", "j5", "warning"), ("r2", 2, "sonar.quality_gate_failed", "error", "j4", "warning"), ("r2", 3, "jobs.unanalyzed_failures", "warning", None, "warning"),
+        ("r3", 1, "downstream.bridge_failed", "warning", None, "warning"), ("r3", 2, "job.no_failure_observed", "info", "j7", "warning"), ("r4", 1, "pipeline.not_completed", "info", None, "in_progress"),
+    ]
+
+
+def test_finding_identity_and_what_can_be_acted_on(spark):
+    df = spark.createDataFrame([("r", "a.b", "build_failure", "j", "x.py", 3, "said"), ("r", "a.b", "build_failure", "j", "x.py", 3, "said"), ("r", "a.b", "build_failure", "j", "x.py", 4, "said"), ("r", "p.q", "pipeline_status", None, None, None, None)], "run string, rule_id string, category string, job_id string, path string, line int, text string")
+    told = df.withColumn("id", I.identity(F.col("rule_id"), F.col("job_id"), F.col("path"), F.col("line"), F.col("text")))
+    want = hashlib.sha256(b'{"evidence":{"line":3,"path":"x.py","text":"said"},"job_id":"j","rule_id":"a.b"}').hexdigest()[:24]
+    assert told.first().id == want and I.actionable(told, ["id"]).count() == 2
+
+
+def test_scrubbed_rows(spark):
+    secret = 'p@ss "word"'
+    row = ("no " + secret + " here", [secret, None], {"k": quote(secret, safe="")}, ("x", [base64.b64encode(secret.encode()).decode()]), 5, None)
+    df = spark.createDataFrame([row], "a string, b array<string>, c map<string,string>, d struct<e:string,f:array<string>>, n int, z string")
+    got = scrub.scrubbed(df, [secret]).first()
+    assert (got.a, got.b, got.c, got.d.f, got.n, got.z) == ("no [REDACTED] here", ["[REDACTED]", None], {"k": "[REDACTED]"}, ["[REDACTED]"], 5, None)
+    assert scrub.scrubbed(df, []).first().a == row[0]
+    cut = scrub.kept(df.withColumn("a", F.lit("token=hunter2 \x00and more")), {"a": 22, "b": 1, "n": 0}).first()
+    assert cut.a == "token=[REDACTED] and m" and cut.b == [secret] and cut.n == 5
+
+
+def test_csv_preview_and_row_limit(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Log ,status\n" + "".join(f'"line {i}\nmore",{"" if i % 3 else "bad"}\n' for i in range(30)), encoding="utf-8-sig")
+    told = S.csv_preview(spark, str(path))
+    assert (told["text"].strip(), told["label"], told["bytes"]) == ("Log", "status", path.stat().st_size)
+    rows = S.csv_rows(spark, str(path), limit=7).orderBy("row").collect()
+    assert [(r.row, r.text) for r in rows] == [(i + 1, f"line {i}\nmore") for i in range(7)]
+    for bad in ({"limit": 0}, {"limit": 5001}, {"text_column": "none"}):
+        with pytest.raises(ValueError):
+            S.csv_rows(spark, str(path), **bad)
+
+
+def test_skill_folders_and_many_hidden_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / "skills" / name).mkdir(parents=True)
+        (tmp_path / "skills" / name / "skill.yaml").write_text(f"skill_id: {name}\nversion: 2\ntitle: T\ncategories: [timeout, {name}x]\n")
+    (tmp_path / "skills" / "a" / "runbook.md").write_text("do it")
+    packs = S.skill_folders(spark, str(tmp_path / "skills"))
+    assert sorted((r.skill_id, r.version, r.categories, r.runbook) for r in packs.collect()) == [("a", 2, ["timeout", "ax"], "do it"), ("b", 2, ["timeout", "bx"], None)]
+    assert [r.skill_id for r in S.matching_packs(packs, "bx").collect()] == ["b"]
+    flows = tmp_path / "repo" / ".github" / "workflows"
+    flows.mkdir(parents=True)
+    for i in range(120):
+        (flows / f"f{i:03}.yml").write_text("jobs: {}")
+    got = [os.path.basename(r.path) for r in S.ci_files(spark, str(tmp_path / "repo")).orderBy("path").collect()]
+    assert got == [f"f{i:03}.yml" for i in range(100)]
+
+
+def test_clip(spark):
+    got = spark.createDataFrame([("one two three four",), ("short",), (None,)], "t string").select(X.clip(F.col("t"), 12).alias("c")).collect()
+    assert [r.c for r in got] == ["one two…", "short", ""]

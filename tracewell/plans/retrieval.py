@@ -39,6 +39,79 @@ def similar_incidents(queries: DataFrame, incidents: DataFrame, limit: int = 5,
     return Q.top_n(scored, ["query_id"], [F.desc("resolved"), F.desc("similarity"), "incident_id"], limit).select("query_id", "incident_id", "resolved", "similarity", "rn")
 
 
+def knowledge(queries: DataFrame, documents: DataFrame, *, private: bool, limit: int = 2) -> DataFrame:
+    """(query_id, document_id, similarity, rn): the ``limit`` documents most like each query (query_id, text).
+
+    ``documents`` has (document_id, content, private_scope). Without ``private`` there are none, as only
+    documents of private scope are ever shown. Where fewer share a word with the query, the first of
+    the others fill up with a similarity of 0: ``limit`` of them, so documents are not paired as a whole.
+    """
+    own = documents.where(F.lit(private) & F.col("private_scope"))
+    lexical = Q.multiset_similarity(Q.token_bags(queries, "query_id", "text"), "query_id", Q.token_bags(own, "document_id", "content"), "document_id")
+    scored = lexical.select("query_id", "document_id", (F.col("overlap") / F.col("total")).alias("similarity"))
+    first = F.array_sort(F.collect_list("document_id"))
+    rest = own.select("document_id").orderBy("document_id").limit(2 * limit).agg(first.alias("ids")).withColumn("k", F.lit(1))
+    filler = queries.select("query_id", F.lit(1).alias("k")).join(F.broadcast(rest), "k").select("query_id", F.explode("ids").alias("document_id"), F.lit(0.0).alias("similarity"))
+    best = scored.unionByName(filler).groupBy("query_id", "document_id").agg(F.max("similarity").alias("similarity"))
+    return Q.top_n(best, ["query_id"], [F.desc("similarity"), F.col("document_id")], limit).select("query_id", "document_id", "similarity", "rn")
+
+
+def history(resolutions: DataFrame, jobs: DataFrame, incidents: DataFrame, *, scanned: int = 500) -> DataFrame:
+    """(project, evidence_id, kind, rule_id, category, text, boost): all that is known of past failures, from three stores.
+
+    ``resolutions`` has (project, id, rule_id, resolution, recorded_at), of which the newest three of a
+    rule count; ``jobs`` (project, job_id, rule_id, category, excerpt, boost), of which the ``scanned``
+    with the highest ids count and those without excerpt and rule do not; ``incidents`` (project,
+    incident_id, category, summary, resolution, similarity). Blank resolutions are left out.
+    """
+    null, at = F.lit(None).cast("string"), F.desc("recorded_at")
+    said = Q.top_n(resolutions.where(F.trim("resolution") != ""), ["project", "rule_id"], [at, F.desc("id")], 3)
+    a = said.select("project", F.concat(F.lit("history:resolution:"), F.col("id").cast("string")).alias("evidence_id"), F.lit("confirmed_resolution").alias("kind"), "rule_id", null.alias("category"), F.trim("resolution").alias("text"), F.lit(0.0).alias("boost"))
+    few = Q.top_n(jobs, ["project"], [F.desc("job_id")], scanned).where((F.coalesce("excerpt", F.lit("")) != "") | F.col("rule_id").isNotNull())
+    b = few.select("project", F.concat(F.lit("history:job:"), F.col("job_id").cast("string")).alias("evidence_id"), F.lit("past_failure").alias("kind"), "rule_id", "category", F.coalesce("excerpt", F.lit("")).alias("text"), F.coalesce("boost", F.lit(0.0)).alias("boost"))
+    told = F.concat("summary", F.coalesce(F.concat(F.lit("\nConfirmed resolution: "), "resolution"), F.lit("")))
+    c = incidents.select("project", F.concat(F.lit("history:incident:"), F.substring(F.col("incident_id").cast("string"), 1, 16)).alias("evidence_id"), F.lit("past_incident").alias("kind"), null.alias("rule_id"), "category", told.alias("text"), F.col("similarity").alias("boost"))
+    return a.unionByName(b).unionByName(c)
+
+
+def history_search(findings_: DataFrame, items: DataFrame, *, limit: int = 6, least: float = 0.12) -> DataFrame:
+    """(finding_id, evidence_id, kind, score, rn): the items of ``history`` that bear on each finding, best first.
+
+    ``findings_`` has (finding_id, project, rule_id, category, query). Confirmed resolutions of its rule
+    score 2; others their likeness to the query, raised for the same rule, else the same known
+    category, and by their boost, 1 at most. Items of other projects never count. Within a project
+    items that share a word, a rule or a category, or that have a boost, are met by equal keys.
+    """
+    scoped = lambda df, k, t: Q.token_bags(df, k, t)
+    tagged = items.withColumn("item", F.concat_ws("\x1f", "project", "evidence_id"))
+    bags_f = scoped(findings_, "finding_id", "query").join(findings_.select("finding_id", "project"), "finding_id").select("finding_id", F.concat_ws("\x1f", "project", "token").alias("token"), "n")
+    bags_i = scoped(tagged, "item", "text").join(tagged.select("item", "project"), "item").select("item", F.concat_ws("\x1f", "project", "token").alias("token"), "n")
+    lexical = Q.multiset_similarity(bags_f, "finding_id", bags_i, "item").select("finding_id", "item", (F.col("overlap") / F.col("total")).alias("s"))
+    keys = lambda df, k: df.select(k, "project", F.explode(F.array(F.concat(F.lit("r"), "rule_id"), F.concat(F.lit("c"), "category"))).alias("key")).where("key is not null")
+    met = keys(findings_, "finding_id").join(keys(tagged, "item"), ["project", "key"]).select("finding_id", "item", F.lit(0.0).alias("s"))
+    lifted = findings_.select("finding_id", "project").join(tagged.where("boost > 0").select("project", "item"), "project").select("finding_id", "item", F.lit(0.0).alias("s"))
+    pairs = lexical.unionByName(met).unionByName(lifted).groupBy("finding_id", "item").agg(F.max("s").alias("s"))
+    f = findings_.select("finding_id", F.col("rule_id").alias("f_rule"), F.col("category").alias("f_category"))
+    told = pairs.join(f, "finding_id").join(tagged.select("item", "evidence_id", "kind", "rule_id", "category", "boost"), "item")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    confirmed = F.col("kind") == "confirmed_resolution"
+    score = Q.history_score(F.col("s"), confirmed, same("f_rule", "rule_id"), same("f_category", "category") & (F.col("category") != "unknown"), F.col("boost"))
+    scored = told.where(~confirmed | same("f_rule", "rule_id")).withColumn("score", score).where(F.col("score") >= least)
+    return Q.top_n(scored, ["finding_id"], [F.desc("score"), F.col("evidence_id")], limit).select("finding_id", "evidence_id", "kind", "score", "rn")
+
+
+def source_order(sources: DataFrame, key: str, limit: int = 8) -> DataFrame:
+    """Sources (key, path, ref, url, exact, cited, configures) with their place ``rn``: exact, cited and configuring ones first."""
+    order = [F.desc("exact"), F.desc("cited"), F.desc("configures"), F.col("path"), F.col("ref"), F.col("url")]
+    return Q.top_n(sources, [key], order, limit)
+
+
+def knowledge_counts(projects: DataFrame, observations: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """One row (projects, observations, resolutions) of how much is kept."""
+    parts = [df.agg(F.count("*").alias(n)).withColumn("k", F.lit(1)) for n, df in (("projects", projects), ("observations", observations), ("resolutions", resolutions))]
+    return parts[0].join(parts[1], "k").join(parts[2], "k").drop("k")
+
+
 def bundle(sections: DataFrame, key: str, budget: int = 18_000) -> DataFrame:
     """(key, context, evidence): rendered sections in order of ``place``, cut to a budget of characters, and all ids.
 

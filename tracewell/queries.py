@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tracewell.functions import redact
 from tracewell.functions import rules as R
 from tracewell.functions import text as X
+from tracewell.functions import urls as U
 from tracewell.operators import changes as C
 from tracewell.operators import logs as L
 from tracewell.operators import relational as Q
 from tracewell.plans import diagnosis as D
+from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
 from tracewell.sources.readers import landed
 
@@ -815,6 +817,140 @@ def q_first_distinct(s, d):
 SQL["line_search"] = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS rn FROM conversations WHERE contains(lower(text), 'the') QUALIFY rn <= 30"
 SQL["ordered_distinct"] = "SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn), role)::INT AS place FROM conversations GROUP BY conv_id, role"
 
+URLS = [
+    "https://gitlab.example.com/group/app/-/pipelines/123", "HTTPS://GitLab.Example.com:443/a/b/c/-/jobs/9", "https://g.io/a/b.git", "https://g.io/a/b/-/tree/feature/x", "https://g.io:8443/a/b/-/blob/feature/x/ci/a.yml?ref_type=heads",
+    "https://g.io/a/b/-/raw/main/x%20y.yml?inline=false", "http://localhost:3000/a/b", "http://g.io/a/b", "https://u:p@g.io/a/b", "https://g.io/a/b#x", "https://g.io/a/../b", "https://g.io/a", "https://g.io/a/b/-/pipelines/0", "https://g.io/a/b?x=1",
+    "https://g.io/a/b/-/blob/main/a.yml?token=1", "ftp://g.io/a/b", "https://g.io/a//b", "https://g.io/a/b/", None, "no url", "https://g.io/a/b/-/tree/x?ref_type=tags&inline=true",
+]
+
+
+def q_references(s, d):
+    return s.createDataFrame([(x,) for x in URLS], "url string").select("url", U.reference(F.col("url")).alias("r")).where("r is not null").select("url", "r.*")
+
+
+SQL["url_references_inline"] = f"""
+WITH u AS (SELECT url, string_split(regexp_replace(url, '^[A-Za-z]+://', ''), '?') AS cut, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme FROM {_values([(x,) for x in URLS], 'url')}),
+p AS (
+  SELECT url, scheme, lower(regexp_extract(cut[1], '^([^/]*)', 1)) AS host, rtrim(url_decode(regexp_replace(cut[1], '^[^/]*/?', '')), '/') AS path, coalesce(cut[2], '') AS query FROM u
+  WHERE NOT contains(url, '#') AND NOT contains(url, '@') AND len(cut) <= 2 AND (scheme = 'https' OR scheme = 'http' AND starts_with(cut[1], 'localhost'))),
+r AS (
+  SELECT *, string_split(path, '/-/') AS halves, CASE WHEN scheme = 'https' AND ends_with(host, ':443') THEN host[:-5] ELSE host END AS short FROM p
+  WHERE NOT contains(path, '//') AND NOT list_contains(string_split(path, '/'), '..')),
+k AS (
+  SELECT *, CASE WHEN len(halves) = 1 THEN regexp_replace(path, '[.]git$', '') ELSE halves[1] END AS project, halves[2] AS rest, string_split(halves[2], '/') AS parts FROM r)
+SELECT url, CASE WHEN rest IS NULL THEN 'repository' WHEN parts[1] = 'pipelines' THEN 'pipeline' WHEN parts[1] = 'jobs' THEN 'job' ELSE 'branch' END AS kind, scheme || '://' || short AS base, project,
+  CASE WHEN parts[1] = 'pipelines' THEN parts[2] END AS pipeline_id, CASE WHEN parts[1] = 'jobs' THEN parts[2] END AS job_id,
+  CASE WHEN parts[1] = 'tree' THEN array_to_string(parts[2:], '/') WHEN parts[1] IN ('blob', 'raw') THEN array_to_string(parts[2:-2], '/') END AS ref, CASE WHEN parts[1] IN ('blob', 'raw') THEN parts[-1] END AS file_path
+FROM k WHERE len(string_split(project, '/')) > 1 AND (rest IS NULL AND query = '' OR parts[1] IN ('pipelines', 'jobs') AND try_cast(parts[2] AS BIGINT) > 0 AND query = ''
+  OR parts[1] IN ('tree', 'blob', 'raw') AND len(list_filter(string_split(query, '&'), lambda q: q NOT IN ('', 'ref_type=heads', 'ref_type=tags', 'inline=true', 'inline=false'))) = 0)"""
+
+
+def q_blob_urls(s, d):
+    pages = landed(s, d, "pages").select("page_id", F.concat(F.lit("dir ü/"), F.col("page_id").cast("string"), F.lit("+~*.py")).alias("path"))
+    made = pages.select("page_id", U.blob_url(F.when(F.col("page_id") % 2 == 0, "gitlab").otherwise("github"), F.lit("https://h.io/a/b/"), F.lit("main"), F.col("path"), F.col("page_id").cast("int")).alias("link"), U.include_key(F.lit("a/b"), F.replace("path", F.lit("*"), F.lit("")), F.lit("v1")).alias("key"))
+    return made.select("page_id", "link", "key", U.include_parts(F.col("key")).getField("path").alias("back"))
+
+
+SQL["blob_urls"] = "SELECT page_id, 'https://h.io/a/b' || CASE WHEN page_id % 2 = 0 THEN '/-/blob/' ELSE '/blob/' END || 'main/dir%20%C3%BC/' || page_id || '%2B~%2A.py#L' || page_id AS link, 'project-include://a%2Fb?ref=v1&file=dir%20%C3%BC%2F' || page_id || '%2B~.py' AS key, 'dir ü/' || page_id || '+~.py' AS back FROM pages"
+
+
+def _corpus(s, d):
+    """Users as projects, five-event stretches as pipelines, events as jobs."""
+    e = landed(s, d, "events").select(F.col("user_id").alias("project"), (F.col("event_id") - F.col("event_id") % 5).alias("pipeline_id"), F.col("event_id").alias("job_id"), "event_type", "props")
+    state = F.when(F.col("event_type") == "error", "unknown").when(F.col("event_type") == "view", "analyzed").when(F.col("event_type") == "click", "oversized").when(F.col("event_type") == "signup", "pending").otherwise("analysis_error")
+    jobs = e.select("project", "pipeline_id", "job_id", state.alias("state"), F.concat(F.lit("rule."), (F.col("job_id") % 3).cast("string")).alias("rule_id"), F.col("props").alias("excerpt"))
+    pipelines = e.select("project", "pipeline_id").distinct().select("project", "pipeline_id", (F.col("pipeline_id") % 3 > 0).alias("complete"), F.when(F.col("pipeline_id") % 7 == 0, "unreadable").otherwise("listed").alias("listing_state"), (F.col("pipeline_id") % 11 == 0).alias("capped"))
+    return pipelines, jobs
+
+
+def q_corpus_summary(s, d):
+    shown = lambda c: F.to_json(c)
+    return I.corpus_summary(*_corpus(s, d)).withColumn("rules", shown("rules")).withColumn("excerpts", F.array_join(F.transform("excerpts", lambda x: x.job_id.cast("string")), ","))
+
+
+SQL["corpus_summary"] = """
+WITH j AS (SELECT user_id AS project, event_id - event_id % 5 AS pipeline_id, event_id AS job_id, 'rule.' || event_id % 3 AS rule_id,
+    CASE event_type WHEN 'error' THEN 'unknown' WHEN 'view' THEN 'analyzed' WHEN 'click' THEN 'oversized' WHEN 'signup' THEN 'pending' ELSE 'analysis_error' END AS state FROM events),
+p AS (SELECT DISTINCT project, pipeline_id, pipeline_id % 3 > 0 AS complete, pipeline_id % 7 = 0 AS lost, pipeline_id % 11 = 0 AS capped FROM j),
+s AS (SELECT project, pipeline_id, list(state) AS states FROM j GROUP BY 1, 2),
+ps AS (SELECT project, count(*) AS pipelines, count_if(complete)::BIGINT AS complete, count_if(NOT complete)::BIGINT AS pending, count_if(list_has_any(states, ['analyzed', 'unknown']))::BIGINT AS analyzed, count_if(list_contains(states, 'unknown'))::BIGINT AS unknown,
+    count_if(complete AND NOT list_has_any(states, ['analyzed', 'unknown', 'analysis_error']))::BIGINT AS no_logs, count_if(lost OR list_contains(states, 'oversized'))::BIGINT AS unreadable, count_if(capped)::BIGINT AS capped, max(pipeline_id) AS newest, min(pipeline_id) AS oldest
+  FROM p JOIN s USING (project, pipeline_id) GROUP BY 1),
+js AS (SELECT project, count(*) AS jobs, count_if(state IN ('analyzed', 'unknown'))::BIGINT AS analyzed_jobs, count_if(state = 'oversized')::BIGINT AS unreadable_jobs, count_if(state = 'unknown')::BIGINT AS unknown_jobs, count_if(state = 'oversized')::BIGINT AS oversized_jobs,
+    0::BIGINT AS empty_jobs, count_if(state = 'analysis_error')::BIGINT AS analysis_error_jobs, count_if(state = 'pending')::BIGINT AS pending_jobs FROM j GROUP BY 1),
+rs AS (SELECT project, '[' || string_agg('{"rule_id":"' || rule_id || '","jobs":' || n || ',"pipelines":' || k || '}', ',' ORDER BY n DESC, rule_id) || ']' AS rules FROM (SELECT project, rule_id, count(*) AS n, count(DISTINCT pipeline_id) AS k FROM j WHERE state IN ('analyzed', 'unknown') GROUP BY 1, 2) GROUP BY 1),
+us AS (SELECT project, string_agg(job_id::VARCHAR, ',' ORDER BY pipeline_id DESC, job_id DESC) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY pipeline_id DESC, job_id DESC) AS k FROM j WHERE state = 'unknown') WHERE k <= 5 GROUP BY 1)
+SELECT * FROM ps JOIN js USING (project) LEFT JOIN rs USING (project) LEFT JOIN us USING (project)"""
+
+
+def q_dataset_summary(s, d):
+    docs, labels = landed(s, d, "documents"), landed(s, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("dataset_label"))
+    rows = docs.join(labels, "doc_id", "left").select(F.col("source").alias("source_label"), "dataset_label", F.when(F.col("doc_id") % 4 == 0, "unknown").when(F.col("doc_id") % 9 == 0, "analysis_error").otherwise("classified").alias("state"), F.col("lang").alias("rule_id"))
+    return I.dataset_summary(rows).withColumn("rules", F.to_json("rules"))
+
+
+SQL["dataset_summary"] = """
+WITH r AS (SELECT source, quality, lang, CASE WHEN doc_id % 4 = 0 THEN 'unknown' WHEN doc_id % 9 = 0 THEN 'analysis_error' ELSE 'classified' END AS state FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+n AS (SELECT lang, count(*) AS n FROM r WHERE state = 'classified' GROUP BY 1)
+SELECT count(DISTINCT source) AS sources, count(*) AS rows, count_if(state = 'classified')::BIGINT AS classified, count_if(state = 'unknown')::BIGINT AS unknown, count_if(state = 'analysis_error')::BIGINT AS errors, count(quality) AS labelled,
+  (SELECT '[' || string_agg('{"rule_id":"' || lang || '","n":' || n || '}', ',' ORDER BY n DESC, lang) || ']' FROM n) AS rules FROM r"""
+
+
+def q_knowledge(s, d):
+    items = landed(s, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "text")
+    docs = landed(s, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), (F.col("source") == "src1").alias("private_scope"))
+    none = V.knowledge(items, docs, private=False).select((-F.col("query_id")).alias("query_id"), "document_id", "similarity", "rn")
+    both = V.knowledge(items, docs, private=True).unionByName(none)
+    return both.select("query_id", "document_id", F.bround("similarity", 6).alias("similarity"), "rn")
+
+
+SQL["knowledge_documents"] = _SIM + """
+SELECT -1 - item_id AS query_id, doc_id AS document_id, round(coalesce(overlap / total, 0), 6) AS similarity, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(overlap / total, 0) DESC, doc_id)::INT AS rn
+FROM benchmark CROSS JOIN (SELECT doc_id FROM documents WHERE source = 'src1') LEFT JOIN sim USING (item_id, doc_id) QUALIFY rn <= 2"""
+
+HISTORY_JOBS = [("p", 1, "r.a", "c", "red green", 0.0), ("p", 2, "r.b", "c", "red", 0.05), ("p", 3, None, "unknown", "", None), ("q", 4, "r.a", "c", "red green", 0.9), ("p", 5, "r.z", "d", "blue", 0.0), ("p", 6, "r.z", "d", "other", 0.3)]
+HISTORY_SAID = [("p", "s1", "r.a", "turn it off", 5), ("p", "s2", "r.a", "turn it on", 7), ("p", "s3", "r.a", " ", 9), ("p", "s4", "r.b", "wait", 1), ("p", "s5", "r.a", "older", 1), ("p", "s6", "r.a", "oldest", 0)]
+HISTORY_PAST = [("p", "0123456789abcdefXYZ", "c", "red green blue", "fix it", 0.2), ("p", "i2", "d", "nothing", None, 0.0)]
+HISTORY_ASK = [("f1", "p", "r.a", "c", "red green"), ("f2", "p", "r.x", "unknown", "zzz"), ("f3", "q", "r.a", "d", "")]
+
+
+def q_history_items(s, d):
+    items = V.history(
+        s.createDataFrame(HISTORY_SAID, "project string, id string, rule_id string, resolution string, recorded_at int"), s.createDataFrame(HISTORY_JOBS, "project string, job_id int, rule_id string, category string, excerpt string, boost double"),
+        s.createDataFrame(HISTORY_PAST, "project string, incident_id string, category string, summary string, resolution string, similarity double"))
+    return V.history_search(s.createDataFrame(HISTORY_ASK, "finding_id string, project string, rule_id string, category string, query string"), items)
+
+
+SQL["history_items_inline"] = f"""
+WITH i AS (
+  SELECT project, 'history:resolution:' || id AS evidence_id, 'confirmed_resolution' AS kind, rule_id, NULL AS category, resolution AS text, 0.0::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY since DESC) AS n FROM {_values(HISTORY_SAID, 'project, id, rule_id, resolution, since')} WHERE trim(resolution) <> '') WHERE n <= 3
+  UNION ALL SELECT project, 'history:job:' || job_id, 'past_failure', rule_id, category, excerpt, coalesce(boost, 0) FROM {_values(HISTORY_JOBS, 'project, job_id, rule_id, category, excerpt, boost')} WHERE excerpt <> '' OR rule_id IS NOT NULL
+  UNION ALL SELECT project, 'history:incident:' || id[:16], 'past_incident', NULL, category, summary || coalesce(chr(10) || 'Confirmed resolution: ' || resolution, ''), similarity FROM {_values(HISTORY_PAST, 'project, id, category, summary, resolution, similarity')}),
+t AS (SELECT *, regexp_extract_all(lower(text), '[a-z][a-z0-9_/-]{{2,}}') AS w FROM i),
+m AS (
+  SELECT finding_id, evidence_id, kind, a.rule_id = t.rule_id AS same_rule, a.category = t.category AND t.category <> 'unknown' AS same_kind, boost,
+    len(list_intersect(regexp_extract_all(query, '[a-z]{{3,}}'), w)) AS n, len(regexp_extract_all(query, '[a-z]{{3,}}')) AS nq, len(w) AS nw
+  FROM {_values(HISTORY_ASK, 'finding_id, project, rule_id, category, query')} a JOIN t USING (project)),
+s AS (SELECT finding_id, evidence_id, kind, CASE WHEN kind = 'confirmed_resolution' THEN CASE WHEN same_rule THEN 2.0 END
+    ELSE round_even(least(1, CASE WHEN nq + nw > n THEN n / (nq + nw - n) ELSE 0 END + CASE WHEN coalesce(same_rule, false) THEN 0.25 WHEN coalesce(same_kind, false) THEN 0.1 ELSE 0 END + boost), 3) END::DOUBLE AS score FROM m)
+SELECT finding_id, evidence_id, kind, score, row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, evidence_id)::INT AS rn FROM s WHERE score >= 0.12 QUALIFY rn <= 6"""
+
+INSPECTED_JOBS = [
+    ("r1", "j1", "build", "ci", "failed", False, None, "a1"), ("r1", "j2", "deploy", "ci", "success", False, None, "a3"), ("r1", "j3", "lint", "ci", "failed", True, None, "a2"), ("r2", "j4", "test", "ci", "failed", True, None, "a9"),
+    ("r2", "j5", "more", "ci", "failed", True, None, "a2"), ("r2", "j6", "pack", "ci", "failed", False, None, "a1"), ("r3", "j7", "ok", "ci", "success", False, None, "a3"), ("c1", "k1", "child", "ci", "failed", True, None, "a5"), ("c1", "k2", "child", "ci", "failed", False, None, "a8"),
+]
+INSPECTED_RUNS = [("r1", "failed", None, False), ("r2", "success", None, False), ("r3", "success", None, False), ("r4", "running", None, False), ("c1", "failed", None, False)]
+BRIDGES = [("r1", "b1", "failed", False, "c1"), ("r1", "b2", "failed", False, "c1"), ("r1", "b3", "failed", True, "gone"), ("r3", "b4", "warning", False, "r4"), ("r2", "b5", "success", False, "c1"), ("r1", "b6", "failed", False, "r1")]
+
+
+def q_inspected(s, d):
+    logs = s.createDataFrame([(i, x) for i, _, x in LOGS], "name_of_log string, log string")
+    jobs = s.createDataFrame(INSPECTED_JOBS, "run_id string, job_id string, name string, stage string, status string, allow_failure boolean, failure_reason string, name_of_log string").join(logs, "name_of_log").withColumn("conclusion", F.lit(None).cast("string")).withColumn("selected", F.lit(False))
+    runs = s.createDataFrame(INSPECTED_RUNS, "run_id string, status string, conclusion string, partial boolean")
+    found, status = I.inspected(runs, jobs, s.createDataFrame(BRIDGES, "run_id string, bridge_id string, status string, allow_failure boolean, child_id string"), budget=2)
+    return found.join(status, "run_id").select("run_id", "rn", "rule_id", "severity", "job_id", "status")
+
+
 QUERIES = {
     "fingerprint_clusters": q_fingerprint_clusters, "line_explode": q_line_explode, "clean_lines": q_clean_lines, "rule_signals_inline": q_first_rule,
     "failure_signals_inline": q_failure_signals, "top_signal_per_log": q_top_signal, "fingerprint_logs_inline": q_fingerprint_logs, "chunk_full": q_chunk_windows,
@@ -824,6 +960,8 @@ QUERIES = {
     "retention_newest_n": q_retention, "orphan_check": q_orphans, "status_summary": q_status_summary, "rule_histogram": q_rule_histogram, "project_summary": q_project_summary,
     "having_gt2": q_having, "distinct_subquery": q_distinct, "set_union": lambda s, d: _keys(s, d)[0].union(_keys(s, d)[1]).distinct(),
     "set_intersect": lambda s, d: _keys(s, d)[0].intersect(_keys(s, d)[1]), "set_except": lambda s, d: _keys(s, d)[0].subtract(_keys(s, d)[1]),
+    "url_references_inline": q_references, "blob_urls": q_blob_urls, "corpus_summary": q_corpus_summary, "dataset_summary": q_dataset_summary,
+    "knowledge_documents": q_knowledge, "history_items_inline": q_history_items, "run_inspection_inline": q_inspected,
     "diagnosis_inline": q_diagnoses, "overall_status": q_overall, "rows_classified": q_classified, "code_locations_inline": q_code_locations,
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names of text and label columns in order of preference; folders and names that are left out.
@@ -27,10 +27,46 @@ def find_column(names: list[str], wanted: tuple[str, ...], requested: str | None
     return next((by[w] for w in wanted if w in by), None)
 
 
+#: Rows of an import, at most and by default; bytes of its file.
+ROW_LIMITS, CSV_BYTES = (500, 5_000), 256 << 20
+
+
+def csv_preview(spark: SparkSession, path: str, *, text_column: str | None = None, label_column: str | None = None) -> dict:
+    """What an import would read, without reading a row: its columns, its text and label column and its bytes.
+
+    Fails for a missing or oversized file and for one without a text column.
+    """
+    df = _csv(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    if size > CSV_BYTES:
+        raise ValueError(f"{size} bytes are more than {CSV_BYTES}")
+    text = find_column(df.columns, TEXT_COLUMNS, text_column)
+    if text is None:
+        raise ValueError("no text column")
+    return {"columns": df.columns, "text": text, "label": find_column(df.columns, LABEL_COLUMNS, label_column), "bytes": size}
+
+
+def csv_rows(spark: SparkSession, path: str, *, limit: int = ROW_LIMITS[0], text_column: str | None = None, label_column: str | None = None) -> DataFrame:
+    """The first ``limit`` rows of ``log_csv`` in the file's order, with ``row`` from 1; blank and repeated ones count.
+
+    A CSV with line breaks in quotes can't be split, so one file is one task and its order is that of the task.
+    """
+    if not 1 <= limit <= ROW_LIMITS[1]:
+        raise ValueError(f"limit must be 1 to {ROW_LIMITS[1]}")
+    rows = log_csv(spark, path, text_column=text_column, label_column=label_column)
+    placed = rows.select("*", F.monotonically_increasing_id().alias("at")).orderBy("at").limit(limit)
+    return placed.select((F.row_number().over(Window.orderBy("at"))).alias("row"), "text", "label")
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+
+
 def log_csv(spark: SparkSession, path: str, *, text_column: str | None = None, label_column: str | None = None) -> DataFrame:
     """(text, label) of a CSV with a header: quoted line breaks and a byte-order mark are fine, all columns are strings."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = _csv(spark, path)
     text = find_column(df.columns, TEXT_COLUMNS, text_column)
     if text is None:
         raise ValueError("no text column")
@@ -38,36 +74,45 @@ def log_csv(spark: SparkSession, path: str, *, text_column: str | None = None, l
     return df.select(F.col(f"`{text}`").alias("text"), (F.col(f"`{label}`") if label else F.lit(None).cast("string")).alias("label"))
 
 
-#: CI files behind a dot that one import reads at most, as the importer has it.
-HIDDEN_FILES = 100
+#: CI files of a folder that one import reads, and bytes of each.
+FILES, FILE_BYTES = 100, 250_000
 
 
-def _hidden(spark: SparkSession, folder: str, largest: int) -> list[tuple[str, int, bytearray]]:
-    """CI files to four folders deep that Spark's listings pass over for the dot before their name or folder.
-
-    There are HIDDEN_FILES of ``largest`` bytes at most, so the driver reads them, by Hadoop's file system.
-    """
-    patterns = [f"{folder}{'/*' * d}/{name}" for d in range(5) for name in (".gitlab-ci*", ".github/workflows/*")]
-    found: list[tuple[str, int, bytearray]] = []
-    for pattern in patterns:
+def _hidden(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Paths and sizes of CI files to four folders deep that Spark's listings pass over for the dot before their name or folder, sorted."""
+    found = set()
+    for pattern in (f"{folder}{'/*' * d}/{name}" for d in range(5) for name in (".gitlab-ci*", ".github/workflows/*")):
         path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        for status in files.globStatus(path) or ():
-            if status.isFile() and status.getLen() <= largest and len(found) < HIDDEN_FILES:
-                stream = files.open(status.getPath())
-                found.append((status.getPath().toString(), status.getLen(), bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-                stream.close()
-    return found
+        found |= {(s.getPath().toString(), s.getLen()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or () if s.isFile()}
+    return sorted(found)
 
 
-def ci_files(spark: SparkSession, folder: str, *, largest: int = 250_000) -> DataFrame:
-    """(path, size, content) of CI configurations and logs below a folder, without names that look like secrets."""
+def _opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        content = []
+        for path in batch["path"]:
+            system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            with system.open_input_stream(name) as stream:
+                content.append(stream.read())
+        yield batch.assign(content=content)
+
+
+def ci_files(spark: SparkSession, folder: str, *, largest: int = FILE_BYTES, limit: int = FILES) -> DataFrame:
+    """(path, size, content) of the first ``limit`` CI configurations and logs below a folder, by path, without names that look like secrets.
+
+    Files behind a dot are found by name on the driver and read by tasks like the others.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "content")
-    files = files.unionByName(spark.createDataFrame(_hidden(spark, folder.rstrip("/"), largest), "path string, length long, content binary"))
+    if hidden := [x for x in _hidden(spark, folder.rstrip("/")) if x[1] <= largest]:
+        opened = spark.createDataFrame(hidden, "path string, length long").mapInPandas(_opened, "path string, length long, content binary")
+        files = files.unionByName(opened).dropDuplicates(["path"])
     path = F.col("path")
     wanted = path.rlike(r"(?i)(\.gitlab-ci[^/]*\.ya?ml|/\.github/workflows/[^/]+\.ya?ml|/ci/.*\.ya?ml|\.log)$")
-    hidden = path.rlike("/(" + "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS) + ")/") | path.rlike(r"(?i)/[^/]*(secret|credential|password|token|\.env|\.pem|\.key|id_rsa)[^/]*$")
-    return files.where(wanted & ~hidden & (F.col("length") <= largest)).select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+    unwanted = path.rlike("/(" + "|".join(x.replace(".", r"\.") for x in SKIPPED_FOLDERS) + ")/") | path.rlike(r"(?i)/[^/]*(secret|credential|password|token|\.env|\.pem|\.key|id_rsa)[^/]*$")
+    kept = files.where(wanted & ~unwanted & (F.col("length") <= largest)).orderBy("path").limit(limit)
+    return kept.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
 
 
 def _strict(pairs: list[tuple]) -> dict:
@@ -85,8 +130,8 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=_strict, parse_constant=bad)
 
 
-def zip_member(archives: DataFrame, member: str, *, path: str = "path", content: str = "content", members: int = 64, largest: int = 2 << 20) -> DataFrame:
-    """(path, json, problem): one JSON member of each ZIP archive, after a check of all members' names and sums."""
+def zip_member(archives: DataFrame, member: str, *, path: str = "path", content: str = "content", members: int = 64, largest: int = 2 << 20, ratio: int = 200) -> DataFrame:
+    """(path, json, problem): one JSON member of each ZIP archive, after a check of all members' names, sizes, sums and compression."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,7 +140,7 @@ def zip_member(archives: DataFrame, member: str, *, path: str = "path", content:
                 try:
                     with zipfile.ZipFile(io.BytesIO(raw)) as z:
                         infos = z.infolist()
-                        unsafe = [i for i in infos if i.filename.startswith("/") or ".." in i.filename.split("/") or i.file_size > largest]
+                        unsafe = [i for i in infos if i.filename.startswith("/") or ".." in i.filename.split("/") or i.file_size > largest or i.file_size > ratio * max(1, i.compress_size)]
                         if len(infos) > members or unsafe or z.testzip():
                             raise ValueError("unsafe archive")
                         text = z.read(member).decode("utf-8")
@@ -148,5 +193,34 @@ def skill_packs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "skill_id string, version int, title string, categories array<string>, runbook string")
 
 
+def skill_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """``skill_packs`` of a folder: ``*/skill.yaml`` (id, version, title, categories) with the ``runbook.md`` beside it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.decode("content", "UTF-8").alias("content"))
+    packs = files.where(F.col("path").rlike(r"/skill\.ya?ml$")).withColumn("home", F.regexp_extract("path", r"^(.*)/[^/]+$", 1))
+    books = files.where(F.col("path").endswith("/runbook.md")).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("home"), F.col("content").alias("runbook"))
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for home, text in zip(batch["home"], batch["content"]):
+                try:
+                    found = yaml.safe_load(text)
+                except yaml.YAMLError:
+                    continue
+                if isinstance(found, dict):
+                    rows.append((home, str(found.get("skill_id") or found.get("id") or home.rsplit("/", 1)[-1]), int(found.get("version") or 1), str(found.get("title") or ""), [str(x) for x in found.get("categories") or []]))
+            yield pd.DataFrame(rows, columns=["home", "skill_id", "version", "title", "categories"])
+
+    told = packs.select("home", "content").mapInPandas(task, "home string, skill_id string, version int, title string, categories array<string>")
+    return told.join(books, "home", "left").select("skill_id", "version", "title", "categories", "runbook")
+
+
+def matching_packs(packs: DataFrame, category: str) -> DataFrame:
+    """Packs that are meant for a category."""
+    return packs.where(F.array_contains("categories", category))
+
+
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
