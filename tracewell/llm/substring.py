@@ -4,7 +4,7 @@ Four passes, none of which gathers a window's occurrences in one place:
 
 1. Each task hashes all windows of its texts and sends the sketch cells they fall into, sorted and
    packed; cells are merged by block of the sketch into "counted twice or more".
-2. The merged sketch, DEPTH rows of bits (about three for each window, 64 MB at most), is broadcast. Each task keeps the
+2. The merged sketch, DEPTH rows of bits (about two to four for each window, 64 MB at most), is broadcast. Each task keeps the
    windows whose cells are all counted twice. Of a window's occurrences within one batch only those
    in the batch's smallest document are in doubt; the others are repeats at once. The ones in doubt
    are sent by hash, so a window of a third of all documents costs one entry a batch.
@@ -37,7 +37,7 @@ from .common import partitions, released, slices, staged
 #: Cells of a row of the sketch, as powers of two: at least one block, at most what a worker can hold.
 LOG_BLOCK, LOG_MOST, DEPTH = 20, 28, 2
 #: Bytes of text for each word, at least in prose; cells for each window; entries grouped at a time.
-WORD_BYTES, CELLS_EACH, GROUP_ENTRIES = 6, 3, 1 << 22
+WORD_BYTES, CELLS_EACH, GROUP_ENTRIES = 6, 2, 1 << 22
 #: Windows, candidates and bytes of text handled at a time.
 FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 20, 1 << 18, 1 << 20
 
