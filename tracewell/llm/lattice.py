@@ -221,17 +221,21 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     do vectors of different dimensions, nor rows without an id, whose component_id and kept are
     null. Equal vectors are one class that is compared once; its rows are all linked to each other.
     Rows that share an id are one node of the component, each with its own links. Ids are longs.
+    Rows meet their class by a 128-bit hash of the vector, so vectors travel once, into their classes.
+    A cell of more than AT_ONCE classes is dealt into chunks of half as many, each pair of which is
+    compared as one matrix: all its pairs are compared, as n_links counts each, and none is a row.
     An empty table gives no rows. Other columns are not read, whatever their names.
     """
     spark = rows.sparkSession
     v = F.col(vector_col).cast("array<double>")
     sound = (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     every = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(sound & F.col(id_col).isNotNull(), F.lit(False)), F.col(vector_col)).alias("v"))
-    classes = every.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n")).withColumn("h", F.xxhash64("v"))
+    every = every.withColumn("h", F.xxhash64("v")).withColumn("g", F.xxhash64(F.lit(SEED), "v"))  # 128 bits name a vector
+    classes = every.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.any_value("h").alias("h"), F.any_value("g").alias("g"))
     classes = staged(classes, "vectors")
     named = staged(classes.select("cid", "h", "v").mapInArrow(_named, "cell long, own boolean, cid long, h long"), "cells")
     sizes = named.groupBy("cell").agg(F.count("*").alias("size"), F.count_if("own").alias("owners")).where("size > 1 and owners > 0").select("cell", "size")
-    members = named.join(sizes, "cell").join(classes, ["cid", "h"])
+    members = named.join(sizes, "cell").join(classes.drop("g"), ["cid", "h"])
     chunks = F.when(F.col("size") <= AT_ONCE, F.lit(1)).otherwise(F.ceil(F.col("size") / (AT_ONCE // 2)).cast("int"))
     own_chunk = F.pmod(F.xxhash64("cid", "h"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
@@ -242,6 +246,8 @@ def embedding_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str =
     components = connected_components(found.where("cid <> to").select(F.col("cid").alias("a"), F.col("to").alias("b")))
     counted = found.groupBy("cid", "h").agg(F.sum("more").alias("more"))
     told = classes.join(counted, ["cid", "h"], "left").join(components.withColumnRenamed("node", "cid"), "cid", "left")
-    told = told.select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
-    out = every.join(told, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    told = told.select("h", "g", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
+    sound_ = F.col("v").isNotNull()
+    named = every.select("vec_id", F.when(sound_, F.col("h")).alias("h"), F.when(sound_, F.col("g")).alias("g"))
+    out = named.join(told, ["h", "g"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
