@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import queries as Q
-from tracewell.functions import redact, scrub
+from tracewell.functions import redact, rules, scrub
 from tracewell.functions import text as X
 from tracewell.operators import changes as C
 from tracewell.operators import graph as G
@@ -286,6 +286,8 @@ def test_stream_resumes(spark, tmp_path):
     assert collect_available(spark, source, target, check, ["id"]).count() == 5
     spark.range(3, 8).write.mode("append").parquet(source)
     assert sorted(r.id for r in collect_available(spark, source, target, check, ["id"]).collect()) == list(range(8))
+    again = collect_available(spark, source, target, str(tmp_path / "other"), ["id"])  # all files once more, as after a lost checkpoint
+    assert sorted(r.id for r in again.collect()) == list(range(8)) and again.columns == ["id", "batch"]
 
 
 def test_text_functions(spark):
@@ -409,3 +411,31 @@ def test_skill_folders_and_many_hidden_files(spark, tmp_path):
 def test_clip(spark):
     got = spark.createDataFrame([("one two three four",), ("short",), (None,)], "t string").select(X.clip(F.col("t"), 12).alias("c")).collect()
     assert [r.c for r in got] == ["one two…", "short", ""]
+
+
+def test_upsert_with_children_capacity_and_feedback(spark):
+    parents, children = spark.createDataFrame([(1, "p"), (2, "q")], "id int, project string"), spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, piece string")
+    both = R.upsert_with_children(parents, children, spark.createDataFrame([(1, "r"), (3, "p")], "id int, project string"), spark.createDataFrame([(1, "z")], "id int, piece string"), ["id"])
+    assert [sorted(map(tuple, x.collect())) for x in both] == [[(1, "r"), (2, "q"), (3, "p")], [(1, "z"), (2, "c")]]
+    assert R.within_capacity(parents, parents, ["id"], {"*": 2, "project": 2}).count() == 2
+    for limits in ({"*": 2}, {"project": 2}):
+        with pytest.raises(ValueError):
+            R.within_capacity(parents, spark.createDataFrame([(3, "n")], "id int, project string"), ["id"], limits)
+    incidents = spark.createDataFrame([(1, "open", None), (2, "resolved", "old"), (3, "open", None), (4, "open", None)], "id int, resolution_status string, resolution string")
+    said = spark.createDataFrame([(1, "resolved", "new"), (2, "rejected", "x"), (3, "nonsense", "y"), (9, "resolved", "z")], "id int, outcome string, resolution string")
+    assert sorted(map(tuple, R.with_feedback(incidents, said, "id").collect())) == [(1, "resolved", "new"), (2, "rejected", None), (3, "open", None), (4, "open", None)]
+
+
+def test_reclassified(spark):
+    rows = spark.createDataFrame([(1, "HTTP 401", "classified", "old.rule", "old", "old"), (2, "HTTP 401", "classified", "mine", "own", rules.checksum()), (3, "calm", "classified", "old.rule", "old", None)], "id int, excerpt string, state string, rule_id string, category string, rule_checksum string")
+    got = {r.id: (r.state, r.rule_id, r.rule_checksum == rules.checksum()) for r in D.reclassified(rows, "id", "excerpt").collect()}
+    assert got == {1: ("classified", "auth.authentication_rejected", True), 2: ("classified", "mine", True), 3: ("unknown", "job.insufficient_evidence", True)}
+
+
+def test_command_line(capsys):
+    from tracewell.__main__ import main
+
+    assert main(["no_such_query", SF]) == 2 and main([]) == 2
+    capsys.readouterr()
+    assert main(["overall_status", SF]) == 0 and len(capsys.readouterr().out.splitlines()) == len(Q.RUNS)
+    assert main(["join_anti", "/no/such/folder"]) == 3

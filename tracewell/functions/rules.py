@@ -7,6 +7,8 @@ engines without it agree on them.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -108,6 +110,12 @@ UPLOAD_END = r"(?i)^(?:cleaning up|section_(?:end|start):)"
 EXIT_CODE = r"(?i)\bexit(?:ed)?(?: with)?(?: (?:code|status))?[ :=]+([0-9]+)\b"
 
 
+def checksum(rules: tuple[Rule, ...] = RULES) -> str:
+    """What stored classifications are marked with: a hash of all that decides them, equal as long as nothing of it changes."""
+    parts = [[r.rule_id, r.category, r.priority, r.patterns, r.chunk_type] for r in rules]
+    return hashlib.sha256(json.dumps([parts, NOISE, FOOTER, MERGE, UPLOAD, UPLOAD_END], sort_keys=True).encode()).hexdigest()
+
+
 def noise(line: Column) -> Column:
     """Lines that are no evidence: blank, a command, a warning, a zero count, an example, a mark of omission."""
     found = line == ""

@@ -103,6 +103,42 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
+def upsert_with_children(parents: DataFrame, children: DataFrame, new_parents: DataFrame, new_children: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both tables with ``new_parents`` in place, and of their children only the new ones: the old ones of the same keys go."""
+    kept = children.join(new_parents.select(*keys).distinct(), keys, "left_anti")
+    return upsert(parents, new_parents, keys), kept.unionByName(new_children)
+
+
+def within_capacity(old: DataFrame, new: DataFrame, keys: list[str], limits: dict[str, int]) -> DataFrame:
+    """``upsert`` if the result has no more distinct values of each column of ``limits`` than its limit; ValueError if it has.
+
+    The key's own limit is given under ``*``. Counts are made before anything is written.
+    """
+    out = upsert(old, new, keys)
+    found = out.agg(F.count_distinct(F.struct(*keys)).alias("*"), *[F.count_distinct(c).alias(c) for c in limits if c != "*"]).first().asDict()
+    over = {c: found[c] for c, n in limits.items() if found[c] > n}
+    if over:
+        raise ValueError(f"more than the store takes: {over}")
+    return out
+
+
+#: What a person can say about an incident.
+OUTCOMES = ("resolved", "rejected", "unresolved")
+
+
+def with_feedback(incidents: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """``incidents`` (key, resolution_status, resolution and more) with feedback (key, outcome, resolution) put in.
+
+    Outcomes other than OUTCOMES, null ones and those of unknown incidents change nothing; a
+    resolution is kept only where the outcome is ``resolved``. A key has one feedback.
+    """
+    said = feedback.where(F.col("outcome").isin(*OUTCOMES)).select(F.col(key).alias("__k"), "outcome", F.col("resolution").alias("__r"))
+    told = incidents.join(said, F.col(key) == F.col("__k"), "left")
+    status = F.coalesce("outcome", "resolution_status")
+    solved = F.when(F.col("outcome").isNull(), F.col("resolution")).when(F.col("outcome") == "resolved", F.col("__r"))
+    return told.select(*[{"resolution_status": status, "resolution": solved}.get(c, F.col(c)).alias(c) for c in incidents.columns])
+
+
 def insert_new(seen: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key neither ``seen`` nor an equal row has."""
     return rows.join(seen.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)

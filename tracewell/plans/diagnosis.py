@@ -141,6 +141,17 @@ def classified(rows: DataFrame, key: str, text: str, done: str = "classified") -
     return found.select(F.col("job_id").cast(rows.schema[key].dataType).alias(key), state.alias("state"), "rule_id", "category")
 
 
+def reclassified(stored: DataFrame, key: str, text: str, *, done: str = "classified") -> DataFrame:
+    """``stored`` (key, text, state, rule_id, category, rule_checksum and more) with rows of other rules than now classified again."""
+    now = R.checksum()
+    old = stored.where(~F.col("rule_checksum").eqNullSafe(F.lit(now)))
+    found = classified(old, key, text, done).select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in ("state", "rule_id", "category")])
+    told = stored.join(found, F.col(key) == F.col("__k"), "left")
+    new = F.col("__k").isNotNull()
+    own = {c: F.when(new, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("state", "rule_id", "category")} | {"rule_checksum": F.when(new, F.lit(now)).otherwise(F.col("rule_checksum"))}
+    return told.select(*[own.get(c, F.col(c)).alias(c) for c in stored.columns])
+
+
 def diagnosis_confidence(priority: Column, category: Column) -> Column:
     """0.96 for a specific diagnostic, 0.42 for a generic one, 0.9 for a success, 0.3 for nothing."""
     return F.when(priority.isNotNull() & (category != "unknown"), 0.96).when(priority.isNotNull(), 0.42).when(category == "no_failure_observed", 0.9).otherwise(0.3)

@@ -519,6 +519,12 @@ def q_redact_full(s, d):
     return out.select("doc_id", F.sha2("r.content", 256).alias("sha256"), "r.replacements")
 
 
+#: What these documents hold: a quoted value after ``token =``; with more right behind its quote, the value goes on to the next blank.
+SQL["redact_full"] = r"""
+SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)(\btoken = )"[^"\s]*"[^\s;&|<>]+', '\1[REDACTED]', 'g'), '(?i)(\btoken = )"[^"]*"', '\1"[REDACTED]"', 'g')) AS sha256,
+  coalesce(len(regexp_extract_all(text, '(?i)\btoken = "[^"]*"')), 0)::INT AS replacements FROM documents"""
+
+
 def q_token_bag(s, d):
     return Q.token_bags(landed(s, d, "benchmark"), "item_id", "text")
 
