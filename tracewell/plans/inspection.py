@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
+from tracewell.functions.redact import redact_column
 from tracewell.plans import diagnosis as D
 from tracewell.plans import retrieval as V
 
@@ -94,6 +95,40 @@ def inspected(runs: DataFrame, jobs: DataFrame, bridges: DataFrame | None = None
     return V.ordered_findings(every, "run_id", limit), D.overall_status(runs, every)
 
 
+#: Statuses of rows that did not fail; rows that are read and failures that are shown, at most; the largest count.
+BENIGN = ("success", "succeeded", "passed", "ok", "updated", "update", "deployed", "created", "complete", "completed", "skipped", "skip", "ignored", "dry-run", "dry_run", "not-applicable", "not_applicable")
+ROWS_READ, FAILURES, COUNT = 10_000, 20, 1_000_000_000
+RESET = r"(?i)\bconnection\s*reset(?:\s+by\s+peer)?\b|\bconnectionreseterror\b"
+
+
+def artifact_failures(summaries: DataFrame, *, rows_read: int = ROWS_READ, failures: int = FAILURES) -> DataFrame:
+    """(path, failed, reset, bounded, rule_id) of deployment summaries (path, json): did a field mapping fail, and was it a reset connection.
+
+    ``fieldMappings`` is a list of rows, or has ``failures`` and a count. A row has failed if its status
+    is none of BENIGN, or if it has none but stands in ``failures`` with an error. A count alone tells of
+    a failure unless every row is benign. Only the first ``failures`` failed rows of the first
+    ``rows_read`` are looked into; ``bounded`` says that there were more. Errors are redacted first.
+    """
+    field = F.get_json_object("json", "$.fieldMappings")
+    mapped = field.startswith("{")
+    listed = F.when(mapped, F.get_json_object("json", "$.fieldMappings.failures")).otherwise(field)
+    rows = F.coalesce(F.from_json(F.when(listed.startswith("["), listed), "array<struct<status:string,error:string,message:string>>"), F.array())
+    count = lambda name: F.get_json_object("json", f"$.fieldMappings.{name}").try_cast("long")
+    sound = lambda c: F.when((c >= 0) & (c <= COUNT), c)
+    told = summaries.select("path", rows.alias("every"), (mapped & listed.startswith("[")).alias("of_failures"), F.when(mapped, F.coalesce(sound(count("failed")), sound(count("failure")))).alias("count"))
+    status = lambda x: F.nullif(F.lower(F.trim(x.status)), F.lit(""))
+    text = lambda x: F.concat_ws(" ", x.error, x.message)
+    good = lambda x: F.coalesce(status(x).isin(*BENIGN), F.lit(False))
+    bad = F.filter(F.slice("every", 1, rows_read), lambda x: x.isNotNull() & ~good(x) & (status(x).isNotNull() | (F.col("of_failures") & (text(x) != ""))))
+    told = told.withColumn("bad", bad).withColumn("said", redact_column(F.array_join(F.transform(F.slice("bad", 1, failures), text), "\n")).getField("content"))
+    benign = (F.size("every") > 0) & (F.size("every") <= rows_read) & F.forall("every", lambda x: x.isNotNull() & good(x))
+    failed = (F.size("bad") > 0) | (F.coalesce(F.col("count") > 0, F.lit(False)) & ~benign)
+    reset = F.coalesce(F.col("said").rlike(RESET), F.lit(False))
+    over = (F.size("bad") > failures) | (F.size("every") > rows_read)
+    rule = F.when(failed, F.when(reset, "rlp.datasync_field_mapping_connection_reset").otherwise("rlp.datasync_field_mapping_artifact_failure"))
+    return told.select("path", failed.alias("failed"), reset.alias("reset"), over.alias("bounded"), rule.alias("rule_id"))
+
+
 def actionable(found: DataFrame, keys: list[str]) -> DataFrame:
     """Findings that something can be done about, one of each identity: no status, context or success."""
     return found.where(~F.col("category").isin(*V.STATUS_CATEGORIES, "no_failure_observed")).dropDuplicates(keys)

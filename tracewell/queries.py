@@ -615,19 +615,27 @@ def q_stable_ids(s, d):
 SQL["stable_ids"] = "SELECT event_id, substr(sha256('p:' || user_id || ':' || event_type || ':' || event_id), 1, 24) AS incident_id, regexp_replace(lower(event_type), '[^a-z0-9]', '', 'g') AS job, lower(event_type) AS outcome FROM events"
 
 
-ARTIFACTS = [("z1", '{"failedCount": 2, "failures": [{"error": "connection reset by peer"}, {"error": "bad"}]}'), ("z2", '{"failedCount": 0, "failures": []}'), ("z3", '{"failedCount": 1, "failures": [{"error": "refused"}]}')]
+ARTIFACTS = [
+    ("z1", '{"fieldMappings": {"failed": 2, "failures": [{"status": "failed", "error": "connection reset by peer"}, {"error": "bad"}]}}'), ("z2", '{"fieldMappings": {"failed": 0, "failures": []}}'),
+    ("z3", '{"fieldMappings": {"failed": 1, "failures": [{"status": "Skipped", "error": "ConnectionResetError"}]}}'), ("z4", '{"fieldMappings": {"failure": 3}}'), ("z5", '{"fieldMappings": [{"status": "error"}, {"status": "ok"}, {"error": "no status"}]}'),
+    ("z6", '{"fieldMappings": [{"error": "no status"}]}'), ("z7", '{"fieldMappings": {"failures": [' + ", ".join('{"message": "late"}' for _ in range(20)) + ', {"message": "connection reset"}]}}'), ("z8", '{}'), ("z9", '{"fieldMappings": {"failed": true, "failures": "none"}}'),
+]
 
 
 def q_artifact(s, d):
-    rows = s.createDataFrame(ARTIFACTS, "path string, json string")
-    failures = F.from_json(F.get_json_object("json", "$.failures"), "array<struct<error:string>>")
-    return rows.select("path", F.get_json_object("json", "$.failedCount").cast("long").alias("failed"), F.size(failures).cast("long").alias("listed"), F.exists(failures, lambda x: x.error.contains("connection reset")).alias("reset"))
+    return I.artifact_failures(s.createDataFrame(ARTIFACTS, "path string, json string"))
 
 
 SQL["artifact_rollup_inline"] = f"""
-SELECT path, (json->>'$.failedCount')::BIGINT AS failed, json_array_length(json, '$.failures')::BIGINT AS listed,
-  coalesce(list_bool_or(list_transform((json->'$.failures[*].error')::VARCHAR[], lambda x: contains(x, 'connection reset'))), false) AS reset
-FROM {_values(ARTIFACTS, 'path, json')}"""
+WITH a AS (SELECT path, json->'$.fieldMappings' AS f FROM {_values(ARTIFACTS, 'path, json')}),
+b AS (SELECT path, json_type(f) = 'OBJECT' AS obj, CASE json_type(f) WHEN 'ARRAY' THEN f WHEN 'OBJECT' THEN CASE WHEN json_type(f->'$.failures') = 'ARRAY' THEN f->'$.failures' END END AS rows, CASE WHEN json_type(f) = 'OBJECT' THEN coalesce(try_cast(f->>'$.failed' AS BIGINT), try_cast(f->>'$.failure' AS BIGINT)) END AS n FROM a),
+r AS (SELECT path, obj, i, lower(trim(x->>'$.status')) AS status, coalesce(x->>'$.error', '') || ' ' || coalesce(x->>'$.message', '') AS said FROM (SELECT path, obj, unnest(rows::JSON[]) AS x, unnest(range(1, (json_array_length(rows) + 1)::BIGINT)) AS i FROM b WHERE rows IS NOT NULL)),
+k AS (SELECT *, coalesce(status IN ('ok', 'success', 'skipped', 'updated', 'deployed'), false) AS good FROM r),
+w AS (SELECT *, NOT good AND (status IS NOT NULL OR obj AND trim(said) <> '') AS bad FROM k),
+c AS (SELECT *, count_if(bad) OVER (PARTITION BY path ORDER BY i) AS nth FROM w),
+g AS (SELECT path, count_if(bad) AS bads, bool_and(good) AS benign, coalesce(bool_or(bad AND nth <= 20 AND regexp_matches(lower(said), 'connection ?reset')), false) AS reset FROM c GROUP BY 1),
+e AS (SELECT path, coalesce(bads > 0, false) OR coalesce(n > 0, false) AND NOT coalesce(benign, false) AS failed, coalesce(reset, false) AS reset, coalesce(bads > 20, false) AS bounded FROM b LEFT JOIN g USING (path))
+SELECT *, CASE WHEN failed THEN CASE WHEN reset THEN 'rlp.datasync_field_mapping_connection_reset' ELSE 'rlp.datasync_field_mapping_artifact_failure' END END AS rule_id FROM e"""
 
 
 def q_stream(s, d):
