@@ -105,6 +105,9 @@ SQL: dict[str, str] = {
 }
 
 
+SQL_LAST_EXIT = f"SELECT job_id, arg_max(c[len(c)]::INT, idx) AS exit_code FROM (SELECT job_id, idx, regexp_extract_all(text, {_sql(R.EXIT_CODE)}, 1) AS c FROM lines WHERE NOT regexp_matches(text, {_sql(R.COMMAND)})) WHERE len(c) > 0 GROUP BY job_id"
+
+
 def q_line_explode(s, d):
     rows = landed(s, d, "documents").select("doc_id", F.posexplode(X.physical_lines(F.col("text"))).alias("idx", "raw"))
     return rows.select("doc_id", "idx", F.sha2("raw", 256).alias("line_sha256"))
@@ -146,6 +149,18 @@ def q_fingerprint_logs(s, d):
     return L.fingerprint_logs(_logs(s))
 
 
+SQL["fingerprint_logs_inline"] = f"""
+WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL},
+cmd AS (SELECT l.job_id, arg_max(trim(regexp_extract(l.text, {_sql(R.COMMAND)}, 1)), l.idx) AS command FROM lines l LEFT JOIN signals t ON t.job_id = l.job_id AND t.rank = 1 WHERE regexp_matches(l.text, {_sql(R.COMMAND)}) AND (t.idx IS NULL OR l.idx <= t.idx) GROUP BY 1),
+codes AS ({SQL_LAST_EXIT}),
+said AS (SELECT job_id, bool_or(regexp_matches(lower(text), '^(job succeeded|build succeeded)')) AS good FROM lines GROUP BY 1),
+told AS (
+  SELECT j.job_id, coalesce(t.category, CASE WHEN good THEN 'no_failure_observed' ELSE 'unknown' END) AS category, coalesce(t.text, 'No explicit failure signal observed') AS said, command, exit_code
+  FROM {_LOG_SQL} j LEFT JOIN signals t ON t.job_id = j.job_id AND t.rank = 1 LEFT JOIN cmd ON cmd.job_id = j.job_id LEFT JOIN codes ON codes.job_id = j.job_id LEFT JOIN said ON said.job_id = j.job_id),
+norm AS (SELECT *, {_NORMAL_SQL.replace("coalesce(text, '')", "coalesce(said, '')")} AS message, {_NORMAL_SQL.replace("coalesce(text, '')", "coalesce(command, '')")} AS c FROM told)
+SELECT job_id, substr(sha256(category || '|' || c || '|' || message), 1, 20) AS digest, category, message, command, exit_code FROM norm"""
+
+
 def q_chunk_windows(s, d):
     return L.chunk_logs(L.redacted(_logs(s))).drop("signals")
 
@@ -169,7 +184,7 @@ def q_last_exit_code(s, d):
     return L.fingerprint_logs(_logs(s)).where("exit_code is not null").select("job_id", "exit_code")
 
 
-SQL["last_exit_code"] = f"WITH {_LINES_SQL} SELECT job_id, arg_max(c[len(c)]::INT, idx) AS exit_code FROM (SELECT job_id, idx, regexp_extract_all(text, {_sql(R.EXIT_CODE)}, 1) AS c FROM lines WHERE NOT regexp_matches(text, {_sql(R.COMMAND)})) WHERE len(c) > 0 GROUP BY job_id"
+SQL["last_exit_code"] = f"WITH {_LINES_SQL} {SQL_LAST_EXIT}"
 
 
 #: (job, status, conclusion, failure reason, inline log): each log as it ended, and outcomes that contradict it.
@@ -230,6 +245,14 @@ def q_classified(s, d):
     return D.classified(docs, "doc_id", "text")
 
 
+_ROWS_SQL = "(SELECT doc_id AS job_id, 'failed' AS status, text AS log FROM documents UNION ALL SELECT * FROM " + _values([(-1 - k, "failed", x) for k, (_, _, x) in enumerate(LOGS)], "job_id, status, log") + ")"
+SQL["rows_classified"] = f"""
+WITH RECURSIVE {_LINES_SQL.replace(_LOG_SQL, _ROWS_SQL)}, {_SIGNALS_SQL},
+top AS (SELECT * FROM signals WHERE rank = 1)
+SELECT j.job_id AS doc_id, CASE WHEN coalesce(category, 'unknown') = 'unknown' THEN 'unknown' ELSE 'classified' END AS state, coalesce(rule_id, 'job.insufficient_evidence') AS rule_id, coalesce(category, 'unknown') AS category
+FROM {_ROWS_SQL} j LEFT JOIN top USING (job_id)"""
+
+
 def q_error_islands(s, d):
     errors = landed(s, d, "events").select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("idx")).where("event_type = 'error'")
     return L.islands(errors.select("user_id", F.greatest(F.col("idx") - 3, F.lit(1)).alias("lo"), (F.col("idx") + 7).alias("hi")), "user_id").select("user_id", F.col("island").cast("long").alias("island"), "lo", "hi")
