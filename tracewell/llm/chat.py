@@ -181,7 +181,8 @@ def read_back(windows: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from formatted windows alone.
 
     A conversation's digests run over all of it in order, so its windows stream through one task,
-    which holds one window at a time.
+    which holds one window at a time. The conversation without an id is one too. Repeated turns count
+    each, empty texts are turns without characters, and without windows there are no rows.
     """
     count = partitions(windows.sparkSession)
     own = windows.select("conv_id", "first", "formatted", "spans", "fresh_from").repartition(count, "conv_id").sortWithinPartitions("conv_id", "first")

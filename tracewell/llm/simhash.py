@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, small, staged, values
+from .common import small, staged, values
 from .components import connected_components
 
 #: Hashes that are turned into bits at a time, so a text of any length needs bounded memory.
@@ -129,7 +129,8 @@ def simhash_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null id counts as larger than any other. Rows of a group that share its smallest id are told
     apart by fingerprint, and of rows equal in both one stays (any of them: other columns may differ).
-    The columns are those of ``docs``, in their order, whatever their names.
+    Null, empty and blank texts have fingerprint 0 and are duplicates of each other. An empty table
+    gives no rows. The columns are those of ``docs``, in their order, whatever their names.
     """
     rows, labelled = _labelled(docs, id_col, text_col, shingle, max_bits)
     each = rows.join(labelled.select("fp", "component"), "fp")
