@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, warc
+from . import audit, bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, warc
 from .common import hex_of, small_workers
 
 
@@ -95,7 +95,13 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash}
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How five filters of all documents overlap, in each of their 120 orders, by language."""
+    return audit.filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash, "op11_audit": op11_audit}
+
 
 def _sharding_sql() -> str:
     """The permutation as a recursive query: a row's halves go through the rounds until they are in range again."""
@@ -178,5 +184,38 @@ WITH RECURSIVE v AS (
 )
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
 FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.node = vec_id
+""",
+    "op11_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), f AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN min(doc_id) OVER (PARTITION BY text) < coalesce(doc_id, 9223372036854775807) THEN 'E' ELSE '' END AS fails
+  FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c
+), orders AS (
+  SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM letter a, letter b, letter d, letter e, letter g
+  WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS upto FROM orders, (SELECT unnest(range(1, 6)) AS step), (SELECT DISTINCT part FROM m)
+), told AS (
+  SELECT s.part, filter_order, step, own, n, good, toxic, contains(fails, own) AS hit, fails = own AS only_hit,
+    len(list_filter(string_split(fails, ''), lambda x: x <> '' AND contains(upto, x))) > 0 AS gone
+  FROM steps s JOIN m USING (part)
+), counted AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN only_hit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
 """,
 }
