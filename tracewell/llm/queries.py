@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, warc
+from . import audit, bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, trie, warc
 from .common import hex_of, small_workers
 
 
@@ -100,7 +100,13 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash, "op11_audit": op11_audit}
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all conversations, rebuilt with shared first turns."""
+    found = trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash, "op11_audit": op11_audit, "op12_trie": op12_trie}
 
 
 def _sharding_sql() -> str:
@@ -217,5 +223,32 @@ WITH w AS (
   FROM told GROUP BY part, filter_order, step, own
 )
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counted
+""",
+    "op12_trie": """
+WITH crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)
+), c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, (xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9)::INT AS h FROM c, crc
+), rebuilt AS (
+  SELECT h.conv_id, coalesce(b.turns[1:h.h], []) || h.turns[h.h + 1:] AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, len(turns) AS n, md5(turns[1:d]::VARCHAR) AS node, CASE WHEN d > 0 THEN md5(turns[1:d - 1]::VARCHAR) END AS parent,
+    CASE WHEN d > 0 THEN octet_length(encode(turns[d].text)) ELSE 0 END AS size, list_transform(range(0, d + 1), lambda k: md5(turns[1:k]::VARCHAR)) AS above
+  FROM rebuilt, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)
+), nodes AS (
+  SELECT node, d AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, any_value(above) AS above,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), below AS (
+  SELECT top AS node, sum(saved) AS saved_tokens, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves
+  FROM (SELECT unnest(above) AS top, saved, n_children FROM nodes LEFT JOIN children USING (node)) GROUP BY top
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN children k USING (node) LEFT JOIN nodes p ON p.node = n.parent
 """,
 }
