@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, langid, lattice, minhash, packing, sharding, simhash, substring, trie, warc
+from . import audit, bpe, chat, langid, lattice, minhash, packing, sanitise, sharding, simhash, substring, trie, warc
 from .common import hex_of, small_workers
 
 
@@ -106,7 +106,15 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash, "op11_audit": op11_audit, "op12_trie": op12_trie}
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the terms that would give it away."""
+    found = sanitise.sanitised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda s: s.kind.isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in sanitise.KINDS]
+    return found.select("doc.doc_id", *counts, F.sha2(sanitise.listed(of(*sanitise.KINDS)), 256).alias("base_sha256"), sanitise.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_substring": op2_substring, "op3_embeddings": op3_embeddings, "op4_language": op4_language, "op5_packing": op5_packing, "op6_bpe": op6_bpe, "op7_chat": op7_chat, "op8_warc": op8_warc, "op9_fingerprints": op9_fingerprints, "op10_simhash": op10_simhash, "op11_audit": op11_audit, "op12_trie": op12_trie, "op13_pii": op13_pii}
 
 
 def _sharding_sql() -> str:
