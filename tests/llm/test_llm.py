@@ -615,7 +615,7 @@ def test_pipeline_runs(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), c.sql(queries.SQL[name]).df()
     columns = sorted(want.columns)
