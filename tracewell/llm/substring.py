@@ -8,10 +8,11 @@ Four passes, none of which gathers a window's occurrences in one place:
    windows whose cells are all counted twice. Of a window's occurrences within one batch only those
    in the batch's smallest document are in doubt; the others are repeats at once. The ones in doubt
    are sent by hash, so a window of a third of all documents costs one entry a batch.
-3. Entries are grouped exactly by 96 bits of two independent hashes; those of larger documents than
-   the group's smallest are repeats. Positions go to their documents' buckets. Where a bucket could
-   hold more than GROUP_ENTRIES, its entries are first spread over parts within the same task, so a
-   task holds one part at a time however many windows there are.
+3. Entries are grouped by 128 bits made of keyed 128-bit digests of their words, so windows are one
+   where their words are; those of larger documents than the group's smallest are repeats. Positions go
+   to their documents' buckets. Where a bucket could hold more than GROUP_ENTRIES, its entries are
+   first spread over parts within the same task, and documents and their positions are dealt to parts
+   alike, so a task holds one part at a time however many windows or repeats there are.
 4. Documents meet their positions, words under a repeated window go, the rest is joined.
 
 The sketch only overestimates, so no repeated window is lost; what it lets through in vain is sorted
@@ -20,6 +21,7 @@ out in 3. With more windows than cells it lets more through, up to all, and resu
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,11 +44,10 @@ WORD_BYTES, CELLS_EACH, GROUP_ENTRIES = 6, 2, 1 << 22
 FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 20, 1 << 18, 1 << 20
 
 U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_LETTER = _RANDOM.integers(0, 1 << 64, 256, U)
-_POWER, _TURN1, _TURN2, *_CELL = (_RANDOM.integers(0, 1 << 63, 3 + DEPTH, U) << U(1) | U(1)).tolist()
+_CELL = (_RANDOM.integers(0, 1 << 63, DEPTH, U) << U(1) | U(1)).tolist()
+#: Words whose digests a task remembers.
+REMEMBERED = 1 << 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -55,40 +56,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(31)
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+class _Digests(dict):
+    """The 128-bit digest of each word as two numbers, worked out once for the words at hand."""
 
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = struct.unpack("<QQ", hashlib.blake2b(word, digest_size=16, key=b"substring").digest())
+        return found
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word of all texts in order, and the number of words of each text."""
-    line = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(line, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    start, end = edge[::2], edge[1::2]
-    ends = np.cumsum([len(x) + 1 for x in texts])
-    counts = np.diff(np.searchsorted(start, ends, "left"), prepend=0)
-    if not len(start):
-        return np.zeros(0, U), counts
-    size = end - start
-    letters = raw[~space]
-    first = np.cumsum(size) - size
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    value = np.add.reduceat(_LETTER[letters] * _powers(int(size.max()), _POWER)[place], first)
-    return _mixed(value + size.astype(U) * U(0x9E3779B97F4A7C15)), counts
+
+def word_hashes(texts: list[bytes], known: _Digests) -> tuple[np.ndarray, np.ndarray]:
+    """A row of two 64-bit numbers for each word of all texts in order, and the number of words of each text.
+
+    They are a keyed cryptographic digest, so nobody can write down words that share them.
+    """
+    words = [x.split() for x in texts]
+    found = np.array([known[w] for own in words for w in own], U).reshape(-1, 2)
+    return found, np.array([len(x) for x in words], np.int64)
+
+
+def _multipliers(window: int) -> np.ndarray:
+    """Odd numbers, one for each place of a window and each half of its hash."""
+    return np.random.Generator(np.random.PCG64([20240301, window])).integers(0, 1 << 63, (2, window), U) << U(1) | U(1)
 
 
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits for each run of ``window`` words, wherever it starts."""
+    """Twice 64 bits for each run of ``window`` words, wherever it starts: each half from its own half of the words' digests."""
     n = max(0, len(words) - window + 1)
-    one, two = np.zeros(n, U), np.zeros(n, U)
-    other = _mixed(words ^ U(0xA5A5A5A55A5A5A5A))
-    for k in range(window):
-        one = one * U(_TURN1) + words[k : n + k]
-        two = two * U(_TURN2) + other[k : n + k]
-    return _mixed(one), (_mixed(two) >> U(32)).astype(np.uint32)
+    halves = []
+    for half, by_place in enumerate(_multipliers(window)):
+        total = np.zeros(n, U)
+        for k in range(window):
+            total += by_place[k] * words[k : n + k, half]
+        halves.append(_mixed(total))
+    return halves[0], halves[1]
 
 
 def _cells(hashes: np.ndarray, row: int, log: int) -> np.ndarray:
@@ -151,6 +153,7 @@ def _sketch(window: int, log: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        known = _Digests()
 
         def out() -> Iterator[pa.RecordBatch]:
             found = list(rows(np.concatenate(held)))
@@ -159,7 +162,7 @@ def _sketch(window: int, log: int):
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found[at : at + 64]), (pa.int32(), pa.binary(), pa.binary()))], ["block", "once", "twice"])
 
         for _, texts in _pieces(batches):
-            words, counts = word_hashes(texts)
+            words, counts = word_hashes(texts, known)
             at = _starts(counts, window)
             if len(at):
                 held.append(window_hashes(words, window)[0][at])
@@ -192,12 +195,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _entries(window: int, sketch, buckets: int, log: int):
+def _entries(window: int, sketch, buckets: int, parts: int, log: int):
     """Candidates: doubtful ones by bucket of their hash (kind 0), sure repeats by document (kind 1)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sketch.value, np.uint8).reshape(DEPTH, -1)
         held: list[tuple[np.ndarray, ...]] = []
+        known = _Digests()
 
         def out() -> Iterator[pa.RecordBatch]:
             ids, crcs, ones, twos, places = (np.concatenate(x) for x in zip(*held))
@@ -209,7 +213,7 @@ def _entries(window: int, sketch, buckets: int, log: int):
             least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
             sure = np.empty(len(order), bool)
             sure[order] = ids[order] > least[group]
-            yield from _marks(ids[sure], crcs[sure], places[sure], buckets, 1)
+            yield from _marks(ids[sure], crcs[sure], places[sure], buckets, parts)
             doubt = ~sure
             ids, crcs, ones, twos, places = (x[doubt] for x in (ids, crcs, ones, twos, places))
             bucket = (ones >> U(40)) % U(buckets)
@@ -218,10 +222,10 @@ def _entries(window: int, sketch, buckets: int, log: int):
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[b] : cut[b + 1]]
                 blob = _blob(ids[own], crcs[own], places[own]) + ones[own].tobytes() + twos[own].tobytes()
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["kind", "bucket", "blob"])
+                yield _row(0, b, blob, 0)
 
         for ids, texts in _pieces(batches):
-            words, counts = word_hashes(texts)
+            words, counts = word_hashes(texts, known)
             at = _starts(counts, window)
             if not len(at):
                 continue
@@ -245,6 +249,10 @@ def _entries(window: int, sketch, buckets: int, log: int):
     return task
 
 
+def _row(kind: int, bucket: int, blob: bytes, part: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([part], pa.int32())], ["kind", "bucket", "blob", "part"])
+
+
 def _blob(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> bytes:
     """Rows sorted by id, crc and place: each document once, with its number of places; gaps of places."""
     new = np.ones(len(ids), bool)
@@ -273,33 +281,38 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return np.repeat(ids, counts), np.repeat(crcs, counts), places, 12 + size
 
 
-def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """pmod(xxhash64(id), buckets), as Spark has it."""
+#: What tells the part of a document's bucket from the bucket.
+_PART_SHIFT = 24
+
+
+def _bucket_of(ids: np.ndarray, buckets: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """pmod(xxhash64(id), buckets), as Spark has it, and the part within the bucket from higher bits."""
     each, back = np.unique(ids, return_inverse=True)
     hashed = np.array([xxhash.xxh64_intdigest(struct.pack("<q", x), 42) for x in each.tolist()], U).view(np.int64)
-    return (hashed % buckets)[back]
+    return (hashed % buckets)[back], ((hashed >> _PART_SHIFT) % parts)[back]
 
 
-def _marks(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray, buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
+def _marks(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
     if not len(ids):
         return
-    bucket = _bucket_of(ids, buckets)
-    order = np.lexsort((places, crcs, ids, bucket))
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)).tolist():
-        own = order[cut[b] : cut[b + 1]]
-        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([_blob(ids[own], crcs[own], places[own])], pa.binary())], ["kind", "bucket", "blob"])
+    bucket, part = _bucket_of(ids, buckets, parts)
+    order = np.lexsort((places, crcs, ids, part, bucket))
+    both = (bucket * parts + part)[order]
+    cut = np.append(np.flatnonzero(np.diff(both, prepend=-1)), len(both))
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        own = order[lo:hi]
+        yield _row(1, int(bucket[own[0]]), _blob(ids[own], crcs[own], places[own]), int(part[own[0]]))
 
 
 def _parsed(blob: bytes) -> tuple[np.ndarray, ...]:
     """Ids, crcs, places and both hashes of the entries of a doubtful row."""
     ids, crcs, places, at = _unblob(blob)
     n = len(ids)
-    return ids, crcs, places, np.frombuffer(blob, np.uint8, 8 * n, at).view(U), np.frombuffer(blob, np.uint8, 4 * n, at + 8 * n).view(np.uint32)
+    return ids, crcs, places, np.frombuffer(blob, np.uint8, 8 * n, at).view(U), np.frombuffer(blob, np.uint8, 8 * n, at + 8 * n).view(U)
 
 
 def _spread(parts: int):
-    """Rows sorted by bucket: doubtful entries of a bucket spread by their hash over so many parts; others stay in part 0."""
+    """Rows sorted by bucket: doubtful entries of a bucket spread by their hash over so many parts; others have theirs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, size = None, [], 0
@@ -312,12 +325,12 @@ def _spread(parts: int):
             for p in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[p] : cut[p + 1]]
                 blob = _blob(ids[own], crcs[own], places[own]) + ones[own].tobytes() + twos[own].tobytes()
-                yield pa.record_batch([pa.array([0], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), pa.array([p], pa.int32())], ["kind", "bucket", "blob", "part"])
+                yield _row(0, bucket, blob, p)
 
         for batch in slices(batches):
-            for kind, now, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+            for kind, now, blob, part in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "blob", "part"))):
                 if kind == 1:
-                    yield pa.record_batch([pa.array([1], pa.int32()), pa.array([now], pa.int32()), pa.array([blob], pa.binary()), pa.array([0], pa.int32())], ["kind", "bucket", "blob", "part"])
+                    yield _row(1, now, blob, part)
                     continue
                 if held and (now != bucket or size >= FLUSH_ENTRIES):
                     yield from out()
@@ -331,7 +344,7 @@ def _spread(parts: int):
     return task
 
 
-def _group(buckets: int):
+def _group(buckets: int, parts: int):
     """Rows sorted by bucket of the hash and part of it: exact groups within a part, repeats by document.
 
     Rows of kind 1 know their document already and pass.
@@ -351,17 +364,16 @@ def _group(buckets: int):
 
         def out() -> Iterator[pa.RecordBatch]:
             if found:
-                parts = [np.concatenate(x) for x in zip(*found)]
+                own = [np.concatenate(x) for x in zip(*found)]
                 found.clear()
-                yield from _marks(*parts, buckets, 1)
+                yield from _marks(*own, buckets, parts)
 
         for batch in batches:
             known = batch.filter(pc.equal(batch.column("kind"), 1))
             if len(known):
-                yield known.select(["kind", "bucket", "blob"])
+                yield known.select(["kind", "bucket", "blob", "part"])
             doubtful = batch.filter(pc.equal(batch.column("kind"), 0))
-            parts = doubtful.column("part").to_pylist() if "part" in batch.schema.names else [0] * len(doubtful)
-            for *now, blob in zip(doubtful.column("bucket").to_pylist(), parts, doubtful.column("blob").to_pylist()):
+            for *now, blob in zip(*(doubtful.column(c).to_pylist() for c in ("bucket", "part", "blob"))):
                 if now != bucket and blobs:
                     found.append(repeats(blobs))
                     blobs = []
@@ -377,7 +389,7 @@ def _group(buckets: int):
 
 
 def _apply(window: int, id_at: int, text_at: int):
-    """Rows sorted by bucket of the id, positions before documents."""
+    """Rows sorted by bucket and part of the id, positions before documents: a part's positions are held at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blobs, marks = None, [], None
@@ -385,7 +397,7 @@ def _apply(window: int, id_at: int, text_at: int):
             docs = pa.array([x == 2 for x in batch.column("kind").to_pylist()])
             spans, n_words, n_gone, kept = [], [], [], []
             ids, texts = batch.column("doc").field(id_at).to_pylist(), _bytes(batch.column("doc").field(text_at))
-            for i, (kind, now, blob) in enumerate(zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("blob").to_pylist())):
+            for i, (kind, *now, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "part", "blob")))):
                 if now != bucket:
                     bucket, blobs, marks = now, [], None
                 if kind != 2:
@@ -451,14 +463,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sketch[at : at + (1 << (LOG_BLOCK - 3))] = np.frombuffer(row["bits"], np.uint8)
     released(blocks)
     shared = spark.sparkContext.broadcast(sketch.tobytes())
-    sent = texts.mapInArrow(_entries(window, shared, buckets, log), "kind int, bucket int, blob binary")
+    fields = "kind int, bucket int, blob binary, part int"
+    sent = texts.mapInArrow(_entries(window, shared, buckets, parts, log), fields)
     dealt = sent.repartition(count, "bucket").sortWithinPartitions("bucket")
     if parts > 1:
-        dealt = dealt.mapInArrow(_spread(parts), "kind int, bucket int, blob binary, part int").sortWithinPartitions("bucket", "part")
-    marks = dealt.mapInArrow(_group(buckets), "kind int, bucket int, blob binary")
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(buckets)).cast("int")
+        dealt = dealt.mapInArrow(_spread(parts), fields).sortWithinPartitions("bucket", "part")
+    marks = dealt.mapInArrow(_group(buckets, parts), fields)
+    hashed = F.xxhash64(F.col(id_col).cast("long"))
+    key, part = F.pmod(hashed, F.lit(buckets)).cast("int"), F.pmod(F.shiftright(hashed, _PART_SHIFT), F.lit(parts)).cast("int")
     row = F.struct(*[f"`{c}`" for c in docs.columns])
-    whole = docs.select(F.lit(2).alias("kind"), key.alias("bucket"), F.lit(None).cast("binary").alias("blob"), row.alias("doc"))
+    whole = docs.select(F.lit(2).alias("kind"), key.alias("bucket"), F.lit(None).cast("binary").alias("blob"), part.alias("part"), row.alias("doc"))
     kind = whole.schema["doc"].dataType
     met = marks.withColumn("doc", F.lit(None).cast(kind)).unionByName(whole)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -466,4 +480,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         T.StructField("doc", kind), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
         T.StructField("kept_text", T.StringType()), T.StructField("removed", span),
     ])
-    return met.repartition(count, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_apply(window, docs.columns.index(id_col), docs.columns.index(text_col)), schema)
+    return met.repartition(count, "bucket").sortWithinPartitions("bucket", "part", "kind").mapInArrow(_apply(window, docs.columns.index(id_col), docs.columns.index(text_col)), schema)
