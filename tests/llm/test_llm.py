@@ -629,6 +629,22 @@ def test_near_copies_in_dense_buckets(spark, monkeypatch, at_once):
     assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == want
 
 
+def test_texts_are_one_by_128_bits(spark, monkeypatch):
+    """Texts whose prints agree in their first 64 bits only are two texts, and both stay."""
+    real = likeness._print
+    assert len(real(b"x")) == 16 and real(b"x") != real(b"y")
+    label = likeness.print_column
+    docs = spark.createDataFrame([(1, "A  b\tc"), (2, "a b C"), (3, "a b d")], "doc_id long, text string")
+    assert docs.select(label(F.col("text")).alias("p")).distinct().count() == 2
+    half = b"12345678"
+    edges = spark.createDataFrame([(half + b"aaaaaaaa", half + b"bbbbbbbb")], "a binary, b binary")
+    assert {bytes(r.component) for r in likeness.connected_components(edges).collect()} == {half + b"aaaaaaaa"}
+    rows = {"c": np.array([half + b"aaaaaaaa", half + b"bbbbbbbb"], object), "half": np.zeros(2, int), "band": np.zeros(2, int), "single": np.array([True, True])}
+    sets = [np.array([1, 2, 3], np.int64)] * 2
+    assert likeness.spanning_links(rows, np.zeros((2, likeness.BANDS), np.int64), sets, likeness.LIKE) == [(0, 1)]
+    assert sorted(r.doc_id for r in likeness.near_copies_keep(docs).collect()) == [1, 3]
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
 

@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a long, b long) links to (node, component): component is the smallest node reachable.
+    """(a, b) links, longs or binaries, to (node, component): component is the smallest node reachable.
 
     Only nodes with a link to another node are returned; null ends, self links and repeated links
     count for nothing. Each round hangs every node's neighbours on the smallest neighbour, first
