@@ -104,6 +104,8 @@ def entity(kind: int, text: str) -> str:
 
 def shape(term: str) -> str:
     """What a term is generalised to: its runs of letters and of digits, each as one character."""
+    if term.isalpha():
+        return "<a>"
     for pattern, sign in _SHAPE:
         term = pattern.sub(sign, term)
     return f"<{term}>"
@@ -120,6 +122,13 @@ def terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[str, int, i
             yield m[0].lower(), start, end
 
 
+def term_set(text: str) -> set[str]:
+    """The distinct terms of a text, as ``terms`` with the text's own spans gives them."""
+    if base := base_spans(text):
+        return {t for t, _, _ in terms(text, _merged(base))}
+    return {t.lower() for t in set(_TERM.findall(text)) if t.isalpha() or _LETTER.search(t)}
+
+
 def _merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for start, end in sorted((a, b) for _, a, b in found):
@@ -219,7 +228,7 @@ def _counted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for text in values(batch.column(0)):
                 if not text:
                     continue
-                own = {t for t, _, _ in terms(text, _merged(base_spans(text)))}
+                own = term_set(text)
                 if shaped:
                     own |= {shape(t) for t in own}
                 counts.update(own if only is None else own & only)
@@ -228,8 +237,7 @@ def _counted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         if counts:
             yield out()
 
-    rows = texts if names is None or few else texts.limit(0)
-    summed = rows.mapInArrow(task, "term string, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
+    summed = texts.mapInArrow(task, "term string, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
     return summed if names is not None else summed.join(wanted, "term", "left_semi")
 
 
@@ -263,9 +271,8 @@ def _by_text(texts: DataFrame, found: DataFrame, bad: DataFrame) -> DataFrame:
     """
 
     def made(text: str) -> Iterator[tuple]:
-        if base := base_spans(text):
-            key = key_of(text)
-            own = {t for t, _, _ in terms(text, _merged(base))}
+        if base_spans(text):
+            key, own = key_of(text), term_set(text)
             for t in own | {shape(t) for t in own}:
                 yield key, t
 
