@@ -47,7 +47,7 @@ U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _CELL = (_RANDOM.integers(0, 1 << 63, DEPTH, U) << U(1) | U(1)).tolist()
 #: Words whose digests a task remembers.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,12 +57,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class _Digests(dict):
-    """The 128-bit digest of each word as two numbers, worked out once for the words at hand."""
+    """The 128-bit digest of each word, worked out once for the words at hand."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[word] = struct.unpack("<QQ", hashlib.blake2b(word, digest_size=16, key=b"substring").digest())
+        found = self[word] = hashlib.blake2b(word, digest_size=16, key=b"substring").digest()
         return found
 
 
@@ -72,8 +72,8 @@ def word_hashes(texts: list[bytes], known: _Digests) -> tuple[np.ndarray, np.nda
     They are a keyed cryptographic digest, so nobody can write down words that share them.
     """
     words = [x.split() for x in texts]
-    found = np.array([known[w] for own in words for w in own], U).reshape(-1, 2)
-    return found, np.array([len(x) for x in words], np.int64)
+    found = b"".join([known[w] for own in words for w in own])
+    return np.frombuffer(found, U).reshape(-1, 2), np.array([len(x) for x in words], np.int64)
 
 
 def _multipliers(window: int) -> np.ndarray:
