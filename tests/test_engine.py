@@ -170,14 +170,14 @@ def nested(depth):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("password: |\n  s3cr3t one\n\n  s3cr3t two\nuser: bob\n", "password: |\n  [REDACTED]\n\n  \nuser: bob\n"),
+        ("password: |\n  s3cr3t one\n\n  s3cr3t two\nuser: bob\n", "password: |\n  [REDACTED]\n\n\nuser: bob\n"),
         ("a:\n  token: >-\r\n    s3cr3t\r\n  b: 1", "a:\n  token: >-\r\n    [REDACTED]\r\n  b: 1"),
         ('password: "s3cr3t one\n  s3cr3t two"\nuser: bob', 'password: "[REDACTED]\n"\nuser: bob'),
         ("secret='s3cr3t\nit''s s3cr3t'\nuser: bob", "secret='[REDACTED]\n'\nuser: bob"),
-        ("password: s3cr3t of several words # why\nuser: bob", "password: [REDACTED] # why\nuser: bob"),
-        ("{password: s3cr3t two words, user: bob}", "{password: [REDACTED], user: bob}"),
+        ("password: s3cr3t of several words # why\nuser: bob", "password: \"[REDACTED]\" # why\nuser: bob"),
+        ("{password: s3cr3t two words, user: bob}", "{password: \"[REDACTED]\", user: bob}"),
         ("DB_PASS=s3cr3t", "DB_PASS=[REDACTED]"),
-        ("pwd: s3cr3t more", "pwd: [REDACTED]"),
+        ("pwd: s3cr3t more", 'pwd: "[REDACTED]"'),
         ("MY_PAT=s3cr3t\nvendorPwd=s3cr3t", None),
         ("github_pat_11S3CR3TS3CR3TS3CR3T", "[REDACTED]"),
         ("glpat-s3cr3t", "[REDACTED]"),
@@ -186,6 +186,23 @@ def nested(depth):
         (r'body={\"password\": \"s3cr3t, and more\"} end', r'body={\"password\": \"[REDACTED]\"} end'),
         ("don't: password: 's3cr3t one'", "don't: password: '[REDACTED]'"),
         ('password: "s3cr3t never closed', 'password: "[REDACTED]'),
+        ("password: ${{ x }}hunter2 s3cr3t", 'password: "[REDACTED]"'),
+        ('{"token": "${{ a }} s3cr3t"}', '{"token": "[REDACTED]"}'),
+        ("postgres://u:p@s3cr3t@host/db", "postgres://host/db"),
+        ('{"password": 1234, "my_token": "s3cr3t"}', None),
+        ("'vendor_token(value)': 's3cr3t'", "'vendor_token(value)': '[REDACTED]'"),
+        ("error CS0103: 'Foo(System.Token)': x", "error CS0103: 'Foo(System.Token)': x"),
+        ("Run(CancellationToken token = default, int n)", "Run(CancellationToken token = default, int n)"),
+        ("CancellationToken token = default;", "CancellationToken token = default;"),
+        ("if token == x or Token::None", "if token == x or Token::None"),
+        ('he said "x\ntoken: "s3cr3t" and', 'he said "x\ntoken: "[REDACTED]" and'),
+        ('"token":\n  "s3cr3t"', '"token":\n  "[REDACTED]"'),
+        ("token := 's3cr3t'", "token := '[REDACTED]'"),
+        ('$env:A_SECRET = "one`"s3cr3t"', '$env:A_SECRET = "[REDACTED]"'),
+        ('TOKEN="s3cr3t"s3cr3t; a=b', "TOKEN=[REDACTED]; a=b"),
+        ("GET /f?download=1&%2573ig=s3cr3t&page=2", "GET /f?download=1&%2573ig=%5BREDACTED%5D&page=2"),
+        (r'script: "echo \e Authorization: s3cr3t"', r'script: "echo \e Authorization: [REDACTED]"'),
+        ("basic s3cr3tS3CR3T and basic idea", "basic [REDACTED] and basic idea"),
         ("password: ${{ secrets.A }}\ntoken: |\n  $TOKEN\n", "password: ${{ secrets.A }}\ntoken: |\n  $TOKEN\n"),
     ],
 )
@@ -195,6 +212,23 @@ def test_redaction_of_blocks_and_lines(raw, want):
     assert (text, n) == (want, int(raw != want)) if want else n == 2
 
 
+def test_masked_json_and_yaml_stay_json_and_yaml():
+    import yaml
+
+    given = {"client_secret": 'a "b\\" c', "PASSWORD": "12345", "api_key": 98765, "metadata": {"Token": "string", "token_count": 12}, "ok": True, "next": ["x", 1]}
+    told = json.loads(redact.redact(json.dumps(given, indent=2))[0])
+    assert told == given | {"client_secret": redact.MARK, "PASSWORD": redact.MARK, "api_key": redact.MARK}
+    for value in ("one,two", "one;two", "one}two", "12", "'it''s'", '"a b"'):
+        text = redact.redact(f"a:\n  TOKEN: {value} # why\n  b: keep\n")[0]
+        assert yaml.safe_load(text) == {"a": {"TOKEN": redact.MARK, "b": "keep"}}
+
+
+def test_redaction_is_linear_and_idempotent():
+    for piece in ("token: ", '\\"', "'", '"', "a='", "[{", "?a=", "-----BEGIN PRIVATE KEY-----", "token=\\", "bearer ", "x", "https://a@"):
+        text = redact.redact(piece * 20_000)[0]
+        assert redact.redact(text) == (text, 0)
+
+
 @pytest.mark.parametrize("depth", [0, 1, 2, 3, 7, 12, 15, 16, 17])
 def test_redaction_of_nested_strings(depth):
     text, n = redact.redact(nested(depth))
