@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import os
+import random
 import zipfile
 from urllib.parse import quote
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tracewell import queries as Q
 from tracewell.functions import redact, rules, scrub
+from tracewell.functions import rules as R_
 from tracewell.functions import text as X
 from tracewell.operators import changes as C
 from tracewell.operators import graph as G
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
+from tracewell.operators import scan
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
@@ -133,9 +136,99 @@ def test_chunks(spark):
     assert all(c.content.split("\n")[:2] == list(L.CONTEXT) and c.content.count("\n") < 80 for c in got)
 
 
+def plain_walk(codes):
+    """The machine's marks by walking over all lines at once."""
+    state, before = L.LINES.start, []
+    for code in codes:
+        before.append(state)
+        state = L._step(state, code)
+    return L._marks(codes, before)
+
+
+def test_line_states_by_blocks_are_those_of_one_walk(spark, monkeypatch):
+    """Logs of many blocks and stretches, cut anywhere: fences, tables, reports across a block's end."""
+    monkeypatch.setattr(scan, "BLOCK", 8)
+    monkeypatch.setattr(scan, "STRETCH", 3)
+    rng = random.Random(2)
+    kinds = [L.TEXT, L.TEXT, L.TICKS, L.TILDES, L.OMITTED, L.END, L.BLANK, L.COMPONENTS, L.COUNT, L.COUNT, L.COLUMNS, L.COLUMNS, L.ROW, L.ROW, L.QUOTED_ROW, L.QUOTED_ROW]
+    given = {k: [rng.choice(kinds[: rng.choice((4, 16))]) + 16 * rng.choice((0, 0, 0, 1, 2)) for _ in range(n)] for k, n in (("a", 1), ("b", 8), ("c", 9), ("d", 700), ("e", 331), (None, 40))}
+    rows = [(k, i, c) for k, codes in given.items() for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "k string, idx int, code int").repartition(7)
+    long = df.where("k is null or k in ('c', 'd', 'e')")
+    got = {}
+    for r in scan.marked(df, "k", "idx", "code", L.LINES, long).collect():
+        got.setdefault(r.k, {})[r.idx] = r.mark
+    assert {k: [m[i] for i in range(len(m))] for k, m in got.items()} == {k: plain_walk(codes) for k, codes in given.items()}
+    assert any(m % 8 == L.REPORTED for m in plain_walk(given["d"]))
+
+
+def test_a_table_of_lines_is_a_log(spark, monkeypatch):
+    text = "\n".join(["```", *["ERROR: example"] * 30, "```", "Component Failures [1]", "ApexClass  Foo  No such column", "", "ERROR: real"] * 6)
+    whole = L.diagnosed_lines(logs(spark, text)).orderBy("idx").collect()
+    monkeypatch.setattr(scan, "BLOCK", 16)
+    lines = spark.createDataFrame([("0", i, x) for i, x in enumerate(text.split("\n"))], "job_id string, idx int, raw string").repartition(5)
+    assert L.diagnosed(lines).orderBy("idx").collect() == whole == L.diagnosed_lines(logs(spark, text)).orderBy("idx").collect()
+    assert sum(r.v is not None for r in whole) == 18 and not any(r.v and "example" in r.text for r in whole)
+
+
+@pytest.mark.parametrize(
+    ("line", "rule"),
+    [
+        ("error\tCS1002: ; expected", "compiler.error"), ("Quality  gate\tstatus:  FAILED", "sonar.quality_gate_failed"), ("ERROR:  Job failed:  failed to pull image", "runner.image_pull_failed"),
+        ("job  failed (system\tfailure)", "runner.preparation_failed"), ("=== 2 failed, 3 passed in 1s ===", "test.failed"), ("FAILED tests/a.py::b", "test.failed"), ("FAILED  pkg::case", "test.failed"), ("response status = 503", "http.service_failure"),
+        ("HTTP/1.1 429", "http.service_failure"), ("npm ERR! 404", "dependency.resolution_failed"), ("E: Release file for http://x is expired", "dependency.apt_release_expired"), ("java.lang.NullPointerException: x", "log.explicit_error"),
+        ("exec ./run: Exec format error", "script.exec_format"), ("jq: parse error: Invalid numeric", "script.invalid_json"), ("Uncaught TypeError: a.b is not a function", "script.not_callable"), ('"status": "failed"', "deployment.failed"),
+        ("Error (1): Metadata API request failed: x", "salesforce.metadata_request_failed"), ("sonar.sources must define", "sonar.scanner_configuration"), ("package x not found: error", "package.path_missing"), ("flow group rejected: error, invalid", "rlp.flow_group_filter_rejected"),
+        ("Error: Invalid config value: org \"a\" is not authenticated", "salesforce.org_not_authenticated"), ("conflict (content): Merge", "git.merge_conflict"), ("ERROR: Job failed: execution took longer than 3600 seconds", "runner.job_timeout"),
+        ("0 warning(s) 0 Error(s)", None), ("[INFO] warning: x", None), ("ok 12 error", None), ("\u2713 error: fine", None), ("e.g. ERROR: x", None), ("msg = 'ERROR: x'", None), ("tests/x.py PASSED error: no", None), ("exited with code 0", None), ("ERROR: 0 failures", None),
+    ],
+)
+def test_more_rules(spark, line, rule):
+    text = F.lit(line)
+    row = spark.range(1).select(R_.noise(text).alias("n"), R_.verdict(R_.first_rule(text)).alias("v")).first()
+    assert (None if row.n else row.v and row.v.rule_id) == rule
+
+
+def wordings(phrase):
+    """All plain texts of a phrase: its alternatives chosen, what varies left out."""
+    pieces, at = R_._PIECE.findall(phrase.lower()), 0
+
+    def choice(closing):
+        nonlocal at
+        every, now = [], [""]
+        while at < len(pieces) and pieces[at] != "]":
+            piece, at = pieces[at], at + 1
+            if piece == "[":
+                inner = choice(True)
+                at += 1
+                if at < len(pieces) and pieces[at] == "?":
+                    inner, at = [*inner, ""], at + 1
+                now = [a + b for a in now for b in inner]
+            elif piece == "/" and closing:
+                every, now = every + now, [""]
+            else:
+                now = [a + (" " if piece in (" ", "~") else "" if piece[0] == "<" and len(piece) > 1 else piece[-1]) for a in now]
+        return every + now
+
+    return choice(False)
+
+
+def test_each_rule_has_a_telling_group():
+    """What a line must hold for a rule to be looked at is in every phrase of one of its groups."""
+    for rule in R_.RULES:
+        lost = [[w for p in group for w in wordings(p) if not any(t in w for t in R_.TELLING)] for group in rule.groups]
+        assert [] in lost, (rule.rule_id, lost)
+
+
+def test_stamps_and_places(spark):
+    said = ["2024-05-01T10:00:00.000Z 01O x", "2024-05-01T10:00:00Z  12 x", "2024-05-01T1", "2024-05-01 x", " 2024-05-01T10:00:00Z + npm ci "]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").orderBy("i").select(X.clean_line(F.col("t"))).collect()]
+    assert got == ["x", "12 x", "2024-05-01T1", "2024-05-01 x", "+ npm ci"]
+
+
 def test_chunks_fold_once(spark):
     plan = L.chunk_logs(logs(spark, "a"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("marks(") == 1 and " Join " not in plan
+    assert plan.count("cut") >= 1 and " Join " not in plan
 
 
 def test_islands_are_idempotent(spark):

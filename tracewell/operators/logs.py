@@ -1,8 +1,8 @@
 """Lines, failure signals, evidence chunks and fingerprints of logs.
 
-Everything here follows from one frame, ``diagnosed_lines``: each line of each log with its states
-and with what it says. What a line is (a fence, a table's header, a row) is told by patterns in the
-JVM; only the codes go to Python, where a small machine walks over them, and marks come back.
+Everything here follows from one frame, ``diagnosed``: each line of each log with its states and with
+what it says. What a line is (a fence, a table's header, a row) is told by patterns in the JVM; a
+small machine walks over the codes, by blocks of lines (scan.py), so a log may span many tasks.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from tracewell.functions import redact
 from tracewell.functions import rules as R
 from tracewell.functions import text as X
+from tracewell.operators import scan
 
 #: Kinds of lines, as the machine sees them.
 TEXT, TICKS, TILDES, OMITTED, END, BLANK, NOISE, COMPONENTS, NO_COMPONENTS, COUNT, NO_COUNT, COLUMNS, ROW, QUOTED_ROW = range(14)
-#: What closes a failure table: other reports, sections and fences.
-REPORTS = r"(?i)^(?:test (?:results summary|failures)|deployment status|elapsed time|uploading artifacts|cleaning up|section_(?:start|end):)"
+#: What closes a failure table, that is other reports, sections and fences.
+REPORTS = R.begins("cleaning up", "deployment status", "elapsed time", "section_[end/start]:", "test failures", "test results summary", "uploading artifacts")
 #: A row is a kind, a name and a problem, in columns two blanks apart; or name, kind and problem, quoted, with tabs between.
 SPACED = r"^\s*([A-Za-z]\w*)\s{2,}(\S+)\s{2,}(.*\S)\s*$"
 TABBED = r'^"([^"\t]+)"\t+"([A-Za-z]\w*)"\t+"(.+)"\s*$'
@@ -33,64 +34,80 @@ def kind_of(line: Column, noisy: Column) -> Column:
     is_ = lambda p: line.rlike(p)
     typed = lambda p, g: F.lower(F.regexp_extract(line, p, g)) != "type"
     return (
-        F.when(line.startswith("```"), TICKS).when(line.startswith("~~~"), TILDES).when(is_(X.OMISSION), OMITTED)
-        .when(is_(REPORTS) | is_(R.COMMAND), END).when(is_(r"(?i)^component failures\s*\[\s*0\s*\]$"), END)
+        F.when(is_(X.OMISSION), OMITTED).when(line.startswith("```"), TICKS).when(line.startswith("~~~"), TILDES)
+        .when(is_(REPORTS) | is_(R.COMMAND), END).when(is_(R.begins(r"component failures~\[~0~\]<end>")), END)
         .when(line == "", BLANK).when(noisy, NOISE)
-        .when(is_(r"(?i)^component failures\s*\[\s*[1-9]"), COMPONENTS).when(is_("(?i)^component failures"), NO_COMPONENTS)
-        .when(is_(r"(?i)^number of errors\s*-\s*0*[1-9]\d*\s*$"), COUNT).when(is_(r"(?i)^number of errors\s*-\s*\d+\s*$"), NO_COUNT)
-        .when(is_(r"(?i)^componentname\s+type\s+errormessage$"), COLUMNS)
+        .when(is_(R.begins(r"component failures~\[~<n>")), COMPONENTS).when(is_(R.begins("component failures")), NO_COMPONENTS)
+        .when(is_(r"(?i)^number\s+of\s+errors\s*-\s*0*[1-9][0-9]*\s*$"), COUNT).when(is_(R.begins("number of errors~-~<d><end>")), NO_COUNT)
+        .when(is_(R.begins("componentname type errormessage<end>")), COLUMNS)
         .when(is_(TABBED) & typed(TABBED, 2), QUOTED_ROW).when(is_(SPACED) & typed(SPACED, 1), ROW).otherwise(TEXT)
     )
 
 
-def walk(kinds: list[int]) -> list[int]:
-    """A mark for each line of a log, from the kinds of its lines in order.
+#: What a line does to an upload: nothing, begins one, ends it. A line's code is its kind and 16 times this.
+STAYS, BEGINS, ENDS = range(3)
+#: What a mark says beside HIDDEN to QUOTED: an upload goes on, something was left out up to here.
+UPLOADING, CUT = 8, 16
 
-    Three things are remembered: which fence is open, which table (LISTED or QUOTED rows) is open and
-    whether it had a row, and where a report's count stood. Only the fence that opened closes again,
-    an omission opens everything up, and a blank line ends a table that had a row.
+
+def _step(state: tuple, code: int) -> tuple:
+    """What is known behind a line, from before it: which fence is open, which table (LISTED or QUOTED rows), whether it had
+    a row, how many lines ago a report's count stood (beyond REACH: none), whether an upload goes on, whether lines were left out.
+
+    Only the fence that opened closes again, an omission opens everything up, and a blank line ends
+    a table that had a row.
     """
-    marks = [0] * len(kinds)
-    fence = table = 0
-    rows, counted = False, -REACH - 1
-    for at, kind in enumerate(kinds):
-        if kind == OMITTED:
-            fence = 0
-        elif kind in (TICKS, TILDES):
-            fence = kind if not fence else 0 if fence == kind else fence
-        elif fence:
-            marks[at] = HIDDEN
-            continue
-        if kind in (TICKS, TILDES, OMITTED, END) or kind == BLANK and rows:
-            table, rows, counted = 0, False, -REACH - 1
-        elif kind in (COMPONENTS, NO_COMPONENTS):
-            table, rows, counted = (LISTED if kind == COMPONENTS else 0), False, -REACH - 1
-            marks[at] = HEADER if kind == COMPONENTS else 0
-        elif kind in (COUNT, NO_COUNT):
-            table, rows, counted = 0, False, at if kind == COUNT else -REACH - 1
-        elif kind == COLUMNS:
-            if at - counted <= REACH:
-                table, marks[counted] = QUOTED, REPORTED
-            counted = -REACH - 1
-        elif (kind, table) in ((ROW, LISTED), (QUOTED_ROW, QUOTED)):
-            rows, marks[at] = True, table
+    fence, table, rows, ago, upload, cut = state
+    kind, turn = code % 16, code // 16
+    ago = min(ago + 1, REACH + 1)
+    if kind == OMITTED:
+        fence, cut = 0, True
+    elif kind in (TICKS, TILDES):
+        fence = kind if not fence else 0 if fence == kind else fence
+    elif fence:
+        return fence, table, rows, ago, upload, cut
+    upload = upload if turn == STAYS else turn == BEGINS
+    if kind in (TICKS, TILDES, OMITTED, END) or kind == BLANK and rows:
+        table, rows, ago = 0, False, REACH + 1
+    elif kind in (COMPONENTS, NO_COMPONENTS):
+        table, rows, ago = (LISTED if kind == COMPONENTS else 0), False, REACH + 1
+    elif kind in (COUNT, NO_COUNT):
+        table, rows, ago = 0, False, (0 if kind == COUNT else REACH + 1)
+    elif kind == COLUMNS:
+        table, ago = (QUOTED if ago <= REACH else table), REACH + 1
+    elif (kind, table) in ((ROW, LISTED), (QUOTED_ROW, QUOTED)):
+        rows = True
+    return fence, table, rows, ago, upload, cut
+
+
+def _marks(codes: list[int], states: list[tuple]) -> list[int]:
+    """A mark for each line from its code and the states before it; a report's count is marked by the header behind it."""
+    marks = []
+    for at, (code, before) in enumerate(zip(codes, states)):
+        kind = code % 16
+        after = _step(before, code)
+        mark = 0
+        if before[0] and kind not in (OMITTED, TICKS, TILDES):
+            mark = HIDDEN
+        elif kind == COMPONENTS:
+            mark = HEADER
+        elif kind == COLUMNS and before[3] < REACH and at > before[3]:
+            marks[at - before[3] - 1] += REPORTED
+        elif (kind, before[1]) in ((ROW, LISTED), (QUOTED_ROW, QUOTED)):
+            mark = before[1]
+        marks.append(mark + UPLOADING * after[4] + CUT * after[5])
     return marks
 
 
-def _walked(kinds: Column) -> Column:
-    @F.arrow_udf("array<int>")
-    def marks(logs: pa.Array) -> pa.Array:
-        return pa.array([walk(x.as_py()) for x in logs], pa.list_(pa.int32()))
-
-    return marks(kinds)
+LINES = scan.Machine((0, 0, False, REACH + 1, False, False), _step, 48, _marks, ahead=REACH)
 
 
-#: Rules of failed components: kinds they are for (none: all), what the problem says, the rule; the first that fits.
+#: Rules of failed components. The kinds a rule is for (none: all), what the problem says, the rule; the first that fits.
 COMPONENT_RULES = (
-    (("ApexClass", "ApexTrigger"), r"(?i)\b(?:method|variable) does not exist\b|\bneeds recompilation\b|\bno such column\b|\binvalid type:", "salesforce.apex_compile"),
-    ((), r"(?i)\berror parsing file\b|\bxml parse error\b|\bparseerror\b", "salesforce.metadata_parse"),
-    ((), r"(?i)^duplicate (?:name|property)\b", "salesforce.metadata_duplicate"),
-    ((), r"(?i)\breferenced by\b|\bdependent metadata\b|\bno .*named .*found\b|\binvalid (?:type|reference)\b|\bdoes not exist\b|\bnot found\b", "salesforce.metadata_dependency"),
+    (("ApexClass", "ApexTrigger"), R.any_of("invalid type:", "needs recompilation", "no such column", "method does not exist", "variable does not exist"), "salesforce.apex_compile"),
+    ((), R.any_of("error parsing file", "parseerror", "xml parse error"), "salesforce.metadata_parse"),
+    ((), R.any_of("^duplicate name", "^duplicate property"), "salesforce.metadata_duplicate"),
+    ((), R.any_of("dependent metadata", "does not exist", "invalid reference", "invalid type", "no<..> named <..> found", "not found", "referenced by"), "salesforce.metadata_dependency"),
 )
 COMPONENT_ELSE = "salesforce.metadata_error"
 
@@ -109,11 +126,17 @@ def table_rule(line: Column, mark: Column) -> Column:
     part = component(line, mark)
     rule = None
     for kinds, says, name in COMPONENT_RULES:
-        hit = part.problem.rlike(says) & (part.kind.isin(*kinds) if kinds else F.lit(True))
+        hit = part.problem.rlike("(?i)" + says) & (part.kind.isin(*kinds) if kinds else F.lit(True))
         rule = F.when(hit, name) if rule is None else rule.when(hit, name)
     return F.when(mark == HEADER, "salesforce.component_failure").when(mark == REPORTED, "salesforce.validation_failed").when(part.isNotNull(), rule.otherwise(COMPONENT_ELSE))
 
 
+def _code(line: Column, noisy: Column) -> Column:
+    """The code of a cleaned line: its kind, and what it does to an upload."""
+    turn = F.when(line.rlike(R.UPLOAD), BEGINS).when(line.rlike(X.OMISSION) | line.rlike(R.COMMAND) | line.rlike(R.UPLOAD_END), ENDS).otherwise(STAYS)
+    return (kind_of(line, noisy) + 16 * turn).cast("int")
+
+
 def explode_lines(logs: DataFrame, key: str, log: str) -> DataFrame:
     """(key, idx, raw, text, line): cleaned lines in order; ``line`` is null once a span was omitted."""
     rows = logs.select(F.col(key), F.posexplode(X.physical_lines(F.col(log))).alias("idx", "raw"))
@@ -127,30 +150,37 @@ def redacted(logs: DataFrame, log: str = "log") -> DataFrame:
     return logs.withColumn(log, redact.redact_column(F.regexp_replace(F.col(log), X.ANSI, "")).getField("content"))
 
 
-def diagnosed_lines(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
-    """(key, idx, raw, text, line, fence, hidden, uploading, part, v) of each line of each log.
+def diagnosed(lines: DataFrame, key: str = "job_id", long: DataFrame | None = None) -> DataFrame:
+    """(key, idx, raw, text, line, fence, hidden, uploading, part, v) of each of ``lines`` (key, idx, raw).
 
-    ``hidden`` lines are in a code fence, ``fence`` ones mark one, ``uploading`` ones belong to a
-    failed job's upload, ``part`` is a failed component, ``v`` (rule_id, category, priority,
-    chunk_type) what a line says, null if nothing. A null or empty log has no lines. A log's lines
-    stay together: they are told apart once, in one shuffle by ``key``.
+    ``idx`` counts a log's lines from 0. ``hidden`` lines are in a code fence, ``fence`` ones mark one,
+    ``uploading`` ones belong to a failed job's upload, ``part`` is a failed component, ``v`` (rule_id,
+    category, priority, chunk_type) what a line says, null if nothing. A log may be of any length: its lines
+    are dealt to blocks, and what came before a block is a prefix scan. ``long`` are the lines of
+    logs that are longer than a block, looked up where they are not given.
     """
-    raw = X.physical_lines(F.col(log))
-    lines = logs.select(F.col(key), raw.alias("raw")).withColumn("texts", F.transform("raw", X.clean_line))
-    marked = lines.withColumn("marks", _walked(F.transform("texts", lambda x: kind_of(x, R.noise(x)))))
-    rows = marked.select(key, F.posexplode(F.arrays_zip("raw", "texts", "marks")).alias("idx", "z")).select(key, "idx", "z.raw", F.col("z.texts").alias("text"), F.col("z.marks").alias("mark"))
-    hidden, text = F.col("mark") == HIDDEN, F.col("text")
-    upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.when(hidden, None).when(text.rlike(R.UPLOAD), True).when(text.rlike(X.OMISSION) | text.rlike(R.COMMAND) | text.rlike(R.UPLOAD_END), False)
-    rows = rows.withColumn("uploading", F.coalesce(F.last(turn, ignorenulls=True).over(upto), F.lit(False)))
-    rows = rows.withColumn("line", F.when(~F.max(text.rlike(X.OMISSION)).over(upto), F.col("idx") + 1))
-    said = R.classify(text, R.first_rule(text), F.col("uploading"), table_rule(text, F.col("mark")))
+    if long is None:
+        many = lines.groupBy(key).agg(F.max("idx").alias("__last")).where(F.col("__last") >= scan.BLOCK)
+        long = lines.join(many.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    text = X.clean_line(F.col("raw"))
+    coded = lines.select(key, "idx", "raw", text.alias("text")).withColumn("noise", R.noise(F.col("text"))).withColumn("code", _code(F.col("text"), F.col("noise")))
+    rows = scan.marked(coded, key, "idx", "code", LINES, long.select(key, "idx", text.alias("text")).select(key, "idx", _code(F.col("text"), R.noise(F.col("text"))).alias("code")))
+    text, mark = F.col("text"), F.col("mark") % UPLOADING
+    uploading, hidden = F.col("mark").bitwiseAND(UPLOADING) > 0, mark == HIDDEN
+    said = R.let(R.first_rule(text), lambda place: R.classify(text, place, uploading, table_rule(text, mark)))
     return rows.select(
-        key, "idx", "raw", "text", "line", (text.startswith("```") | text.startswith("~~~")).alias("fence"), hidden.alias("hidden"), "uploading",
-        F.when(~F.col("uploading"), component(text, F.col("mark"))).alias("part"), F.when(~hidden & ~R.noise(text), said).alias("v"),
+        key, "idx", "raw", "text", F.when(F.col("mark") < CUT, F.col("idx") + 1).alias("line"), (text.startswith("```") | text.startswith("~~~")).alias("fence"), hidden.alias("hidden"), uploading.alias("uploading"),
+        F.when(~uploading, component(text, mark)).alias("part"), F.when(~hidden & ~F.col("noise"), said).alias("v"),
     )
 
 
+def diagnosed_lines(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
+    """``diagnosed`` lines of logs; a null or empty log has none."""
+    raw = X.physical_lines(F.col(log))
+    lines = lambda of: of.select(F.col(key), F.posexplode(raw).alias("idx", "raw"))
+    return diagnosed(lines(logs), key, lines(logs.where(F.size(raw) > scan.BLOCK)))
+
+
 def ranked(lines: DataFrame, key: str = "job_id") -> DataFrame:
     """(key, idx, line, text, rule_id, category, priority, chunk_type, rank) of ``diagnosed_lines``: best evidence first."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("v.priority"), "idx"))

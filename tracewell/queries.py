@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracewell import queries_logs as G
 from tracewell.functions import redact
-from tracewell.functions import rules as R
 from tracewell.functions import text as X
 from tracewell.functions import urls as U
 from tracewell.operators import changes as C
@@ -17,83 +17,15 @@ from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
 from tracewell.sources.readers import landed
 
-#: Logs of our own, since the supplied tables hold no CI output.
-LOGS = [
-    ("a1", "failed", "Preparing\n$ make test\nFAILED tests/test_api.py::test_get\n2 failed, 8 passed in 3s\nERROR: Job failed: exit code 1\n"),
-    ("a2", "failed", "2024-05-01T10:00:00.000Z + npm ci\nnpm ERR! ERESOLVE could not resolve\nwarning: old lockfile\nprocess exited with code 254"),
-    ("a3", "success", "Run build\n0 errors\nBuild succeeded.\nJob succeeded\n"),
-    ("a4", "failed", "src/app.ts(3,1): error TS2304: Cannot find name\n```\nerror CS0161: only an example\n```\nHTTP status 503 from upstream\n"),
-    ("a5", "failed", "ERROR: Job failed (system failure): prepare environment: dial tcp 10.0.0.1:22: i/o timeout, ssh unreachable"),
-    ("a6", "failed", "connection to db\nERROR: permission denied for role\nUploading artifacts for failed job\nERROR: No files to upload\nfatal exit status 3\nCleaning up project"),
-    ("a7", "success", ""),
-    ("a8", "failed", "line one\n[LOG_TRUNCATED]\njq: parse error: Invalid numeric literal\nexit code: 5\nstatus: failed"),
-    ("a9", "failed", "ModuleNotFoundError: No module named 'x'\nToken expired\nQuality gate status: FAILED\ndeadline exceeded"),
-]
 PATHS = ["src/app/main.py", "src/app/util.py", "tests/test_main.py", "lib/util.py", "docs/Guide.md"]
 TRACE_PATHS = ["app/main.py", "util.py", "Guide.md", "missing.py", "SRC/app/main.py", "docs/guide.md"]
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "f"), ("f", "g")]
 
 
-def _t(name: str):
-    return lambda s, d: landed(s, d, name)
-
-
-def _logs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LOGS, "job_id string, status string, log string")
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS v({columns}))"
-
-
-_LOG_SQL = _values(LOGS, "job_id, status, log")
-_LINES_SQL = f"""
-lines AS (
-  SELECT job_id, idx - 1 AS idx, raw, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\x1b\\[[0-?]*[ -/]*[@-~]', '', 'g'), '\\r+$', ''), '^\\s*\\d{{4}}-\\d{{2}}-\\d{{2}}T\\S+\\s+(?:\\d+[A-Z]\\s+)?', '')) AS text
-  FROM (SELECT job_id, unnest(l) AS raw, unnest(range(1, len(l) + 1)) AS idx FROM (
-    SELECT job_id, string_split(regexp_replace(log, '\\n+$', ''), chr(10)) AS l FROM {_LOG_SQL} WHERE log <> ''))
-)"""
-
-
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _rules_sql() -> str:
-    whens = []
-    for rule in R.RULES:
-        hit = " AND ".join(f"regexp_matches(text, {_sql('(?i)' + p)})" for p in rule.patterns)
-        whens.append(f"WHEN {hit} THEN {{'rule_id': '{rule.rule_id}', 'category': '{rule.category}', 'priority': {rule.priority}}}")
-    return "CASE " + "\n".join(whens) + " END"
-
-
-_NOISE_SQL = "(text = '' OR " + " OR ".join(f"regexp_matches(text, {_sql(p)})" for p in R.NOISE) + ")"
-_SIGNALS_SQL = f"""
-kinds AS (
-  SELECT *, CASE WHEN starts_with(text, '```') THEN 1 WHEN starts_with(text, '~~~') THEN 2 WHEN regexp_matches(text, {_sql(X.OMISSION)}) THEN 3 ELSE 0 END AS kind FROM lines
-), fences AS (
-  SELECT job_id, idx, text, kind % 3 AS fence, false AS hidden FROM kinds WHERE idx = 0
-  UNION ALL
-  SELECT k.job_id, k.idx, k.text, CASE WHEN k.kind = 3 THEN 0 WHEN k.kind = 0 THEN fence WHEN fence = 0 THEN k.kind WHEN fence = k.kind THEN 0 ELSE fence END, k.kind = 0 AND fence <> 0
-  FROM fences f JOIN kinds k ON k.job_id = f.job_id AND k.idx = f.idx + 1
-), states AS (
-  SELECT *, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY idx), false) AS uploading FROM (
-    SELECT *, CASE WHEN starts_with(text, 'Uploading artifacts for failed job') THEN true WHEN regexp_matches(text, {_sql(X.OMISSION)}) OR regexp_matches(text, {_sql(R.COMMAND)}) OR regexp_matches(lower(text), '^(cleaning up|section_end:|section_start:)') THEN false END AS turn
-    FROM fences WHERE NOT hidden)
-), ruled AS (
-  SELECT job_id, idx, text, CASE
-    WHEN regexp_matches(text, {_sql(R.FOOTER)}) THEN {{'rule_id': 'script.nonzero_exit', 'category': 'unknown', 'priority': 15}}
-    WHEN uploading AND ({_rules_sql()}) IS NOT NULL AND NOT starts_with(({_rules_sql()}).rule_id, 'runner.') THEN {{'rule_id': 'artifact.upload_failed', 'category': 'unknown', 'priority': 20}}
-    ELSE {_rules_sql()} END AS v
-  FROM states WHERE NOT {_NOISE_SQL}
-), signals AS (
-  SELECT job_id, idx::INT AS idx, text, v.rule_id AS rule_id, v.category AS category, v.priority AS priority,
-    row_number() OVER (PARTITION BY job_id ORDER BY v.priority DESC, idx)::INT AS rank
-  FROM ruled WHERE v IS NOT NULL
-)"""
-
-
 def q_fingerprint_clusters(s, d):
     rows = landed(s, d, "documents").select(X.fingerprint(F.col("source"), F.lit(None), F.col("text")).alias("fingerprint"), F.col("source").alias("category"), F.col("doc_id").alias("updated_at"))
     return Q.cluster_report(rows, None)
@@ -105,9 +37,6 @@ SQL: dict[str, str] = {
 }
 
 
-SQL_LAST_EXIT = f"SELECT job_id, arg_max(c[len(c)]::INT, idx) AS exit_code FROM (SELECT job_id, idx, regexp_extract_all(text, {_sql(R.EXIT_CODE)}, 1) AS c FROM lines WHERE NOT regexp_matches(text, {_sql(R.COMMAND)})) WHERE len(c) > 0 GROUP BY job_id"
-
-
 def q_line_explode(s, d):
     rows = landed(s, d, "documents").select("doc_id", F.posexplode(X.physical_lines(F.col("text"))).alias("idx", "raw"))
     return rows.select("doc_id", "idx", F.sha2("raw", 256).alias("line_sha256"))
@@ -116,113 +45,6 @@ def q_line_explode(s, d):
 SQL["line_explode"] = "SELECT doc_id, (unnest(range(1, len(l) + 1)) - 1)::INT AS idx, sha256(unnest(l)) AS line_sha256 FROM (SELECT doc_id, string_split(regexp_replace(text, '\\n+$', ''), chr(10)) AS l FROM documents WHERE text <> '')"
 
 
-def q_clean_lines(s, d):
-    return L.explode_lines(_logs(s), "job_id", "log").select("job_id", "idx", "text", "line")
-
-
-SQL["clean_lines"] = f"WITH {_LINES_SQL} SELECT job_id, idx::INT AS idx, text, CASE WHEN NOT max(regexp_matches(text, {_sql(X.OMISSION)})) OVER (PARTITION BY job_id ORDER BY idx) THEN idx::INT + 1 END AS line FROM lines"
-
-
-def q_first_rule(s, d):
-    rows = L.explode_lines(_logs(s), "job_id", "log").where(~R.noise(F.col("text"))).withColumn("place", R.first_rule(F.col("text"))).where("place is not null").withColumn("v", R.verdict(F.col("place")))
-    return rows.select("job_id", "idx", "v.rule_id", "v.category", "v.priority")
-
-
-SQL["rule_signals_inline"] = f"WITH {_LINES_SQL} SELECT job_id, idx::INT AS idx, v.rule_id AS rule_id, v.category AS category, v.priority AS priority FROM (SELECT job_id, idx, {_rules_sql()} AS v FROM lines WHERE NOT {_NOISE_SQL}) WHERE v IS NOT NULL"
-
-
-def q_failure_signals(s, d):
-    return L.failure_signals(_logs(s)).select("job_id", "idx", "rule_id", "priority", "rank")
-
-
-SQL["failure_signals_inline"] = f"WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL} SELECT job_id, idx, rule_id, priority, rank FROM signals"
-
-
-def q_top_signal(s, d):
-    return L.failure_signals(_logs(s)).where("rank = 1").select("job_id", "idx", "rule_id", "category", "priority")
-
-
-SQL["top_signal_per_log"] = f"WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL} SELECT job_id, idx, rule_id, category, priority FROM signals WHERE rank = 1"
-
-
-def q_fingerprint_logs(s, d):
-    return L.fingerprint_logs(_logs(s))
-
-
-SQL["fingerprint_logs_inline"] = f"""
-WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL},
-cmd AS (SELECT l.job_id, arg_max(trim(regexp_extract(l.text, {_sql(R.COMMAND)}, 1)), l.idx) AS command FROM lines l LEFT JOIN signals t ON t.job_id = l.job_id AND t.rank = 1 WHERE regexp_matches(l.text, {_sql(R.COMMAND)}) AND (t.idx IS NULL OR l.idx <= t.idx) GROUP BY 1),
-codes AS ({SQL_LAST_EXIT}),
-said AS (SELECT job_id, bool_or(regexp_matches(lower(text), '^(job succeeded|build succeeded)')) AS good FROM lines GROUP BY 1),
-told AS (
-  SELECT j.job_id, coalesce(t.category, CASE WHEN good THEN 'no_failure_observed' ELSE 'unknown' END) AS category, coalesce(t.text, 'No explicit failure signal observed') AS said, command, exit_code
-  FROM {_LOG_SQL} j LEFT JOIN signals t ON t.job_id = j.job_id AND t.rank = 1 LEFT JOIN cmd ON cmd.job_id = j.job_id LEFT JOIN codes ON codes.job_id = j.job_id LEFT JOIN said ON said.job_id = j.job_id),
-norm AS (SELECT *, {_NORMAL_SQL.replace("coalesce(text, '')", "coalesce(said, '')")} AS message, {_NORMAL_SQL.replace("coalesce(text, '')", "coalesce(command, '')")} AS c FROM told)
-SELECT job_id, substr(sha256(category || '|' || c || '|' || message), 1, 20) AS digest, category, message, command, exit_code FROM norm"""
-
-
-def q_chunk_windows(s, d):
-    return L.chunk_logs(L.redacted(_logs(s))).drop("signals")
-
-
-#: What chunks of the inline logs hold: a1 to a9 have one stretch each, which a6's upload and a8's omission leave whole or cut.
-def q_diagnoses(s, d):
-    found = D.diagnoses(_logs(s))
-    return found.select("job_id", "category", "confidence", F.transform("cited", lambda x: x.text).alias("lines"))
-
-
-SQL["diagnosis_inline"] = f"""
-WITH RECURSIVE {_LINES_SQL}, {_SIGNALS_SQL},
-best AS (SELECT job_id, idx, text, category, priority, row_number() OVER (PARTITION BY job_id ORDER BY priority DESC, idx) AS n FROM signals)
-SELECT j.job_id, coalesce(b.category, CASE WHEN j.log LIKE '%ucceeded%' THEN 'no_failure_observed' ELSE 'unknown' END) AS category,
-  CASE WHEN b.category IS NULL THEN CASE WHEN j.log LIKE '%ucceeded%' THEN 0.9 ELSE 0.3 END WHEN b.category <> 'unknown' THEN 0.96 ELSE 0.42 END::DOUBLE AS confidence,
-  CASE WHEN j.log = '' THEN NULL ELSE [b.text] END AS lines
-FROM {_LOG_SQL} j LEFT JOIN best b ON b.job_id = j.job_id AND n = 1"""
-
-
-def q_last_exit_code(s, d):
-    return L.fingerprint_logs(_logs(s)).where("exit_code is not null").select("job_id", "exit_code")
-
-
-SQL["last_exit_code"] = f"WITH {_LINES_SQL} {SQL_LAST_EXIT}"
-
-
-#: (job, status, conclusion, failure reason, inline log): each log as it ended, and outcomes that contradict it.
-FINDING_JOBS = [
-    *[(i, status, None, None, i) for i, status, _ in LOGS],
-    ("b1", "success", None, None, "a1"), ("b2", "completed", "success", "runner_system_failure", "a9"), ("b3", "failed", None, "runner_system_failure", "a1"),
-    ("b4", "failed", None, "runner_system_failure", "a5"), ("b5", "canceled", None, None, "a7"), ("b6", "failed", None, None, "a7"), ("b7", "success", None, None, "a7"),
-    ("b8", "success", None, None, "m1"), ("b9", "passed", None, None, "m2"), ("c1", "Completed", "timed_out", None, "a3"), ("c2", "running", None, None, "a3"),
-]
-MASKED = [("m1", "success", "$ make deploy || true\nERROR: it broke\nJob succeeded\n"), ("m2", "success", "$ echo '|| true'\nERROR: it broke\n")]
-
-
-def q_findings(s, d):
-    logs = s.createDataFrame([(i, x) for i, _, x in [*LOGS, *MASKED]], "name string, log string")
-    jobs = s.createDataFrame(FINDING_JOBS, "job_id string, status string, conclusion string, failure_reason string, name string").join(logs, "name")
-    return D.findings(jobs).select("job_id", "rule_id", "category", "severity", "confidence")
-
-
-SQL["finding_status_inline"] = f"""
-WITH RECURSIVE {_LINES_SQL.replace(_LOG_SQL, _values([*LOGS, *MASKED], 'job_id, status, log'))}, {_SIGNALS_SQL},
-jobs AS (SELECT * FROM {_values(FINDING_JOBS, 'job_id, status, conclusion, reason, name')}),
-seen AS (
-  SELECT j.job_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(reason, '') = 'runner_system_failure' AS system, name,
-    name = 'm1' AS masked, name <> 'a7' AS logged FROM jobs j
-), good AS (SELECT *, outcome IN ('success', 'succeeded', 'passed') AS good FROM seen),
-top AS (
-  SELECT g.job_id, arg_min(x.rule_id, x.rank) AS rule_id, arg_min(x.category, x.rank) AS category FROM good g JOIN signals x ON x.job_id = g.name
-  WHERE NOT g.system OR g.good OR starts_with(x.rule_id, 'runner.') GROUP BY g.job_id
-)
-SELECT g.job_id,
-  CASE WHEN t.rule_id IS NULL AND g.system AND NOT g.good THEN 'runner.reported_system_failure' WHEN t.rule_id IS NULL AND g.good THEN 'job.no_failure_observed' WHEN t.rule_id IS NULL THEN 'job.insufficient_evidence'
-    WHEN g.good AND g.masked THEN 'script.failure_masked' ELSE t.rule_id END AS rule_id,
-  CASE WHEN t.rule_id IS NULL AND g.system AND NOT g.good THEN 'runner_infrastructure_failure' WHEN t.rule_id IS NULL AND g.good THEN 'no_failure_observed' WHEN t.rule_id IS NULL THEN 'unknown'
-    WHEN g.good AND g.masked THEN 'script_exit_masking' ELSE t.category END AS category,
-  CASE WHEN t.rule_id IS NULL THEN CASE WHEN g.system AND NOT g.good OR g.outcome IN ('failed', 'failure', 'timed_out') THEN 'error' ELSE 'info' END WHEN g.good THEN 'warning' ELSE 'error' END AS severity,
-  CASE WHEN t.rule_id IS NULL THEN CASE WHEN g.good AND g.logged THEN 'observed' ELSE 'unknown' END WHEN g.good THEN 'likely' WHEN t.category = 'unknown' THEN 'unknown' ELSE 'observed' END AS confidence
-FROM good g LEFT JOIN top t USING (job_id)"""
-
 RUNS = [("r1", "failed", None, False), ("r2", "success", None, False), ("r3", "success", None, True), ("r4", "running", None, False), ("r5", "completed", "success", False), ("r6", "canceled", None, False), ("r7", None, None, False), ("r8", "Completed", "timed_out", None), ("r9", "passed", None, None)]
 RUN_FINDINGS = [("r1", "warning"), ("r2", "info"), ("r5", "info"), ("r5", "warning"), ("r4", "error")]
 
@@ -232,27 +54,13 @@ def q_overall(s, d):
 
 
 SQL["overall_status"] = f"""
-WITH r AS (SELECT run_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(partial, false) AS partial FROM {_values(RUNS, 'run_id, status, conclusion, partial')})
+WITH r AS (SELECT run_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(partial, false) AS partial FROM {G.values_sql(RUNS, 'run_id, status, conclusion, partial')})
 SELECT run_id, CASE WHEN outcome IS NULL THEN 'configuration_only' WHEN outcome IN ('failed', 'failure', 'timed_out') THEN 'failed'
   WHEN outcome IN ('created', 'waiting_for_resource', 'preparing', 'pending', 'running', 'scheduled', 'canceling') THEN 'in_progress'
-  WHEN outcome IN ('success', 'succeeded', 'passed') AND NOT partial AND run_id NOT IN (SELECT run_id FROM {_values(RUN_FINDINGS, 'run_id, severity')} WHERE severity IN ('error', 'warning')) THEN 'passed' ELSE 'warning' END AS status
+  WHEN outcome IN ('success', 'succeeded', 'passed') AND NOT partial AND run_id NOT IN (SELECT run_id FROM {G.values_sql(RUN_FINDINGS, 'run_id, severity')} WHERE severity IN ('error', 'warning')) THEN 'passed' ELSE 'warning' END AS status
 FROM r"""
 
 
-def q_classified(s, d):
-    """All documents read as rows of an imported data set of logs; the exclamation marks of some look like nothing."""
-    docs = landed(s, d, "documents").select("doc_id", "text").unionByName(s.createDataFrame([(-1 - k, x) for k, (_, _, x) in enumerate(LOGS)], "doc_id long, text string"))
-    return D.classified(docs, "doc_id", "text")
-
-
-_ROWS_SQL = "(SELECT doc_id AS job_id, 'failed' AS status, text AS log FROM documents UNION ALL SELECT * FROM " + _values([(-1 - k, "failed", x) for k, (_, _, x) in enumerate(LOGS)], "job_id, status, log") + ")"
-SQL["rows_classified"] = f"""
-WITH RECURSIVE {_LINES_SQL.replace(_LOG_SQL, _ROWS_SQL)}, {_SIGNALS_SQL},
-top AS (SELECT * FROM signals WHERE rank = 1)
-SELECT j.job_id AS doc_id, CASE WHEN coalesce(category, 'unknown') = 'unknown' THEN 'unknown' ELSE 'classified' END AS state, coalesce(rule_id, 'job.insufficient_evidence') AS rule_id, coalesce(category, 'unknown') AS category
-FROM {_ROWS_SQL} j LEFT JOIN top USING (job_id)"""
-
-
 def q_error_islands(s, d):
     errors = landed(s, d, "events").select("user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("idx")).where("event_type = 'error'")
     return L.islands(errors.select("user_id", F.greatest(F.col("idx") - 3, F.lit(1)).alias("lo"), (F.col("idx") + 7).alias("hi")), "user_id").select("user_id", F.col("island").cast("long").alias("island"), "lo", "hi")
@@ -347,7 +155,7 @@ def q_suffix(s, d):
     return Q.unique_suffix(s.createDataFrame([(p,) for p in TRACE_PATHS], "path string"), "path", s.createDataFrame([(p,) for p in PATHS], "known string"), "known")
 
 
-SQL["join_unique_suffix"] = f"SELECT path, min(known) AS known FROM {_values([(p,) for p in TRACE_PATHS], 'path')} JOIN {_values([(p,) for p in PATHS], 'known')} ON known = path OR ends_with(known, '/' || path) GROUP BY path HAVING count(*) = 1"
+SQL["join_unique_suffix"] = f"SELECT path, min(known) AS known FROM {G.values_sql([(p,) for p in TRACE_PATHS], 'path')} JOIN {G.values_sql([(p,) for p in PATHS], 'known')} ON known = path OR ends_with(known, '/' || path) GROUP BY path HAVING count(*) = 1"
 
 
 def q_case(s, d):
@@ -355,9 +163,9 @@ def q_case(s, d):
 
 
 SQL["case_mismatch_paths"] = f"""
-WITH p AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM {_values([(p,) for p in TRACE_PATHS], 'path')}),
+WITH p AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM {G.values_sql([(p,) for p in TRACE_PATHS], 'path')}),
 w AS (SELECT path, k, array_to_string(string_split(path, '/')[1:k], '/') AS prefix FROM p),
-q AS (SELECT known, unnest(range(1, len(string_split(known, '/')) + 1)) AS k FROM {_values([(p,) for p in PATHS], 'known')}),
+q AS (SELECT known, unnest(range(1, len(string_split(known, '/')) + 1)) AS k FROM {G.values_sql([(p,) for p in PATHS], 'known')}),
 h AS (SELECT DISTINCT array_to_string(string_split(known, '/')[1:k], '/') AS prefix FROM q),
 b AS (SELECT lower(prefix) AS folded, min(prefix) AS spelled, count(*) AS n FROM h GROUP BY 1)
 SELECT path, arg_min(spelled, k) AS expected FROM w JOIN b ON lower(prefix) = folded AND n = 1 AND spelled <> prefix GROUP BY path"""
@@ -370,7 +178,7 @@ def q_tiered(s, d):
 
 
 SQL["join_tiered_unique"] = f"""
-WITH j AS (SELECT * FROM {_values(_JOBS, 'job_id, name, provider')}), n AS (SELECT * FROM {_values([(x,) for x in _NODES], 'node')}),
+WITH j AS (SELECT * FROM {G.values_sql(_JOBS, 'job_id, name, provider')}), n AS (SELECT * FROM {G.values_sql([(x,) for x in _NODES], 'node')}),
 c AS (
   SELECT job_id, node, 1 AS tier, 1.0::DOUBLE AS confidence FROM j JOIN n ON name = node
   UNION ALL SELECT job_id, node, 2, 0.9 FROM j JOIN n ON regexp_replace(name, '\\s+(?:\\d+/\\d+|\\[[^\\]]*\\])$|:\\s*\\[[^\\]]*\\]$', '') = node AND node <> name
@@ -497,23 +305,6 @@ e AS (SELECT doc_id, array_to_string(CASE WHEN len(telling) > 0 THEN telling[gre
 SELECT doc_id, sha256(CASE WHEN octet_length(encode(text)) <= 800 THEN text ELSE {_fitting('left', 788)} || ' [truncated]' END) AS sha256 FROM e"""
 
 
-#: Lines with and without locations of source files.
-TRACES = [
-    ("t1", r"C:\w\src\A.cs(10,5): error CS0103: no name" + "\nat src/a.py:10:2 and src/a.py:10:2\nlib/b.go:7: boom"),
-    ("t2", 'Traceback\n  File "/home/u/tests/test_x.py", line 42, in f\nwarning: src/w.py:1\n$ cat src/c.py:3\n./z.rs:0: no\n./z.rs:5\n/opt/other/y.java:9:0'),
-    ("t3", None), ("t4", "\n".join(f"src/m{k}.ts:{k}" for k in range(1, 15))),
-]
-
-
-def q_code_locations(s, d):
-    return L.code_locations(s.createDataFrame(TRACES, "job_id string, log string"))
-
-
-SQL["code_locations_inline"] = f"""
-SELECT * FROM (VALUES ('t1', 1, 'src/A.cs', 10, 5, 'CS0103: no name'), ('t1', 2, 'src/a.py', 10, 2, NULL), ('t1', 3, 'lib/b.go', 7, NULL, NULL), ('t2', 1, 'tests/test_x.py', 42, NULL, NULL), ('t2', 2, 'z.rs', 5, NULL, NULL)) v(job_id, place, path, line, "column", message)
-UNION ALL SELECT 't4', k, 'src/m' || k || '.ts', k, NULL, NULL FROM (SELECT unnest(range(1, 11))::INT AS k)"""
-
-
 def q_url(s, d):
     return landed(s, d, "pages").select("page_id", X.sanitize_url(F.col("url")).alias("clean"), X.identity("url", F.col("url")).alias("url_key"))
 
@@ -537,15 +328,31 @@ def q_redact(s, d):
 SQL["redact_assignments"] = f"SELECT doc_id, sha256(regexp_replace(text, {_sql(redact.ASSIGNED)}, '\\1\"[REDACTED]\"', 'g')) AS sha256, len(regexp_extract_all(text, {_sql(redact.ASSIGNED)}))::BIGINT AS n FROM documents"
 
 
+#: Texts with secrets of each kind, beside what documents hold.
+SECRETS = [
+    '{"password": "hunter2", "user": "bob", "api_key": 1234, "token_count": 5}', "see https://bob:s3cr3t@host.example/x and postgres://u:p@ss@db/x", "curl -H 'Authorization: Bearer abcdefgh12345678' https://h/x?sig=abc&page=2",
+    "-----BEGIN RSA PRIVATE KEY-----\nabc\ndef\n-----END RSA PRIVATE KEY-----\nafter", "github_pat_11ABCDEFGHIJK and glpat-abcdefghij1 in one line", "a:\n  client_secret: s3cr3t of words # why\n  user: bob", "export DB_PASS='s3cr3t one'; make", None, "",
+    "token: ${{ secrets.A }}", 'api_key = "$ENV"',
+]
+
+
 def q_redact_full(s, d):
-    out = landed(s, d, "documents").select("doc_id", redact.redact_column(F.col("text")).alias("r"))
+    cases = s.createDataFrame([(-1 - k, x) for k, x in enumerate(SECRETS)], "doc_id long, text string")
+    out = landed(s, d, "documents").select("doc_id", "text").unionByName(cases).select("doc_id", redact.redact_column(F.col("text")).alias("r"))
     return out.select("doc_id", F.sha2("r.content", 256).alias("sha256"), "r.replacements")
 
 
-#: What these documents hold: a quoted value after ``token =``; with more right behind its quote, the value goes on to the next blank.
-SQL["redact_full"] = r"""
-SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)(\btoken = )"[^"\s]*"[^\s;&|<>]+', '\1[REDACTED]', 'g'), '(?i)(\btoken = )"[^"]*"', '\1"[REDACTED]"', 'g')) AS sha256,
-  coalesce(len(regexp_extract_all(text, '(?i)\btoken = "[^"]*"')), 0)::INT AS replacements FROM documents"""
+#: One pattern a kind of secret, and what stands there then; a quoted value with more right behind it goes on to the next blank.
+_KINDS_SQL = [
+    (r'(?i)(\btoken = )"[^"\s]*"[^\s;&|<>]+', r"\1[REDACTED]"), (r'(?i)(\btoken = )"[^"\[]*"', r'\1"[REDACTED]"'), (r'("password": )"[^"]*"', r'\1"[REDACTED]"'), (r'("api_key": )[0-9]+', r'\1"[REDACTED]"'), (r"([a-z]+://)[^/\s?#]*@", r"\1"),
+    (r"(Authorization: Bearer )[A-Za-z0-9]{8,}", r"\1[REDACTED]"), (r"([?&]sig=)[^&#\s\[%]+", r"\1%5BREDACTED%5D"), (r"\b(?:github_pat_[A-Za-z0-9_]{8,}|glpat-[A-Za-z0-9_-]{6,})", "[REDACTED]"), (r"(client_secret: )[^#\n]*[^#\n\s]", r'\1"[REDACTED]"'), (r"(DB_PASS=)'[^']*'", r"\1'[REDACTED]'"),
+    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED]\n\n\n"),
+]
+_masked_sql, _count_sql = "text", "0"
+for _pattern, _shown in _KINDS_SQL:
+    _count_sql += f" + coalesce(len(regexp_extract_all({_masked_sql}, {_sql(_pattern)})), 0)"
+    _masked_sql = f"regexp_replace({_masked_sql}, {_sql(_pattern)}, {_sql(_shown)}, 'g')"
+SQL["redact_full"] = f"SELECT doc_id, sha256({_masked_sql}) AS sha256, ({_count_sql})::INT AS replacements FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {G.values_sql([(-1 - k, x) for k, x in enumerate(SECRETS)], 'doc_id, text')})"
 
 
 def q_token_bag(s, d):
@@ -593,7 +400,7 @@ def q_closure(s, d):
     return Q.closure(s.createDataFrame(EDGES, "src string, dst string"), "src", "dst")
 
 
-SQL["transitive_closure"] = f"WITH RECURSIVE e AS (SELECT * FROM {_values(EDGES, 'src, dst')}), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 20) SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2"
+SQL["transitive_closure"] = f"WITH RECURSIVE e AS (SELECT * FROM {G.values_sql(EDGES, 'src, dst')}), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 20) SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2"
 
 
 def q_upsert(s, d):
@@ -650,7 +457,7 @@ def q_artifact(s, d):
 
 
 SQL["artifact_rollup_inline"] = f"""
-WITH a AS (SELECT path, json->'$.fieldMappings' AS f FROM {_values(ARTIFACTS, 'path, json')}),
+WITH a AS (SELECT path, json->'$.fieldMappings' AS f FROM {G.values_sql(ARTIFACTS, 'path, json')}),
 b AS (SELECT path, json_type(f) = 'OBJECT' AS obj, CASE json_type(f) WHEN 'ARRAY' THEN f WHEN 'OBJECT' THEN CASE WHEN json_type(f->'$.failures') = 'ARRAY' THEN f->'$.failures' END END AS rows, CASE WHEN json_type(f) = 'OBJECT' THEN coalesce(try_cast(f->>'$.failed' AS BIGINT), try_cast(f->>'$.failure' AS BIGINT)) END AS n FROM a),
 r AS (SELECT path, obj, i, lower(trim(x->>'$.status')) AS status, coalesce(x->>'$.error', '') || ' ' || coalesce(x->>'$.message', '') AS said FROM (SELECT path, obj, unnest(rows::JSON[]) AS x, unnest(range(1, (json_array_length(rows) + 1)::BIGINT)) AS i FROM b WHERE rows IS NOT NULL)),
 k AS (SELECT *, coalesce(status IN ('ok', 'success', 'skipped', 'updated', 'deployed'), false) AS good FROM r),
@@ -699,7 +506,7 @@ def q_added_lines(s, d):
 
 
 SQL["diff_added_lines_inline"] = rf"""
-WITH r AS (SELECT change, unnest(range(0, len(l)))::INT AS idx, unnest(l) AS raw FROM (SELECT change, regexp_split_to_array(diff, '\r?\n') AS l FROM {_values(DIFFS, 'change, diff')})),
+WITH r AS (SELECT change, unnest(range(0, len(l)))::INT AS idx, unnest(l) AS raw FROM (SELECT change, regexp_split_to_array(diff, '\r?\n') AS l FROM {G.values_sql(DIFFS, 'change, diff')})),
 m AS (SELECT *, try_cast(nullif(regexp_extract(raw, {_sql(C.HUNK)}, 1), '') AS INT) AS start, NOT regexp_matches(raw, {_sql(C.NO_CONTENT)}) AS content FROM r),
 h AS (SELECT *, count(start) OVER w AS hunk, last_value(start IGNORE NULLS) OVER w AS first FROM m WINDOW w AS (PARTITION BY change ORDER BY idx ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, first + coalesce(sum(CASE WHEN content AND raw[1] IN ('+', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY change, hunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM h)
@@ -715,7 +522,7 @@ def q_current_paths(s, d):
     return C.current_paths(known, changes)
 
 
-_KNOWN_SQL, _CHANGES_SQL = _values([(p,) for p in PATHS], "path"), _values(CHANGES, "old_path, new_path, deleted_file, renamed_file, note")
+_KNOWN_SQL, _CHANGES_SQL = G.values_sql([(p,) for p in PATHS], "path"), G.values_sql(CHANGES, "old_path, new_path, deleted_file, renamed_file, note")
 SQL["current_paths"] = f"SELECT path FROM {_KNOWN_SQL} EXCEPT SELECT old_path FROM {_CHANGES_SQL} WHERE deleted_file OR renamed_file UNION SELECT regexp_replace(new_path, '^\\./', '') FROM {_CHANGES_SQL} WHERE NOT deleted_file"
 
 
@@ -733,7 +540,7 @@ now AS (SELECT path FROM known WHERE path NOT IN (SELECT coalesce(o, n) FROM cle
 kp AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='known')}),
 np AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='now')}),
 k1 AS (SELECT lower(p) AS f, min(p) AS p FROM kp GROUP BY 1 HAVING count(*) = 1), n1 AS (SELECT lower(p) AS f, min(p) AS p FROM np GROUP BY 1 HAVING count(*) = 1),
-refs AS (SELECT DISTINCT path, referenced FROM {_values(REFERENCES, 'path, referenced')} WHERE NOT contains(referenced, '$') AND path IN (SELECT path FROM touched)),
+refs AS (SELECT DISTINCT path, referenced FROM {G.values_sql(REFERENCES, 'path, referenced')} WHERE NOT contains(referenced, '$') AND path IN (SELECT path FROM touched)),
 tp AS (SELECT path, k, array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='touched')} WHERE path IN (SELECT path FROM touched WHERE NOT meant)),
 rp AS (SELECT referenced, k, array_to_string(string_split(referenced, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='referenced', t='refs')}),
 moved AS (SELECT path, arg_min(k1.p, k) AS expected FROM tp JOIN k1 ON lower(tp.p) = f AND k1.p <> tp.p GROUP BY 1),
@@ -747,7 +554,7 @@ def q_hidden_exit(s, d):
     return s.createDataFrame(COMMANDS, "command string").select("command", C.hides_exit_code(F.col("command")).alias("hidden"))
 
 
-SQL["exit_suppressed_inline"] = f"SELECT command, NOT regexp_matches(plain, {_sql(C.PRINTING)}) AND regexp_matches(string_split(regexp_replace(plain, {_sql(C.QUOTED)}, '', 'g'), '#')[1], {_sql(C.MASKED)}) AS hidden FROM (SELECT command, trim(regexp_replace(command, '^[$+] ', '')) AS plain FROM {_values(COMMANDS, 'command')})"
+SQL["exit_suppressed_inline"] = f"SELECT command, NOT regexp_matches(plain, {_sql(C.PRINTING)}) AND regexp_matches(string_split(regexp_replace(plain, {_sql(C.QUOTED)}, '', 'g'), '#')[1], {_sql(C.MASKED)}) AS hidden FROM (SELECT command, trim(regexp_replace(command, '^[$+] ', '')) AS plain FROM {G.values_sql(COMMANDS, 'command')})"
 
 
 def _similar_incidents(s, d):
@@ -805,7 +612,7 @@ def q_retained(s, d):
 SQL["retention_projects_entries"] = "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 ORDER BY min(ts) DESC, user_id DESC LIMIT 50) ORDER BY ts DESC, event_id DESC LIMIT 200"
 
 _FINDING_COLUMNS = "run_id string, rule_id string, category string, severity string, confidence string, job_id string"
-_FINDING_SQL = _values(FINDINGS, "run_id, rule_id, category, severity, confidence, job_id")
+_FINDING_SQL = G.values_sql(FINDINGS, "run_id, rule_id, category, severity, confidence, job_id")
 
 
 def q_ordered(s, d):
@@ -866,7 +673,7 @@ def q_references(s, d):
 
 
 SQL["url_references_inline"] = f"""
-WITH u AS (SELECT url, string_split(regexp_replace(url, '^[A-Za-z]+://', ''), '?') AS cut, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme FROM {_values([(x,) for x in URLS], 'url')}),
+WITH u AS (SELECT url, string_split(regexp_replace(url, '^[A-Za-z]+://', ''), '?') AS cut, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme FROM {G.values_sql([(x,) for x in URLS], 'url')}),
 p AS (
   SELECT url, scheme, lower(regexp_extract(cut[1], '^([^/]*)', 1)) AS host, rtrim(url_decode(regexp_replace(cut[1], '^[^/]*/?', '')), '/') AS path, coalesce(cut[2], '') AS query FROM u
   WHERE NOT contains(url, '#') AND NOT contains(url, '@') AND len(cut) <= 2 AND (scheme = 'https' OR scheme = 'http' AND starts_with(cut[1], 'localhost'))),
@@ -960,14 +767,14 @@ def q_history_items(s, d):
 
 SQL["history_items_inline"] = f"""
 WITH i AS (
-  SELECT project, 'history:resolution:' || id AS evidence_id, 'confirmed_resolution' AS kind, rule_id, NULL AS category, resolution AS text, 0.0::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY since DESC) AS n FROM {_values(HISTORY_SAID, 'project, id, rule_id, resolution, since')} WHERE trim(resolution) <> '') WHERE n <= 3
-  UNION ALL SELECT project, 'history:job:' || job_id, 'past_failure', rule_id, category, excerpt, coalesce(boost, 0) FROM {_values(HISTORY_JOBS, 'project, job_id, rule_id, category, excerpt, boost')} WHERE excerpt <> '' OR rule_id IS NOT NULL
-  UNION ALL SELECT project, 'history:incident:' || id[:16], 'past_incident', NULL, category, summary || coalesce(chr(10) || 'Confirmed resolution: ' || resolution, ''), similarity FROM {_values(HISTORY_PAST, 'project, id, category, summary, resolution, similarity')}),
+  SELECT project, 'history:resolution:' || id AS evidence_id, 'confirmed_resolution' AS kind, rule_id, NULL AS category, resolution AS text, 0.0::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY since DESC) AS n FROM {G.values_sql(HISTORY_SAID, 'project, id, rule_id, resolution, since')} WHERE trim(resolution) <> '') WHERE n <= 3
+  UNION ALL SELECT project, 'history:job:' || job_id, 'past_failure', rule_id, category, excerpt, coalesce(boost, 0) FROM {G.values_sql(HISTORY_JOBS, 'project, job_id, rule_id, category, excerpt, boost')} WHERE excerpt <> '' OR rule_id IS NOT NULL
+  UNION ALL SELECT project, 'history:incident:' || id[:16], 'past_incident', NULL, category, summary || coalesce(chr(10) || 'Confirmed resolution: ' || resolution, ''), similarity FROM {G.values_sql(HISTORY_PAST, 'project, id, category, summary, resolution, similarity')}),
 t AS (SELECT *, regexp_extract_all(lower(text), '[a-z][a-z0-9_/-]{{2,}}') AS w FROM i),
 m AS (
   SELECT finding_id, evidence_id, kind, a.rule_id = t.rule_id AS same_rule, a.category = t.category AND t.category <> 'unknown' AS same_kind, boost,
     len(list_intersect(regexp_extract_all(query, '[a-z]{{3,}}'), w)) AS n, len(regexp_extract_all(query, '[a-z]{{3,}}')) AS nq, len(w) AS nw
-  FROM {_values(HISTORY_ASK, 'finding_id, project, rule_id, category, query')} a JOIN t USING (project)),
+  FROM {G.values_sql(HISTORY_ASK, 'finding_id, project, rule_id, category, query')} a JOIN t USING (project)),
 s AS (SELECT finding_id, evidence_id, kind, CASE WHEN kind = 'confirmed_resolution' THEN CASE WHEN same_rule THEN 2.0 END
     ELSE round_even(least(1, CASE WHEN nq + nw > n THEN n / (nq + nw - n) ELSE 0 END + CASE WHEN coalesce(same_rule, false) THEN 0.25 WHEN coalesce(same_kind, false) THEN 0.1 ELSE 0 END + boost), 3) END::DOUBLE AS score FROM m)
 SELECT finding_id, evidence_id, kind, score, row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, evidence_id)::INT AS rn FROM s WHERE score >= 0.12 QUALIFY rn <= 6"""
@@ -981,7 +788,7 @@ BRIDGES = [("r1", "b1", "failed", False, "c1"), ("r1", "b2", "failed", False, "c
 
 
 def q_inspected(s, d):
-    logs = s.createDataFrame([(i, x) for i, _, x in LOGS], "name_of_log string, log string")
+    logs = s.createDataFrame([(i, x) for i, _, x in G.LOGS], "name_of_log string, log string")
     jobs = s.createDataFrame(INSPECTED_JOBS, "run_id string, job_id string, name string, stage string, status string, allow_failure boolean, failure_reason string, name_of_log string").join(logs, "name_of_log").withColumn("conclusion", F.lit(None).cast("string")).withColumn("selected", F.lit(False))
     runs = s.createDataFrame(INSPECTED_RUNS, "run_id string, status string, conclusion string, partial boolean")
     found, status = I.inspected(runs, jobs, s.createDataFrame(BRIDGES, "run_id string, bridge_id string, status string, allow_failure boolean, child_id string"), budget=2)
@@ -989,9 +796,9 @@ def q_inspected(s, d):
 
 
 QUERIES = {
-    "fingerprint_clusters": q_fingerprint_clusters, "line_explode": q_line_explode, "clean_lines": q_clean_lines, "rule_signals_inline": q_first_rule,
-    "failure_signals_inline": q_failure_signals, "top_signal_per_log": q_top_signal, "fingerprint_logs_inline": q_fingerprint_logs, "chunk_full": q_chunk_windows,
-    "last_exit_code": q_last_exit_code, "finding_status_inline": q_findings, "error_islands": q_error_islands, "asof_last_event": q_asof, "state_after_marker": q_state,
+    "fingerprint_clusters": q_fingerprint_clusters, "line_explode": q_line_explode, 
+    
+    "error_islands": q_error_islands, "asof_last_event": q_asof, "state_after_marker": q_state,
     "context_budget": q_budget, "next_key_range": q_next_key, "join_inner": q_join_inner, "join_left_zero_fill": q_zero_fill, "join_semi": q_semi, "join_anti": q_anti,
     "join_band": q_band, "join_unique_suffix": q_suffix, "case_mismatch_paths": q_case, "join_tiered_unique": q_tiered, "rule_prefix_lookup": q_dotted, "top2_per_group": q_top2,
     "retention_newest_n": q_retention, "orphan_check": q_orphans, "status_summary": q_status_summary, "rule_histogram": q_rule_histogram, "project_summary": q_project_summary,
@@ -999,7 +806,7 @@ QUERIES = {
     "set_intersect": lambda s, d: _keys(s, d)[0].intersect(_keys(s, d)[1]), "set_except": lambda s, d: _keys(s, d)[0].subtract(_keys(s, d)[1]),
     "url_references_inline": q_references, "blob_urls": q_blob_urls, "corpus_summary": q_corpus_summary, "dataset_summary": q_dataset_summary,
     "knowledge_documents": q_knowledge, "history_items_inline": q_history_items, "run_inspection_inline": q_inspected,
-    "diagnosis_inline": q_diagnoses, "overall_status": q_overall, "rows_classified": q_classified, "code_locations_inline": q_code_locations,
+    "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
@@ -1008,3 +815,5 @@ QUERIES = {
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
     "finding_order_inline": q_ordered, "display_rank_inline": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
 }
+QUERIES |= G.QUERIES
+SQL |= G.SQL
