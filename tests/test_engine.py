@@ -337,6 +337,16 @@ def test_redact_column(spark):
     assert [r.r.replacements for r in got] == [1, 1, 1, 1, 1, 1, 0, 0, 0, 0] and got[-1].r.content == "nothing here"
 
 
+def test_what_is_masked_is_triggered(spark):
+    """Texts of the tests above all reach the scan, in the JVM's eyes too."""
+    marks = [m for m in test_redaction_of_blocks_and_lines.pytestmark if m.name == "parametrize"][0].args[1]
+    texts = [raw for raw, want in marks if want is None or want != raw] + [x for x in SECRETS if redact.redact(x)[1]] + ["MY_PAT = x1", '{"my pass": 1}', "ghp_" + "a" * 30, "eyJhbGciOiJI.eyJhbGciOiJI.abcdefgh"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    assert df.where(~redact.triggered(F.col("t"))).collect() == []
+    got = {r.t: r.r.content for r in df.select("t", redact.redact_column(F.col("t")).alias("r")).collect()}
+    assert got == {x: redact.redact(x)[0] for x in texts}
+
+
 def test_similarity_is_symmetric_and_one_with_itself(spark):
     bags = R.token_bags(spark.createDataFrame([(1, "red red blue"), (2, "red green"), (3, None)], "k int, t string"), "k", "t")
     got = {(r.a, r.b): (r.overlap, r.total) for r in R.multiset_similarity(bags.withColumnRenamed("k", "a"), "a", bags.withColumnRenamed("k", "b"), "b").collect()}
