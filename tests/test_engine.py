@@ -21,6 +21,7 @@ from tracewell.operators import graph as G
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.operators import scan
+from tracewell.operators import similarity as M
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
@@ -360,6 +361,47 @@ JOBS = [
 ]
 
 
+def test_bounded_search_is_brute_force(spark, monkeypatch):
+    """The k best and all above a likeness, of bags of many sizes with ties; few of the pairs that share a token are met."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    texts = {i: Counter(rng.choices(words, k=rng.choice((1, 3, 20, 60, 300)))) for i in range(300)}
+    asked = {i: Counter(rng.choices(words, k=rng.choice((1, 5, 40)))) if i % 3 else texts[i] for i in range(1, 25)} | {99: Counter({"nowhere": 3})}
+    bags = lambda of, k: spark.createDataFrame([(i, w, n) for i, b in of.items() for w, n in b.items()], f"{k} long, token string, n long")
+    like = {(q, t): ((a & b).total(), (a | b).total()) for q, a in asked.items() for t, b in texts.items() if a & b}
+    met = []
+    got = M.top_k(bags(asked, "q"), "q", bags(texts, "t"), "t", 4, pairs=met).collect()
+    want = [(q, t, *like[q, t], k + 1) for q in asked for k, t in enumerate(sorted((t for p, t in like if p == q), key=lambda t: (-like[q, t][0] / like[q, t][1], t))[:4])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert met[0].count() < len(like) / 2
+    for num, den in ((1, 5), (4, 5), (1, 1)):
+        got = M.at_least(bags(asked, "q"), "q", bags(texts, "t"), "t", num, den).collect()
+        assert sorted(map(tuple, got)) == sorted((*k, *v) for k, v in like.items() if v[0] * den >= v[1] * num)
+
+
+def test_history_search_meets_few_of_a_hot_key(spark):
+    """All items of one rule and category: the same answers as scoring everything, from a few of them."""
+    rng = random.Random(3)
+    items = [("p", f"e{i:03}", "past_failure", "r", "c", " ".join(rng.choices(["red", "blue", "green", "grey", "zzz"], k=3)), round(rng.random() / 3, 4)) for i in range(200)] + [("p", "s1", "confirmed_resolution", "r", None, "turn", 0.0)]
+    df = spark.createDataFrame(items, "project string, evidence_id string, kind string, rule_id string, category string, text string, boost double")
+    asks = [("f1", "p", "r", "c", "red blue"), ("f2", "p", "other", "c", "nothing"), ("f3", "p", "other", "unknown", ""), ("f4", "q", "r", "c", "red")]
+    got = V.history_search(spark.createDataFrame(asks, "finding_id string, project string, rule_id string, category string, query string"), df).collect()
+    want = []
+    for f, project, rule, category, text in asks:
+        scored = []
+        for p, e, kind, r, c, t, boost in items:
+            a, b = text.split(), t.split()
+            shared = sum(min(a.count(w), b.count(w)) for w in set(a))
+            s = shared / (len(a) + len(b) - shared) if a else 0
+            raw = 2.0 if kind == "confirmed_resolution" else round(min(1.0, s + (0.25 if r == rule else 0.1 if c == category else 0) + boost), 3)
+            if p == project and raw >= 0.12 and (kind != "confirmed_resolution" or r == rule):
+                scored.append((-raw, e))
+        want += [(f, e, k + 1) for k, (_, e) in enumerate(sorted(scored)[:6])]
+    assert sorted((r.finding_id, r.evidence_id, r.rn) for r in got) == sorted(want)
+
+
 def test_findings(spark):
     df = spark.createDataFrame(JOBS, "job_id string, status string, conclusion string, failure_reason string, log string")
     found = {r.job_id: r for r in D.findings(df, spark.createDataFrame([("12", "- ./deploy.sh ; exit 0"), ("2", "# x || true")], "job_id string, command string")).collect()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import relational as Q
+from tracewell.operators import similarity as M
 
 #: Order of severities and confidences, rules that say no more than that something failed.
 SEVERITY, CONFIDENCE = ("error", "warning", "info"), ("observed", "likely", "unknown")
@@ -24,7 +27,9 @@ def similar_incidents(queries: DataFrame, incidents: DataFrame, limit: int = 5,
     fingerprint: others of those tie with or lose to them, so no group is paired as a whole.
     """
     scoped = lambda df, k: Q.token_bags(df, k, "text").join(df.select(k, "project"), k).select(k, F.concat_ws("\x1f", "project", "token").alias("token"), "n")
-    lexical = Q.multiset_similarity(scoped(queries, "query_id"), "query_id", scoped(incidents, "incident_id"), "incident_id")
+    # a likeness below ``least`` counts for nothing, so it is not looked for
+    whole, part = Fraction(str(least)).as_integer_ratio()[::-1]
+    lexical = M.at_least(scoped(queries, "query_id"), "query_id", scoped(incidents, "incident_id"), "incident_id", part, whole)
 
     def firsts(by: str) -> DataFrame:
         few = Q.top_n(incidents.where(F.col(by).isNotNull()), ["project", by], [F.desc("resolved"), "incident_id"], limit + 1)
@@ -80,21 +85,24 @@ def history_search(findings_: DataFrame, items: DataFrame, *, limit: int = 6, le
     ``findings_`` has (finding_id, project, rule_id, category, query). Confirmed resolutions of its rule
     score 2; others their likeness to the query, raised for the same rule, else the same known
     category, and by their boost, 1 at most. Items of other projects never count. Within a project
-    items that share a word, a rule or a category, or that have a boost, are met by equal keys.
+    items that share a word are met by it. Of items that share a rule or a known category, or have a boost,
+    the best ``limit`` of each rule, category and project are met: any other that shares no word loses to them.
     """
     scoped = lambda df, k, t: Q.token_bags(df, k, t)
     tagged = items.withColumn("item", F.concat_ws("\x1f", "project", "evidence_id"))
     bags_f = scoped(findings_, "finding_id", "query").join(findings_.select("finding_id", "project"), "finding_id").select("finding_id", F.concat_ws("\x1f", "project", "token").alias("token"), "n")
     bags_i = scoped(tagged, "item", "text").join(tagged.select("item", "project"), "item").select("item", F.concat_ws("\x1f", "project", "token").alias("token"), "n")
     lexical = Q.multiset_similarity(bags_f, "finding_id", bags_i, "item").select("finding_id", "item", (F.col("overlap") / F.col("total")).alias("s"))
-    keys = lambda df, k: df.select(k, "project", F.explode(F.array(F.concat(F.lit("r"), "rule_id"), F.concat(F.lit("c"), "category"))).alias("key")).where("key is not null")
-    met = keys(findings_, "finding_id").join(keys(tagged, "item"), ["project", "key"]).select("finding_id", "item", F.lit(0.0).alias("s"))
-    lifted = findings_.select("finding_id", "project").join(tagged.where("boost > 0").select("project", "item"), "project").select("finding_id", "item", F.lit(0.0).alias("s"))
-    pairs = lexical.unionByName(met).unionByName(lifted).groupBy("finding_id", "item").agg(F.max("s").alias("s"))
+    known = F.when(F.col("category") != "unknown", F.concat(F.lit("c"), "category"))
+    keys = lambda df, third, *more: df.select("project", *more, F.explode(F.array(F.concat(F.lit("r"), "rule_id"), known, third)).alias("key")).where("key is not null")
+    confirmed = F.col("kind") == "confirmed_resolution"
+    alone = lambda of: Q.history_score(F.lit(0.0), confirmed, of == "r", of == "c", F.col("boost"))
+    few = Q.top_n(keys(tagged, F.when(F.col("boost") > 0, F.lit("b")), "item", "kind", "boost", "evidence_id"), ["project", "key"], [F.desc(alone(F.substring("key", 1, 1))), F.col("evidence_id")], limit)
+    met = keys(findings_, F.lit("b"), "finding_id").join(few.select("project", "key", "item"), ["project", "key"]).select("finding_id", "item", F.lit(0.0).alias("s"))
+    pairs = lexical.unionByName(met).groupBy("finding_id", "item").agg(F.max("s").alias("s"))
     f = findings_.select("finding_id", F.col("rule_id").alias("f_rule"), F.col("category").alias("f_category"))
     told = pairs.join(f, "finding_id").join(tagged.select("item", "evidence_id", "kind", "rule_id", "category", "boost"), "item")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
-    confirmed = F.col("kind") == "confirmed_resolution"
     score = Q.history_score(F.col("s"), confirmed, same("f_rule", "rule_id"), same("f_category", "category") & (F.col("category") != "unknown"), F.col("boost"))
     scored = told.where(~confirmed | same("f_rule", "rule_id")).withColumn("score", score).where(F.col("score") >= least)
     return Q.top_n(scored, ["finding_id"], [F.desc("score"), F.col("evidence_id")], limit).select("finding_id", "evidence_id", "kind", "score", "rn")

@@ -12,6 +12,7 @@ from tracewell.functions import urls as U
 from tracewell.operators import changes as C
 from tracewell.operators import logs as L
 from tracewell.operators import relational as Q
+from tracewell.operators import similarity as M
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
@@ -375,10 +376,22 @@ sim AS (SELECT item_id, doc_id, overlap, (sa + sb - overlap)::BIGINT AS total FR
 SQL["jaccard_pairs"] = _SIM + "SELECT * FROM sim"
 
 
+def _bags(s, d):
+    return Q.token_bags(landed(s, d, "benchmark"), "item_id", "text"), Q.token_bags(landed(s, d, "documents"), "doc_id", "text")
+
+
 def q_topk(s, d):
-    return Q.top_n(_similar(s, d), ["item_id"], [F.desc(F.col("overlap") / F.col("total")), "doc_id"], 5).select("item_id", "doc_id", "overlap", "total", "rn")
+    items, docs = _bags(s, d)
+    return M.top_k(items, "item_id", docs, "doc_id", 5).select("item_id", "doc_id", "overlap", "total", "rn")
+
+
+def q_alike(s, d):
+    """All pairs of an item and a document of likeness 0.15 or more."""
+    items, docs = _bags(s, d)
+    return M.at_least(items, "item_id", docs, "doc_id", 3, 20)
 
 
+SQL["jaccard_at_least"] = _SIM + "SELECT * FROM sim WHERE 20 * overlap >= 3 * total"
 SQL["retrieve_topk"] = _SIM + "SELECT item_id, doc_id, overlap, total, row_number() OVER (PARTITION BY item_id ORDER BY overlap / total DESC, doc_id)::INT AS rn FROM sim QUALIFY rn <= 5"
 
 
@@ -809,7 +822,7 @@ QUERIES = {
     "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
-    "retrieve_topk": q_topk, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
+    "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
     "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup_inline": q_artifact, "stream_incremental": q_stream,
     "diff_added_lines_inline": q_added_lines, "current_paths": q_current_paths, "change_risks_inline": q_change_risks, "exit_suppressed_inline": q_hidden_exit,
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
