@@ -525,9 +525,67 @@ def test_ci_graph(spark):
     }
 
 
+def test_graphs_have_a_row_a_node(spark):
+    """Ten diamonds have 31 nodes and a thousand paths; places are those of the walk; cycles and depth are noted."""
+    edges = [("g", f"n{3 * k}", o, f"n{3 * k + 1 + o}") for k in range(10) for o in (0, 1)] + [("g", f"n{3 * k + 1 + o}", 0, f"n{3 * k + 3}") for k in range(10) for o in (0, 1)]
+    rng = random.Random(5)
+    for c in range(6):  # anything, cycles too
+        n = 9
+        edges += [(f"r{c}", str(a), o, str(b)) for a in range(n) for o, b in enumerate(rng.sample(range(n), rng.randint(0, 3)))]
+    df = spark.createDataFrame(edges, "config string, src string, ordinal int, dst string")
+    roots = spark.createDataFrame([("g", "n0"), ("none", "x"), *((f"r{c}", "0") for c in range(6))], "config string, root string")
+    found, back, deep = G.ordered(roots, df, 40)
+    got, backs = {}, {}
+    for r in found.collect():
+        got.setdefault(r.config, {})[r.node] = r.place
+    for r in back.collect():
+        backs.setdefault(r.config, set()).add((r.src, r.dst))
+    assert len(got["g"]) == 31 and got["none"] == {"x": 1} and deep.count() == 0
+    children = {}
+    for c, a, o, b in edges:
+        children.setdefault((c, a), []).append((o, b))
+
+    def walk(c, node, above, out):
+        for _, b in sorted(children.get((c, node), [])):
+            if b not in (*above, node):
+                walk(c, b, (*above, node), out)
+        out.append(node)
+
+    for c in ["g"]:
+        order = []
+        walk(c, "n0", (), order)
+        last = sorted(set(order), key=lambda x: len(order) - 1 - order[::-1].index(x))
+        assert len(order) > 2000 and [n for n, _ in sorted(got[c].items(), key=lambda x: x[1])] == last
+    for c in range(6):
+        seen, stack = {"0"}, ["0"]
+        while stack:
+            for _, b in children.get((f"r{c}", stack.pop()), []):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        assert set(got[f"r{c}"]) == seen
+        # without the edges back the rest is free of cycles: nodes without an edge go, until none is left
+        rest = {(a, b) for a in seen for _, b in children.get((f"r{c}", a), [])} - backs.get(f"r{c}", set())
+        while rest:
+            ends = {b for _, b in rest} - {a for a, _ in rest}
+            assert ends
+            rest = {(a, b) for a, b in rest if b not in ends}
+    short, _, deep = G.ordered(roots, df.where("config = 'g'"), 3)
+    assert short.where("config = 'g'").count() == 6 and {r.dst for r in deep.collect()} == {"n6"}
+
+
+def test_references_are_followed_or_noted(spark):
+    chain = "".join(f"j{k}:\n  script: [!reference [j{k + 1}, script], end{k}]\n" for k in range(14)) + "j14: {script: last}\nring: {script: [!reference [ring, script], x]}"
+    files = spark.createDataFrame([("p", "a.yml", chain)], "config string, path string, content string")
+    jobs, notes = G.ci_graph(files, spark.createDataFrame([("p", "a.yml")], "config string, root string"))
+    got = {r.key: r.script for r in jobs.collect()}
+    assert got["j5"] == ["last", *(f"end{k}" for k in range(13, 4, -1))] and got["ring"] == ["x"]
+    assert {(r.note, r.what) for r in notes.collect()} == {("reference in a circle", "ring:script"), *(("reference too deep", f"j{k}:script") for k in (11, 12, 13, 14))}
+
+
 def test_deep_merge_replaces_mappings_and_scalars(spark):
     rows = [(["v", "x"], [0], "1"), (["v", "y"], [0], "2"), (["v"], [1], "s"), (["v", "x"], [2], "3"), (["w"], [0], "4"), (["w", "a"], [1], "5"), (["u"], [3], "6"), (["u"], [2], "7")]
-    df = spark.createDataFrame([("k", a, p, 0, v) for a, p, v in rows], "k string, at array<string>, place array<int>, ordinal int, value string")
+    df = spark.createDataFrame([("k", a, p[0], 0, v) for a, p, v in rows], "k string, at array<string>, place int, ordinal int, value string")
     assert {(tuple(r["at"]), r.value) for r in G.merged(df, ["k"]).collect()} == {(("v", "x"), "3"), (("w", "a"), "5"), (("u",), "6")}
 
 

@@ -1,24 +1,27 @@
 """CI graphs: includes, inheritance and references, as joins over the leaves of configuration files.
 
-A mapping is held as its leaves, (path of keys, value): merging two mappings deeply is then taking,
-for each path, the value of the later one. What is later is told by positions: a file's or a job's
-place in the order of includes or of ``extends`` is an array of ordinals, deepest last, so arrays in
-ascending order are a post-order walk, in which whatever is included comes before what includes it.
+A mapping is held as its leaves, (path of keys, value): merging mappings deeply is then taking, for
+each path, the value of the latest one. What is later is told by a place: a root's files, or a job's
+ancestors, are numbered in the order in which a walk leaves them for the last time. Each has one
+place a root, however many paths lead to it, so rows grow with nodes and edges and not with paths.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.lineage import cut
+
 #: Depth of includes and of inheritance, documents and characters of a file.
 DEPTH, PARENTS, DOCUMENTS, CHARACTERS = 20, 11, 20, 1_000_000
-#: Larger than any ordinal: where an own value stands, behind everything it includes.
-OWN = 1 << 30
+#: References that may lead to each other in a script.
+REFERENCES = 10
 #: Top-level keys that are no jobs.
 RESERVED = ("stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache", "pages", "spec")
 _LEAVES = "config string, path string, problem string, job string, at array<string>, value string, line_start int, line_end int, ordinal int"
@@ -82,22 +85,51 @@ def leaves(files: DataFrame) -> DataFrame:
     return files.select("config", "path", "content").mapInPandas(task, _LEAVES)
 
 
-def expanded(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(config, root, node, place, above, cycle) of everything that roots reach over edges, in each place where it is reached.
+def reached(roots: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """What roots (config, root) reach over edges (config, src, dst) in ``depth`` steps at most, and the edges beyond.
 
-    ``roots`` has (config, root), ``edges`` (config, src, ordinal, dst). ``place`` is the array of
-    ordinals, ending in OWN. A node that is among those above it is a ``cycle`` and goes no further.
+    (config, root, node, steps) has a row a node, with its fewest steps; (config, root, src, dst) are
+    the edges to nodes that are more than ``depth`` away.
     """
-    now = roots.select("config", "root", F.col("root").alias("node"), F.array().cast("array<int>").alias("stem"), F.array("root").alias("above"), F.lit(False).alias("cycle"))
+    now = cut(roots.select("config", "root", F.col("root").alias("node")).distinct().withColumn("steps", F.lit(0)))
     every = now
-    for _ in range(depth):
-        step = now.where("not cycle").alias("n").join(edges.alias("e"), (F.col("n.config") == F.col("e.config")) & (F.col("n.node") == F.col("e.src")))
-        now = step.select("n.config", "n.root", F.col("e.dst").alias("node"), F.concat("n.stem", F.array("e.ordinal")).alias("stem"), F.concat("n.above", F.array("e.dst")).alias("above"), F.array_contains("n.above", F.col("e.dst")).alias("cycle"))
-        now = now.checkpoint() if now.sparkSession.sparkContext.getCheckpointDir() else now
+    step = lambda: now.join(edges.select("config", F.col("src").alias("node"), "dst"), ["config", "node"])
+    new = lambda: step().select("config", "root", "node", "dst").join(every.select("config", "root", F.col("node").alias("dst")), ["config", "root", "dst"], "left_anti")
+    for k in range(1, depth + 1):
+        now = cut(new().select("config", "root", F.col("dst").alias("node")).distinct().withColumn("steps", F.lit(k)))
         if now.isEmpty():
             break
-        every = every.unionByName(now)
-    return every.select("config", "root", "node", F.concat("stem", F.array(F.lit(OWN))).alias("place"), "above", "cycle")
+        every = cut(every.unionByName(now))
+    return every, new().select("config", "root", F.col("node").alias("src"), "dst").distinct()
+
+
+def ordered(roots: DataFrame, edges: DataFrame, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes in the order in which a walk leaves them for the last time, once a root; edges back; edges too deep.
+
+    ``edges`` has (config, src, ordinal, dst), followed by ascending ordinal, what is included before
+    what includes it. Where a node is met again only its last place matters to a merge in which later
+    values win, so each root has a row a node, however many paths lead there: (config, root, node,
+    place), the last place the highest, the root's own. The last place is the first of the walk backwards, that
+    is the least path of negative ordinals; least paths follow from their nodes' least paths, round by
+    round. Edges back, (config, root, src, dst), lead to a node above on that path: they close a cycle.
+    """
+    nodes, deep = reached(roots, edges, depth)
+    inside = nodes.select("config", "root", F.col("node").alias("dst"))
+    own = cut(nodes.select("config", "root", F.col("node").alias("src")).join(edges, ["config", "src"]).join(inside, ["config", "root", "dst"]).groupBy("config", "root", "src", "dst").agg(F.max("ordinal").alias("ordinal")))
+    keys = ["config", "root", "node"]
+    start = F.struct(F.array().cast("array<int>").alias("path"), F.array("root").alias("above"))
+    known = cut(nodes.where("node = root").select(*keys, start.alias("p")))
+    fresh = known
+    while not fresh.isEmpty():
+        led = fresh.select("config", "root", F.col("node").alias("src"), "p").join(own, ["config", "root", "src"]).where(~F.array_contains("p.above", F.col("dst")))
+        path = F.struct(F.concat("p.path", F.array(-F.col("ordinal"))).alias("path"), F.concat("p.above", F.array("dst")).alias("above"))
+        better = led.select("config", "root", F.col("dst").alias("node"), path.alias("q")).groupBy(*keys).agg(F.min("q").alias("q"))
+        both = cut(known.join(better, keys, "full").withColumn("new", F.col("q").isNotNull() & (F.col("p").isNull() | (F.col("q.path") < F.col("p.path")))))
+        fresh = both.where("new").select(*keys, F.col("q").alias("p"))
+        known = both.select(*keys, F.when(F.col("new"), F.col("q")).otherwise(F.col("p")).alias("p"))
+    place = F.row_number().over(Window.partitionBy("config", "root").orderBy(F.desc("p.path")))
+    back = known.select("config", "root", F.col("node").alias("src"), "p.above").join(own, ["config", "root", "src"]).where(F.array_contains("above", F.col("dst")))
+    return known.select(*keys, place.alias("place")), back.select("config", "root", "src", "dst"), deep
 
 
 def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,30 +172,32 @@ def ci_graph(files: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Jobs are (config, key, stage, needs, script, path, line_start, line_end, inherited): effective
     values after includes and ``extends``, the place that the script (else the job) comes from, and
-    the jobs it inherits from. Notes are (config, note, what): an include that is missing or a cycle,
-    a file that could not be read, a parent that is missing or a cycle, a reference to nothing.
+    the jobs it inherits from. Notes are (config, note, what): an include that is missing, a cycle or too deep, a
+    file that could not be read, a parent that is missing, a cycle or too deep, a reference to nothing, in a circle or too deep.
     Hidden jobs (with a dot) and RESERVED keys are no jobs.
     """
-    found = leaves(files)
-    found = found.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else found.persist()
-    links = includes(found.where("problem is null"))
-    reached = expanded(roots, links, DEPTH)
-    used = reached.where("not cycle").select("config", F.col("node").alias("path"), "place")
+    found = cut(leaves(files))
+    links = cut(includes(found.where("problem is null")))
+    walked, back, deep = ordered(roots, links, DEPTH)
+    walked = cut(walked)
+    used = walked.select("config", F.col("node").alias("path"), "place")
     known = found.select("config", "path").distinct().unionByName(files.select("config", "path")).distinct()
     notes = [
-        reached.where("cycle").select("config", F.lit("include cycle ignored").alias("note"), F.col("node").alias("what")),
+        back.select("config", F.lit("include cycle ignored").alias("note"), F.col("dst").alias("what")),
+        deep.select("config", F.lit("include too deep").alias("note"), F.col("dst").alias("what")),
         used.select("config", "path").distinct().join(known, ["config", "path"], "left_anti").select("config", F.lit("include not found").alias("note"), F.col("path").alias("what")),
         found.where("problem is not null").join(used.select("config", "path").distinct(), ["config", "path"], "left_semi").select("config", F.concat(F.lit("source not analyzed: "), "problem").alias("note"), F.col("path").alias("what")),
     ]
-    own = merged(found.where("problem is null").join(used, ["config", "path"]), ["config", "job"])
+    own = cut(merged(found.where("problem is null").join(used, ["config", "path"]), ["config", "job"]))
     parents = own.where("at = array('extends')").select("config", F.col("job").alias("src"), F.posexplode(_strings(F.col("value"))).alias("ordinal", "dst"))
     jobs = own.where("size(at) > 0").select("config", "job").distinct()
-    heirs = expanded(jobs.select("config", F.col("job").alias("root")), parents, PARENTS)
-    notes.append(heirs.where("cycle").select("config", F.lit("cyclic inheritance").alias("note"), F.col("root").alias("what")))
+    heirs, rings, far = ordered(jobs.select("config", F.col("job").alias("root")), parents, PARENTS)
+    notes.append(rings.select("config", F.lit("cyclic inheritance").alias("note"), F.col("root").alias("what")))
+    notes.append(far.select("config", F.lit("inheritance too deep").alias("note"), F.col("root").alias("what")))
     notes.append(parents.join(jobs.select("config", F.col("job").alias("dst")), ["config", "dst"], "left_anti").select("config", F.lit("missing parent").alias("note"), F.col("dst").alias("what")))
     given = own.drop("place").withColumnRenamed("job", "node")
-    effective = merged(heirs.where("not cycle").select("config", F.col("root").alias("job"), "node", "place").join(given, ["config", "node"]), ["config", "job"])
-    effective = effective.checkpoint() if files.sparkSession.sparkContext.getCheckpointDir() else effective
+    effective = merged(heirs.select("config", F.col("root").alias("job"), "node", "place").join(given, ["config", "node"]), ["config", "job"])
+    effective = cut(effective)
     scripts, lost = _scripts(effective)
     notes.append(lost)
     one = lambda name: F.max(F.when(F.col("at") == F.array(F.lit(name)), F.col("value")))
@@ -173,7 +207,7 @@ def ci_graph(files: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(F.col("at") == F.array(F.lit("script")), where)).alias("of_script"), F.max_by(F.when(F.col("node") == F.col("job"), where), F.when(F.col("node") == F.col("job"), F.struct("place", "ordinal"))).alias("of_job"),
         F.any_value(where).alias("any"),
     )
-    above = heirs.where("not cycle and root <> node").groupBy("config", F.col("root").alias("key")).agg(F.array_sort(F.collect_set("node")).alias("inherited"))
+    above = heirs.where("root <> node").groupBy("config", F.col("root").alias("key")).agg(F.array_sort(F.collect_set("node")).alias("inherited"))
     told = shown.join(scripts.withColumnRenamed("job", "key"), ["config", "key"], "left").join(above, ["config", "key"], "left")
     place = F.coalesce("of_script", "of_job", "any")
     out = told.select(
@@ -187,21 +221,32 @@ def ci_graph(files: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, every.distinct()
 
 
-def _scripts(effective: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(config, job, script) with references put in, and notes of those that lead nowhere."""
+def _scripts(effective: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(config, job, script) with references put in, and notes of those that lead nowhere, in a circle, or too deep."""
     listed = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<string>"))
     fields = effective.where("size(at) = 1").select("config", "job", F.col("at")[0].alias("field"), F.posexplode(listed).alias("i", "x"))
-    now = fields.where("field = 'script'").select("config", "job", F.array("i").alias("place"), "x")
-    lost = None
-    target = F.from_json(F.get_json_object("x", "$['!reference']"), "array<string>")
-    for _ in range(rounds):
-        named = now.withColumn("to", F.when(F.col("x").startswith('{"!reference"'), target))
-        plain, refs = named.where("to is null").drop("to"), named.where("to is not null")
-        there = fields.select(F.col("config").alias("c"), F.col("job").alias("j"), F.col("field").alias("f"), F.col("i").alias("k"), F.col("x").alias("y"))
-        met = refs.join(there, (F.col("config") == F.col("c")) & (F.col("to")[0] == F.col("j")) & (F.col("to")[1] == F.col("f")), "left")
-        missing = met.where("y is null").select("config", F.lit("reference to nothing").alias("note"), F.concat_ws(":", "to").alias("what"))
-        lost = missing if lost is None else lost.unionByName(missing)
-        now = plain.unionByName(met.where("y is not null").select("config", "job", F.concat("place", F.array("k")).alias("place"), F.col("y").alias("x")))
-    lines = now.where("x is not null and not startswith(x, '{\"!reference\"')")
+    target = F.when(F.col("x").startswith('{"!reference"'), F.from_json(F.get_json_object("x", "$['!reference']"), "array<string>"))
+    there = cut(fields.select(F.col("config").alias("c"), F.array("job", "field").alias("t"), F.col("i").alias("k"), F.col("x").alias("y")))
+    now = fields.where("field = 'script'").select("config", "job", F.array("i").alias("place"), F.array(F.concat_ws(":", "job", F.lit("script"))).alias("above"), "x")
+    noted = lambda rows, note: rows.select("config", F.lit(note).alias("note"), F.concat_ws(":", "to").alias("what"))
+    lost, done = [], []
+    for _ in range(REFERENCES):
+        named = cut(now.withColumn("to", target))
+        done.append(named.where("to is null").select("config", "job", "place", "x"))
+        refs = named.where("to is not null")
+        if refs.isEmpty():
+            break
+        circle = F.array_contains("above", F.concat_ws(":", "to"))
+        lost.append(noted(refs.where(circle), "reference in a circle"))
+        met = refs.where(~circle).join(there, (F.col("config") == F.col("c")) & (F.slice("to", 1, 2) == F.col("t")), "left")
+        lost.append(noted(met.where("t is null"), "reference to nothing"))
+        now = met.where("t is not null").select("config", "job", F.concat("place", F.array("k")).alias("place"), F.concat("above", F.array(F.concat_ws(":", "to"))).alias("above"), F.col("y").alias("x"))
+    else:
+        rest = cut(now.withColumn("to", target))
+        done.append(rest.where("to is null").select("config", "job", "place", "x"))
+        lost.append(noted(rest.where("to is not null"), "reference too deep"))
+    lines = reduce(DataFrame.unionByName, done).where("x is not null")
     in_order = F.sort_array(F.collect_list(F.struct("place", "x")))
-    return lines.groupBy("config", "job").agg(F.transform(in_order, lambda s: s.x).alias("script")), lost
+    scripts = lines.groupBy("config", "job").agg(F.transform(in_order, lambda s: s.x).alias("script"))
+    none = effective.limit(0).select("config", F.lit("").alias("note"), F.lit("").alias("what"))
+    return scripts, reduce(DataFrame.unionByName, lost, none)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
+from tracewell.operators.lineage import cut
 
 #: Fixed value: words of the lexical similarity.
 TOKEN = r"[a-z][a-z0-9_/-]{2,}"
@@ -166,12 +167,10 @@ def budget_cut(sections: DataFrame, key: str, order: str, text: str, budget: int
 def closure(edges: DataFrame, src: str, dst: str, depth: int = 20) -> DataFrame:
     """(src, dst, depth) of all nodes reachable within ``depth`` steps, with the fewest steps; cycles end by themselves.
 
-    Each round joins the frontier of new pairs with the edges; lineage is cut by a reliable
-    checkpoint where the session has a folder for it.
+    Each round joins the frontier of new pairs with the edges and is written to the shared folder.
     """
     base = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
     reached = frontier = base.withColumn("depth", F.lit(1))
-    cut = (lambda d: d.checkpoint()) if base.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d)
     for step in range(2, depth + 1):
         more = frontier.select("src", F.col("dst").alias("mid")).join(base.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         frontier = cut(more.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(step)))

@@ -10,8 +10,10 @@ from tracewell.functions import redact
 from tracewell.functions import text as X
 from tracewell.functions import urls as U
 from tracewell.operators import changes as C
+from tracewell.operators import graph as G_
 from tracewell.operators import logs as L
 from tracewell.operators import relational as Q
+from tracewell.operators.lineage import shared_folder
 from tracewell.operators import similarity as M
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
@@ -20,7 +22,6 @@ from tracewell.sources.readers import landed
 
 PATHS = ["src/app/main.py", "src/app/util.py", "tests/test_main.py", "lib/util.py", "docs/Guide.md"]
 TRACE_PATHS = ["app/main.py", "util.py", "Guide.md", "missing.py", "SRC/app/main.py", "docs/guide.md"]
-EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "f"), ("f", "g")]
 
 
 def _sql(pattern: str) -> str:
@@ -409,11 +410,40 @@ SQL["history_search"] = _SIM + """, scored AS (
 SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rn FROM ranked WHERE score >= 0.12 QUALIFY rn <= 6"""
 
 
+def _links(s, d):
+    """(page_id, k, src, dst) of links that follow each other on a page, of all pages."""
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    pairs = F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x, k: F.struct((k + 1).alias("k"), F.get("l", k).alias("src"), x.alias("dst")))
+    return landed(s, d, "pages").select("page_id", found.alias("l")).where("size(l) > 1").select("page_id", F.explode(pairs).alias("p")).select("page_id", "p.*")
+
+
+_LINKS_SQL = """links AS (
+  SELECT page_id, unnest(range(1, len(l)))::INT AS k, unnest(l[1:-2]) AS src, unnest(l[2:]) AS dst FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages) WHERE len(l) > 1
+)"""
+
+
 def q_closure(s, d):
-    return Q.closure(s.createDataFrame(EDGES, "src string, dst string"), "src", "dst")
+    """What each link reaches over links that follow it on a page, within three steps."""
+    return Q.closure(_links(s, d).select("src", "dst").distinct(), "src", "dst", 3)
+
+
+SQL["transitive_closure"] = f"WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT DISTINCT src, dst FROM links), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 3) SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2"
+
+
+def q_include_order(s, d):
+    """Links as files that include each other, from a layer by length to any later one: the order in which each root merges what it reaches."""
+    layer = lambda c: F.length(c) % 6
+    edges = _links(s, d).where(layer(F.col("dst")) > layer(F.col("src"))).groupBy("src", "dst").agg(F.max(F.col("page_id") * 100 + F.col("k")).cast("int").alias("ordinal"))
+    roots = edges.where(layer(F.col("src")) == 0).select(F.lit("pages").alias("config"), F.col("src").alias("root")).distinct()
+    found, _, _ = G_.ordered(roots, edges.withColumn("config", F.lit("pages")), 20)
+    return found.select("root", "node", "place")
 
 
-SQL["transitive_closure"] = f"WITH RECURSIVE e AS (SELECT * FROM {G.values_sql(EDGES, 'src, dst')}), r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 20) SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2"
+SQL["include_order"] = f"""
+WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT src, dst, max(page_id * 100 + k)::INT AS ordinal FROM links WHERE length(dst) % 6 > length(src) % 6 GROUP BY 1, 2),
+w AS (SELECT DISTINCT src AS root, src AS node, []::INT[] AS path FROM e WHERE length(src) % 6 = 0 UNION ALL SELECT root, dst, list_append(path, -ordinal) FROM w JOIN e ON node = src),
+b AS (SELECT root, node, min(path) AS path FROM w GROUP BY 1, 2)
+SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY path DESC)::INT AS place FROM b"""
 
 
 def q_upsert(s, d):
@@ -487,8 +517,7 @@ def q_stream(s, d):
 
     from tracewell.streaming.incremental import collect_available
 
-    base = (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or s.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    work = f"{base}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     hashed = lambda df: df.select(X.row_hash(F.col("text")).alias("row_hash"), "doc_id")
     out = collect_available(s, f"{d}/document[s].parquet", f"{work}/rows", f"{work}/checkpoint", ["row_hash"], hashed)
     return out.select("row_hash")
@@ -822,7 +851,7 @@ QUERIES = {
     "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
-    "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "upsert_merge": q_upsert, "store_violations": q_violations,
+    "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "include_order": q_include_order, "upsert_merge": q_upsert, "store_violations": q_violations,
     "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup_inline": q_artifact, "stream_incremental": q_stream,
     "diff_added_lines_inline": q_added_lines, "current_paths": q_current_paths, "change_risks_inline": q_change_risks, "exit_suppressed_inline": q_hidden_exit,
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
