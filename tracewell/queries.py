@@ -24,6 +24,35 @@ PATHS = ["src/app/main.py", "src/app/util.py", "tests/test_main.py", "lib/util.p
 TRACE_PATHS = ["app/main.py", "util.py", "Guide.md", "missing.py", "SRC/app/main.py", "docs/guide.md"]
 
 
+TABLES = ("documents", "events", "pages")
+
+
+def _derived(s, d, text: str):
+    """Rows that SQL derives from the given tables; the same text, with ``_plain``, is part of the other engine's query."""
+    return s.sql(text, **{t: landed(s, d, t) for t in TABLES if f"{{{t}}}" in text})
+
+
+def _plain(text: str) -> str:
+    return "(" + text.format(**{t: t for t in TABLES}) + ")"
+
+
+def _with(s, d, text: str, cases: list[tuple], schema: str):
+    """Derived rows with odd cases appended."""
+    return _derived(s, d, text).unionByName(s.createDataFrame(cases, schema))
+
+
+def _with_sql(text: str, cases: list[tuple], columns: str) -> str:
+    return f"(SELECT {columns} FROM {_plain(text)} UNION ALL SELECT * FROM {G.values_sql(cases, columns)})"
+
+
+#: Files that documents stand for, traces that events name, files that changed with what they were and are, what CI files refer to.
+KNOWN = "SELECT DISTINCT concat('app', doc_id % 7, '/Lang_', coalesce(lang, 'x'), '/f', doc_id % 23, '.py') AS path FROM {documents}"
+TRACED = "SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN concat('f', event_id % 40, '.py') WHEN 1 THEN concat('app', event_id % 9, '/lang_en/f', event_id % 23, '.py') ELSE concat('Lang_de/f', event_id % 30, '.py') END AS path FROM {events}"
+CHANGED = """SELECT path AS old_path, CASE k WHEN 0 THEN lower(path) WHEN 3 THEN concat('new/', n, '/', lower(path)) ELSE path END AS new_path, k = 1 AS deleted_file, k IN (0, 3) AND n % 2 = 0 AS renamed_file, 'd' AS note
+FROM (SELECT concat('app', a, '/Lang_', l, '/f', f, '.py') AS path, (a + f) % 6 AS k, a * f AS n FROM (SELECT DISTINCT doc_id % 7 AS a, doc_id % 23 AS f, coalesce(lang, 'x') AS l FROM {documents})) WHERE k < 4"""
+REFERRED = """SELECT DISTINCT concat('ci/build', user_id % 5, '.yml') AS path, CASE event_id % 4 WHEN 0 THEN concat('app', event_id % 7, '/lang_en/f', event_id % 23, '.py') WHEN 1 THEN concat('app', event_id % 7, '/Lang_en/f', event_id % 23, '.py') WHEN 2 THEN concat('gone/', event_id % 9) ELSE '$X/y' END AS referenced FROM {events}"""
+
+
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
@@ -51,15 +80,20 @@ RUNS = [("r1", "failed", None, False), ("r2", "success", None, False), ("r3", "s
 RUN_FINDINGS = [("r1", "warning"), ("r2", "info"), ("r5", "info"), ("r5", "warning"), ("r4", "error")]
 
 
+#: Users as runs whose status is that of their smallest event, with findings of some.
+_RUNS = "SELECT concat('u', user_id) AS run_id, CASE min(event_id) % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'Success' WHEN 2 THEN 'running' WHEN 3 THEN 'completed' WHEN 4 THEN 'canceled' WHEN 5 THEN 'passed' END AS status, CASE min(event_id) % 2 WHEN 0 THEN 'success' ELSE 'failure' END AS conclusion, min(event_id) % 11 = 0 AS partial FROM {events} GROUP BY user_id"
+_RUN_FINDINGS = "SELECT DISTINCT concat('u', user_id) AS run_id, CASE event_id % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'error' END AS severity FROM {events} WHERE user_id % 3 = 0"
+
+
 def q_overall(s, d):
-    return D.overall_status(s.createDataFrame(RUNS, "run_id string, status string, conclusion string, partial boolean"), s.createDataFrame(RUN_FINDINGS, "run_id string, severity string"))
+    return D.overall_status(_with(s, d, _RUNS, RUNS, "run_id string, status string, conclusion string, partial boolean"), _with(s, d, _RUN_FINDINGS, RUN_FINDINGS, "run_id string, severity string"))
 
 
 SQL["overall_status"] = f"""
-WITH r AS (SELECT run_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(partial, false) AS partial FROM {G.values_sql(RUNS, 'run_id, status, conclusion, partial')})
+WITH r AS (SELECT run_id, CASE WHEN lower(status) = 'completed' THEN lower(coalesce(conclusion, status)) ELSE lower(status) END AS outcome, coalesce(partial, false) AS partial FROM {_with_sql(_RUNS, RUNS, 'run_id, status, conclusion, partial')})
 SELECT run_id, CASE WHEN outcome IS NULL THEN 'configuration_only' WHEN outcome IN ('failed', 'failure', 'timed_out') THEN 'failed'
   WHEN outcome IN ('created', 'waiting_for_resource', 'preparing', 'pending', 'running', 'scheduled', 'canceling') THEN 'in_progress'
-  WHEN outcome IN ('success', 'succeeded', 'passed') AND NOT partial AND run_id NOT IN (SELECT run_id FROM {G.values_sql(RUN_FINDINGS, 'run_id, severity')} WHERE severity IN ('error', 'warning')) THEN 'passed' ELSE 'warning' END AS status
+  WHEN outcome IN ('success', 'succeeded', 'passed') AND NOT partial AND run_id NOT IN (SELECT run_id FROM {_with_sql(_RUN_FINDINGS, RUN_FINDINGS, 'run_id, severity')} WHERE severity IN ('error', 'warning')) THEN 'passed' ELSE 'warning' END AS status
 FROM r"""
 
 
@@ -154,20 +188,20 @@ SQL["join_band"] = "SELECT a.event_id AS error_id, count(*) AS n FROM events a J
 
 
 def q_suffix(s, d):
-    return Q.unique_suffix(s.createDataFrame([(p,) for p in TRACE_PATHS], "path string"), "path", s.createDataFrame([(p,) for p in PATHS], "known string"), "known")
+    return Q.unique_suffix(_with(s, d, TRACED, [(p,) for p in TRACE_PATHS], "path string"), "path", _with(s, d, KNOWN, [(p,) for p in PATHS], "path string").withColumnRenamed("path", "known"), "known")
 
 
-SQL["join_unique_suffix"] = f"SELECT path, min(known) AS known FROM {G.values_sql([(p,) for p in TRACE_PATHS], 'path')} JOIN {G.values_sql([(p,) for p in PATHS], 'known')} ON known = path OR ends_with(known, '/' || path) GROUP BY path HAVING count(*) = 1"
+SQL["join_unique_suffix"] = f"SELECT path, min(known) AS known FROM {_with_sql(TRACED, [(p,) for p in TRACE_PATHS], 'path')} JOIN (SELECT path AS known FROM {_with_sql(KNOWN, [(p,) for p in PATHS], 'path')}) ON known = path OR ends_with(known, '/' || path) GROUP BY path HAVING count(*) = 1"
 
 
 def q_case(s, d):
-    return Q.case_mismatch(s.createDataFrame([(p,) for p in TRACE_PATHS], "path string"), "path", s.createDataFrame([(p,) for p in PATHS], "known string"), "known")
+    return Q.case_mismatch(_with(s, d, TRACED, [(p,) for p in TRACE_PATHS], "path string"), "path", _with(s, d, KNOWN, [(p,) for p in PATHS], "path string").withColumnRenamed("path", "known"), "known")
 
 
 SQL["case_mismatch_paths"] = f"""
-WITH p AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM {G.values_sql([(p,) for p in TRACE_PATHS], 'path')}),
+WITH p AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM {_with_sql(TRACED, [(p,) for p in TRACE_PATHS], 'path')}),
 w AS (SELECT path, k, array_to_string(string_split(path, '/')[1:k], '/') AS prefix FROM p),
-q AS (SELECT known, unnest(range(1, len(string_split(known, '/')) + 1)) AS k FROM {G.values_sql([(p,) for p in PATHS], 'known')}),
+q AS (SELECT known, unnest(range(1, len(string_split(known, '/')) + 1)) AS k FROM (SELECT path AS known FROM {_with_sql(KNOWN, [(p,) for p in PATHS], 'path')})),
 h AS (SELECT DISTINCT array_to_string(string_split(known, '/')[1:k], '/') AS prefix FROM q),
 b AS (SELECT lower(prefix) AS folded, min(prefix) AS spelled, count(*) AS n FROM h GROUP BY 1)
 SELECT path, arg_min(spelled, k) AS expected FROM w JOIN b ON lower(prefix) = folded AND n = 1 AND spelled <> prefix GROUP BY path"""
@@ -175,12 +209,16 @@ _JOBS = [("1", "build", "gitlab"), ("2", "test 1/3", "gitlab"), ("3", "Deploy-Pr
 _NODES = ["build", "test", "deploy_prod", "lint", "unittests"]
 
 
+_NAMED = "SELECT concat('e', event_id) AS job_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, ' ', user_id % 3 + 1, '/3') WHEN 2 THEN concat(upper(event_type), '-') WHEN 3 THEN concat(event_type, ': [a, ', user_id, ']') ELSE concat('no ', event_type) END AS name, CASE event_id % 2 WHEN 0 THEN 'gitlab' ELSE 'github' END AS provider FROM {events}"
+_NODES += ["click", "view", "error", "sign_up", "SignUp", "purchase"]
+
+
 def q_tiered(s, d):
-    return Q.tiered_match(s.createDataFrame(_JOBS, "job_id string, name string, provider string"), s.createDataFrame([(n,) for n in _NODES], "node string"))
+    return Q.tiered_match(_with(s, d, _NAMED, _JOBS, "job_id string, name string, provider string"), s.createDataFrame([(n,) for n in _NODES], "node string"))
 
 
 SQL["join_tiered_unique"] = f"""
-WITH j AS (SELECT * FROM {G.values_sql(_JOBS, 'job_id, name, provider')}), n AS (SELECT * FROM {G.values_sql([(x,) for x in _NODES], 'node')}),
+WITH j AS (SELECT * FROM {_with_sql(_NAMED, _JOBS, 'job_id, name, provider')}), n AS (SELECT * FROM {G.values_sql([(x,) for x in _NODES], 'node')}),
 c AS (
   SELECT job_id, node, 1 AS tier, 1.0::DOUBLE AS confidence FROM j JOIN n ON name = node
   UNION ALL SELECT job_id, node, 2, 0.9 FROM j JOIN n ON regexp_replace(name, '\\s+(?:\\d+/\\d+|\\[[^\\]]*\\])$|:\\s*\\[[^\\]]*\\]$', '') = node AND node <> name
@@ -189,12 +227,17 @@ c AS (
 SELECT job_id, min(node) AS node, min(confidence) AS confidence FROM (SELECT *, min(tier) OVER (PARTITION BY job_id) AS first FROM c) WHERE tier = first GROUP BY job_id HAVING count(*) = 1"""
 
 
+_DOTTED = "SELECT DISTINCT concat(coalesce(lang, 'x'), '.', source, '.', doc_id % 5) AS rule FROM {documents}"
+_RUNBOOKS = [("runner", "infra"), ("runner.job", "jobs"), ("test.failed", "tests"), ("en", "English"), ("en.src0", "first"), ("en.src0.3", "third"), ("d", "no prefix of de")]
+_DOTTED_CASES = [("runner.job.timeout",), ("runner.x",), ("test.failed",), ("git",), ("english.x",)]
+
+
 def q_dotted(s, d):
-    rows = s.createDataFrame([("runner.job.timeout",), ("runner.x",), ("test.failed",), ("git",)], "rule string")
-    return Q.dotted_lookup(rows, "rule", s.createDataFrame([("runner", "infra"), ("runner.job", "jobs"), ("test.failed", "tests")], "prefix string, runbook string"), "prefix").select("rule", "runbook")
+    rows = _with(s, d, _DOTTED, _DOTTED_CASES, "rule string")
+    return Q.dotted_lookup(rows, "rule", s.createDataFrame(_RUNBOOKS, "prefix string, runbook string"), "prefix").select("rule", "runbook")
 
 
-SQL["rule_prefix_lookup"] = "SELECT rule, arg_max(runbook, length(prefix)) AS runbook FROM (VALUES ('runner.job.timeout'), ('runner.x'), ('test.failed'), ('git')) r(rule) JOIN (VALUES ('runner', 'infra'), ('runner.job', 'jobs'), ('test.failed', 'tests')) t(prefix, runbook) ON rule = prefix OR starts_with(rule, prefix || '.') GROUP BY rule"
+SQL["rule_prefix_lookup"] = f"SELECT rule, arg_max(runbook, length(prefix)) AS runbook FROM {_with_sql(_DOTTED, _DOTTED_CASES, 'rule')} JOIN {G.values_sql(_RUNBOOKS, 'prefix, runbook')} ON rule = prefix OR starts_with(rule, prefix || '.') GROUP BY rule"
 
 
 def q_top2(s, d):
@@ -495,12 +538,16 @@ ARTIFACTS = [
 ]
 
 
+_ARTIFACTS = """SELECT concat('e', event_id) AS path, concat(chr(123), '"fieldMappings": ', chr(123), '"failed": ', event_id % 3, ', "failures": [', chr(123), '"status": "', CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'failed' WHEN 2 THEN 'Skipped' ELSE 'error' END,
+  '", "error": "', CASE user_id % 5 WHEN 0 THEN 'connection reset' ELSE event_type END, '"', chr(125), ']', chr(125), chr(125)) AS json FROM {events}"""
+
+
 def q_artifact(s, d):
-    return I.artifact_failures(s.createDataFrame(ARTIFACTS, "path string, json string"))
+    return I.artifact_failures(_with(s, d, _ARTIFACTS, ARTIFACTS, "path string, json string"))
 
 
-SQL["artifact_rollup_inline"] = f"""
-WITH a AS (SELECT path, json->'$.fieldMappings' AS f FROM {G.values_sql(ARTIFACTS, 'path, json')}),
+SQL["artifact_rollup"] = f"""
+WITH a AS (SELECT path, json->'$.fieldMappings' AS f FROM {_with_sql(_ARTIFACTS, ARTIFACTS, 'path, json')}),
 b AS (SELECT path, json_type(f) = 'OBJECT' AS obj, CASE json_type(f) WHEN 'ARRAY' THEN f WHEN 'OBJECT' THEN CASE WHEN json_type(f->'$.failures') = 'ARRAY' THEN f->'$.failures' END END AS rows, CASE WHEN json_type(f) = 'OBJECT' THEN coalesce(try_cast(f->>'$.failed' AS BIGINT), try_cast(f->>'$.failure' AS BIGINT)) END AS n FROM a),
 r AS (SELECT path, obj, i, lower(trim(x->>'$.status')) AS status, coalesce(x->>'$.error', '') || ' ' || coalesce(x->>'$.message', '') AS said FROM (SELECT path, obj, unnest(rows::JSON[]) AS x, unnest(range(1, (json_array_length(rows) + 1)::BIGINT)) AS i FROM b WHERE rows IS NOT NULL)),
 k AS (SELECT *, coalesce(status IN ('ok', 'success', 'skipped', 'updated', 'deployed'), false) AS good FROM r),
@@ -544,37 +591,45 @@ FINDINGS = [
 
 
 def q_added_lines(s, d):
-    return C.added_lines(s.createDataFrame(DIFFS, "change string, diff string"), "change", "diff")
-
-
-SQL["diff_added_lines_inline"] = rf"""
-WITH r AS (SELECT change, unnest(range(0, len(l)))::INT AS idx, unnest(l) AS raw FROM (SELECT change, regexp_split_to_array(diff, '\r?\n') AS l FROM {G.values_sql(DIFFS, 'change, diff')})),
-m AS (SELECT *, try_cast(nullif(regexp_extract(raw, {_sql(C.HUNK)}, 1), '') AS INT) AS start, NOT regexp_matches(raw, {_sql(C.NO_CONTENT)}) AS content FROM r),
+    """Documents as diffs, whose lines are kept, added and taken away in turn, and odd diffs."""
+    sign = lambda x, i: F.concat(F.element_at(F.array(F.lit(" "), F.lit("+"), F.lit("-")), (i % 3 + 1).cast("int")), x)
+    docs = landed(s, d, "documents").where("text is not null")
+    body = F.array_join(F.transform(F.split("text", "\n"), sign), "\n")
+    made = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("change"), F.concat(F.lit("@@ -1,3 +"), (F.col("doc_id") % 100 + 1).cast("string"), F.lit(",9 @@ f\n"), body).alias("diff"))
+    found = C.added_lines(made.unionByName(s.createDataFrame(DIFFS, "change string, diff string")), "change", "diff")
+    return found.select("change", "idx", "line", F.sha2("text", 256).alias("text_sha256"))
+
+
+_DIFFS_SQL = f"""(SELECT 'doc' || doc_id AS change, '@@ -1,3 +' || (doc_id % 100 + 1) || ',9 @@ f' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: [' ', '+', '-'][(i - 1) % 3 + 1] || x), chr(10)) AS diff
+  FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM {G.values_sql(DIFFS, 'change, diff')})"""
+SQL["diff_added_lines"] = rf"""
+WITH r AS (SELECT change, unnest(range(0, len(l)))::INT AS idx, unnest(l) AS raw FROM (SELECT change, regexp_split_to_array(diff, '\r?\n') AS l FROM {_DIFFS_SQL})),
+m AS (SELECT *, try_cast(nullif(regexp_extract(raw, '^@@ -\S+ \+(\d+)\S* @@', 1), '') AS INT) AS start, NOT (starts_with(raw, '+++') OR starts_with(raw, '---') OR starts_with(raw, 'diff ') OR starts_with(raw, 'index ') OR starts_with(raw, '\')) AS content FROM r),
 h AS (SELECT *, count(start) OVER w AS hunk, last_value(start IGNORE NULLS) OVER w AS first FROM m WINDOW w AS (PARTITION BY change ORDER BY idx ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, first + coalesce(sum(CASE WHEN content AND raw[1] IN ('+', ' ') THEN 1 ELSE 0 END) OVER (PARTITION BY change, hunk ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM h)
-SELECT change, idx, line::INT AS line, raw[2:] AS text FROM c WHERE content AND raw[1] = '+'"""
+SELECT change, idx, line::INT AS line, sha256(raw[2:]) AS text_sha256 FROM c WHERE content AND raw[1] = '+'"""
 
 
-def _changes(s):
-    return s.createDataFrame(CHANGES, "old_path string, new_path string, deleted_file boolean, renamed_file boolean, note string"), s.createDataFrame([(p,) for p in PATHS], "path string")
+def _changes(s, d):
+    return _with(s, d, CHANGED, CHANGES, "old_path string, new_path string, deleted_file boolean, renamed_file boolean, note string"), _with(s, d, KNOWN, [(p,) for p in PATHS], "path string")
 
 
 def q_current_paths(s, d):
-    changes, known = _changes(s)
+    changes, known = _changes(s, d)
     return C.current_paths(known, changes)
 
 
-_KNOWN_SQL, _CHANGES_SQL = G.values_sql([(p,) for p in PATHS], "path"), G.values_sql(CHANGES, "old_path, new_path, deleted_file, renamed_file, note")
+_KNOWN_SQL, _CHANGES_SQL = _with_sql(KNOWN, [(p,) for p in PATHS], "path"), _with_sql(CHANGED, CHANGES, "old_path, new_path, deleted_file, renamed_file, note")
 SQL["current_paths"] = f"SELECT path FROM {_KNOWN_SQL} EXCEPT SELECT old_path FROM {_CHANGES_SQL} WHERE deleted_file OR renamed_file UNION SELECT regexp_replace(new_path, '^\\./', '') FROM {_CHANGES_SQL} WHERE NOT deleted_file"
 
 
 def q_change_risks(s, d):
-    changes, known = _changes(s)
-    return C.change_risks(changes, known, s.createDataFrame(REFERENCES, "path string, referenced string"))
+    changes, known = _changes(s, d)
+    return C.change_risks(changes, known, _with(s, d, REFERRED, REFERENCES, "path string, referenced string"))
 
 
 _PREFIXES = "(SELECT {key}, unnest(range(1, len(string_split({key}, '/')) + 1)) AS k FROM {t})"
-SQL["change_risks_inline"] = f"""
+SQL["change_risks"] = f"""
 WITH clean AS (SELECT regexp_replace(old_path, '^\\./', '') AS o, regexp_replace(new_path, '^\\./', '') AS n, deleted_file AS gone, renamed_file AS moved FROM {_CHANGES_SQL}),
 touched AS (SELECT n AS path, moved AND lower(o) = lower(n) AS meant FROM clean WHERE NOT gone),
 known AS (SELECT path FROM {_KNOWN_SQL}),
@@ -582,7 +637,7 @@ now AS (SELECT path FROM known WHERE path NOT IN (SELECT coalesce(o, n) FROM cle
 kp AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='known')}),
 np AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='now')}),
 k1 AS (SELECT lower(p) AS f, min(p) AS p FROM kp GROUP BY 1 HAVING count(*) = 1), n1 AS (SELECT lower(p) AS f, min(p) AS p FROM np GROUP BY 1 HAVING count(*) = 1),
-refs AS (SELECT DISTINCT path, referenced FROM {G.values_sql(REFERENCES, 'path, referenced')} WHERE NOT contains(referenced, '$') AND path IN (SELECT path FROM touched)),
+refs AS (SELECT DISTINCT path, referenced FROM {_with_sql(REFERRED, REFERENCES, 'path, referenced')} WHERE NOT contains(referenced, '$') AND path IN (SELECT path FROM touched)),
 tp AS (SELECT path, k, array_to_string(string_split(path, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='path', t='touched')} WHERE path IN (SELECT path FROM touched WHERE NOT meant)),
 rp AS (SELECT referenced, k, array_to_string(string_split(referenced, '/')[1:k], '/') AS p FROM {_PREFIXES.format(key='referenced', t='refs')}),
 moved AS (SELECT path, arg_min(k1.p, k) AS expected FROM tp JOIN k1 ON lower(tp.p) = f AND k1.p <> tp.p GROUP BY 1),
@@ -592,11 +647,19 @@ UNION ALL SELECT 'change.ci_path_case_mismatch', path, referenced, expected FROM
 UNION ALL SELECT 'change.ci_path_unverified', path, referenced, NULL FROM refs WHERE referenced NOT IN (SELECT referenced FROM spelled) AND referenced NOT IN (SELECT p FROM np)"""
 
 
+_COMMANDS = """SELECT DISTINCT concat(CASE user_id % 5 WHEN 0 THEN '$ ' WHEN 1 THEN '+ ' WHEN 2 THEN 'echo ' WHEN 3 THEN '# ' ELSE '' END, 'make t', event_id % 9,
+  CASE event_id % 8 WHEN 0 THEN ' || true' WHEN 1 THEN '; exit 0' WHEN 2 THEN ' # || true' WHEN 3 THEN ' "|| true"' WHEN 4 THEN ' || :' WHEN 5 THEN ' || truely' WHEN 6 THEN ' ;exit 01' ELSE '' END) AS command FROM {events}"""
+
+
 def q_hidden_exit(s, d):
-    return s.createDataFrame(COMMANDS, "command string").select("command", C.hides_exit_code(F.col("command")).alias("hidden"))
+    return _with(s, d, _COMMANDS, COMMANDS, "command string").select("command", C.hides_exit_code(F.col("command")).alias("hidden"))
 
 
-SQL["exit_suppressed_inline"] = f"SELECT command, NOT regexp_matches(plain, {_sql(C.PRINTING)}) AND regexp_matches(string_split(regexp_replace(plain, {_sql(C.QUOTED)}, '', 'g'), '#')[1], {_sql(C.MASKED)}) AS hidden FROM (SELECT command, trim(regexp_replace(command, '^[$+] ', '')) AS plain FROM {G.values_sql(COMMANDS, 'command')})"
+#: What is printed or commented hides nothing; quotes and what follows a number sign are no code.
+SQL["exit_suppressed"] = rf"""
+WITH c AS (SELECT command, trim(CASE WHEN starts_with(command, '$ ') OR starts_with(command, '+ ') THEN command[3:] ELSE command END) AS plain FROM {_with_sql(_COMMANDS, COMMANDS, 'command')}),
+b AS (SELECT *, split_part(regexp_replace(regexp_replace(plain, '"[^"]*"', '', 'g'), concat(chr(39), '[^', chr(39), ']*', chr(39)), '', 'g'), '#', 1) AS bare FROM c)
+SELECT command, NOT regexp_matches(lower(plain), '^(#|(echo|printf|write-host|write-output)\b)') AND (regexp_matches(bare, '[|][|] *true\b') OR regexp_matches(bare, '[|][|] *:( |$)') OR regexp_matches(bare, '; *exit +0\b')) AS hidden FROM b"""
 
 
 def _similar_incidents(s, d):
@@ -654,27 +717,30 @@ def q_retained(s, d):
 SQL["retention_projects_entries"] = "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 ORDER BY min(ts) DESC, user_id DESC LIMIT 50) ORDER BY ts DESC, event_id DESC LIMIT 200"
 
 _FINDING_COLUMNS = "run_id string, rule_id string, category string, severity string, confidence string, job_id string"
-_FINDING_SQL = G.values_sql(FINDINGS, "run_id, rule_id, category, severity, confidence, job_id")
+_FOUND = """SELECT concat('u', user_id) AS run_id, CASE event_id % 5 WHEN 0 THEN 'deployment.failed' WHEN 1 THEN 'pipeline.failed' WHEN 2 THEN 'ci.visibility_limited' ELSE concat('rule.', event_type) END AS rule_id,
+  CASE event_id % 6 WHEN 0 THEN 'pipeline_status' WHEN 1 THEN 'unknown' WHEN 2 THEN 'no_failure_observed' WHEN 3 THEN 'job_status' ELSE event_type END AS category, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'error' END AS severity,
+  CASE event_id % 3 WHEN 0 THEN 'observed' WHEN 1 THEN 'likely' ELSE 'unknown' END AS confidence, CASE WHEN event_id % 7 > 0 THEN concat('j', event_id) END AS job_id FROM {events}"""
+_FINDING_SQL = _with_sql(_FOUND, FINDINGS, "run_id, rule_id, category, severity, confidence, job_id")
 
 
 def q_ordered(s, d):
-    return V.ordered_findings(s.createDataFrame(FINDINGS, _FINDING_COLUMNS), "run_id").select("run_id", "rule_id", "rn")
+    return V.ordered_findings(_with(s, d, _FOUND, FINDINGS, _FINDING_COLUMNS), "run_id").select("run_id", "rule_id", "severity", "confidence", "rn")
 
 
-SQL["finding_order_inline"] = f"SELECT run_id, rule_id, row_number() OVER (PARTITION BY run_id ORDER BY list_position(['error', 'warning', 'info'], severity), list_position(['observed', 'likely', 'unknown'], confidence), rule_id IN ('deployment.failed', 'pipeline.failed'), rule_id, coalesce(job_id, ''))::INT AS rn FROM {_FINDING_SQL}"
+SQL["finding_order"] = f"SELECT run_id, rule_id, severity, confidence, row_number() OVER (PARTITION BY run_id ORDER BY list_position(['error', 'warning', 'info'], severity), list_position(['observed', 'likely', 'unknown'], confidence), rule_id IN ('deployment.failed', 'pipeline.failed'), rule_id, coalesce(job_id, ''))::INT AS rn FROM {_FINDING_SQL} QUALIFY rn <= 80"
 
 
 def q_display_rank(s, d):
-    return s.createDataFrame(FINDINGS, _FINDING_COLUMNS).select("run_id", "rule_id", V.display_rank(F.col("rule_id"), F.col("category"), F.col("severity"), F.col("job_id")).alias("rank"))
+    return _with(s, d, _FOUND, FINDINGS, _FINDING_COLUMNS).select("run_id", "rule_id", "job_id", V.display_rank(F.col("rule_id"), F.col("category"), F.col("severity"), F.col("job_id")).alias("rank"))
 
 
 #: Errors of jobs, then errors of the run's status, then what can be acted on, then warnings about status, then nothing, then the rest.
-SQL["display_rank_inline"] = f"""
+SQL["display_rank"] = f"""
 WITH f AS (
   SELECT *, category IN ('pipeline_status', 'downstream_pipeline', 'job_status') AS of_status, severity IN ('error', 'warning') AS loud,
     severity IN ('error', 'warning') AND category NOT IN ('pipeline_status', 'downstream_pipeline', 'job_status', 'no_failure_observed', 'unknown') AND NOT starts_with(rule_id, 'pipeline.') AND NOT starts_with(rule_id, 'ci.visibility') AS act
   FROM {_FINDING_SQL})
-SELECT run_id, rule_id, (CASE WHEN severity = 'error' AND job_id IS NOT NULL THEN CASE WHEN act THEN 0 ELSE 1 END WHEN severity = 'error' AND of_status THEN 2 WHEN act AND job_id IS NOT NULL THEN 3 WHEN act THEN 4
+SELECT run_id, rule_id, job_id, (CASE WHEN severity = 'error' AND job_id IS NOT NULL THEN CASE WHEN act THEN 0 ELSE 1 END WHEN severity = 'error' AND of_status THEN 2 WHEN act AND job_id IS NOT NULL THEN 3 WHEN act THEN 4
   WHEN loud AND (of_status OR category = 'unknown') THEN 5 WHEN category = 'no_failure_observed' THEN 6 ELSE 7 END)::INT AS rank FROM f"""
 
 
@@ -710,12 +776,15 @@ URLS = [
 ]
 
 
+_URLS = """SELECT DISTINCT concat(regexp_extract(url, '^([a-z]+://[^/]+)', 1), '/group/app', CASE page_id % 6 WHEN 0 THEN concat('/-/pipelines/', page_id) WHEN 1 THEN concat('/-/jobs/', page_id) WHEN 2 THEN '.git' WHEN 3 THEN '/-/tree/feature/x' WHEN 4 THEN concat('/-/blob/main/ci/a', page_id % 9, '.yml') ELSE '?x=1' END) AS url FROM {pages} WHERE url IS NOT NULL"""
+
+
 def q_references(s, d):
-    return s.createDataFrame([(x,) for x in URLS], "url string").select("url", U.reference(F.col("url")).alias("r")).where("r is not null").select("url", "r.*")
+    return _with(s, d, _URLS, [(x,) for x in URLS], "url string").select("url", U.reference(F.col("url")).alias("r")).where("r is not null").select("url", "r.*")
 
 
-SQL["url_references_inline"] = f"""
-WITH u AS (SELECT url, string_split(regexp_replace(url, '^[A-Za-z]+://', ''), '?') AS cut, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme FROM {G.values_sql([(x,) for x in URLS], 'url')}),
+SQL["url_references"] = f"""
+WITH u AS (SELECT url, string_split(regexp_replace(url, '^[A-Za-z]+://', ''), '?') AS cut, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme FROM {_with_sql(_URLS, [(x,) for x in URLS], 'url')}),
 p AS (
   SELECT url, scheme, lower(regexp_extract(cut[1], '^([^/]*)', 1)) AS host, rtrim(url_decode(regexp_replace(cut[1], '^[^/]*/?', '')), '/') AS path, coalesce(cut[2], '') AS query FROM u
   WHERE NOT contains(url, '#') AND NOT contains(url, '@') AND len(cut) <= 2 AND (scheme = 'https' OR scheme = 'http' AND starts_with(cut[1], 'localhost'))),
@@ -846,16 +915,16 @@ QUERIES = {
     "retention_newest_n": q_retention, "orphan_check": q_orphans, "status_summary": q_status_summary, "rule_histogram": q_rule_histogram, "project_summary": q_project_summary,
     "having_gt2": q_having, "distinct_subquery": q_distinct, "set_union": lambda s, d: _keys(s, d)[0].union(_keys(s, d)[1]).distinct(),
     "set_intersect": lambda s, d: _keys(s, d)[0].intersect(_keys(s, d)[1]), "set_except": lambda s, d: _keys(s, d)[0].subtract(_keys(s, d)[1]),
-    "url_references_inline": q_references, "blob_urls": q_blob_urls, "corpus_summary": q_corpus_summary, "dataset_summary": q_dataset_summary,
+    "url_references": q_references, "blob_urls": q_blob_urls, "corpus_summary": q_corpus_summary, "dataset_summary": q_dataset_summary,
     "knowledge_documents": q_knowledge, "history_items_inline": q_history_items, "run_inspection_inline": q_inspected,
     "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "include_order": q_include_order, "upsert_merge": q_upsert, "store_violations": q_violations,
-    "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup_inline": q_artifact, "stream_incremental": q_stream,
-    "diff_added_lines_inline": q_added_lines, "current_paths": q_current_paths, "change_risks_inline": q_change_risks, "exit_suppressed_inline": q_hidden_exit,
+    "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup": q_artifact, "stream_incremental": q_stream,
+    "diff_added_lines": q_added_lines, "current_paths": q_current_paths, "change_risks": q_change_risks, "exit_suppressed": q_hidden_exit,
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
-    "finding_order_inline": q_ordered, "display_rank_inline": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
+    "finding_order": q_ordered, "display_rank": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
 }
 QUERIES |= G.QUERIES
 SQL |= G.SQL
