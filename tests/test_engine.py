@@ -6,6 +6,7 @@ import json
 import os
 import random
 import zipfile
+from datetime import datetime, timedelta
 from urllib.parse import quote
 
 import duckdb
@@ -18,6 +19,7 @@ from tracewell.functions import rules as R_
 from tracewell.functions import text as X
 from tracewell.operators import changes as C
 from tracewell.operators import graph as G
+from tracewell.operators import intervals as IV
 from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.operators import scan
@@ -617,6 +619,77 @@ def test_scrubbed_rows(spark):
     assert cut.a == "token=[REDACTED] and m" and cut.b == [secret] and cut.n == 5
 
 
+def test_nested_texts_are_redacted(spark):
+    """Strings at any depth, sliced and null arrays, overlapping secrets; keys, numbers and nulls stay."""
+    secrets = ["abcd1234", "1234efgh", 'q"uo\\te', "two\nlines"]
+    find = scrub.finder(secrets)
+    assert [tuple(s)[:2] for s in find("xxabcd1234efghyy abcd1234")] == [(2, 14), (17, 25)] and find("") == []
+    assert redact.applied("a two\nlines b", find("a two\nlines b"))[0] == "a [REDACTED]\n b"
+    rows = [(k, [None, ["password=hunter2", None], []][k % 3], {"token": f"glpat-{'a' * 12}", "n": None} if k % 2 else None, ([(k, "abcd1234efgh")], None) if k % 4 else None, b"abcd1234") for k in range(9)]
+    df = spark.createDataFrame(rows, "k int, a array<string>, m map<string,string>, s struct<l:array<struct<i:int,t:string>>,z:string>, raw binary").repartition(2)
+    got = {r.k: r for r in scrub.scrubbed(df, secrets).collect()}
+    assert scrub.scrubbed(df, secrets).schema == df.schema
+    for k, a, m, s, raw in rows:
+        r = got[k]
+        assert r.a == (["password=[REDACTED]", None] if a and len(a) else a) and r.m == ({"token": "[REDACTED]", "n": None} if m else None) and bytes(r.raw) == raw
+        assert (r.s is None) == (s is None) and (s is None or (r.s.l[0].i, r.s.l[0].t, r.s.z) == (k, "[REDACTED]", None))
+    spelled = ["q%22uo%5Cte", "q%22uo%5cte", json.dumps(secrets[2])[1:-1], base64.b64encode(secrets[2].encode()).decode()]
+    out = scrub.scrubbed(spark.createDataFrame([(x,) for x in spelled], "t string"), secrets).collect()
+    assert {r.t for r in out} == {"[REDACTED]"}
+
+
+def test_job_ends_go_on_after_a_stop(spark, tmp_path):
+    """A stream in three runs, each over more files, ends the same jobs as one run; ends are final and come once."""
+    from tracewell.streaming.jobs import collect_job_ends
+
+    rng, rows = random.Random(4), []
+    for day in range(3):
+        rows.append([(f"j{rng.randrange(30)}", rng.choice(["running", "running", "running", "failed", "succeeded"]), f"2024-01-0{day + 1} {rng.randrange(24):02}:{rng.randrange(60):02}:00") for _ in range(60)])
+    rows[0] += [(None, "failed", "2024-01-01 00:00:00"), ("j1", "failed", None)]
+    schema = "job_id string, state string, at timestamp"
+
+    def land(day):
+        spark.createDataFrame(rows[day], "job_id string, state string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    seen = []
+    for day in range(3):
+        land(day)
+        got = collect_job_ends(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), silence="8 hours")
+        seen.append({(r.job_id, r.state, str(r.at), r.events) for r in got.collect()})
+        assert len(seen[-1]) == got.count() == len({x[0] for x in seen[-1]})
+    assert seen[0] < seen[1] <= seen[2]
+    want, last = {}, {}
+    for job, state, at in sorted((x for day in rows for x in day if x[0] and x[2]), key=lambda x: (x[2], x[1] != "running", x[1])):
+        at = datetime.fromisoformat(at)
+        before, n = last.get(job, (None, 0))
+        if job in want:
+            continue
+        if before and at - before > timedelta(hours=8):
+            want[job] = (job, "timed_out", str(before + timedelta(hours=8)), n)
+        elif state != "running":
+            want[job] = (job, state, str(at), n + 1)
+        else:
+            last[job] = (at, n + 1)
+    newest = max(datetime.fromisoformat(x[2]) for day in rows for x in day if x[2])
+    for job, (at, n) in last.items():
+        if job not in want and at + timedelta(hours=8) < newest - timedelta(hours=1):
+            want[job] = (job, "timed_out", str(at + timedelta(hours=8)), n)
+    assert seen[-1] == set(want.values())
+
+
+def test_points_meet_intervals_once(spark):
+    rng = random.Random(1)
+    somewhere = lambda: rng.choice([rng.randint(-50, 50), rng.randint(-(10**6), 10**6), rng.randint(-(2**61), 2**61)])
+    points = [(i, "ab"[i % 2], somewhere()) for i in range(200)] + [(999, "a", None), (998, "a", 0), (997, "a", 7)]
+    spans = [(i, "ab"[i % 2], lo, lo + rng.choice([-1, 0, 1, 2, 7, 100, 10**5, 2 * 10**6, 2**60])) for i, lo in enumerate(somewhere() for _ in range(150))] + [(777, "a", None, 5), (776, "a", 0, 7), (775, "b", -8, -1)]
+    p, s = spark.createDataFrame(points, "p int, k string, at long"), spark.createDataFrame(spans, "i int, k string, lo long, hi long")
+    inside = lambda at, lo, hi: None not in (at, lo, hi) and lo <= at <= hi
+    assert sorted(map(tuple, IV.points_in(p, "at", s, "lo", "hi", ["k"]).select("p", "i").collect())) == sorted((a, b) for a, k, at in points for b, j, lo, hi in spans if k == j and inside(at, lo, hi))
+    every = IV.points_in(p.drop("k"), "at", s.drop("k"), "lo", "hi").select("p", "i").collect()
+    assert sorted(map(tuple, every)) == sorted((a, b) for a, _, at in points for b, _, lo, hi in spans if inside(at, lo, hi))
+    assert IV.points_in(p, "at", s.where("i = 777"), "lo", "hi", ["k"]).collect() == []
+
+
 def test_csv_preview_and_row_limit(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("Log ,status\n" + "".join(f'"line {i}\nmore",{"" if i % 3 else "bad"}\n' for i in range(30)), encoding="utf-8-sig")

@@ -11,6 +11,7 @@ from tracewell.functions import text as X
 from tracewell.functions import urls as U
 from tracewell.operators import changes as C
 from tracewell.operators import graph as G_
+from tracewell.operators import intervals as I_
 from tracewell.operators import logs as L
 from tracewell.operators import relational as Q
 from tracewell.operators.lineage import shared_folder
@@ -18,7 +19,7 @@ from tracewell.operators import similarity as M
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
-from tracewell.sources.readers import landed
+from tracewell.sources.readers import landed, strict_objects
 
 PATHS = ["src/app/main.py", "src/app/util.py", "tests/test_main.py", "lib/util.py", "docs/Guide.md"]
 TRACE_PATHS = ["app/main.py", "util.py", "Guide.md", "missing.py", "SRC/app/main.py", "docs/guide.md"]
@@ -400,6 +401,28 @@ for _pattern, _shown in _KINDS_SQL:
 SQL["redact_full"] = f"SELECT doc_id, sha256({_masked_sql}) AS sha256, ({_count_sql})::INT AS replacements FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {G.values_sql([(-1 - k, x) for k, x in enumerate(SECRETS)], 'doc_id, text')})"
 
 
+#: Known secrets, and documents that hold them in one spelling or another, by number.
+KNOWN_SECRETS = ["s3cr3t/ pä$$", "ab+cd==ef"]
+
+
+def q_scrubbed(s, d):
+    """Documents as nested rows, with a known secret put into some in several spellings, and none of it left."""
+    from tracewell.functions.scrub import scrubbed
+
+    one, two = KNOWN_SECRETS
+    spelled = F.array(*map(F.lit, ["", one, "s3cr3t%2F+p%C3%A4%24%24", "czNjcjN0LyBww6QkJA==", "s3cr3t%2f%20p%c3%a4%24%24", two + two, "xab%2Bcd%3D%3Def"]))
+    docs = landed(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.element_at(spelled, (F.col("doc_id") % 7 + 1).cast("int")).alias("word"))
+    rows = docs.select("doc_id", F.struct(F.array("text", F.concat(F.lit("<"), "word", F.lit(">"))).alias("lines"), F.create_map(F.lit("token key"), F.concat("text", F.lit("|"), "word")).alias("by")).alias("body"))
+    out = scrubbed(rows, KNOWN_SECRETS)
+    return out.select("doc_id", F.sha2(F.get("body.lines", 0), 256).alias("text_sha256"), F.get("body.lines", 1).alias("word"), F.sha2(F.element_at(F.map_values("body.by"), 1), 256).alias("by_sha256"), F.get(F.map_keys("body.by"), 0).alias("name"))
+
+
+_TOKEN_SQL = r"""regexp_replace(regexp_replace({t}, '(?i)(\btoken = )"[^"\s]*"[^\s;&|<>]+', '\1[REDACTED]', 'g'), '(?i)(\btoken = )"[^"\[]*"', '\1"[REDACTED]"', 'g')"""
+SQL["scrubbed_rows"] = f"""
+WITH r AS (SELECT doc_id, {_TOKEN_SQL.format(t="coalesce(text, '')")} AS text, CASE doc_id % 7 WHEN 0 THEN '' WHEN 6 THEN 'x[REDACTED]' ELSE '[REDACTED]' END AS word, CASE WHEN doc_id % 7 = 5 THEN '[REDACTED][REDACTED]' END AS pair FROM documents)
+SELECT doc_id, sha256(text) AS text_sha256, '<' || coalesce(pair, word) || '>' AS word, sha256(text || '|' || coalesce(pair, word)) AS by_sha256, 'token key' AS name FROM r"""
+
+
 def q_token_bag(s, d):
     return Q.token_bags(landed(s, d, "benchmark"), "item_id", "text")
 
@@ -572,6 +595,58 @@ def q_stream(s, d):
 
 SQL["stream_incremental"] = r"SELECT DISTINCT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS row_hash FROM documents"
 
+def q_job_ends(s, d):
+    """Events as what jobs say, twenty jobs in each stretch of 400 events, followed by a stream to their ends."""
+    import uuid
+
+    from tracewell.streaming.jobs import collect_job_ends
+
+    work = f"{shared_folder(s)}/jobs-{uuid.uuid4().hex}"
+    source = f"{d}/event[s].parquet"
+    said = F.when(F.col("event_id") % 3 > 0, "running").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise("running")
+    rows = s.readStream.schema(s.read.parquet(source).schema).parquet(source)
+    job = F.concat((F.col("user_id") % 20).cast("string"), F.lit(":"), F.floor(F.col("event_id") / 400).cast("string"))
+    return collect_job_ends(s, rows.select(job.alias("job_id"), said.alias("state"), F.col("ts").cast("timestamp").alias("at")), f"{work}/ends", f"{work}/checkpoint", silence="3 hours")
+
+
+SQL["job_ends"] = """
+WITH e AS (SELECT (user_id % 20) || ':' || (event_id // 400) AS job_id, ts AS moment, CASE WHEN event_id % 3 > 0 THEN 'running' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'succeeded' ELSE 'running' END AS state FROM events),
+o AS (SELECT *, row_number() OVER w AS k, lag(moment) OVER w AS earlier, lead(moment) OVER w AS later FROM e WINDOW w AS (PARTITION BY job_id ORDER BY moment, state <> 'running', state)),
+x AS (
+  SELECT job_id, k::DOUBLE AS k, state, moment, k AS events FROM o WHERE state <> 'running'
+  UNION ALL SELECT job_id, k - 0.5, 'timed_out', earlier + INTERVAL 3 HOUR, k - 1 FROM o WHERE moment - earlier > INTERVAL 3 HOUR
+  UNION ALL SELECT job_id, k + 0.5, 'timed_out', moment + INTERVAL 3 HOUR, k FROM o WHERE later IS NULL AND moment + INTERVAL 3 HOUR < (SELECT max(moment) FROM e) - INTERVAL 1 HOUR)
+SELECT job_id, state, moment AS at, events::BIGINT AS events FROM x QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY k) = 1"""
+
+
+def q_interval_join(s, d):
+    """Of each purchase, as an interval of as many minutes as it is worth times ten, the events of other users in it."""
+    e = landed(s, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    spans = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("buyer"), F.col("us").alias("lo"), (F.col("us") + F.floor(F.col("value") * 600) * 1_000_000).alias("hi"))
+    found = I_.points_in(e.select("event_id", "user_id", "us"), "us", spans, "lo", "hi").where("user_id <> buyer")
+    return found.groupBy("purchase").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+SQL["interval_join"] = "WITH e AS (SELECT *, epoch_us(ts) AS us FROM events), p AS (SELECT event_id AS purchase, user_id AS buyer, us AS lo, us + floor(value * 600)::BIGINT * 1000000 AS hi FROM e WHERE event_type = 'purchase') SELECT purchase, count(*) AS n, max(event_id) AS last FROM p JOIN e ON us BETWEEN lo AND hi AND user_id <> buyer GROUP BY 1"
+#: Objects that are none, or not as they should be, and why.
+ODD_JSON = [
+    (-1, '{"k": 1, "k": 2}', "repeated key"), (-2, '{"k": NaN}', "invalid"), (-3, "[1]", "no object"), (-4, '{"k": "x"}', "wrong type"), (-5, '{"j": 1}', "extra key"), (-6, '{"k": 1, "z": {"a": 1, "a": 2}}', "repeated key"), (-7, None, "missing"),
+    (-8, '{"k"', "invalid"), (-9, "", "invalid"), (-10, '{"k": 1.5}', "wrong type"), (-11, "{}", "missing key"), (-12, '{"k": 1, "x": "' + "y" * 200 + '"}', "too large"),
+]
+
+
+def q_strict_json(s, d):
+    """The properties of all events parsed strictly, odd ones appended."""
+    rows = landed(s, d, "events").select("event_id", "props").unionByName(s.createDataFrame([x[:2] for x in ODD_JSON], "event_id long, props string"))
+    found = strict_objects(rows, "props", {"k": "BIGINT"}, largest=200)
+    return found.select("event_id", F.try_variant_get("value", "$.k", "long").alias("k"), "problem")
+
+
+SQL["strict_json"] = rf"""
+WITH r AS (SELECT event_id, props, NULL AS why FROM events UNION ALL SELECT * FROM {G.values_sql(ODD_JSON, 'event_id, props, why')})
+SELECT event_id, CASE WHEN why IS NULL THEN regexp_extract(props, '^\{{{{"k": ([0-9]+)\}}}}$', 1)::BIGINT END AS k, CASE WHEN why IS NULL AND NOT regexp_matches(props, '^\{{{{"k": [0-9]+\}}}}$') THEN 'unlike the others' ELSE why END AS problem FROM r""".replace("{{", "{").replace("}}", "}")
+
+
 DIFFS = [
     ("d1", "--- a/x\n+++ b/x\n@@ -1,3 +1,4 @@\n a\n+b\n-c\n d\n+e\n@@ -20 +21,2 @@ f\n+g\n h\n\\ No newline at end of file"),
     ("d2", "+early\n@@ -0,0 +7 @@\n+seven\r\n+eight"),
@@ -919,9 +994,9 @@ QUERIES = {
     "knowledge_documents": q_knowledge, "history_items_inline": q_history_items, "run_inspection_inline": q_inspected,
     "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
-    "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "token_bag": q_token_bag, "jaccard_pairs": _similar,
+    "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "scrubbed_rows": q_scrubbed, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "include_order": q_include_order, "upsert_merge": q_upsert, "store_violations": q_violations,
-    "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup": q_artifact, "stream_incremental": q_stream,
+    "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup": q_artifact, "stream_incremental": q_stream, "job_ends": q_job_ends, "interval_join": q_interval_join, "strict_json": q_strict_json,
     "diff_added_lines": q_added_lines, "current_paths": q_current_paths, "change_risks": q_change_risks, "exit_suppressed": q_hidden_exit,
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
     "finding_order": q_ordered, "display_rank": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,

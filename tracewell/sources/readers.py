@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -130,6 +131,27 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=_strict, parse_constant=bad)
 
 
+def strict_objects(rows: DataFrame, column: str, fields: dict[str, str], *, largest: int = 1 << 20) -> DataFrame:
+    """``rows`` with ``value``, a JSON object as a variant, and ``problem``, why it is none (else null).
+
+    A problem is too large (in bytes), invalid (no JSON, or numbers that are none), no object, repeated
+    key (at any depth), extra key, missing key or wrong type; ``fields`` are names with the variant
+    types (BIGINT, DOUBLE and others as ``schema_of_variant`` names them, ANY for all) that an object
+    must have. A null text is missing. Stays in the JVM.
+    """
+    text = F.col(f"`{column}`")
+    value, keys = F.try_parse_json(text), F.json_object_keys(text)
+    has = lambda name: F.array_contains(keys, F.lit(name))
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(value, f"$['{name}']", "variant"))
+    wrong = reduce(lambda a, b: a | b, [kind(n) != t for n, t in fields.items() if t != "ANY"], F.lit(False))
+    lacks = reduce(lambda a, b: a | b, [~has(n) for n in fields], F.lit(False))
+    problem = (
+        F.when(text.isNull(), "missing").when(F.octet_length(text) > largest, "too large").when(value.isNull() & keys.isNotNull(), "repeated key").when(value.isNull(), "invalid")
+        .when(keys.isNull(), "no object").when(F.size(F.array_except(keys, F.array(*map(F.lit, fields)))) > 0, "extra key").when(lacks, "missing key").when(wrong, "wrong type")
+    )
+    return rows.withColumn("problem", problem).withColumn("value", F.when(F.col("problem").isNull(), value))
+
+
 def zip_member(archives: DataFrame, member: str, *, path: str = "path", content: str = "content", members: int = 64, largest: int = 2 << 20, ratio: int = 200) -> DataFrame:
     """(path, json, problem): one JSON member of each ZIP archive, after a check of all members' names, sizes, sums and compression."""
 
