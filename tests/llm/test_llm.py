@@ -629,6 +629,41 @@ def test_near_copies_in_dense_buckets(spark, monkeypatch, at_once):
     assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == want
 
 
+def test_embeddings_of_any_size_and_in_chunks(spark, monkeypatch):
+    """Tiny and huge components are linked as others are; a cell in chunks gives what brute force gives."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=24)
+    rows = [(i, [float(x) for x in base + rng.normal(0, 0.05, 24)]) for i in range(70)] + [(100 + i, [float(x) for x in rng.normal(size=24)]) for i in range(30)]
+    rows += [(200, [1e-200, 2e-200]), (201, [2e-200, 4e-200]), (202, [1e200, 2e200]), (203, [3e300, 6e300]), (204, [-1.0, -2.0]), (205, [5e-324, 1e-323])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / max(map(abs, v)) for i, v in rows}
+    cos = lambda a, b: len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.95
+    want = {i: sum(cos(unit[i], unit[j]) for j in unit if j != i) for i in unit}
+    assert want[200] == 4 and want[204] == 0 and sum(want[i] for i in range(70)) > 4000
+    for at_once in (4, 16, lattice.AT_ONCE):
+        monkeypatch.setattr(lattice, "AT_ONCE", at_once)
+        assert {r.vec_id: r.n_links for r in lattice.embedding_groups(df).collect()} == want
+
+
+def test_without_broadcasts(spark, docs, monkeypatch, tmp_path):
+    """What is broadcast while it is small is joined by a shuffle beyond that, with the same rows."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", t) for i, (_, t) in enumerate(ROWS)], "page_id long, url string, html string")
+
+    def every(name):
+        warc.write_archives(pages, str(tmp_path / name))
+        records = warc.read_archives(spark, str(tmp_path / name)).select("payload_sha256", "payload_size", "head").collect()
+        plain = sorted((r.payload_sha256, r.payload_size, b"revisit" in r.head) for r in records)
+        kept = [sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in keep(docs).collect()) for keep in (simhash.simhash_keep, likeness.near_copies_keep)]
+        pieces = packing.pack_documents(docs.where("length(text) < 100 or text is null"), BYTES)
+        packed = sorted((r.doc_id or -9, r.piece, r.start, r.length) for r in pieces.collect())
+        return plain, kept, packed, pieces.select("sequence_id").distinct().count()
+
+    want = every("few")
+    for module in (simhash, likeness, packing, warc):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert every("many") == want
+
+
 def test_texts_are_one_by_128_bits(spark, monkeypatch):
     """Texts whose prints agree in their first 64 bits only are two texts, and both stay."""
     real = likeness._print

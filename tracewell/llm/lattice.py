@@ -100,12 +100,16 @@ def cells(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows by dimension: their positions and their vectors in double precision."""
+    """Rows by dimension: their positions and their vectors in double precision, scaled by a power of two to components of 1 at most.
+
+    Cosines stay as they are to the last bit, and squares neither vanish nor overflow.
+    """
     sizes = np.asarray(column.value_lengths())
     for dim in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == dim)
         flat = column.take(pa.array(at)).flatten().cast(pa.float64())
-        yield at, np.asarray(flat).reshape(len(at), dim)
+        own = np.asarray(flat).reshape(len(at), dim)
+        yield at, np.ldexp(own, -np.frexp(np.abs(own).max(axis=1))[1][:, None])
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
