@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell import queries_logs as G
+from tracewell import queries_more as E
 from tracewell.functions import redact
 from tracewell.functions import text as X
 from tracewell.functions import urls as U
@@ -1001,5 +1002,5 @@ QUERIES = {
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
     "finding_order": q_ordered, "display_rank": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
 }
-QUERIES |= G.QUERIES
-SQL |= G.SQL
+QUERIES |= G.QUERIES | E.QUERIES
+SQL |= G.SQL | E.SQL

@@ -268,6 +268,30 @@ def q_chunks(s, d):
     return L.chunk_logs(L.redacted(logs(s, d))).drop("signals")
 
 
+SQL["chunk_full"] = _ALL + r""",
+hits AS (SELECT job_id, idx, rule_id, priority FROM signals),
+seen_hits AS (
+  SELECT s.*, h.priority, h.rule_id, count(h.idx) OVER (PARTITION BY s.job_id) > 0 AS trim, last_value(h.idx IGNORE NULLS) OVER (PARTITION BY s.job_id ORDER BY s.idx ROWS UNBOUNDED PRECEDING) AS last,
+    first_value(h.idx IGNORE NULLS) OVER (PARTITION BY s.job_id ORDER BY s.idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM states s LEFT JOIN hits h ON h.job_id = s.job_id AND h.idx = s.idx
+), near AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS n, idx - row_number() OVER (PARTITION BY job_id ORDER BY idx) AS stretch,
+    starts_with(text, '```') OR starts_with(text, '~~~') OR hidden AS fenced, uploading AND NOT hidden AND NOT coalesce(turn = 1, false) AS inside, NOT lost AS known
+  FROM seen_hits WHERE CASE WHEN trim THEN coalesce(idx - last <= 7, false) OR coalesce(next - idx <= 3, false) ELSE idx < 40 END
+), cuts AS (
+  SELECT job_id, 0::BIGINT AS n, NULL::BIGINT AS stretch, 0 AS chunk, 0 AS room, false AS known, 0 AS place FROM (SELECT DISTINCT job_id FROM near)
+  UNION ALL
+  SELECT job_id, n, stretch, CASE WHEN need AND NOT skip THEN before + 1 ELSE before END, CASE WHEN NOT need THEN room - 1 WHEN skip THEN 0 WHEN inside THEN 77 ELSE 79 END, CASE WHEN need THEN now_known ELSE known END, CASE WHEN need AND skip THEN 0 WHEN need THEN before + 1 ELSE before END
+  FROM (SELECT t.job_id, t.n, t.stretch, t.inside, t.known AS now_known, w.room, w.known, CASE WHEN w.stretch IS DISTINCT FROM t.stretch THEN 0 ELSE w.chunk END AS before,
+      w.stretch IS DISTINCT FROM t.stretch OR w.room = 0 OR w.known <> t.known AS need, t.trim AND t.fenced AS skip FROM cuts w JOIN near t ON t.job_id = w.job_id AND t.n = w.n + 1) x
+), made AS (
+  SELECT c.job_id, c.stretch, c.place, min(t.idx) AS first, max(t.idx) AS final, arg_min(t.inside, t.idx) AS inside, arg_min(t.known, t.idx) AS known, max(t.priority) AS priority, arg_min(t.rule_id, (-t.priority, t.idx)) FILTER (t.priority IS NOT NULL) AS rule,
+    list(regexp_replace(t.raw, '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g') ORDER BY t.idx) AS raws FROM cuts c JOIN near t ON t.job_id = c.job_id AND t.n = c.n WHERE c.place > 0 GROUP BY 1, 2, 3
+), shown AS (SELECT *, CASE WHEN inside THEN list_concat(['[LOG_OMITTED: earlier upload context]', 'Uploading artifacts for failed job [earlier in the log]'], raws) ELSE raws END AS l FROM made)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(priority, 0) DESC, first)::INT AS rank, CASE WHEN known AND NOT inside THEN 'log-' ELSE 'log-retained-' END || substr(sha256(first || ':' || final || ':' || array_to_string(l, '|')), 1, 16) AS chunk_id,
+  CASE WHEN rule IS NULL THEN 'context' WHEN rule IN ('salesforce.test_failure', 'salesforce.coverage_failure', 'test.failed') THEN 'test' WHEN starts_with(rule, 'auth.') OR rule = 'http.service_failure' THEN 'http' WHEN rule = 'script.not_callable' THEN 'stack_trace' ELSE 'error' END AS chunk_type,
+  (first + 1)::INT AS line_start, (final + 1)::INT AS line_end, coalesce(priority / 100, 0)::DOUBLE AS score, array_to_string(l, chr(10)) AS content FROM shown"""
+
+
 def q_classified(s, d):
     """All documents and logs read as rows of an imported data set."""
     docs = landed(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("row_id"), "text")
