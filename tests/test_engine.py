@@ -24,6 +24,7 @@ from tracewell.operators import logs as L
 from tracewell.operators import relational as R
 from tracewell.operators import scan
 from tracewell.operators import similarity as M
+from tracewell.operators import store as ST
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
 from tracewell.plans import retrieval as V
@@ -677,6 +678,44 @@ def test_job_ends_go_on_after_a_stop(spark, tmp_path):
     assert seen[-1] == set(want.values())
 
 
+def test_commits_are_whole_or_nothing(spark, tmp_path, monkeypatch):
+    """A commit that breaks off between its tables, or at its manifest, leaves the old state; the second of two fails; only touched buckets are written."""
+    store = str(tmp_path / "store")
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    rows = lambda name, **o: sorted(((r.k, r.v) for r in ST.table(spark, store, name, **o).collect()), key=str)
+    first = ST.commit(spark, store, {"a": (frame([(i, "x") for i in range(40)] + [(None, "n")]), ["k"]), "b": (frame([(1, "p"), (1, "q"), (2, "r")]), ["k"])}, replaced={"b": frame([(1, "")])}, buckets=8)
+    old = rows("a"), rows("b")
+    assert len(old[0]) == 41 and old[1] == [(1, "p"), (1, "q"), (2, "r")]
+    real = ST.upsert
+    calls = []
+
+    def breaks(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return real(*args)
+
+    monkeypatch.setattr(ST, "upsert", breaks)
+    change = {"a": (frame([(1, "new")]), ["k"]), "b": (frame([(2, "new")]), ["k"])}
+    with pytest.raises(OSError):
+        ST.commit(spark, store, change)
+    assert (rows("a"), rows("b")) == old
+    monkeypatch.setattr(ST, "upsert", real)
+    monkeypatch.setattr(ST, "_write_manifest", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        ST.commit(spark, store, change)
+    monkeypatch.undo()
+    assert (rows("a"), rows("b")) == old
+    second = ST.commit(spark, store, change)
+    assert (1, "new") in rows("a") and len(rows("a")) == 41 and rows("b") == [(1, "p"), (1, "q"), (2, "new")]
+    assert sum(first["tables"]["a"]["folders"][b] != f for b, f in second["tables"]["a"]["folders"].items()) == 1
+    assert rows("a", at=first) == old[0]
+    with pytest.raises(ST.Conflict):
+        ST.commit(spark, store, {"a": (frame([(5, "late")]), ["k"])}, at=first)
+    ST.commit(spark, store, {"b": (frame([(1, "only")]), ["k"])}, replaced={"b": frame([(1, ""), (2, "")])})
+    assert rows("b") == [(1, "only")] and (5, "x") in rows("a")
+
+
 def test_points_meet_intervals_once(spark):
     rng = random.Random(1)
     somewhere = lambda: rng.choice([rng.randint(-50, 50), rng.randint(-(10**6), 10**6), rng.randint(-(2**61), 2**61)])

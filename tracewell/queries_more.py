@@ -14,6 +14,7 @@ from tracewell.functions import rules as R
 from tracewell.functions import scrub
 from tracewell.functions import text as X
 from tracewell.operators import relational as Q
+from tracewell.operators import store as St
 from tracewell.operators.lineage import shared_folder
 from tracewell.plans import diagnosis as D
 from tracewell.plans import inspection as I
@@ -87,6 +88,23 @@ SELECT c_custkey, CASE WHEN c_custkey <= 50 THEN 'new' ELSE c_name END AS c_name
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_orderkey) AS total FROM orders GROUP BY 1) ON o_custkey = c_custkey"""
 
 
+def q_store(s, d):
+    """Customers and their orders in a store, then some changed in one commit, read from the newest snapshot."""
+    store = f"{shared_folder(s)}/store-{uuid.uuid4().hex}"
+    parents, children = landed(s, d, "customer").select("c_custkey", "c_name"), landed(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    St.commit(s, store, {"customers": (parents, ["c_custkey"]), "orders": (children, ["c_custkey"])}, replaced={"orders": parents.select("c_custkey")}, buckets=16)
+    new = parents.where("c_custkey <= 50").withColumn("c_name", F.lit("new")).unionByName(s.createDataFrame([(-1, "first")], "c_custkey long, c_name string"))
+    St.commit(s, store, {"customers": (new, ["c_custkey"]), "orders": (new.where("c_custkey < 30").select("c_custkey", (-F.col("c_custkey")).alias("o_orderkey")), ["c_custkey"])}, replaced={"orders": new.select("c_custkey")})
+    counts = St.table(s, store, "orders").groupBy("c_custkey").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("sum"))
+    return St.table(s, store, "customers").join(counts, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("orders", F.lit(0)).alias("orders"), "sum")
+
+
+SQL["store_commits"] = """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey <= 50 THEN 'new' ELSE c_name END AS c_name FROM customer UNION ALL SELECT -1, 'first'),
+o AS (SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_custkey > 50 UNION ALL SELECT c_custkey, -c_custkey FROM c WHERE c_custkey < 30)
+SELECT c_custkey, c_name, coalesce(n, 0) AS orders, total::BIGINT AS sum FROM c LEFT JOIN (SELECT c_custkey, count(*) AS n, sum(o_orderkey) AS total FROM o GROUP BY 1) USING (c_custkey)"""
+
+
 def q_feedback(s, d):
     """Documents as incidents; labels as what people said of them."""
     incidents = landed(s, d, "documents").select("doc_id", F.lit("open").alias("resolution_status"), F.col("source").alias("resolution")).distinct()
@@ -181,6 +199,6 @@ def q_identity(s, d):
 
 SQL["finding_identities"] = """SELECT substr(sha256('{"evidence":{"line":' || event_id % 3 || ',"path":"ci/a.yml","text":"said"},"job_id":"' || user_id || '","rule_id":"rule.' || event_type || '"}'), 1, 24) AS identity, count(*) AS n FROM events GROUP BY 1"""
 QUERIES = {
-    "csv_source": q_csv, "zip_members": q_zip, "ci_nodes": q_ci_nodes, "upsert_children": q_children, "feedback": q_feedback, "reclassified": q_reclassified, "knowledge_counts": q_counts, "source_order": q_source_order,
+    "csv_source": q_csv, "zip_members": q_zip, "ci_nodes": q_ci_nodes, "upsert_children": q_children, "store_commits": q_store, "feedback": q_feedback, "reclassified": q_reclassified, "knowledge_counts": q_counts, "source_order": q_source_order,
     "finding_subjects": q_subjects, "text_views": q_texts, "cited_only": q_cited, "kept_rows": q_kept, "finding_identities": q_identity,
 }
