@@ -716,6 +716,37 @@ def test_commits_are_whole_or_nothing(spark, tmp_path, monkeypatch):
     assert rows("b") == [(1, "only")] and (5, "x") in rows("a")
 
 
+def test_references_of_ci_files(spark):
+    words = {"cd 'a b'/c": ["cd", "a b/c"], 'x "q\\"r" \\  y': ["x", 'q"r', " ", "y"], "a; b": None, "a 'open": None, "a # b": None, "a#b": ["a#b"], "": [], "x $(y)": None, "echo \"$A\"": ["echo", "$A"]}
+    assert {k: C.shell_words(k) for k in words} == words
+    text = """include:
+  - local: /ci/a.yml
+  - local: ci/b.yml
+    rules: [x]
+  - {project: p, local: ci/c.yml}
+  - ci/d.yml
+variables:
+  MIGRATION_DIR: db/up
+  PACKAGE_NAME: no
+build:
+  variables: {my_package_folder: "pack age"}
+  script:
+    - cd ./src/app
+    - echo x; cd lost
+    - |
+      # cd no
+      cd 'two'
+      run --package-path=three --package four --package "$X"
+    - >
+      cd folded
+  after_script: cd src/app
+nested: {include: no/top.yml, jobs: [{run: cd deep}]}
+"""
+    configs = spark.createDataFrame([("c.yml", text), ("bad.yml", "a: ["), ("none.yml", None)], "path string, content string")
+    got = {(r.path, r.referenced, r.line) for r in C.ci_references(configs).collect()}
+    assert got == {("c.yml", r, n) for r, n in (("ci/d.yml", 6), ("db/up", 8), ("src/app", 13), ("two", 17), ("three", 18), ("four", 18), ("deep", 22))}
+
+
 def test_points_meet_intervals_once(spark):
     rng = random.Random(1)
     somewhere = lambda: rng.choice([rng.randint(-50, 50), rng.randint(-(10**6), 10**6), rng.randint(-(2**61), 2**61)])

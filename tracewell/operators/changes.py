@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +54,110 @@ def current_paths(known: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(there).where("path is not null").distinct()
 
 
+#: Names of variables that hold a required folder, options that name one, and where jobs have commands.
+REQUIRED = re.compile(r"(?i)(?:package|migration)[_\w]*(?:path|folder|dir)")
+OPTIONS = ("--package", "--package-path", "--package-folder")
+COMMANDS = ("script", "before_script", "after_script", "run")
+#: States of the shell lexer: between words, in a bare word, in single and in double quotes.
+OUTSIDE, BARE, SINGLE, DOUBLE = range(4)
+
+
+def shell_words(line: str) -> list[str] | None:
+    """The words of one command, without their quotes; None for what is more than one plain command.
+
+    Operators, substitutions and comments outside quotes make it more; an open quote does too.
+    """
+    words: list[str] = []
+    state, held = OUTSIDE, ""
+    at = 0
+    while at < len(line):
+        c = line[at]
+        at += 1
+        if state == SINGLE or state == DOUBLE:
+            if c == ("'" if state == SINGLE else '"'):
+                state = BARE
+            elif c == "\\" and state == DOUBLE and line[at : at + 1] in ('"', "\\", "$", "`"):
+                held, at = held + line[at], at + 1
+            else:
+                held += c
+        elif c in " \t":
+            if state == BARE:
+                words.append(held)
+            state, held = OUTSIDE, ""
+        elif c in ";&|`()<>" or c == "#" and state == OUTSIDE:
+            return None
+        elif c in "'\"":
+            state = SINGLE if c == "'" else DOUBLE
+        else:
+            state, held = BARE, held + (line[at : at + 1] if c == "\\" else c)
+            at += c == "\\"
+    if state in (SINGLE, DOUBLE):
+        return None
+    return [*words, held] if state == BARE else words
+
+
+def _inputs(words: list[str]) -> Iterator[str]:
+    """What a command needs to be there: the folder it changes to, packages by option."""
+    if len(words) > 1 and words[0] == "cd":
+        yield words[1]
+    for word, after in zip(words, [*words[1:], ""]):
+        name, sign, value = word.partition("=")
+        if name in OPTIONS:
+            yield value if sign else after
+
+
+def _named(node, yaml, top: bool = True) -> Iterator[tuple[str, int]]:
+    """(text, line) of local includes, package variables and inputs of commands below a mapping or list."""
+    if isinstance(node, yaml.SequenceNode):
+        for item in node.value:
+            yield from _named(item, yaml, False)
+    if not isinstance(node, yaml.MappingNode):
+        return
+    for key, value in node.value:
+        name = key.value if isinstance(key, yaml.ScalarNode) else None
+        many = value.value if isinstance(value, yaml.SequenceNode) else [value]
+        plain = [x for x in many if isinstance(x, yaml.ScalarNode)]
+        if name == "include" and top:
+            yield from ((x.value, x.start_mark.line + 1) for x in plain)
+            for item in many:
+                own = {k.value: v for k, v in item.value if isinstance(k, yaml.ScalarNode)} if isinstance(item, yaml.MappingNode) else {}
+                if isinstance(own.get("local"), yaml.ScalarNode) and not own.keys() & {"project", "remote", "rules"}:
+                    yield own["local"].value, own["local"].start_mark.line + 1
+        elif name == "variables" and isinstance(value, yaml.MappingNode):
+            yield from ((v.value, v.start_mark.line + 1) for k, v in value.value if isinstance(v, yaml.ScalarNode) and REQUIRED.fullmatch(str(k.value)))
+        elif name in COMMANDS:
+            for x in plain:
+                if x.style != ">":  # folded lines have no lines of their own
+                    for k, line in enumerate(x.value.split("\n")):
+                        yield from ((found, x.start_mark.line + 1 + k + (x.style == "|")) for found in _inputs(shell_words(line) or []))
+        yield from _named(value, yaml, False)
+
+
+def ci_references(configs: DataFrame) -> DataFrame:
+    """(path, referenced, line) of the literal repository paths that CI files (path, content) require, each once, at its first line.
+
+    Those are local includes without conditions, variables named for a package folder, and what a plain
+    command changes to or names as its package. A file that is no YAML, or nested too deeply, names none.
+    """
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch["path"], batch["content"]):
+                try:
+                    found = [x for d in yaml.compose_all(text or "") for x in _named(d, yaml)]
+                except (yaml.YAMLError, RecursionError):
+                    continue
+                rows += [(path, referenced, line) for referenced, line in found]
+            yield pd.DataFrame(rows, columns=["path", "referenced", "line"])
+
+    named = configs.select("path", "content").mapInPandas(task, "path string, referenced string, line int")
+    literal = named.select("path", literal_path(F.col("referenced")).alias("referenced"), "line").where("referenced is not null")
+    return literal.groupBy("path", "referenced").agg(F.min("line").alias("line"))
+
+
 def hides_exit_code(command: Column) -> Column:
     """Whether a shell command, outside quotes and comments, ends in success whatever happens before."""
     plain = F.trim(F.regexp_replace(command, r"^[$+] ", ""))
@@ -60,8 +168,8 @@ def hides_exit_code(command: Column) -> Column:
 def change_risks(changes: DataFrame, known: DataFrame, references: DataFrame) -> DataFrame:
     """(rule_id, path, referenced, expected): paths a change spells otherwise than the repository, or can't find.
 
-    ``changes`` as in ``current_paths``, ``known`` has (path), ``references`` has (path, referenced):
-    literal inputs that changed CI files name. A rename that only changes case is meant. What is
+    ``changes`` as in ``current_paths``, ``known`` has (path), ``references`` has (path, referenced), as
+    ``ci_references`` finds them: literal inputs that changed CI files name. A rename that only changes case is meant. What is
     missing is reported as unverified, as the inventory may not be whole. Every lookup is an
     equality join on lower-cased folders; one row for each rule, file and reference.
     """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,6 +121,38 @@ def knowledge_counts(projects: DataFrame, observations: DataFrame, resolutions:
     return parts[0].join(parts[1], "k").join(parts[2], "k").drop("k")
 
 
+#: Kinds of evidence in the order in which a bundle has them, and how many sections of each.
+EVIDENCE = (("job log", 3), ("CI configuration", 1), ("past incident", 2), ("guidance", 1), ("own document", 2))
+UNRESOLVED = "Nobody has confirmed a resolution."
+
+
+def sections(key: str, *, chunks: DataFrame | None = None, configured: DataFrame | None = None, incidents: DataFrame | None = None, packs: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """(key, place, evidence_id, kind, content, label, verified) of what is known of each key, as ``bundle`` takes it.
+
+    ``chunks`` has (key, rn, chunk_id, chunk_type, line_start, line_end, content), ``configured`` (key, rn,
+    path, job_key, line_start, line_end), ``incidents`` (key, rn, incident_id, category, summary,
+    resolution), ``packs`` (key, rn, skill_id, version, title, runbook), ``documents`` (key, rn,
+    document_id, source, path, content). Of each kind the first of EVIDENCE by rn count. An incident is
+    verified if it has a resolution, an own document never is; what is not given is not there.
+    """
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    col = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = text(col("line_start"), "-", col("line_end"))
+    told = (
+        (chunks, lambda: (col("chunk_id"), col("content"), text("Redacted ", F.replace(col("chunk_type"), F.lit("_"), F.lit(" ")), ", lines ", lines), F.lit(True))),
+        (configured, lambda: (text("yaml:", col("path"), ":", lines), text("Job ", col("job_key"), " in ", col("path"), ", lines ", lines), text(col("path"), ", lines ", lines), F.lit(True))),
+        (incidents, lambda: (text("incident:", col("incident_id")), text(col("summary"), "\nResolution: ", F.coalesce("resolution", F.lit(UNRESOLVED))), text("Past ", F.replace(col("category"), F.lit("_"), F.lit(" "))), F.col("resolution").isNotNull())),
+        (packs, lambda: (text("skill:", col("skill_id"), ":", col("version")), text(col("title"), "\n", col("runbook")), text(col("title"), ", version ", col("version")), F.lit(True))),
+        (documents, lambda: (text("knowledge:", col("document_id")), text(col("source"), "/", col("path"), "\n", col("content")), text(col("source"), "/", col("path")), F.lit(False))),
+    )
+    parts = []
+    for at, ((kind, most), (rows, made)) in enumerate(zip(EVIDENCE, told)):
+        if rows is not None:
+            own, content, label, verified = made()
+            parts.append(rows.where(F.col("rn") <= most).select(key, (F.col("rn") + at * 1000).cast("int").alias("place"), own.alias("evidence_id"), F.lit(kind).alias("kind"), content.alias("content"), label.alias("label"), verified.alias("verified")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bundle(sections: DataFrame, key: str, budget: int = 18_000) -> DataFrame:
     """(key, context, evidence): rendered sections in order of ``place``, cut to a budget of characters, and all ids.
 

@@ -699,11 +699,28 @@ _KNOWN_SQL, _CHANGES_SQL = _with_sql(KNOWN, [(p,) for p in PATHS], "path"), _wit
 SQL["current_paths"] = f"SELECT path FROM {_KNOWN_SQL} EXCEPT SELECT old_path FROM {_CHANGES_SQL} WHERE deleted_file OR renamed_file UNION SELECT regexp_replace(new_path, '^\\./', '') FROM {_CHANGES_SQL} WHERE NOT deleted_file"
 
 
+def _configs(s, d):
+    """(path, content) of CI files that need what REFERRED says: by include, by variable, by a command's folder, by an option."""
+    rows = _with(s, d, REFERRED, REFERENCES, "path string, referenced string").where("path is not null").distinct()
+    way = F.pmod(F.crc32("referenced"), F.lit(4))
+    told = F.when(way == 0, F.concat(F.lit("  - local: "), "referenced")).when(way == 1, F.concat(F.lit("  PACKAGE_"), F.crc32("referenced").cast("string"), F.lit("_PATH: '"), "referenced", F.lit("'")))
+    told = told.when(way == 2, F.concat(F.lit("    - cd '"), "referenced", F.lit("'"))).otherwise(F.concat(F.lit('    - run x --package-folder="'), "referenced", F.lit('"')))
+    parts = rows.select("path", way.alias("way"), told.alias("t")).groupBy("path").pivot("way", [0, 1, 2, 3]).agg(F.array_join(F.sort_array(F.collect_list("t")), "\n"))
+    block = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c, F.lit("\n"))).otherwise("")
+    jobs = F.concat_ws("\n", F.nullif(F.col("2"), F.lit("")), F.nullif(F.col("3"), F.lit("")))
+    return parts.select("path", F.concat(block("include:\n", F.col("0")), block("variables:\n", F.col("1")), block("build:\n  script:\n    - make && cd nowhere\n", jobs)).alias("content"))
+
+
+def q_ci_references(s, d):
+    return C.ci_references(_configs(s, d)).select("path", "referenced")
+
+
 def q_change_risks(s, d):
     changes, known = _changes(s, d)
-    return C.change_risks(changes, known, _with(s, d, REFERRED, REFERENCES, "path string, referenced string"))
+    return C.change_risks(changes, known, C.ci_references(_configs(s, d)).select("path", "referenced"))
 
 
+SQL["ci_references"] = f"SELECT DISTINCT path, referenced FROM {_with_sql(REFERRED, REFERENCES, 'path, referenced')} WHERE path IS NOT NULL AND NOT contains(referenced, '$')"
 _PREFIXES = "(SELECT {key}, unnest(range(1, len(string_split({key}, '/')) + 1)) AS k FROM {t})"
 SQL["change_risks"] = f"""
 WITH clean AS (SELECT regexp_replace(old_path, '^\\./', '') AS o, regexp_replace(new_path, '^\\./', '') AS n, deleted_file AS gone, renamed_file AS moved FROM {_CHANGES_SQL}),
@@ -764,19 +781,33 @@ SQL["similar_incidents"] = _INCIDENTS_SQL + "SELECT query_id, incident_id, resol
 
 
 def q_bundle(s, d):
-    """Each item's text, then its two most similar incidents, within 2,000 characters."""
-    own = landed(s, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), F.lit(0).alias("place"), F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("evidence_id"), F.lit("current job log").alias("kind"), F.col("text").alias("content"))
-    found = _similar_incidents(s, d).where("rn <= 2").join(landed(s, d, "documents").select(F.col("doc_id").alias("incident_id"), "text"), "incident_id")
-    past = found.select("query_id", F.col("rn").alias("place"), F.concat(F.lit("incident:"), F.col("incident_id").cast("string")).alias("evidence_id"), F.lit("historical incident").alias("kind"), F.col("text").alias("content"))
-    return V.bundle(own.unionByName(past), "query_id", 2000).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("evidence", ",").alias("evidence"))
-
-
-SQL["retrieval_bundle"] = _INCIDENTS_SQL + """, s AS (
-  SELECT -1 - item_id AS query_id, 0 AS place, 'item:' || item_id AS id, 'current job log' AS kind, text FROM benchmark
-  UNION ALL SELECT query_id, rn, 'incident:' || incident_id, 'historical incident', text FROM best JOIN documents ON doc_id = incident_id WHERE rn <= 2),
-r AS (SELECT query_id, place, id, '[' || id || '] ' || kind || chr(10) || trim(coalesce(text, ''), ' ') || chr(10) AS t FROM s),
-u AS (SELECT *, substr(t, 1, greatest(2000 - coalesce(sum(length(t)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT) AS used FROM r)
-SELECT query_id, sha256(string_agg(used, chr(10) ORDER BY place) FILTER (used <> '')) AS context_sha256, string_agg(id, ',' ORDER BY place) AS evidence FROM u GROUP BY 1"""
+    """What is known of each item within 4,000 characters: its text as a log, a configuration, incidents like it, guidance, own documents."""
+    items = landed(s, d, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), "item_id", "text", F.lit(1).alias("rn"))
+    docs = landed(s, d, "documents").select("doc_id", "text", "lang", "source")
+    chunks = items.select("query_id", "rn", F.concat(F.lit("log-"), F.col("item_id").cast("string")).alias("chunk_id"), F.lit("stack_trace").alias("chunk_type"), F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.col("text").alias("content"))
+    configured = items.where("item_id % 2 = 0").select("query_id", "rn", F.concat(F.lit("ci/a"), (F.col("item_id") % 3).cast("string"), F.lit(".yml")).alias("path"), F.lit("build").alias("job_key"), F.col("item_id").alias("line_start"), (F.col("item_id") + 5).alias("line_end"))
+    past = _similar_incidents(s, d).join(docs.select(F.col("doc_id").alias("incident_id"), F.col("text").alias("summary"), F.col("lang").alias("category")), "incident_id").withColumn("resolution", F.when(F.col("resolved"), "fixed"))
+    packs = items.where("item_id % 3 = 0").select("query_id", "rn", F.lit("s1").alias("skill_id"), F.lit(2).alias("version"), F.lit("Look").alias("title"), F.lit("twice").alias("runbook"))
+    own = V.knowledge(items.select("query_id", "text"), docs.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), (F.col("source") == "src1").alias("private_scope")), private=True)
+    told = own.join(docs.select(F.col("doc_id").alias("document_id"), "source", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content")), "document_id")
+    every = V.sections("query_id", chunks=chunks, configured=configured, incidents=past, packs=packs, documents=told)
+    found = V.bundle(every, "query_id", 4000).select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("evidence", ",").alias("evidence"))
+    sure = every.groupBy("query_id").agg(F.count_if("verified").alias("verified"), F.max(F.when(F.col("place") < 1000, F.col("label"))).alias("label"))
+    return found.join(sure, "query_id")
+
+
+SQL["retrieval_bundle"] = _INCIDENTS_SQL + """, kd AS (
+  SELECT -1 - item_id AS query_id, doc_id, source, text, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(overlap / total, 0) DESC, doc_id) AS rn
+  FROM benchmark CROSS JOIN (SELECT doc_id, source, text AS t FROM documents WHERE source = 'src1') LEFT JOIN sim USING (item_id, doc_id) JOIN (SELECT doc_id AS i, text AS own FROM documents) ON i = doc_id QUALIFY rn <= 2),
+s AS (
+  SELECT -1 - item_id AS query_id, 1 AS place, 'log-' || item_id AS id, 'job log' AS kind, text, true AS sure FROM benchmark
+  UNION ALL SELECT -1 - item_id, 1001, 'yaml:ci/a' || item_id % 3 || '.yml:' || item_id || '-' || (item_id + 5), 'CI configuration', 'Job build in ci/a' || item_id % 3 || '.yml, lines ' || item_id || '-' || (item_id + 5), true FROM benchmark WHERE item_id % 2 = 0
+  UNION ALL SELECT query_id, 2000 + rn, 'incident:' || incident_id, 'past incident', coalesce(text, '') || chr(10) || 'Resolution: ' || CASE WHEN resolved THEN 'fixed' ELSE 'Nobody has confirmed a resolution.' END, resolved FROM best JOIN documents ON doc_id = incident_id WHERE rn <= 2
+  UNION ALL SELECT -1 - item_id, 3001, 'skill:s1:2', 'guidance', 'Look' || chr(10) || 'twice', true FROM benchmark WHERE item_id % 3 = 0
+  UNION ALL SELECT query_id, 4000 + rn, 'knowledge:' || k.doc_id, 'own document', k.source || '/d' || k.doc_id || chr(10) || coalesce(d.text, ''), false FROM kd k JOIN documents d ON d.doc_id = k.doc_id),
+r AS (SELECT query_id, place, id, sure, '[' || id || '] ' || kind || chr(10) || trim(coalesce(text, ''), ' ') || chr(10) AS t FROM s),
+u AS (SELECT *, substr(t, 1, greatest(4000 - coalesce(sum(length(t)) OVER (PARTITION BY query_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)::BIGINT) AS used FROM r)
+SELECT query_id, sha256(string_agg(used, chr(10) ORDER BY place) FILTER (used <> '')) AS context_sha256, string_agg(id, ',' ORDER BY place) AS evidence, count_if(sure)::BIGINT AS verified, 'Redacted stack trace, lines 1-9' AS label FROM u GROUP BY 1"""
 
 
 def q_newest(s, d):
@@ -998,7 +1029,7 @@ QUERIES = {
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "scrubbed_rows": q_scrubbed, "token_bag": q_token_bag, "jaccard_pairs": _similar,
     "retrieve_topk": q_topk, "jaccard_at_least": q_alike, "history_search": q_history, "transitive_closure": q_closure, "include_order": q_include_order, "upsert_merge": q_upsert, "store_violations": q_violations,
     "job_sampling": q_sample_jobs, "stable_ids": q_stable_ids, "artifact_rollup": q_artifact, "stream_incremental": q_stream, "job_ends": q_job_ends, "interval_join": q_interval_join, "strict_json": q_strict_json,
-    "diff_added_lines": q_added_lines, "current_paths": q_current_paths, "change_risks": q_change_risks, "exit_suppressed": q_hidden_exit,
+    "diff_added_lines": q_added_lines, "current_paths": q_current_paths, "change_risks": q_change_risks, "ci_references": q_ci_references, "exit_suppressed": q_hidden_exit,
     "similar_incidents": q_similar_incidents, "retrieval_bundle": q_bundle, "newest3_confirmations": q_newest, "retention_projects_entries": q_retained,
     "finding_order": q_ordered, "display_rank": q_display_rank, "import_report": q_import_report, "line_search": q_line_search, "ordered_distinct": q_first_distinct,
 }
