@@ -47,7 +47,7 @@ U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _CELL = (_RANDOM.integers(0, 1 << 63, DEPTH, U) << U(1) | U(1)).tolist()
 #: Words whose digests a task remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
