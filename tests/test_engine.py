@@ -481,7 +481,8 @@ def test_text_functions(spark):
 
 
 def test_change_risks(spark):
-    changes, known = Q._changes(spark)
+    changes = spark.createDataFrame(Q.CHANGES, "old_path string, new_path string, deleted_file boolean, renamed_file boolean, note string")
+    known = spark.createDataFrame([(p,) for p in Q.PATHS], "path string")
     got = C.change_risks(changes, known, spark.createDataFrame(Q.REFERENCES, "path string, referenced string")).collect()
     assert sorted((r.rule_id, r.path, r.referenced, r.expected) for r in got) == [
         ("change.ci_path_case_mismatch", "ci/build.yml", "SRC/app/util.py", "src"),
@@ -817,5 +818,5 @@ def test_command_line(capsys):
 
     assert main(["no_such_query", SF]) == 2 and main([]) == 2
     capsys.readouterr()
-    assert main(["overall_status", SF]) == 0 and len(capsys.readouterr().out.splitlines()) == len(Q.RUNS)
+    assert main(["overall_status", SF]) == 0 and len(capsys.readouterr().out.splitlines()) == len(Q.RUNS) + 15
     assert main(["join_anti", "/no/such/folder"]) == 3

@@ -976,23 +976,29 @@ HISTORY_PAST = [("p", "0123456789abcdefXYZ", "c", "red green blue", "fix it", 0.
 HISTORY_ASK = [("f1", "p", "r.a", "c", "red green"), ("f2", "p", "r.x", "unknown", "zzz"), ("f3", "q", "r.a", "d", "")]
 
 
+#: Events as past jobs of four projects, and as what was said of them; users as what is asked.
+_PAST_JOBS = "SELECT concat('p', user_id % 4) AS project, event_id AS job_id, concat('r.', event_type) AS rule_id, CASE event_id % 6 WHEN 0 THEN 'unknown' ELSE concat('c', event_id % 3) END AS category, concat(event_type, ' ', CASE event_id % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END) AS excerpt, CAST(event_id % 10 AS DOUBLE) / 100 AS boost FROM {events}"
+_PAST_SAID = "SELECT concat('p', user_id % 4) AS project, concat('s', event_id) AS id, concat('r.', event_type) AS rule_id, CASE event_id % 3 WHEN 0 THEN ' ' ELSE concat('did ', event_id) END AS resolution, event_id AS recorded_at FROM {events} WHERE event_type <> 'click'"
+_ASKED = "SELECT DISTINCT concat('a', user_id) AS finding_id, concat('p', user_id % 4) AS project, CASE user_id % 3 WHEN 0 THEN 'r.error' WHEN 1 THEN 'r.click' ELSE 'r.none' END AS rule_id, CASE user_id % 2 WHEN 0 THEN 'c1' ELSE 'unknown' END AS category, CASE user_id % 5 WHEN 0 THEN 'error red' WHEN 1 THEN 'signup' ELSE 'nothing here' END AS query FROM {events}"
+
+
 def q_history_items(s, d):
     items = V.history(
-        s.createDataFrame(HISTORY_SAID, "project string, id string, rule_id string, resolution string, recorded_at int"), s.createDataFrame(HISTORY_JOBS, "project string, job_id int, rule_id string, category string, excerpt string, boost double"),
+        _with(s, d, _PAST_SAID, HISTORY_SAID, "project string, id string, rule_id string, resolution string, recorded_at long"), _with(s, d, _PAST_JOBS, HISTORY_JOBS, "project string, job_id long, rule_id string, category string, excerpt string, boost double"),
         s.createDataFrame(HISTORY_PAST, "project string, incident_id string, category string, summary string, resolution string, similarity double"))
-    return V.history_search(s.createDataFrame(HISTORY_ASK, "finding_id string, project string, rule_id string, category string, query string"), items)
+    return V.history_search(_with(s, d, _ASKED, HISTORY_ASK, "finding_id string, project string, rule_id string, category string, query string"), items)
 
 
-SQL["history_items_inline"] = f"""
+SQL["history_items"] = f"""
 WITH i AS (
-  SELECT project, 'history:resolution:' || id AS evidence_id, 'confirmed_resolution' AS kind, rule_id, NULL AS category, resolution AS text, 0.0::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY since DESC) AS n FROM {G.values_sql(HISTORY_SAID, 'project, id, rule_id, resolution, since')} WHERE trim(resolution) <> '') WHERE n <= 3
-  UNION ALL SELECT project, 'history:job:' || job_id, 'past_failure', rule_id, category, excerpt, coalesce(boost, 0) FROM {G.values_sql(HISTORY_JOBS, 'project, job_id, rule_id, category, excerpt, boost')} WHERE excerpt <> '' OR rule_id IS NOT NULL
+  SELECT project, 'history:resolution:' || id AS evidence_id, 'confirmed_resolution' AS kind, rule_id, NULL AS category, resolution AS text, 0.0::DOUBLE AS boost FROM (SELECT *, row_number() OVER (PARTITION BY project, rule_id ORDER BY recorded_at DESC, id DESC) AS n FROM {_with_sql(_PAST_SAID, HISTORY_SAID, 'project, id, rule_id, resolution, recorded_at')} WHERE trim(resolution) <> '') WHERE n <= 3
+  UNION ALL SELECT project, 'history:job:' || job_id, 'past_failure', rule_id, category, excerpt, coalesce(boost, 0) FROM (SELECT * FROM {_with_sql(_PAST_JOBS, HISTORY_JOBS, 'project, job_id, rule_id, category, excerpt, boost')} QUALIFY row_number() OVER (PARTITION BY project ORDER BY job_id DESC) <= 500) WHERE excerpt <> '' OR rule_id IS NOT NULL
   UNION ALL SELECT project, 'history:incident:' || id[:16], 'past_incident', NULL, category, summary || coalesce(chr(10) || 'Confirmed resolution: ' || resolution, ''), similarity FROM {G.values_sql(HISTORY_PAST, 'project, id, category, summary, resolution, similarity')}),
 t AS (SELECT *, regexp_extract_all(lower(text), '[a-z][a-z0-9_/-]{{2,}}') AS w FROM i),
 m AS (
   SELECT finding_id, evidence_id, kind, a.rule_id = t.rule_id AS same_rule, a.category = t.category AND t.category <> 'unknown' AS same_kind, boost,
     len(list_intersect(regexp_extract_all(query, '[a-z]{{3,}}'), w)) AS n, len(regexp_extract_all(query, '[a-z]{{3,}}')) AS nq, len(w) AS nw
-  FROM {G.values_sql(HISTORY_ASK, 'finding_id, project, rule_id, category, query')} a JOIN t USING (project)),
+  FROM {_with_sql(_ASKED, HISTORY_ASK, 'finding_id, project, rule_id, category, query')} a JOIN t USING (project)),
 s AS (SELECT finding_id, evidence_id, kind, CASE WHEN kind = 'confirmed_resolution' THEN CASE WHEN same_rule THEN 2.0 END
     ELSE round_even(least(1, CASE WHEN nq + nw > n THEN n / (nq + nw - n) ELSE 0 END + CASE WHEN coalesce(same_rule, false) THEN 0.25 WHEN coalesce(same_kind, false) THEN 0.1 ELSE 0 END + boost), 3) END::DOUBLE AS score FROM m)
 SELECT finding_id, evidence_id, kind, score, row_number() OVER (PARTITION BY finding_id ORDER BY score DESC, evidence_id)::INT AS rn FROM s WHERE score >= 0.12 QUALIFY rn <= 6"""
@@ -1023,7 +1029,7 @@ QUERIES = {
     "having_gt2": q_having, "distinct_subquery": q_distinct, "set_union": lambda s, d: _keys(s, d)[0].union(_keys(s, d)[1]).distinct(),
     "set_intersect": lambda s, d: _keys(s, d)[0].intersect(_keys(s, d)[1]), "set_except": lambda s, d: _keys(s, d)[0].subtract(_keys(s, d)[1]),
     "url_references": q_references, "blob_urls": q_blob_urls, "corpus_summary": q_corpus_summary, "dataset_summary": q_dataset_summary,
-    "knowledge_documents": q_knowledge, "history_items_inline": q_history_items, "run_inspection_inline": q_inspected,
+    "knowledge_documents": q_knowledge, "history_items": q_history_items, "run_inspection_inline": q_inspected,
     "overall_status": q_overall, 
     "dedup_by_hash": q_dedup, "incremental_new_rows": q_incremental, "head_tail_truncate": q_head_tail, "excerpt_last6": q_excerpt, 
     "url_sanitize": q_url, "json_extract": q_json, "redact_assignments": q_redact, "redact_full": q_redact_full, "scrubbed_rows": q_scrubbed, "token_bag": q_token_bag, "jaccard_pairs": _similar,

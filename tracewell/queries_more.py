@@ -62,15 +62,18 @@ SQL["zip_members"] = "SELECT event_id, CASE WHEN event_id % 11 > 0 THEN (json_ex
 def q_ci_nodes(s, d):
     """A CI configuration for each event, and its jobs."""
     text = F.concat(F.lit("stages: [a, b]\nbuild:\n  stage: "), "event_type", F.lit("\n  script: [make, t"), F.col("user_id").cast("string"), F.lit("]\ntest:\n  needs: [build, {job: x"), (F.col("event_id") % 3).cast("string"), F.lit("}]\n  extends: .base\n.hidden: {stage: a}\n"))
+    text = F.when(F.col("event_id") % 13 == 0, "a: [").when(F.col("event_id") % 13 == 1, F.repeat(F.lit("---\na: b\n"), 21)).otherwise(text)
     found = S.ci_nodes(landed(s, d, "events").select(F.col("event_id").cast("string").alias("path"), text.alias("content")))
     joined = lambda c: F.array_join(c, ",").alias(c)
-    return found.select("path", "key", "stage", joined("needs"), joined("extends"), joined("script"), "line_start")
+    return found.select("path", "key", "stage", joined("needs"), joined("extends"), joined("script"), "line_start", "problem")
 
 
 SQL["ci_nodes"] = """
-SELECT event_id::VARCHAR AS path, 'build' AS key, event_type AS stage, '' AS needs, '' AS extends, 'make,t' || user_id AS script, 2 AS line_start FROM events
-UNION ALL SELECT event_id::VARCHAR, 'test', NULL, 'build,x' || event_id % 3, '.base', '', 5 FROM events
-UNION ALL SELECT event_id::VARCHAR, '.hidden', 'a', '', '', '', 8 FROM events"""
+WITH e AS (SELECT event_id::VARCHAR AS path, event_id, event_type, user_id FROM events WHERE event_id % 13 > 1)
+SELECT path, 'build' AS key, event_type AS stage, '' AS needs, '' AS extends, 'make,t' || user_id AS script, 2 AS line_start, NULL AS problem FROM e
+UNION ALL SELECT path, 'test', NULL, 'build,x' || event_id % 3, '.base', '', 5, NULL FROM e
+UNION ALL SELECT path, '.hidden', 'a', '', '', '', 8, NULL FROM e
+UNION ALL SELECT event_id::VARCHAR, NULL, NULL, '', '', '', NULL, CASE event_id % 13 WHEN 0 THEN 'invalid YAML' ELSE 'too many documents' END FROM events WHERE event_id % 13 < 2"""
 
 
 def q_children(s, d):

@@ -175,13 +175,21 @@ def zip_member(archives: DataFrame, member: str, *, path: str = "path", content:
     return archives.select(path, content).mapInPandas(task, "path string, json string, problem string")
 
 
+#: Characters and documents of a CI file.
+YAML_CHARACTERS, YAML_DOCUMENTS = 1_000_000, 20
+
+
 def ci_nodes(configs: DataFrame, *, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, key, stage, needs, extends, script, line_start, line_end) of the jobs in GitLab or GitHub CI YAML."""
+    """(path, key, stage, needs, extends, script, line_start, line_end, problem) of the jobs in GitLab or GitHub CI YAML.
+
+    A file that is null, too long, no YAML, nested too deeply or of too many documents has one row without a
+    key, with its ``problem``; jobs have none.
+    """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
 
-        names = ["path", "key", "stage", "needs", "extends", "script", "line_start", "line_end"]
+        names = ["path", "key", "stage", "needs", "extends", "script", "line_start", "line_end", "problem"]
         reserved = {"stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache", "on", "name", "env", "permissions"}
         plain = lambda n: n.value if isinstance(n, yaml.ScalarNode) else None
 
@@ -194,20 +202,30 @@ def ci_nodes(configs: DataFrame, *, path: str = "path", content: str = "content"
         for batch in batches:
             rows = []
             for where, text in zip(batch[path], batch[content]):
+                fail = lambda why: rows.append((where, None, None, [], [], [], None, None, why))  # noqa: B023, E731
+                if text is None or len(text) > YAML_CHARACTERS:
+                    fail("unreadable" if text is None else "too long")
+                    continue
                 try:
-                    docs = [d for d in yaml.compose_all(text or "") if isinstance(d, yaml.MappingNode)]
-                except yaml.YAMLError:
+                    every = list(yaml.compose_all(text))
+                except (yaml.YAMLError, RecursionError):
+                    fail("invalid YAML")
+                    continue
+                if len(every) > YAML_DOCUMENTS:
+                    fail("too many documents")
                     continue
+                docs = [d for d in every if isinstance(d, yaml.MappingNode)]
                 for doc in docs:
                     jobs = next((v for k, v in doc.value if k.value == "jobs" and isinstance(v, yaml.MappingNode)), doc)
                     for key, node in jobs.value:
                         if not isinstance(node, yaml.MappingNode) or (jobs is doc and key.value in reserved):
                             continue
                         own = {k.value: v for k, v in node.value if isinstance(k, yaml.ScalarNode)}
-                        rows.append((where, key.value, plain(own["stage"]) if "stage" in own else None, many(own["needs"]) if "needs" in own else [], many(own["extends"]) if "extends" in own else [], many(own["script"]) if "script" in own else [], key.start_mark.line + 1, node.end_mark.line))
-            yield pd.DataFrame(rows, columns=names)
+                        rows.append((where, key.value, plain(own["stage"]) if "stage" in own else None, many(own["needs"]) if "needs" in own else [], many(own["extends"]) if "extends" in own else [], many(own["script"]) if "script" in own else [], key.start_mark.line + 1, node.end_mark.line, None))
+            found = pd.DataFrame(rows, columns=names)
+            yield found.assign(line_start=found["line_start"].astype("Int32"), line_end=found["line_end"].astype("Int32"))
 
-    return configs.select(path, content).mapInPandas(task, "path string, key string, stage string, needs array<string>, extends array<string>, script array<string>, line_start int, line_end int")
+    return configs.select(path, content).mapInPandas(task, "path string, key string, stage string, needs array<string>, extends array<string>, script array<string>, line_start int, line_end int, problem string")
 
 
 def skill_packs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
