@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +147,36 @@ def insert_new(seen: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(seen.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys)
 
 
-def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """(check, n) for each check that rows fail; no rows if all hold."""
+def violations(df: DataFrame, checks: dict[str, Column], parents: dict[str, tuple[DataFrame, list[str]]] | None = None, unique: dict[str, list[str]] | None = None) -> DataFrame:
+    """(check, n) for each check that rows fail; no rows if all hold.
+
+    ``parents`` are tables with the columns in which each row must meet a row of theirs (a null meets
+    none); ``unique`` names columns that no two rows may share, and counts the rows beyond the first.
+    """
+    said = [_failed(df, checks)] if checks else []
+    for name, (parent, keys) in (parents or {}).items():
+        said.append(df.join(parent.select(*keys).distinct(), keys, "left_anti").agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n"))
+    for name, keys in (unique or {}).items():
+        said.append(df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit(name).alias("check"), "n"))
+    return reduce(DataFrame.unionByName, said).where("n > 0")
+
+
+def mapped(rows: DataFrame, distribution: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of a small ``distribution`` of their key, as a map: keys it lacks go.
+
+    A distribution has one row a key and is broadcast as Spark sees fit; it is no store's whole history.
+    """
+    return rows.join(distribution, key)
+
+
+def exported(rows: DataFrame, fields: dict[str, int], order: list[str]) -> DataFrame:
+    """(line): each row as a line of JSON with what may be kept of it (``scrub.kept``), in order; nulls are written."""
+    from tracewell.functions import scrub
+
+    return scrub.kept(rows, fields).orderBy(*order).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def _failed(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     counts = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(k) for k, c in checks.items()])
     return counts.select(F.explode(F.create_map(*[x for k in checks for x in (F.lit(k), F.col(k))])).alias("check", "n")).where("n > 0")
 

@@ -177,3 +177,40 @@ def corpus_summary(pipelines: DataFrame, jobs: DataFrame, *, excerpts: int = 5)
     few = kept.where("state = 'unknown'").withColumn("k", F.row_number().over(order)).where(F.col("k") <= excerpts)
     shown = few.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("k", "pipeline_id", "job_id", "rule_id", "excerpt"))).alias("u")).select("project", F.transform("u", lambda x: F.struct(x.pipeline_id.alias("pipeline_id"), x.job_id.alias("job_id"), x.rule_id.alias("rule_id"), x.excerpt.alias("excerpt"))).alias("excerpts"))
     return base.join(rules, "project", "left").join(shown, "project", "left")
+
+
+def corpus_span(pipelines: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row (pipelines, jobs, first_collected, last_seen, checksums): what a corpus covers, and by which rules it was classified.
+
+    ``pipelines`` has (collected_at, last_seen_at), ``jobs`` (rule_checksum, null where none was used).
+    Checksums are few, one for each version of the rules; an empty corpus has no times.
+    """
+    a = pipelines.agg(F.count("*").alias("pipelines"), F.min("collected_at").alias("first_collected"), F.max("last_seen_at").alias("last_seen"))
+    b = jobs.agg(F.count("*").alias("jobs"), F.array_sort(F.collect_set("rule_checksum")).alias("checksums"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("pipelines", "jobs", "first_collected", "last_seen", "checksums")
+
+
+#: What was made of a log, how its capture went, and what a rule's name looks like.
+STATES, CAPTURES, RULE_NAME = ("classified", "unknown", "analysis_error"), ("captured", "redirect", "forbidden", "oversized"), r"^[a-z0-9_]+(?:\.[a-z0-9_]+)+$"
+
+
+def public_summary(repositories: DataFrame, runs: DataFrame, jobs: DataFrame, repository: str | None = None) -> DataFrame:
+    """One row of counts over a corpus, or over one repository of it, and the rules of its classified and unknown jobs.
+
+    ``repositories`` has (repository), ``runs`` (repository, config_state, truncated, modified, job_state),
+    ``jobs`` (repository, classification, log_state, rule_id). Each is read once. ``rules`` lists
+    (rule_id, n) by descending n; what is no rule's name is left out of it, not of the counts.
+    """
+    own = lambda df: df.where(F.col("repository") == repository) if repository is not None else df
+    one = lambda df: df.withColumn("k", F.lit(1))
+    captured = F.col("config_state") == "captured"
+    whole = captured & ~F.coalesce("truncated", F.lit(False))
+    a = own(repositories).agg(F.count("*").alias("repositories"))
+    b = own(runs).agg(
+        F.count("*").alias("runs"), F.count_if(F.col("job_state") == "limited").alias("limited_runs"), F.count_if(captured).alias("configs"), F.count_if(whole).alias("whole_configs"), F.count_if(captured & F.col("truncated")).alias("truncated_configs"),
+        F.count_if(captured & F.col("modified")).alias("modified_configs"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("no_config"))
+    c = own(jobs).agg(F.count("*").alias("jobs"), *[F.count_if(F.col("classification") == x).alias(x) for x in STATES], *[F.count_if(F.col("log_state") == x).alias(f"{x}_logs") for x in CAPTURES], F.count_if(~F.coalesce(F.col("log_state") == "captured", F.lit(False))).alias("no_log"))
+    by = own(jobs).where(F.col("classification").isin("classified", "unknown") & F.col("rule_id").rlike(RULE_NAME)).groupBy("rule_id").agg(F.count("*").alias("n"))
+    rules = by.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "rule_id", "n"))), lambda x: F.struct(x.rule_id.alias("rule_id"), x.n.alias("n"))).alias("rules"))
+    told = one(a).join(one(b), "k").join(one(c), "k").join(one(rules), "k").drop("k")
+    return told.withColumn("no_job_runs", F.col("runs") - F.col("jobs"))

@@ -194,6 +194,71 @@ def q_kept(s, d):
 SQL["kept_rows"] = """SELECT doc_id, sha256(substr('secret="[REDACTED]" ' || coalesce(lang, 'x') || ' ' || translate(coalesce(text, ''), '"=:', ''), 1, 40)) AS sha256, substr(coalesce(source, ''), 1, 2) AS parts FROM documents"""
 
 
+def q_cross(s, d):
+    """Line items whose order, part or supplier is missing, and keys that occur twice; parts above a number count as missing."""
+    items = landed(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    keys = lambda t, a, b: landed(s, d, t).select(F.col(a).alias(b))
+    parents = {"order": (keys("orders", "o_orderkey", "l_orderkey"), ["l_orderkey"]), "part": (keys("part", "p_partkey", "l_partkey").where("l_partkey % 10 > 0"), ["l_partkey"]), "supplier": (keys("supplier", "s_suppkey", "l_suppkey"), ["l_suppkey"])}
+    return Q.violations(items, {"line": F.col("l_linenumber") < 6}, parents, {"one line": ["l_orderkey", "l_linenumber"], "one part": ["l_orderkey", "l_partkey"]})
+
+
+SQL["cross_violations"] = """
+SELECT * FROM (SELECT 'line' AS "check", count_if(NOT l_linenumber < 6)::BIGINT AS n FROM lineitem UNION ALL SELECT 'order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'part', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 > 0) UNION ALL SELECT 'supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'one line', (count(*) - count(DISTINCT (l_orderkey, l_linenumber)))::BIGINT FROM lineitem UNION ALL SELECT 'one part', (count(*) - count(DISTINCT (l_orderkey, l_partkey)))::BIGINT FROM lineitem) WHERE n > 0"""
+
+
+def q_mapped(s, d):
+    """Errors of users with how often each user's kinds of event occurred."""
+    e = landed(s, d, "events")
+    counts = e.where("event_type <> 'view'").groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"))
+    return Q.mapped(e.where("event_type = 'error'").select("event_id", "user_id"), counts.where("n % 2 = 0"), "user_id")
+
+
+SQL["map_join"] = "WITH c AS (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM events WHERE event_type <> 'view' GROUP BY 1 HAVING count(*) % 2 = 0) SELECT event_id, user_id, n, kinds FROM events JOIN c USING (user_id) WHERE event_type = 'error'"
+
+
+def q_export(s, d):
+    """Documents as lines of JSON: languages and the first characters without secrets."""
+    rows = landed(s, d, "documents").select("doc_id", "lang", F.concat(F.lit("api_key=abc123 "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", "")).alias("note"))
+    return Q.exported(rows, {"doc_id": 0, "lang": 2, "note": 30}, ["doc_id"]).select(F.sha2("line", 256).alias("line_sha256"))
+
+
+SQL["sanitized_export"] = """SELECT sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || substr(lang, 1, 2) || '"', 'null') || ',"note":"' || substr('api_key=[REDACTED] ' || regexp_replace(coalesce(text, ''), '[^a-z ]', '', 'g'), 1, 30) || '"}') AS line_sha256 FROM documents"""
+
+
+def q_span(s, d):
+    """Events as jobs, their users as pipelines."""
+    e = landed(s, d, "events")
+    pipelines = e.groupBy("user_id").agg(F.min("event_id").alias("collected_at"), F.max("event_id").alias("last_seen_at"))
+    jobs = e.select(F.when(F.col("event_type") != "view", F.concat(F.lit("rules-"), (F.col("event_id") % 3).cast("string"))).alias("rule_checksum"))
+    return I.corpus_span(pipelines, jobs).withColumn("checksums", F.array_join("checksums", ","))
+
+
+SQL["corpus_span"] = "SELECT count(DISTINCT user_id) AS pipelines, count(*) AS jobs, min(event_id) AS first_collected, max(event_id) AS last_seen, string_agg(DISTINCT CASE WHEN event_type <> 'view' THEN 'rules-' || event_id % 3 END, ',' ORDER BY CASE WHEN event_type <> 'view' THEN 'rules-' || event_id % 3 END) AS checksums FROM events"
+
+
+def q_public(s, d):
+    """A summary of a corpus made of events, and of one repository of it."""
+    e = landed(s, d, "events").withColumn("repository", F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")))
+    runs = e.select("repository", F.when(F.col("event_id") % 4 > 0, "captured").otherwise("missing").alias("config_state"), (F.col("event_id") % 6 == 0).alias("truncated"), (F.col("event_id") % 7 == 0).alias("modified"), F.when(F.col("event_id") % 9 == 0, "limited").otherwise("whole").alias("job_state"))
+    state = F.when(F.col("event_type") == "error", "classified").when(F.col("event_type") == "view", "unknown").when(F.col("event_type") == "click", "analysis_error")
+    log = F.when(F.col("event_id") % 5 == 0, "redirect").when(F.col("event_id") % 5 == 1, "forbidden").when(F.col("event_id") % 5 == 2, "oversized").otherwise("captured")
+    jobs = e.where("event_id % 3 > 0").select("repository", state.alias("classification"), log.alias("log_state"), F.when(F.col("event_id") % 8 == 0, "No Rule").otherwise(F.concat(F.lit("rule."), "event_type")).alias("rule_id"))
+    shown = lambda repository: I.public_summary(e.select("repository").distinct(), runs, jobs, repository).withColumn("rules", F.to_json("rules")).withColumn("of", F.lit(repository or "all"))
+    return shown(None).unionByName(shown("r1"))
+
+
+SQL["public_summary"] = """
+WITH e AS (SELECT *, 'r' || user_id % 5 AS repository FROM events), scope AS (SELECT 'all' AS "of" UNION ALL SELECT 'r1'),
+x AS (SELECT "of", e.*, event_id % 4 > 0 AS captured, event_id % 6 = 0 AS truncated, event_id % 3 > 0 AS job, CASE event_type WHEN 'error' THEN 'classified' WHEN 'view' THEN 'unknown' WHEN 'click' THEN 'analysis_error' ELSE '' END AS state FROM scope JOIN e ON "of" = 'all' OR "of" = repository),
+r AS (SELECT "of", '[' || string_agg('{"rule_id":"' || rule_id || '","n":' || n || '}', ',' ORDER BY n DESC, rule_id) || ']' AS rules FROM (SELECT "of", 'rule.' || event_type AS rule_id, count(*) AS n FROM x WHERE job AND state IN ('classified', 'unknown') AND event_id % 8 > 0 GROUP BY 1, 2) GROUP BY 1)
+SELECT "of", count(DISTINCT repository) AS repositories, count(*) AS runs, count_if(event_id % 9 = 0)::BIGINT AS limited_runs, count_if(captured)::BIGINT AS configs, count_if(captured AND NOT truncated)::BIGINT AS whole_configs, count_if(captured AND truncated)::BIGINT AS truncated_configs,
+  count_if(captured AND event_id % 7 = 0)::BIGINT AS modified_configs, count_if(NOT (captured AND NOT truncated))::BIGINT AS no_config, count_if(job)::BIGINT AS jobs, count_if(job AND state = 'classified')::BIGINT AS classified, count_if(job AND state = 'unknown')::BIGINT AS unknown, count_if(job AND state = 'analysis_error')::BIGINT AS analysis_error,
+  count_if(job AND event_id % 5 > 2)::BIGINT AS captured_logs, count_if(job AND event_id % 5 = 0)::BIGINT AS redirect_logs, count_if(job AND event_id % 5 = 1)::BIGINT AS forbidden_logs, count_if(job AND event_id % 5 = 2)::BIGINT AS oversized_logs, count_if(job AND event_id % 5 < 3)::BIGINT AS no_log,
+  any_value(rules) AS rules, count_if(NOT job)::BIGINT AS no_job_runs FROM x JOIN r USING ("of") GROUP BY 1"""
+
+
 def q_identity(s, d):
     """An identity for each event, and how many share it."""
     e = landed(s, d, "events").select(I.identity(F.concat(F.lit("rule."), "event_type"), F.col("user_id").cast("string"), F.lit("ci/a.yml"), (F.col("event_id") % 3).cast("int"), F.lit("said")).alias("identity"))
@@ -203,5 +268,5 @@ def q_identity(s, d):
 SQL["finding_identities"] = """SELECT substr(sha256('{"evidence":{"line":' || event_id % 3 || ',"path":"ci/a.yml","text":"said"},"job_id":"' || user_id || '","rule_id":"rule.' || event_type || '"}'), 1, 24) AS identity, count(*) AS n FROM events GROUP BY 1"""
 QUERIES = {
     "csv_source": q_csv, "zip_members": q_zip, "ci_nodes": q_ci_nodes, "upsert_children": q_children, "store_commits": q_store, "feedback": q_feedback, "reclassified": q_reclassified, "knowledge_counts": q_counts, "source_order": q_source_order,
-    "finding_subjects": q_subjects, "text_views": q_texts, "cited_only": q_cited, "kept_rows": q_kept, "finding_identities": q_identity,
+    "finding_subjects": q_subjects, "text_views": q_texts, "cited_only": q_cited, "kept_rows": q_kept, "cross_violations": q_cross, "map_join": q_mapped, "sanitized_export": q_export, "corpus_span": q_span, "public_summary": q_public, "finding_identities": q_identity,
 }
