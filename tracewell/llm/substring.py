@@ -41,7 +41,7 @@ LOG_BLOCK, LOG_MOST, DEPTH = 20, 28, 2
 #: Bytes of text for each word, at least in prose; cells for each window; entries grouped at a time.
 WORD_BYTES, CELLS_EACH, GROUP_ENTRIES = 6, 2, 1 << 22
 #: Windows, candidates and bytes of text handled at a time.
-FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 20, 1 << 18, 1 << 20
+FLUSH_WINDOWS, FLUSH_ENTRIES, PIECE = 1 << 19, 1 << 18, 1 << 19
 
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
