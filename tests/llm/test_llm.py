@@ -629,6 +629,63 @@ def test_near_copies_in_dense_buckets(spark, monkeypatch, at_once):
     assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == want
 
 
+def brute_wide(text, bits):
+    """A SimHash of so many bits, shingle by shingle."""
+    words, m = (text or "").encode().lower().split(), 2**64 - 1
+    found = {xxhash.xxh64_intdigest(b" ".join(words[k : k + 5]), 42) for k in range(max(1, len(words) - 4))}
+    ones = [0] * bits
+    for h in found:
+        for k in range(-(-bits // 64)):
+            x = (h + k * 0x9E3779B97F4A7C15) & m
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m
+            # numpy unpacks bytes in order, the highest bit of each first
+            for at, byte in enumerate((x ^ (x >> 31)).to_bytes(8, "little")):
+                for b in range(8):
+                    if 64 * k + 8 * at + b < bits:
+                        ones[64 * k + 8 * at + b] += byte >> (7 - b) & 1
+    return [int(2 * n > len(found)) for n in ones]
+
+
+@pytest.mark.parametrize("at_once, plan", [(4096, (32, 5)), (2, (38, 6))])
+def test_near_copies_meet_by_simhash(spark, monkeypatch, at_once, plan):
+    """What meets is what brute force finds: SimHash fingerprints with a whole block in common, close in Hamming distance."""
+    monkeypatch.setattr(likeness, "AT_ONCE", at_once)
+    rng, texts = random.Random(13), []
+    for n in (4, 8, 9, 30, 120, 200) * 7:
+        words = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            words = [w if rng.random() > 0.02 else "new" for w in words] + ["more"] * (n < 10)
+    texts = sorted(set(texts))
+    assert likeness.block_plan(len(texts)) == plan
+    bits = [brute_wide(t, max(256, plan[0] * plan[1])) for t in texts]
+    for t, b in zip(texts, bits):
+        assert simhash.wide_simhash(likeness.shingle_set(likeness._line(t)), len(b)).tolist() == b
+    size, want = plan[1], set()
+    apart = lambda a, b, n: sum(x != y for x, y in zip(a[:n], b[:n]))
+    for (s, a), (t, b) in itertools.combinations(zip(texts, bits), 2):
+        if apart(a, b, 128) <= 47 and apart(a, b, 256) <= 80:
+            want |= {frozenset((s, t, k)) for k in range(plan[0]) if a[size * k : size * k + size] == b[size * k : size * k + size]}
+    name = {likeness._print(likeness._line(t)): t for t in texts}
+    given = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    met = likeness.close_members(given.select(likeness._banded(F.col("text"), 5, plan).alias("p")).select("p.*")).collect()
+    stars = {frozenset((name[bytes(r.fp)], name[bytes(o)], r.band)) for r in met for o in (r.near, r.before) if o is not None}
+    assert stars and stars <= want
+    assert {(t, k) for t, k in ((name[bytes(r.fp)], r.band) for r in met)} == {(t, k) for s in want for k in s if isinstance(k, int) for t in s if isinstance(t, str)}
+    for k in range(plan[0]):  # what is closest to others connects all that are close, in a bucket that is not dealt
+        label = {t: t for t in texts}
+        for pair in [s for s in (stars if at_once == 4096 else want) if k in s]:
+            a, b = (label[t] for t in pair if isinstance(t, str))
+            label = {t: b if v == a else v for t, v in label.items()}
+        assert all(len({label[t] for t in s if isinstance(t, str)}) == 1 for s in want if k in s)
+    pairs, kept = brute_near_copies(list(enumerate(texts)))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert len(pairs) > 50 and sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == kept
+    with pytest.raises(ValueError):
+        likeness.near_copies_keep(made, like=(3, 4))
+
+
 def test_embeddings_of_any_size_and_in_chunks(spark, monkeypatch):
     """Tiny and huge components are linked as others are; a cell in chunks gives what brute force gives."""
     rng = np.random.default_rng(7)

@@ -1,13 +1,14 @@
-"""Near copies by the likeness of their word shingles: MinHash bands propose pairs, the whole shingle sets decide.
+"""Near copies by SimHash: blocks of wide fingerprints propose pairs, their distance sorts them, whole shingle sets decide.
 
-SimHash blocks can't do this: at a likeness of 0.8 two fingerprints differ in 15 % of their bits, so
-a block wide enough to be selective is rarely whole. A band of MinHash values agrees with the
-likeness to the power of its width.
+At a likeness of 0.8 two fingerprints differ in 11 to 19 % of their bits, so a block is whole by chance
+only. There are as many blocks as that takes, and they are only as wide as keeps their buckets
+small enough to compare all fingerprints in a bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,18 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import partitions, released, small, staged, values
 from .components import connected_components
-from .simhash import BROADCAST_ROWS, keep_one
+from .simhash import BROADCAST_ROWS, keep_one, wide_simhash
 
 #: Shingles of so many words; likeness, as a fraction of whole numbers, from which two texts are near copies.
 SHINGLE, LIKE = 5, (4, 5)
-#: Bands and values in each: a pair of likeness 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6.
+#: Odds at most that a bit tells two texts of likeness 0.8 apart: those of 4 shingles beside 5, for larger sets they near 0.15.
+APART = 3 / 16
+#: Blocks and bits in each, at least: a pair shares no block with probability (1 - (1 - APART)**5)**32 = 8e-7.
 BANDS, WIDTH = 32, 5
-#: Fixed value: odd factors, each of which orders the hashes in its own way.
-FACTORS = (np.random.default_rng(42).integers(0, 2**63, BANDS * WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Odds at most of that where blocks are wider.
+MISSED = 3e-6
+#: Bits by which pairs are compared, the fewest of a fingerprint, and the most in which near copies differ,
+#: in their first half and in all: fewer than one pair in a million differs in more (binomial with APART).
+BITS, FAR_HALF, FAR = 256, 47, 80
 #: Members of a bucket, and values in their sets, that are compared in one group.
 AT_ONCE, VALUES = 4096, 1 << 22
-#: Hashes that are ordered at a time, so a text of any length needs bounded memory.
-STEP = 1 << 10
+#: Texts in a block's bucket on average, at most, and fingerprints in it that are compared in one group, as multiples of AT_ONCE.
+MEMBERS, PRINTS = 2, 4
+#: Distances that are worked out at a time.
+STEP = 1 << 19
 
 
 def _line(text: str | None) -> bytes:
@@ -49,15 +57,15 @@ def shingle_set(line: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip((end - size)[:n].tolist(), end[-n:].tolist())], np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed long for each band; equal ones come from equal bands. None without hashes."""
-    if not len(hashes):
-        return []
-    least = np.full(len(FACTORS), np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), STEP):
-        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + STEP]).min(axis=1), out=least)
-    rows = least.reshape(BANDS, WIDTH)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+def block_plan(texts: int) -> tuple[int, int]:
+    """How many blocks the fingerprints of so many texts have, and of how many bits each."""
+    width = max(WIDTH, math.ceil(math.log2(max(1, texts) / (MEMBERS * AT_ONCE))))
+    return max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** width)))), width
+
+
+def band_keys(bits: np.ndarray, count: int, width: int) -> list[int]:
+    """A number for each block of a fingerprint: equal ones are the same block with the same bits."""
+    return ((bits[: count * width].reshape(count, width) @ (1 << np.arange(width, dtype=np.int64))) * count + np.arange(count)).tolist()
 
 
 def _print(line: bytes) -> bytes:
@@ -75,14 +83,20 @@ def print_column(text):
     return prints.asNondeterministic()(text)
 
 
-def _banded(text, shingle: int):
-    @F.arrow_udf("fp binary, bands array<long>")
+def _banded(text, shingle: int, plan: tuple[int, int]):
+    """(fp, bands, sim): the print, the blocks' keys and the first BITS bits of the SimHash; the latter two null without shingles."""
+    bits = max(BITS, plan[0] * plan[1])
+
+    @F.arrow_udf("fp binary, bands array<long>, sim binary")
     def banded(texts: pa.Array) -> pa.Array:
-        prints, bands = [], []
+        prints, bands, sims = [], [], []
         for line in map(_line, values(texts)):
             prints.append(_print(line))
-            bands.append(band_keys(shingle_set(line, shingle)))
-        return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["fp", "bands"])
+            found = shingle_set(line, shingle)
+            sim = wide_simhash(found, bits) if len(found) else None
+            bands.append(None if sim is None else band_keys(sim, *plan))
+            sims.append(None if sim is None else np.packbits(sim[:BITS]).tobytes())
+        return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sims, pa.binary())], ["fp", "bands", "sim"])
 
     return banded(text)
 
@@ -115,10 +129,10 @@ def _enough(x, y, like: tuple[int, int]):
 
 
 def _sets_of(docs: DataFrame, text_col: str, banded: DataFrame, shingle: int) -> DataFrame:
-    """(fp, bands, s): the shingle set of the text of each fingerprint in ``banded`` (fp, bands), as written."""
+    """(fp, bands, sim, s): the shingle set of the text of each print in ``banded`` (fp, bands, sim), as written."""
     printed = docs.select(print_column(F.col(text_col)).alias("fp"), F.col(text_col).alias("text"))
     texts = printed.join(small(banded.select("fp"), BROADCAST_ROWS), "fp").groupBy("fp").agg(F.min("text").alias("text"))
-    return staged(texts.join(banded, "fp").select("fp", "bands", _sets(F.col("text"), shingle).alias("s")), "sets")
+    return staged(texts.join(banded, "fp").select("fp", "bands", "sim", _sets(F.col("text"), shingle).alias("s")), "sets")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, like: tuple[int, int]) -> DataFrame:
@@ -130,13 +144,94 @@ def _alike(pairs: DataFrame, sets: DataFrame, like: tuple[int, int]) -> DataFram
     return staged(met.select("a", "b", _enough(F.col("x"), F.col("y"), like).alias("ok")).where("ok").select("a", "b"), "alike")
 
 
-def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np.ndarray], like: tuple[int, int]) -> list[tuple[int, int]]:
+def _sims(column: pa.Array) -> np.ndarray:
+    """A row of words of 64 bits for each fingerprint."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket and chunks, one group at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else []
+        for at, end in zip(starts, starts[1:]):
+            key = keys[at].tolist()
+            if held and key != now:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def close_prints(sims: np.ndarray, half: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(root, near, before) of each fingerprint of a bucket, as places; -1 where there is none.
+
+    Fingerprints of at most FAR differing bits are close. ``root`` is one place for all that are
+    connected so, ``near`` the closest one and ``before`` the closest of a smaller place. In a bucket
+    dealt into chunks only those of the other chunk count unless it is a chunk with itself. Memory
+    is that of STEP distances.
+    """
+    n, words = len(sims), sims.shape[1]
+    root, none = np.arange(n), np.int64(1 << 62)
+    near, before = np.full(n, none), np.full(n, none)
+    columns = [np.ascontiguousarray(sims[:, k]) for k in range(words // 2)]
+    step = max(1, STEP // n)
+    for at in range(0, n, step):
+        end = min(n, at + step)
+        far = sum(np.bitwise_count(c[at:end, None] ^ c[None, :end]) for c in columns)
+        x, y = np.nonzero(far <= FAR_HALF)
+        x += at
+        ok = (y < x) & (single | (half[x] != half[y]))
+        x, y = x[ok], y[ok]
+        d = np.bitwise_count(sims[x] ^ sims[y]).sum(axis=1, dtype=np.int64)
+        ok = d <= FAR
+        x, y, d = x[ok], y[ok], d[ok] << 32
+        np.minimum.at(before, x, d | y)
+        np.minimum.at(near, x, d | y)
+        np.minimum.at(near, y, d | x)
+        cut = np.flatnonzero(np.diff(x)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(x)]):
+            if a == b:
+                continue
+            i, met = x[a], root[y[a:b]]
+            root[i] = met[0]
+            if (met != met[0]).any():
+                root[: i + 1][np.isin(root[: i + 1], met)] = met[0]
+    place = lambda v: np.where(v == none, -1, v & ((1 << 32) - 1))
+    return root, place(near), place(before)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, band, fp, near, before): fingerprints close to others in a bucket; key and n are of those connected so."""
+    for table in _groups(batches):
+        if len(table) < 2:
+            continue
+        column = lambda c: table[c].combine_chunks()  # noqa: B023, E731
+        first = [table[c][0].as_py() for c in ("key", "i", "j")]
+        root, near, before = close_prints(_sims(column("sim")), table["half"].to_numpy(), first[1] == first[2])
+        at = np.flatnonzero(near >= 0)
+        if not len(at):
+            continue
+        fps = column("fp")
+        name = lambda v: fps.take(pa.array(v, pa.int64(), mask=v < 0))  # noqa: B023, E731
+        roots, back, n = np.unique(root[at], return_inverse=True, return_counts=True)
+        keys = np.array([xxhash.xxh64_intdigest(repr((*first, r))) for r in roots.tolist()], np.uint64).view(np.int64)
+        rows = [pa.array(keys[back]), pa.array(n[back]), column("band").take(pa.array(at)), name(at), name(near[at]), name(before[at])]
+        yield pa.record_batch(rows, ["key", "n", "band", "fp", "near", "before"])
+
+
+def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np.ndarray], like: tuple[int, int], sims: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links, as pairs of places, that connect all members of a bucket that have the likeness and meet here first.
 
     ``rows`` has c (component so far), half, band and single; pairs of one component add nothing,
     pairs that share an earlier band are compared there, and of a bucket dealt into chunks only pairs
-    between the two chunks count unless it is a chunk with itself. At most one link less than members
-    is returned: what is connected already is not compared again. Memory is that of the rows.
+    between the two chunks count unless it is a chunk with itself. With ``sims`` only close
+    fingerprints are compared. At most one link less than members is returned: what is connected
+    already is not compared again. Memory is that of the rows.
     """
     band, single, half = int(rows["band"][0]), bool(rows["single"][0]), rows["half"]
     sizes = np.array([len(x) for x in sets])
@@ -148,6 +243,10 @@ def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np
         if not single:
             at = at[half[at] != half[i]]
         at = at[np.minimum(sizes[at], sizes[i]) * like[1] >= np.maximum(sizes[at], sizes[i]) * like[0]]
+        if sims is not None:
+            far = np.bitwise_count(sims[at] ^ sims[i])
+            words = far.shape[1]
+            at = at[(far[:, : words // 2].sum(axis=1) <= FAR_HALF) & (far.sum(axis=1) <= FAR)]
         for own in earlier:
             if not len(at):
                 break
@@ -160,87 +259,90 @@ def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np
 
 
 def _compare(like: tuple[int, int]):
-    keys = ("key", "i", "j")
-
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by bucket and chunks, one group at a time."""
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def out() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
+        for table in _groups(batches):
             rows = {c: table[c].to_numpy() for c in ("c", "half", "band")} | {"single": np.asarray(table["i"]) == np.asarray(table["j"])}
-            column = lambda c: table[c].combine_chunks()
-            found = spanning_links(rows, np.asarray(column("bands").values).reshape(len(table), -1), _lists(column("s")), like)
+            column = lambda c: table[c].combine_chunks()  # noqa: B023, E731
+            bands = np.asarray(column("bands").values).reshape(len(table), -1)
+            found = spanning_links(rows, bands, _lists(column("s")), like, _sims(column("sim")))
             if found:
                 yield pa.record_batch([column("fp").take(pa.array(x, pa.int64())) for x in zip(*found)], ["a", "b"])
 
-        for batch in batches:
-            key = list(zip(*(batch.column(c).to_pylist() for c in keys)))
-            at = 0
-            while at < len(key):
-                end = at
-                while end < len(key) and key[end] == key[at]:
-                    end += 1
-                if held and key[at] != now:
-                    yield from out()
-                    held = []
-                now = key[at]
-                held.append(batch.slice(at, end - at))
-                at = end
-        if held:
-            yield from out()
-
     return task
 
 
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """``members`` (key, chunks, fp, ...) at each pair of chunks (i, j) of their bucket that their own, ``half``, belongs to."""
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "half").alias("i"), F.greatest(k, "half").alias("j")))
+    dealt = members.withColumn("half", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    return dealt.select("key", "fp", "half", *columns, F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "fp", "half", *columns)
+
+
+def _together(dealt: DataFrame) -> DataFrame:
+    """Groups of a bucket's pair of chunks, each in one task, in order."""
+    order = ["key", "i", "j"]
+    return dealt.repartition(partitions(dealt.sparkSession), *order).sortWithinPartitions(*order, "fp")
+
+
+def close_members(texts: DataFrame) -> DataFrame:
+    """(key, n, band, fp, near, before) of ``texts`` (fp, bands, sim), as written, as ``_meet`` has them.
+
+    All pairs of fingerprints in a block's bucket are compared in bits, a bucket of more than PRINTS
+    times AT_ONCE in chunks of half as many, each pair of which is a task's group.
+    """
+    keys = texts.select("fp", "sim", F.posexplode("bands").alias("band", "key"))
+    most = PRINTS * AT_ONCE
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    full = full.select("key", F.ceil(2 * F.col("n") / most).cast("int").alias("chunks"))
+    members = keys.join(small(full, BROADCAST_ROWS), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    found = _together(_dealt(members, "band", "sim")).mapInArrow(_meet, "key long, n long, band int, fp binary, near binary, before binary")
+    return staged(found, "met")
+
+
 def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle: int, like: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between fingerprints that connect all texts of the likeness that share a band.
-
-    Every bucket's members are first compared with one of them, the one that shares buckets with most
-    others, as that is the middle of a group of edited copies if any member is. Buckets that this
-    leaves in several components then have their members compared in one task, which returns the
-    links that connect more, so no pair becomes a row. A bucket of more than AT_ONCE members, or of
-    more than VALUES values in their sets, is dealt into chunks of half as many, each pair of which is
-    a task's group: exact, in rows that grow with the bucket's size times the number of its chunks.
+    """Links (a, b) between prints that connect all texts of the likeness that share a block and are close.
+
+    Every member of a bucket is first compared with the closest fingerprint there, as that is the
+    middle of a group of edited copies if any is, and with the closest of a smaller print. What is connected by closeness in a bucket and left in several
+    components by that has its members' sets compared in one task, which returns the links that
+    connect more, so no pair becomes a row. More than AT_ONCE members, or more than VALUES values in
+    their sets, are dealt into chunks of half as many, each pair of which is a task's group: exact,
+    in rows that grow with the number of members times that of their chunks.
     """
-    texts = banded.groupBy("fp").agg(F.any_value("bands").alias("bands"))
-    keys = texts.select("fp", F.posexplode("bands").alias("band", "key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(keys.join(full, "key").select("key", "band", "n", "fp"), "bands")
-    known = members.groupBy("fp").agg(F.sum("n").alias("met"))
-    middle = members.join(known, "fp").groupBy("key").agg(F.max_by("fp", F.struct("met", "fp")).alias("a"))
-    stars = staged(members.join(middle, "key").where("fp <> a").select("a", F.col("fp").alias("b")).distinct(), "stars")
-    sets = _sets_of(docs, text_col, texts.join(known.select("fp"), "fp"), shingle)
+    texts = staged(banded.where("sim is not null").groupBy("fp").agg(F.any_value("bands").alias("bands"), F.any_value("sim").alias("sim")), "bands")
+    met = close_members(texts)
+    both = met.select("fp", F.explode(F.array("near", "before")).alias("other")).where("other is not null")
+    stars = staged(both.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "stars")
+    sets = _sets_of(docs, text_col, texts.join(met.select("fp").distinct(), "fp"), shingle)
     near = _alike(stars, sets, like)
-    released(stars)
+    released(stars, texts)
     found = connected_components(near).withColumnRenamed("node", "fp")
     sizes = sets.select("fp", F.size("s").alias("w"))
-    told = staged(members.where("n > 2").join(found, "fp", "left").join(sizes, "fp").select("key", "band", "fp", "w", F.coalesce("component", "fp").alias("c")), "told")
+    told = staged(met.where("n > 2").join(found, "fp", "left").join(sizes, "fp").select("key", "band", "fp", "w", F.coalesce("component", "fp").alias("c")), "told")
     open_ = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("w")).where("lo < hi")
     most = F.greatest(F.ceil(2 * F.col("n") / AT_ONCE), F.ceil(2 * F.col("w") / VALUES)).cast("int")
     open_ = open_.select("key", F.when((F.col("n") <= AT_ONCE) & (F.col("w") <= VALUES), F.lit(1)).otherwise(most).alias("chunks"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "half").alias("i"), F.greatest(k, "half").alias("j")))
-    dealt = told.join(open_, "key").withColumn("half", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    dealt = dealt.select("key", "band", "fp", "c", "half", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "band", "fp", "c", "half")
-    whole = dealt.join(sets, "fp").select("key", "i", "j", "band", "fp", "c", "half", "bands", "s")
-    order = ["key", "i", "j"]
-    more = whole.repartition(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_compare(like), "a binary, b binary")
+    whole = _dealt(told.join(open_, "key"), "band", "c").join(sets, "fp").select("key", "i", "j", "band", "fp", "c", "half", "bands", "sim", "s")
+    more = _together(whole).mapInArrow(_compare(like), "a binary, b binary")
     links = staged(near.unionByName(more), "near")
-    released(members, told, sets, near)
+    released(met, told, sets, near)
     return links
 
 
 def near_copies_keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, like: tuple[int, int] = LIKE) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: that with the smallest id.
 
-    Texts whose sets of ``shingle``-word shingles have a Jaccard likeness of ``like`` or more are
-    linked, also through others; the likeness is exact, and a pair is compared if it shares one of
-    BANDS MinHash bands. Null and blank texts are copies of each other, a text of fewer words is
+    Texts whose sets of ``shingle``-word shingles have a Jaccard likeness of ``like`` (0.8 or more) or more
+    are linked, also through others; the likeness is exact, and a pair is compared if its SimHash
+    fingerprints share one of their blocks and differ in at most FAR bits, which ``block_plan`` makes
+    near certain. Null and blank texts are copies of each other, a text of fewer words is
     one shingle. Null ids, repeated rows and columns are treated as by ``simhash_keep``.
     """
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), _banded(F.col(text_col), shingle).alias("p")).select("doc_id", "p.fp", "p.bands"), "banded")
-    found = connected_components(near_copy_links(docs, rows.select("fp", "bands"), text_col, shingle, like))
+    if 5 * like[0] < 4 * like[1]:
+        raise ValueError("like must be 0.8 or more, which the blocks are made for")
+    printed = _banded(F.col(text_col), shingle, block_plan(docs.count()))
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), printed.alias("p")).select("doc_id", "p.fp", "p.bands", "p.sim"), "banded")
+    found = connected_components(near_copy_links(docs, rows.select("fp", "bands", "sim"), text_col, shingle, like))
     labels = found.withColumnRenamed("node", "fp")
     each = rows.select("doc_id", "fp").join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     return keep_one(docs, each, id_col, print_column(F.col(text_col)))

@@ -44,6 +44,23 @@ def simhash64(text: str | None, shingle: int = 3) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def wide_simhash(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A SimHash of any number of bits over 64-bit shingle hashes, as 0 and 1: a bit is 1 if set in over half of what the hashes mix to.
+
+    Bit by bit it is as ``simhash64``; of each hash SplitMix64 makes as many words of 64 bits as it takes.
+    """
+    steps = np.arange(-(-bits // 64), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * len(steps), np.int64)
+    at_once = max(1, min(1 << 10, (1 << 14) // len(steps)))
+    for at in range(0, len(hashes), at_once):
+        x = hashes[at : at + at_once, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.uint16)
+    return (2 * ones > len(hashes)).view(np.uint8)[:bits]
+
+
 def simhash_column(text, shingle: int = 3):
     """``simhash64`` over a text column, as a signed long; null texts count as empty."""
 
