@@ -673,12 +673,6 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch, at_once, plan):
     stars = {frozenset((name[bytes(r.fp)], name[bytes(o)], r.band)) for r in met for o in (r.near, r.before) if o is not None}
     assert stars and stars <= want
     assert {(t, k) for t, k in ((name[bytes(r.fp)], r.band) for r in met)} == {(t, k) for s in want for k in s if isinstance(k, int) for t in s if isinstance(t, str)}
-    for k in range(plan[0]):  # what is closest to others connects all that are close, in a bucket that is not dealt
-        label = {t: t for t in texts}
-        for pair in [s for s in (stars if at_once == 4096 else want) if k in s]:
-            a, b = (label[t] for t in pair if isinstance(t, str))
-            label = {t: b if v == a else v for t, v in label.items()}
-        assert all(len({label[t] for t in s if isinstance(t, str)}) == 1 for s in want if k in s)
     pairs, kept = brute_near_copies(list(enumerate(texts)))
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert len(pairs) > 50 and sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == kept
@@ -686,6 +680,36 @@ def test_near_copies_meet_by_simhash(spark, monkeypatch, at_once, plan):
         likeness.near_copies_keep(made, like=(3, 4))
 
 
+@pytest.mark.parametrize("step", [1 << 19, 3000])
+def test_crowds_of_close_prints(monkeypatch, step):
+    """Fingerprints are connected as all pairs connect them, though those of a crowd meet its middle only."""
+    monkeypatch.setattr(likeness, "STEP", step)
+    rng = np.random.default_rng(14)
+    made = [rng.random(256) < 0.5 for _ in range(3)]
+    noisy = lambda base, n, odds: np.packbits(base ^ (rng.random((n, 256)) < odds), axis=1).view(np.uint64)
+    sims = np.concatenate([noisy(made[0], 300, 0.1), noisy(made[0], 40, 0.25), noisy(made[1], 150, 0.12), noisy(made[2], 5, 0.1), rng.integers(0, 2**63, (200, 4), dtype=np.uint64)])
+    sims = np.ascontiguousarray(sims[rng.permutation(len(sims))])
+    far = np.bitwise_count(sims[:, None] ^ sims[None])
+    close = (far.sum(axis=2) <= 80) & (far[:, :, :2].sum(axis=2) <= 47) & ~np.eye(len(sims), dtype=bool)
+    assert (likeness._balls(sims) >= 0).sum() > 300
+
+    def parts(close):
+        label = np.arange(len(close))
+        for a, b in zip(*np.nonzero(close)):
+            if label[a] != label[b]:
+                label[label == label[a]] = label[b]
+        return label
+
+    for half, single in ((np.zeros(len(sims), int), True), (rng.integers(0, 2, len(sims)), False)):
+        root, near, before = likeness.close_prints(sims, half, single)
+        met = close & (single | (half[:, None] != half[None]))
+        want = parts(met)
+        assert all(len(set(root[want == c])) == 1 for c in set(want))
+        every = parts(close)
+        assert all(len(set(every[root == c])) == 1 for c in set(root))
+        assert (near >= 0)[met.any(axis=1)].all() and all(close[i, v[i]] for v in (near, before) for i in np.flatnonzero(v >= 0))
+
+
 def test_embeddings_of_any_size_and_in_chunks(spark, monkeypatch):
     """Tiny and huge components are linked as others are; a cell in chunks gives what brute force gives."""
     rng = np.random.default_rng(7)

@@ -38,6 +38,8 @@ AT_ONCE, VALUES = 4096, 1 << 22
 MEMBERS, PRINTS = 2, 4
 #: Distances that are worked out at a time.
 STEP = 1 << 19
+#: Members of a crowd of close fingerprints, at least, and members of a bucket that are tried to find one.
+BALL, PROBES = 64, 16
 
 
 def _line(text: str | None) -> bytes:
@@ -167,42 +169,85 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _balls(sims: np.ndarray) -> np.ndarray:
+    """For each fingerprint the place of the middle of a crowd that it is close to, -1 if none is found.
+
+    PROBES of them are tried. A crowd is BALL members or more that are close to one; its middle is the
+    one closest to the majority of their bits.
+    """
+    ball = np.full(len(sims), -1)
+    for place in np.linspace(0, len(sims) - 1, PROBES).astype(int).tolist() if len(sims) > BALL else ():
+        if ball[place] < 0:
+            free = np.flatnonzero(ball < 0)
+            inside = free[_close(sims[free], sims[place])[0]]
+            if len(inside) >= BALL:
+                bits = np.unpackbits(sims[inside].view(np.uint8), axis=1)
+                most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(inside)).view(np.uint64)
+                middle = inside[np.bitwise_count(sims[inside] ^ most).sum(axis=1).argmin()]
+                ball[free[_close(sims[free], sims[middle])[0]]] = middle
+    return ball
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether fingerprints are close, and their distance, row by row."""
+    far = np.bitwise_count(a ^ b)
+    whole = far.sum(axis=1, dtype=np.int64)
+    return (far[:, : far.shape[1] // 2].sum(axis=1) <= FAR_HALF) & (whole <= FAR), whole
+
+
 def close_prints(sims: np.ndarray, half: np.ndarray, single: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(root, near, before) of each fingerprint of a bucket, as places; -1 where there is none.
 
-    Fingerprints of at most FAR differing bits are close. ``root`` is one place for all that are
-    connected so, ``near`` the closest one and ``before`` the closest of a smaller place. In a bucket
-    dealt into chunks only those of the other chunk count unless it is a chunk with itself. Memory
-    is that of STEP distances.
+    Fingerprints of at most FAR differing bits, FAR_HALF in their first half, are close. ``root`` is
+    one place for all that are connected so, ``near`` the closest one, ``before`` another that is close:
+    the middle of the crowd it is in, which is not compared among itself, else the closest of those
+    taken up before. In a bucket dealt into chunks only those of the other chunk and the crowd count
+    unless it is a chunk with itself. Memory is that of STEP distances.
     """
-    n, words = len(sims), sims.shape[1]
-    root, none = np.arange(n), np.int64(1 << 62)
-    near, before = np.full(n, none), np.full(n, none)
-    columns = [np.ascontiguousarray(sims[:, k]) for k in range(words // 2)]
-    step = max(1, STEP // n)
-    for at in range(0, n, step):
-        end = min(n, at + step)
-        far = sum(np.bitwise_count(c[at:end, None] ^ c[None, :end]) for c in columns)
-        x, y = np.nonzero(far <= FAR_HALF)
-        x += at
-        ok = (y < x) & (single | (half[x] != half[y]))
-        x, y = x[ok], y[ok]
-        d = np.bitwise_count(sims[x] ^ sims[y]).sum(axis=1, dtype=np.int64)
-        ok = d <= FAR
-        x, y, d = x[ok], y[ok], d[ok] << 32
-        np.minimum.at(before, x, d | y)
-        np.minimum.at(near, x, d | y)
-        np.minimum.at(near, y, d | x)
-        cut = np.flatnonzero(np.diff(x)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(x)]):
-            if a == b:
-                continue
-            i, met = x[a], root[y[a:b]]
-            root[i] = met[0]
-            if (met != met[0]).any():
-                root[: i + 1][np.isin(root[: i + 1], met)] = met[0]
-    place = lambda v: np.where(v == none, -1, v & ((1 << 32) - 1))
-    return root, place(near), place(before)
+    n, none = len(sims), np.int64(1 << 62)
+    ball = _balls(sims)
+    order = np.argsort(ball, kind="stable")
+    sims, half, ball = sims[order], half[order], ball[order]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    root, near, before = np.arange(n), np.full(n, none), np.full(n, none)
+    crowd = np.flatnonzero(ball >= 0)
+    middle = place[ball[crowd]]
+    root[crowd] = middle
+    d = _close(sims[crowd], sims[middle])[1] << 32
+    other = crowd != middle
+    before[crowd[other]] = near[crowd[other]] = (d | middle)[other]
+    np.minimum.at(near, middle[other], (d | crowd)[other])
+    columns = [np.ascontiguousarray(sims[:, k]) for k in range(sims.shape[1] // 2)]
+    cuts = [0, *(np.flatnonzero(np.diff(ball)) + 1).tolist(), n]
+    for start, stop in zip(cuts, cuts[1:]):
+        at = start
+        while at < stop:
+            # members of a crowd meet those before it, others all before themselves
+            step = STEP // max(1, start) if ball[at] >= 0 else (math.isqrt(at * at + 4 * STEP) - at) // 2
+            end = min(stop, at + max(1, step))
+            upto = start if ball[at] >= 0 else end
+            far = sum(np.bitwise_count(c[at:end, None] ^ c[None, :upto]) for c in columns)
+            x, y = np.nonzero(far <= FAR_HALF)
+            x += at
+            ok = (y < x) & (single | (half[x] != half[y]))
+            x, y = x[ok], y[ok]
+            ok, d = _close(sims[x], sims[y])
+            x, y, d = x[ok], y[ok], d[ok] << 32
+            if ball[at] < 0:
+                np.minimum.at(before, x, d | y)
+            np.minimum.at(near, x, d | y)
+            np.minimum.at(near, y, d | x)
+            cut = np.flatnonzero(np.diff(x)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(x)]):
+                if a == b:
+                    continue
+                met = np.append(root[y[a:b]], root[x[a]])
+                if (met != met[0]).any():
+                    root[np.isin(root, met)] = met[0]
+            at = end
+    back = lambda v: np.where(v == none, -1, order[v & ((1 << 32) - 1)])
+    return order[root][place], back(near)[place], back(before)[place]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,9 +289,7 @@ def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np
             at = at[half[at] != half[i]]
         at = at[np.minimum(sizes[at], sizes[i]) * like[1] >= np.maximum(sizes[at], sizes[i]) * like[0]]
         if sims is not None:
-            far = np.bitwise_count(sims[at] ^ sims[i])
-            words = far.shape[1]
-            at = at[(far[:, : words // 2].sum(axis=1) <= FAR_HALF) & (far.sum(axis=1) <= FAR)]
+            at = at[_close(sims[at], sims[i])[0]]
         for own in earlier:
             if not len(at):
                 break
@@ -287,7 +330,7 @@ def _together(dealt: DataFrame) -> DataFrame:
 def close_members(texts: DataFrame) -> DataFrame:
     """(key, n, band, fp, near, before) of ``texts`` (fp, bands, sim), as written, as ``_meet`` has them.
 
-    All pairs of fingerprints in a block's bucket are compared in bits, a bucket of more than PRINTS
+    All pairs of fingerprints in a block's bucket, but those within a crowd, are compared in bits, a bucket of more than PRINTS
     times AT_ONCE in chunks of half as many, each pair of which is a task's group.
     """
     keys = texts.select("fp", "sim", F.posexplode("bands").alias("band", "key"))
@@ -303,7 +346,7 @@ def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle:
     """Links (a, b) between prints that connect all texts of the likeness that share a block and are close.
 
     Every member of a bucket is first compared with the closest fingerprint there, as that is the
-    middle of a group of edited copies if any is, and with the closest of a smaller print. What is connected by closeness in a bucket and left in several
+    middle of a group of edited copies if any is, and with another (see ``close_prints``). What is connected by closeness in a bucket and left in several
     components by that has its members' sets compared in one task, which returns the links that
     connect more, so no pair becomes a row. More than AT_ONCE members, or more than VALUES values in
     their sets, are dealt into chunks of half as many, each pair of which is a task's group: exact,
