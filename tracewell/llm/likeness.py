@@ -346,9 +346,9 @@ def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle:
     """Links (a, b) between prints that connect all texts of the likeness that share a block and are close.
 
     Every member of a bucket is first compared with the closest fingerprint there, as that is the
-    middle of a group of edited copies if any is, and with another (see ``close_prints``). What is connected by closeness in a bucket and left in several
-    components by that has its members' sets compared in one task, which returns the links that
-    connect more, so no pair becomes a row. More than AT_ONCE members, or more than VALUES values in
+    middle of a group of edited copies if any is, and with another (see ``close_prints``).
+    What is connected by closeness in a bucket and left in several components by that has its
+    members' sets compared in one task, which returns the links that connect more, so no pair becomes a row. More than AT_ONCE members, or more than VALUES values in
     their sets, are dealt into chunks of half as many, each pair of which is a task's group: exact,
     in rows that grow with the number of members times that of their chunks.
     """
