@@ -629,6 +629,22 @@ def test_near_copies_in_dense_buckets(spark, monkeypatch, at_once):
     assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == want
 
 
+@pytest.mark.parametrize("at_once, most", [(4096, 1), (64, 13)])
+def test_near_copies_left_open_come_once(spark, monkeypatch, at_once, most):
+    """What closeness connects and likeness does not comes once for each chunk of its group, not once more for each block."""
+    monkeypatch.setattr(likeness, "AT_ONCE", at_once)
+    dealt, real = [], likeness._together
+    monkeypatch.setattr(likeness, "_together", lambda df: (dealt.append(df), real(df))[1])
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    rows = [(k, " ".join(w if rng.random() > 0.025 else f"e{rng.randrange(9000)}" for w in base)) for k in range(100)]
+    counted = []
+    monkeypatch.setattr(likeness, "released", lambda *frames: counted or len(dealt) < 2 or counted.append(dealt[1].groupBy("fp").count().agg(F.max("count")).first()[0]))
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == brute_near_copies(rows)[1]
+    assert counted == [most]
+
+
 def brute_wide(text, bits):
     """A SimHash of so many bits, shingle by shingle."""
     words, m = (text or "").encode().lower().split(), 2**64 - 1

@@ -251,7 +251,7 @@ def close_prints(sims: np.ndarray, half: np.ndarray, single: bool) -> tuple[np.n
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, band, fp, near, before): fingerprints close to others in a bucket; key and n are of those connected so."""
+    """(key, n, band, fp, root, near, before): fingerprints close to others in a bucket; key, n and root are of those connected so."""
     for table in _groups(batches):
         if len(table) < 2:
             continue
@@ -265,8 +265,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = lambda v: fps.take(pa.array(v, pa.int64(), mask=v < 0))  # noqa: B023, E731
         roots, back, n = np.unique(root[at], return_inverse=True, return_counts=True)
         keys = np.array([xxhash.xxh64_intdigest(repr((*first, r))) for r in roots.tolist()], np.uint64).view(np.int64)
-        rows = [pa.array(keys[back]), pa.array(n[back]), column("band").take(pa.array(at)), name(at), name(near[at]), name(before[at])]
-        yield pa.record_batch(rows, ["key", "n", "band", "fp", "near", "before"])
+        rows = [pa.array(keys[back]), pa.array(n[back]), column("band").take(pa.array(at)), name(at), name(root[at]), name(near[at]), name(before[at])]
+        yield pa.record_batch(rows, ["key", "n", "band", "fp", "root", "near", "before"])
 
 
 def spanning_links(rows: dict[str, np.ndarray], bands: np.ndarray, sets: list[np.ndarray], like: tuple[int, int], sims: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -328,7 +328,7 @@ def _together(dealt: DataFrame) -> DataFrame:
 
 
 def close_members(texts: DataFrame) -> DataFrame:
-    """(key, n, band, fp, near, before) of ``texts`` (fp, bands, sim), as written, as ``_meet`` has them.
+    """(key, n, band, fp, root, near, before) of ``texts`` (fp, bands, sim), as written, as ``_meet`` has them.
 
     All pairs of fingerprints in a block's bucket, but those within a crowd, are compared in bits, a bucket of more than PRINTS
     times AT_ONCE in chunks of half as many, each pair of which is a task's group.
@@ -338,19 +338,48 @@ def close_members(texts: DataFrame) -> DataFrame:
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most)
     full = full.select("key", F.ceil(2 * F.col("n") / most).cast("int").alias("chunks"))
     members = keys.join(small(full, BROADCAST_ROWS), "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    found = _together(_dealt(members, "band", "sim")).mapInArrow(_meet, "key long, n long, band int, fp binary, near binary, before binary")
+    found = _together(_dealt(members, "band", "sim")).mapInArrow(_meet, "key long, n long, band int, fp binary, root binary, near binary, before binary")
     return staged(found, "met")
 
 
+def _chunks(part: int):
+    """Into how many chunks n members with w values in their sets are dealt: AT_ONCE / ``part`` members each, fewer with long sets; few members are one chunk."""
+    most = F.greatest(F.ceil(part * F.col("n") / AT_ONCE), F.ceil(2 * F.col("w") / VALUES)).cast("int")
+    return F.when((F.col("n") <= (2 * AT_ONCE) // part) & (F.col("w") <= VALUES), F.lit(1)).otherwise(most)
+
+
+def _open_members(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, band, fp, c, chunks): members of groups whose sets are still to be compared, c the component of ``found`` so far.
+
+    A group is all that closeness connects, through any buckets, so a text comes once for each chunk
+    of its group and not once more for each block. Groups of many members in small buckets, as long
+    chains are, have fewer rows bucket by bucket and are compared so. Either way all pairs that share
+    a block and are close are compared, in rows that grow with the number of members times that of chunks.
+    """
+    crowded = met.where("n > 2")
+    close = connected_components(crowded.select(F.col("fp").alias("a"), F.col("root").alias("b"))).toDF("fp", "group")
+    # rows that the text has bucket by bucket
+    apart = crowded.groupBy("fp").agg(F.sum(F.when(F.col("n") <= AT_ONCE, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / AT_ONCE))).alias("apart"))
+    sized = apart.join(close, "fp").join(found, "fp", "left").join(sets.select("fp", F.size("s").alias("w")), "fp")
+    each = staged(sized.select("fp", "group", "w", "apart", F.coalesce("component", "fp").alias("c")), "told")
+    least = [F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("w")]
+    groups = each.groupBy("group").agg(*least, F.sum("apart").alias("apart")).where("lo < hi").withColumn("chunks", _chunks(8))
+    groups = staged(groups.select("group", "chunks", (F.col("n") * F.col("chunks") <= F.col("apart")).alias("once")), "open")
+    told = each.select("fp", "group", "w", "c").join(small(groups, BROADCAST_ROWS), "group")
+    once = told.where("once").select(F.xxhash64("group").alias("key"), F.lit(0).alias("band"), "fp", "c", "chunks")
+    several = crowded.select("key", "band", "fp").join(told.where("not once").select("fp", "w", "c"), "fp")
+    left = several.groupBy("key").agg(*least).where("lo < hi").select("key", _chunks(2).alias("chunks"))
+    return once.unionByName(several.join(left, "key").select("key", "band", "fp", "c", "chunks"))
+
+
 def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle: int, like: tuple[int, int]) -> DataFrame:
     """Links (a, b) between prints that connect all texts of the likeness that share a block and are close.
 
     Every member of a bucket is first compared with the closest fingerprint there, as that is the
     middle of a group of edited copies if any is, and with another (see ``close_prints``).
-    What is connected by closeness in a bucket and left in several components by that has its
-    members' sets compared in one task, which returns the links that connect more, so no pair becomes a row. More than AT_ONCE members, or more than VALUES values in
-    their sets, are dealt into chunks of half as many, each pair of which is a task's group: exact,
-    in rows that grow with the number of members times that of their chunks.
+    What is connected by closeness, through any buckets, and left in several components by that has
+    its members' sets compared in tasks, which return the links that connect more, so no pair becomes
+    a row (see ``_open_members``).
     """
     texts = staged(banded.where("sim is not null").groupBy("fp").agg(F.any_value("bands").alias("bands"), F.any_value("sim").alias("sim")), "bands")
     met = close_members(texts)
@@ -361,14 +390,11 @@ def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle:
     released(stars, texts)
     found = connected_components(near).withColumnRenamed("node", "fp")
     sizes = sets.select("fp", F.size("s").alias("w"))
-    told = staged(met.where("n > 2").join(found, "fp", "left").join(sizes, "fp").select("key", "band", "fp", "w", F.coalesce("component", "fp").alias("c")), "told")
-    open_ = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.sum("w").alias("w")).where("lo < hi")
-    most = F.greatest(F.ceil(2 * F.col("n") / AT_ONCE), F.ceil(2 * F.col("w") / VALUES)).cast("int")
-    open_ = open_.select("key", F.when((F.col("n") <= AT_ONCE) & (F.col("w") <= VALUES), F.lit(1)).otherwise(most).alias("chunks"))
-    whole = _dealt(told.join(open_, "key"), "band", "c").join(sets, "fp").select("key", "i", "j", "band", "fp", "c", "half", "bands", "sim", "s")
+    members = _open_members(met, found, sets)
+    whole = _dealt(members, "band", "c").join(sets, "fp").select("key", "i", "j", "band", "fp", "c", "half", "bands", "sim", "s")
     more = _together(whole).mapInArrow(_compare(like), "a binary, b binary")
     links = staged(near.unionByName(more), "near")
-    released(met, told, sets, near)
+    released(met, sets, near)
     return links
 
 
