@@ -651,6 +651,32 @@ def test_near_copies_left_open_come_once(spark, monkeypatch, at_once, most):
     assert counted == [most] if most else counted[0] > 10
 
 
+def test_links_hang_on_one_hub(spark):
+    """Members that have the same few hubs keep about one link each, in the same components."""
+    from tracewell.llm import components
+
+    rng = random.Random(16)
+    hubs = [b"%04d" % k for k in rng.sample(range(10000), 40)]
+    rows = [(b"%04d" % a, h) for a in range(300) for h in rng.sample(hubs, 20)] + [(b"z1", b"z0"), (b"z2", b"z1"), (b"z3", b"z3"), (hubs[0], hubs[1])]
+    links = spark.createDataFrame(rows, "a binary, b binary").repartition(3)
+    parts = lambda df: sorted((bytes(r.node), bytes(r.component)) for r in components.connected_components(df).collect())
+    assert parts(components.hung(links)) == parts(links)
+    assert links.count() == 6004 and components.hung(links).count() < 700
+
+
+def test_near_copies_go_into_components_with_few_links(spark, monkeypatch):
+    """A crowd's members meet other middles in each of 32 blocks; the rounds of components get few links of each."""
+    taken, real = [], likeness.connected_components
+    monkeypatch.setattr(likeness, "connected_components", lambda df: (taken.append(df.where("a <> b").distinct().count()), real(df))[1])
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(9000)}" for _ in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.012 else f"e{rng.randrange(9000)}" for w in base)) for k in range(500)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in likeness.near_copies_keep(made).collect()) == brute_near_copies(rows)[1]
+    n = len({t for _, t in rows})
+    assert len(taken) == 3 and max(taken) < 3 * n and taken[2] < n, (n, taken)
+
+
 def brute_wide(text, bits):
     """A SimHash of so many bits, shingle by shingle."""
     words, m = (text or "").encode().lower().split(), 2**64 - 1

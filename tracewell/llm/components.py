@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import released, staged
@@ -12,6 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def hung(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what ``links`` (a, b) connect, many of them once: each ``a``, and each ``b`` of it, hangs on its smallest ``b``.
+
+    Of members that have the same few hubs one link stays for each, and links between the hubs. The
+    links of one ``a`` meet in a task, so nodes with many links belong in ``b``.
+    """
+    each = links.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+    # the smallest b's own row is the link of a, any other row that of its b
+    return each.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links, longs or binaries, to (node, component): component is the smallest node reachable.
 

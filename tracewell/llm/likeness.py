@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, released, small, staged, values
-from .components import connected_components
+from .components import connected_components, hung
 from .simhash import BROADCAST_ROWS, keep_one, wide_simhash
 
 #: Shingles of so many words; likeness, as a fraction of whole numbers, from which two texts are near copies.
@@ -357,7 +357,7 @@ def _open_members(met: DataFrame, found: DataFrame, sets: DataFrame) -> DataFram
     a block and are close are compared, in rows that grow with the number of members times that of chunks.
     """
     crowded = met.where("n > 2")
-    close = connected_components(crowded.select(F.col("fp").alias("a"), F.col("root").alias("b"))).toDF("fp", "group")
+    close = connected_components(hung(crowded.select(F.col("fp").alias("a"), F.col("root").alias("b")))).toDF("fp", "group")
     # rows that the text has bucket by bucket
     apart = crowded.groupBy("fp").agg(F.sum(F.when(F.col("n") <= AT_ONCE, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / AT_ONCE))).alias("apart"))
     sized = apart.join(close, "fp").join(found, "fp", "left").join(sets.select("fp", F.size("s").alias("w")), "fp")
@@ -384,16 +384,18 @@ def near_copy_links(docs: DataFrame, banded: DataFrame, text_col: str, shingle:
     texts = staged(banded.where("sim is not null").groupBy("fp").agg(F.any_value("bands").alias("bands"), F.any_value("sim").alias("sim")), "bands")
     met = close_members(texts)
     both = met.select("fp", F.explode(F.array("near", "before")).alias("other")).where("other is not null")
-    stars = staged(both.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), "stars")
+    pairs = both.groupBy(F.least("fp", "other").alias("x"), F.greatest("fp", "other").alias("y")).agg(F.bool_or(F.col("fp") < F.col("other")).alias("up"))
+    # a is one that met b as its closest or middle, so few pairs have the same a
+    stars = staged(pairs.select(F.when(F.col("up"), F.col("x")).otherwise(F.col("y")).alias("a"), F.when(F.col("up"), F.col("y")).otherwise(F.col("x")).alias("b")), "stars")
     sets = _sets_of(docs, text_col, texts.join(met.select("fp").distinct(), "fp"), shingle)
     near = _alike(stars, sets, like)
     released(stars, texts)
-    found = connected_components(near).withColumnRenamed("node", "fp")
+    found = connected_components(hung(near)).withColumnRenamed("node", "fp")
     sizes = sets.select("fp", F.size("s").alias("w"))
     members = _open_members(met, found, sets)
     whole = _dealt(members, "band", "c").join(sets, "fp").select("key", "i", "j", "band", "fp", "c", "half", "bands", "sim", "s")
     more = _together(whole).mapInArrow(_compare(like), "a binary, b binary")
-    links = staged(near.unionByName(more), "near")
+    links = staged(found.select(F.col("fp").alias("a"), F.col("component").alias("b")).unionByName(more), "near")
     released(met, sets, near)
     return links
 
