@@ -761,6 +761,31 @@ def test_points_meet_intervals_once(spark):
     assert IV.points_in(p, "at", s.where("i = 777"), "lo", "hi", ["k"]).collect() == []
 
 
+def test_others_in_intervals_without_pairs(spark, monkeypatch):
+    """As a plain join counts them, whatever buckets and blocks there are; 20,000 points in 20,000 intervals are not paired."""
+    monkeypatch.setattr(IV, "BUCKET", 4)
+    monkeypatch.setattr(IV, "CROWD", 6)
+    rng = random.Random(3)
+    when = lambda: rng.choice([rng.randint(-40, 40), rng.randint(-(10**4), 10**4), rng.randint(0, 10**12)])
+    points = [(i, rng.randint(0, 3), when()) for i in range(300)] + [(900, None, 1), (901, 1, None), (None, 2, 5)]
+    spans = [(i % 140, rng.randint(0, 4), at, at + rng.choice([-1, 0, 1, 9, 500, 10**4, 10**12])) for i, at in enumerate(when() for _ in range(150))] + [(777, None, 0, 9), (778, 1, None, 9)]
+    p, s = spark.createDataFrame(points, "v long, o long, at long"), spark.createDataFrame(spans, "i long, own long, lo long, hi long")
+    want = {}
+    for i, own, lo, hi in spans:
+        for v, o, at in points:
+            if None not in (own, lo, o, at) and lo <= at <= hi and o != own:
+                n, last = want.get(i, (0, None))
+                want[i] = (n + 1, max((x for x in (last, v) if x is not None), default=None))
+    found = lambda a, b: {r.i: (r.n, r.last) for r in IV.others_in(a, "at", "o", "v", b, "i", "lo", "hi", "own").collect()}
+    assert found(p, s) == want
+    assert found(p.limit(0), s) == found(p, s.limit(0)) == {}
+    monkeypatch.undo()
+    many = spark.range(20_000)
+    a = many.select(F.col("id").alias("v"), (F.col("id") % 5).alias("o"), (F.col("id") * 1000).alias("at"))
+    b = many.select(F.col("id").alias("i"), (F.col("id") % 5).alias("own"), F.lit(0).cast("long").alias("lo"), F.lit(10**9).alias("hi"))
+    assert found(a, b) == {i: (16_000, 19_999 if i % 5 != 4 else 19_998) for i in range(20_000)}
+
+
 def test_csv_preview_and_row_limit(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("Log ,status\n" + "".join(f'"line {i}\nmore",{"" if i % 3 else "bad"}\n' for i in range(30)), encoding="utf-8-sig")

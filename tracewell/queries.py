@@ -624,8 +624,7 @@ def q_interval_join(s, d):
     """Of each purchase, as an interval of as many minutes as it is worth times ten, the events of other users in it."""
     e = landed(s, d, "events").select("event_id", "user_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     spans = e.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase"), F.col("user_id").alias("buyer"), F.col("us").alias("lo"), (F.col("us") + F.floor(F.col("value") * 600) * 1_000_000).alias("hi"))
-    found = I_.points_in(e.select("event_id", "user_id", "us"), "us", spans, "lo", "hi").where("user_id <> buyer")
-    return found.groupBy("purchase").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    return I_.others_in(e, "us", "user_id", "event_id", spans, "purchase", "lo", "hi", "buyer")
 
 
 SQL["interval_join"] = "WITH e AS (SELECT *, epoch_us(ts) AS us FROM events), p AS (SELECT event_id AS purchase, user_id AS buyer, us AS lo, us + floor(value * 600)::BIGINT * 1000000 AS hi FROM e WHERE event_type = 'purchase') SELECT purchase, count(*) AS n, max(event_id) AS last FROM p JOIN e ON us BETWEEN lo AND hi AND user_id <> buyer GROUP BY 1"
