@@ -798,6 +798,16 @@ def test_csv_preview_and_row_limit(spark, tmp_path):
             S.csv_rows(spark, str(path), **bad)
 
 
+def test_csv_limit_is_of_each_file(spark, tmp_path, monkeypatch):
+    for i in range(3):
+        (tmp_path / f"{i}.csv").write_text("log\n" + "x" * 60 + "\n")
+    monkeypatch.setattr(S, "CSV_BYTES", 100)
+    assert S.csv_preview(spark, str(tmp_path))["bytes"] == 3 * 65
+    monkeypatch.setattr(S, "CSV_BYTES", 64)
+    with pytest.raises(ValueError, match="65 bytes"):
+        S.csv_preview(spark, str(tmp_path))
+
+
 def test_skill_folders_and_many_hidden_files(spark, tmp_path):
     for name in ("a", "b"):
         (tmp_path / "skills" / name).mkdir(parents=True)

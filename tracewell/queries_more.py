@@ -25,11 +25,15 @@ from tracewell.sources.readers import landed
 SQL: dict[str, str] = {}
 
 
+#: Rows of a CSV file: one of quoted line breaks is one task's, and may have so many bytes only.
+CSV_ROWS = 1000
+
+
 def q_csv(s, d):
     """All documents written as a CSV of logs, line breaks and quotes in them, and read as an import reads them."""
     path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
     rows = landed(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias(" Log "), F.coalesce("lang", F.lit("none")).alias("Status"))
-    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    rows.write.option("header", True).option("maxRecordsPerFile", CSV_ROWS).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     assert S.csv_preview(s, path)["text"].strip() == "Log"
     found = S.log_csv(s, path).select(F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), 256).alias("text_sha256"), "label")
     return found.groupBy("text_sha256", "label").agg(F.count("*").alias("n"))

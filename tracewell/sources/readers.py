@@ -35,13 +35,17 @@ ROW_LIMITS, CSV_BYTES = (500, 5_000), 256 << 20
 def csv_preview(spark: SparkSession, path: str, *, text_column: str | None = None, label_column: str | None = None) -> dict:
     """What an import would read, without reading a row: its columns, its text and label column and its bytes.
 
-    Fails for a missing or oversized file and for one without a text column.
+    Fails for a missing or oversized file and for one without a text column. A folder of files with the same
+    columns may hold any number of them.
     """
     df = _csv(spark, path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
-    if size > CSV_BYTES:
-        raise ValueError(f"{size} bytes are more than {CSV_BYTES}")
+    files, size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), 0
+    while files.hasNext():
+        own = files.next().getLen()
+        if own > CSV_BYTES:
+            raise ValueError(f"{own} bytes are more than {CSV_BYTES}")
+        size += own
     text = find_column(df.columns, TEXT_COLUMNS, text_column)
     if text is None:
         raise ValueError("no text column")
