@@ -224,6 +224,25 @@ def test_each_rule_has_a_telling_group():
         assert [] in lost, (rule.rule_id, lost)
 
 
+def test_gates_of_rules(spark):
+    """A line that a rule fires on holds a piece of its gate, so patterns are tried in few lines and nothing else changes."""
+    for rule in R_.RULES:
+        pieces = R_.gate(rule)
+        assert pieces and all(len(x) > 2 for x in pieces), rule.rule_id
+        lost = [[w for p in group for w in wordings(p) if not any(x in w for x in pieces)] for group in rule.groups]
+        assert [] in lost, (rule.rule_id, lost)
+    assert R_.plain("^[a/b] cd [efgh/ijkl]?") == ("cd",) and R_.plain("x[abc/defg]y") == ("abc", "defg") and R_.plain("[a]?<n>") == () and R_.plain("Colou?r\\[sxyz") == ("r[sxyz",)
+    lines = [w for rule in R_.RULES for group in rule.groups for p in group for w in wordings(p)] + [line for line, *_ in CASES] + Q.G.PHRASES
+    told = spark.createDataFrame([(x,) for x in {*lines, *map(str.upper, lines)}], "text string")
+    slow = F.lit(None).cast("int")
+    for place, rule in reversed(list(enumerate(R_.RULES, 1))):
+        hit = F.lit(True)
+        for pattern in rule.patterns:
+            hit = hit & F.col("text").rlike("(?i)" + pattern)
+        slow = F.when(hit, place).otherwise(slow)
+    assert told.select("text", R_.first_rule(F.col("text")).alias("a"), slow.alias("b")).where("not a <=> b").collect() == []
+
+
 def test_stamps_and_places(spark):
     said = ["2024-05-01T10:00:00.000Z 01O x", "2024-05-01T10:00:00Z  12 x", "2024-05-01T1", "2024-05-01 x", " 2024-05-01T10:00:00Z + npm ci "]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, t string").orderBy("i").select(X.clean_line(F.col("t"))).collect()]

@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,15 +167,58 @@ def _verdict(rule_id, category, priority: int, chunk_type: str = "error") -> Col
     return F.struct(as_column(rule_id).alias("rule_id"), as_column(category).alias("category"), F.lit(priority).alias("priority"), F.lit(chunk_type).alias("chunk_type"))
 
 
+def plain(text: str) -> tuple[str, ...]:
+    """Lower-cased pieces of a phrase, one of which stands in every line it is found in; none if that can't be told.
+
+    That is its longest piece without a sign, or what its alternatives hold where that is longer.
+    """
+    runs, choices, depth, opened = [""], [], 0, []
+    pieces = _PIECE.findall(text.removeprefix("^"))
+    for piece, behind in zip(pieces, [*pieces[1:], ""]):
+        depth += (piece == "[") - (piece == "]")
+        if piece == "]" and not depth and behind != "?":
+            choices.append("".join(opened[1:]).split("/") if "[" not in opened[1:] else [""])
+        opened = [*opened, piece] if depth else []
+        letter = piece[1:] if piece.startswith("\\") else piece
+        if depth or piece in SIGNS and piece != "/" or behind == "?" or not letter.isascii():
+            runs.append("")
+        else:
+            runs[-1] += letter
+    longest = [(max(runs, key=len),), *(tuple(max(plain(x), key=len, default="") for x in own) for own in choices)]
+    best = max(longest, key=lambda own: min(map(len, own)))
+    return tuple(x.lower() for x in best) if all(best) else ()
+
+
+def gate(rule: Rule) -> tuple[str, ...]:
+    """Pieces of lower-cased text, one of which stands in any line that the rule fires on; none if that can't be told."""
+    found = []
+    for group in rule.groups:
+        every = [plain(p) for p in group]
+        if all(every):
+            pieces = {x for own in every for x in own}
+            found.append(sorted(p for p in pieces if not any(o in p for o in pieces if o != p)))
+    return tuple(min(found, key=len, default=()))
+
+
 def first_rule(line: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The place (from 1) of the first rule in declaration order that fires, null if none does."""
-    chain = None
-    for place, rule in enumerate(rules, 1):
-        hit = F.lit(True)
-        for p in rule.patterns:
-            hit = hit & line.rlike("(?i)" + p)
-        chain = F.when(hit, place) if chain is None else chain.when(hit, place)
-    return F.when(telling(line), chain) if rules is RULES else chain
+    """The place (from 1) of the first rule in declaration order that fires, null if none does.
+
+    A rule's patterns are tried only in lines that hold a piece of its gate.
+    """
+
+    def found(x: Column) -> Column:
+        own, low = x.getField("line"), x.getField("low")
+        has = lambda pieces: reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in pieces])
+        chain = None
+        for place, rule in enumerate(rules, 1):
+            hit = has(gate(rule)) if gate(rule) else F.lit(True)
+            for p in rule.patterns:
+                hit = hit & own.rlike("(?i)" + p)
+            chain = F.when(hit, place) if chain is None else chain.when(hit, place)
+        return F.when(has(TELLING), chain) if rules is RULES else chain
+
+    # lower-cased once, not once for each piece
+    return let(F.struct(line.alias("line"), F.lower(line).alias("low")), found)
 
 
 #: Pieces of lower-cased text: a line without any of them fires no rule, as each rule has a group whose phrases all hold one (tested).
