@@ -7,14 +7,19 @@ small machine walks over the codes, by blocks of lines (scan.py), so a log may s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions import redact
 from tracewell.functions import rules as R
 from tracewell.functions import text as X
 from tracewell.operators import scan
+from tracewell.operators.lineage import stored
 
 #: Kinds of lines, as the machine sees them.
 TEXT, TICKS, TILDES, OMITTED, END, BLANK, NOISE, COMPONENTS, NO_COMPONENTS, COUNT, NO_COUNT, COLUMNS, ROW, QUOTED_ROW = range(14)
@@ -30,17 +35,19 @@ HIDDEN, HEADER, REPORTED, LISTED, QUOTED = 1, 2, 3, 4, 5
 
 
 def kind_of(line: Column, noisy: Column) -> Column:
-    """The kind of a cleaned line; fences, omissions and ends count even where they are noise."""
+    """The kind of a cleaned line; fences, omissions and ends count even where they are noise, and only parts of tables are asked whether they are."""
     is_ = lambda p: line.rlike(p)
     typed = lambda p, g: F.lower(F.regexp_extract(line, p, g)) != "type"
+    table = (
+        F.when(is_(R.begins(r"component failures~\[~<n>")), COMPONENTS).when(is_(R.begins("component failures")), NO_COMPONENTS)
+        .when(is_(r"(?i)^number\s+of\s+errors\s*-\s*0*[1-9][0-9]*\s*$"), COUNT).when(is_(R.begins("number of errors~-~<d><end>")), NO_COUNT)
+        .when(is_(R.begins("componentname type errormessage<end>")), COLUMNS)
+        .when(is_(TABBED) & typed(TABBED, 2), QUOTED_ROW).when(is_(SPACED) & typed(SPACED, 1), ROW)
+    )
     return (
         F.when(is_(X.OMISSION), OMITTED).when(line.startswith("```"), TICKS).when(line.startswith("~~~"), TILDES)
         .when(is_(REPORTS) | is_(R.COMMAND), END).when(is_(R.begins(r"component failures~\[~0~\]<end>")), END)
-        .when(line == "", BLANK).when(noisy, NOISE)
-        .when(is_(R.begins(r"component failures~\[~<n>")), COMPONENTS).when(is_(R.begins("component failures")), NO_COMPONENTS)
-        .when(is_(r"(?i)^number\s+of\s+errors\s*-\s*0*[1-9][0-9]*\s*$"), COUNT).when(is_(R.begins("number of errors~-~<d><end>")), NO_COUNT)
-        .when(is_(R.begins("componentname type errormessage<end>")), COLUMNS)
-        .when(is_(TABBED) & typed(TABBED, 2), QUOTED_ROW).when(is_(SPACED) & typed(SPACED, 1), ROW).otherwise(TEXT)
+        .when(line == "", BLANK).otherwise(R.let(table, lambda kind: F.when(kind.isNull(), TEXT).when(noisy, NOISE).otherwise(kind)))
     )
 
 
@@ -150,6 +157,43 @@ def redacted(logs: DataFrame, log: str = "log") -> DataFrame:
     return logs.withColumn(log, redact.redact_column(F.regexp_replace(F.col(log), X.ANSI, "")).getField("content"))
 
 
+def redacted_lines(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, idx, raw) of ``lines`` (key, idx, raw), masked as ``redacted`` masks the log that they are, which is never held as a whole.
+
+    A log's lines are read in order, as what is open before a line decides what it holds.
+    """
+    plain = F.when(F.contains("raw", F.lit("\x1b")), F.regexp_replace("raw", X.ANSI, "")).otherwise(F.col("raw"))
+    given = lines.select(key, "idx", plain.alias("raw"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, now, ids = redact.Lines(), (), []
+        for batch in batches:
+            keys, out, done = batch.column(key), [], []
+            for own, idx, raw in zip(keys.to_pylist(), batch.column("idx").to_pylist(), batch.column("raw").to_pylist()):
+                if (own,) != now:
+                    done += log.end() if ids else []
+                    now = (own,)
+                ids.append((own, idx))
+                done += log.push(raw or "")
+                if len(done) > 10_000:
+                    out.append((ids[: len(done)], done))
+                    ids, done = ids[len(done) :], []
+            out.append((ids[: len(done)], done))
+            ids = ids[len(done) :]
+            for of, shown in out:
+                yield pa.record_batch([pa.array([k for k, _ in of], keys.type), pa.array([i for _, i in of], batch.column("idx").type), pa.array(shown, pa.string())], [key, "idx", "raw"])
+        if ids:
+            yield pa.record_batch([pa.array([k for k, _ in ids], keys.type), pa.array([i for _, i in ids], batch.column("idx").type), pa.array(log.end(), pa.string())], [key, "idx", "raw"])
+
+    return given.repartition(key).sortWithinPartitions(key, "idx").mapInArrow(task, given.schema)
+
+
+def _coded(lines: DataFrame, key: str) -> DataFrame:
+    """(key, idx, raw, text, code, place): what patterns say of each line alone."""
+    text = F.col("text")
+    return lines.select(key, "idx", "raw", X.clean_line(F.col("raw")).alias("text")).withColumn("code", _code(text, R.noise(text))).withColumn("place", R.first_rule(text))
+
+
 def diagnosed(lines: DataFrame, key: str = "job_id", long: DataFrame | None = None) -> DataFrame:
     """(key, idx, raw, text, line, fence, hidden, uploading, part, v) of each of ``lines`` (key, idx, raw).
 
@@ -157,28 +201,36 @@ def diagnosed(lines: DataFrame, key: str = "job_id", long: DataFrame | None = No
     ``uploading`` ones belong to a failed job's upload, ``part`` is a failed component, ``v`` (rule_id,
     category, priority, chunk_type) what a line says, null if nothing. A log may be of any length: its lines
     are dealt to blocks, and what came before a block is a prefix scan. ``long`` are the lines of
-    logs that are longer than a block, looked up where they are not given.
+    logs that are longer than a block; where they are not given, what patterns say of all lines is stored and they are looked up there.
     """
+    coded = _coded(lines, key)
     if long is None:
-        many = lines.groupBy(key).agg(F.max("idx").alias("__last")).where(F.col("__last") >= scan.BLOCK)
-        long = lines.join(many.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    text = X.clean_line(F.col("raw"))
-    coded = lines.select(key, "idx", "raw", text.alias("text")).withColumn("noise", R.noise(F.col("text"))).withColumn("code", _code(F.col("text"), F.col("noise")))
-    rows = scan.marked(coded, key, "idx", "code", LINES, long.select(key, "idx", text.alias("text")).select(key, "idx", _code(F.col("text"), R.noise(F.col("text"))).alias("code")))
+        coded = stored(coded)
+        many = coded.groupBy(key).agg(F.max("idx").alias("__last")).where(F.col("__last") >= scan.BLOCK)
+        codes = coded.join(many.select(F.col(key).alias("__key")), F.col(key).eqNullSafe(F.col("__key")), "left_semi").select(key, "idx", "code")
+    else:
+        text = X.clean_line(F.col("raw"))
+        codes = long.select(key, "idx", text.alias("text")).select(key, "idx", _code(F.col("text"), R.noise(F.col("text"))).alias("code"))
+    rows = scan.marked(coded, key, "idx", "code", LINES, codes)
     text, mark = F.col("text"), F.col("mark") % UPLOADING
     uploading, hidden = F.col("mark").bitwiseAND(UPLOADING) > 0, mark == HIDDEN
-    said = R.let(R.first_rule(text), lambda place: R.classify(text, place, uploading, table_rule(text, mark)))
+    said = R.classify(text, F.col("place"), uploading, table_rule(text, mark))
+    heard = R.let(said, lambda v: F.when(v.isNotNull() & ~R.noise(text), v))
     return rows.select(
         key, "idx", "raw", "text", F.when(F.col("mark") < CUT, F.col("idx") + 1).alias("line"), (text.startswith("```") | text.startswith("~~~")).alias("fence"), hidden.alias("hidden"), uploading.alias("uploading"),
-        F.when(~uploading, component(text, mark)).alias("part"), F.when(~hidden & ~F.col("noise"), said).alias("v"),
+        F.when(~uploading, component(text, mark)).alias("part"), F.when(~hidden, heard).alias("v"),
     )
 
 
-def diagnosed_lines(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
-    """``diagnosed`` lines of logs; a null or empty log has none."""
-    raw = X.physical_lines(F.col(log))
-    lines = lambda of: of.select(F.col(key), F.posexplode(raw).alias("idx", "raw"))
-    return diagnosed(lines(logs), key, lines(logs.where(F.size(raw) > scan.BLOCK)))
+def _exploded(logs: DataFrame, key: str, log: str) -> DataFrame:
+    return logs.select(F.col(key), F.posexplode(X.physical_lines(F.col(log))).alias("idx", "raw"))
+
+
+def diagnosed_lines(logs: DataFrame, key: str = "job_id", log: str = "log", *, masked: bool = False) -> DataFrame:
+    """``diagnosed`` lines of logs, first ``redacted`` if ``masked``; a null or empty log has none."""
+    long = logs.where(F.size(X.physical_lines(F.col(log))) > scan.BLOCK)
+    own = lambda of: _exploded(redacted(of, log) if masked else of, key, log)
+    return diagnosed(own(logs), key, own(long))
 
 
 def ranked(lines: DataFrame, key: str = "job_id") -> DataFrame:
@@ -225,32 +277,38 @@ CHUNK, CHUNK_UPLOAD = 80, 78
 CONTEXT = ("[LOG_OMITTED: earlier upload context]", "Uploading artifacts for failed job [earlier in the log]")
 
 
-def cut(lines: list[dict], trim: bool) -> list[int]:
-    """The chunk, from 1, of each line of a stretch of evidence; 0 where it is left out.
+#: A line that may be part of a chunk, as a sum of these: it is fenced, its number is known, it is in an upload that began before it, it begins a stretch, its log has signals.
+FENCED, KNOWN, INSIDE, BEGINNING, TRIMMED = 1, 2, 4, 8, 16
 
-    A line is (fenced, known, inside an upload that began before it). Fenced lines do not begin a
-    chunk if ``trim``; a chunk is full at CHUNK or CHUNK_UPLOAD lines and does not go on where
-    original line numbers stop being known.
-    """
-    out, chunk, room, known = [], 0, 0, None
-    for x in lines:
-        if not room or x["known"] != known:
-            if trim and x["fenced"]:
-                out.append(0)
-                room = 0
-                continue
-            chunk, room, known = chunk + 1, CHUNK_UPLOAD if x["inside"] else CHUNK, x["known"]
-        room -= 1
-        out.append(chunk)
-    return out
 
+def _chunked(lines: DataFrame, key: str) -> DataFrame:
+    """``lines`` (key, idx, flags and more) with ``c``, the chunk, from 1 in each log; lines left out are left out.
 
-def _cut(lines: Column, trim: Column) -> Column:
-    @F.arrow_udf("array<int>")
-    def chunks_of(stretches: pa.Array, trims: pa.Array) -> pa.Array:
-        return pa.array([cut(a.as_py(), b.as_py()) for a, b in zip(stretches, trims)], pa.list_(pa.int32()))
+    Fenced lines do not begin a chunk in logs with signals; a chunk is full at CHUNK or CHUNK_UPLOAD lines, ends
+    with its stretch and does not go on where original line numbers stop being known. A log's lines are
+    read in order and none but the last is remembered.
+    """
 
-    return chunks_of(lines, trim)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, room, known = (), 0, 0, None
+        for batch in batches:
+            out = []
+            for own, flags in zip(batch.column(key).to_pylist(), batch.column("flags").to_pylist()):
+                if (own,) != now:
+                    now, chunk, room = (own,), 0, 0
+                if not room or flags & BEGINNING or (flags & KNOWN) != known:
+                    if flags & TRIMMED and flags & FENCED:
+                        out.append(0)
+                        room = 0
+                        continue
+                    chunk, room, known = chunk + 1, CHUNK_UPLOAD if flags & INSIDE else CHUNK, flags & KNOWN
+                room -= 1
+                out.append(chunk)
+            c = pa.array(out, pa.int32())
+            yield batch.append_column("c", c).filter(pc.greater(c, 0))
+
+    shape = T.StructType([*lines.schema.fields, T.StructField("c", T.IntegerType())])
+    return lines.repartition(key).sortWithinPartitions(key, "idx").mapInArrow(task, shape)
 
 
 def chunks(lines: DataFrame, key: str = "job_id", *, before: int = 3, after: int = 7, head: int = 40) -> DataFrame:
@@ -269,11 +327,13 @@ def chunks(lines: DataFrame, key: str = "job_id", *, before: int = 3, after: int
     near = F.when(F.col("any"), F.coalesce(F.col("idx") - F.col("last") <= after, F.lit(False)) | F.coalesce(F.col("next") - F.col("idx") <= before, F.lit(False))).otherwise(F.col("idx") < head)
     kept = seen.where(near).withColumn("stretch", F.col("idx") - F.row_number().over(order))
     inside = F.col("uploading") & ~F.col("hidden") & ~F.col("text").rlike(R.UPLOAD)
-    flags = F.struct((F.col("fence") | F.col("hidden")).alias("fenced"), F.col("line").isNotNull().alias("known"), inside.alias("inside"))
+    begins = F.coalesce(F.col("stretch") != F.lag("stretch").over(order), F.lit(True))
+    said = ((F.col("fence") | F.col("hidden"), FENCED), (F.col("line").isNotNull(), KNOWN), (inside, INSIDE), (begins, BEGINNING), (F.col("any"), TRIMMED))
+    flags = sum((F.when(is_, weight).otherwise(0) for is_, weight in said), F.lit(0))
     best = F.when(F.col("v").isNotNull(), F.struct("v.priority", (-F.col("idx")).alias("early"), "v.chunk_type", "idx", "line", "text", "v.rule_id"))
-    stretches = kept.groupBy(key, "stretch", "any").agg(F.sort_array(F.collect_list(F.struct("idx", "raw", flags.alias("f"), best.alias("b")))).alias("l"))
-    cut_ = stretches.withColumn("c", _cut(F.col("l.f"), F.col("any"))).select(key, "stretch", F.explode(F.arrays_zip("l", "c")).alias("z"))
-    made = cut_.where("z.c > 0").groupBy(key, "stretch", "z.c").agg(F.sort_array(F.collect_list("z.l")).alias("l"), F.max("z.l.b").alias("best"))
+    cut_ = _chunked(kept.select(key, "idx", "raw", flags.cast("int").alias("flags"), best.alias("b")), key)
+    of = F.struct("idx", "raw", F.struct((F.col("flags").bitwiseAND(KNOWN) > 0).alias("known"), (F.col("flags").bitwiseAND(INSIDE) > 0).alias("inside")).alias("f"), "b")
+    made = cut_.groupBy(key, "c").agg(F.sort_array(F.collect_list(of)).alias("l"), F.max("b").alias("best"))
     first, end = F.col("l")[0], F.element_at("l", -1)
     upload = first.f.inside
     shown = F.when(upload, F.concat(F.array(*map(F.lit, CONTEXT)), F.col("l.raw"))).otherwise(F.col("l.raw"))
@@ -326,6 +386,16 @@ def fingerprints(lines: DataFrame, key: str = "job_id") -> DataFrame:
     return facts.select(key, X.fingerprint(category, F.col("command"), message).alias("digest"), category.alias("category"), X.normalize_message(message).alias("message"), "command", F.col("exit_code").try_cast("int").alias("exit_code"))
 
 
+def categories(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, category) of ``diagnosed_lines``: what ``fingerprints`` say it is, from sums by log."""
+    told, order = F.col("v").isNotNull(), F.struct("v.priority", -F.col("idx"))
+    run = told & (F.col("v.rule_id") == "rlp.datasync_failed")
+    what = F.struct("v.rule_id", "v.category")
+    facts = lines.groupBy(key).agg(F.max_by(F.when(told, what), F.when(told, order)).alias("best"), F.max_by(F.when(run, what), F.when(run, order)).alias("other"), F.max(F.col("text").rlike(R.SUCCESS)).alias("success"))
+    top = F.when((F.col("best.rule_id") == "rlp.datasync_ambiguous") & F.col("other").isNotNull(), F.col("other")).otherwise(F.col("best"))
+    return facts.select(key, F.coalesce(top.getField("category"), F.when(F.col("success"), "no_failure_observed").otherwise("unknown")).alias("category"))
+
+
 def fingerprint_logs(logs: DataFrame, key: str = "job_id", log: str = "log") -> DataFrame:
     """``fingerprints`` of each log; one without lines is of unknown category."""
     found = logs.select(key).join(fingerprints(diagnosed_lines(logs, key, log), key), key, "left")

@@ -86,19 +86,28 @@ def findings(jobs: DataFrame, configured: DataFrame | None = None) -> DataFrame:
     observed, of unknown confidence if the log is empty, and other outcomes too little evidence, an
     error if the job failed. A job with a null id has no findings.
     """
-    spark = jobs.sparkSession
     known = jobs.where("job_id is not null")
-    lines = L.diagnosed_lines(L.redacted(known))
-    upto = Window.partitionBy("job_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    logged = known.select("job_id", "status", "conclusion", "failure_reason", (F.coalesce("log", F.lit("")) != "").alias("logged"))
+    return judged(logged, facts(L.diagnosed_lines(known, masked=True)), configured)
+
+
+def facts(lines: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, any, of_runner, masking) of ``diagnosed`` lines: a log's best signal, its runner's best, the first command that drops its exit code."""
+    upto = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     lines = lines.withColumn("tests", F.last(F.when(F.col("text").rlike(APEX_TESTS), F.col("text")), ignorenulls=True).over(upto))
     told, runner = F.col("v").isNotNull(), F.col("v.rule_id").startswith("runner.")
     what, order = F.struct("v.rule_id", "v.category", "text", "line", "tests"), F.struct("v.priority", -F.col("idx"))
     hides = F.col("text").rlike(r"^[$+] ") & C.hides_exit_code(F.col("text"))
-    facts = lines.groupBy("job_id").agg(
+    return lines.groupBy(key).agg(
         F.max_by(F.when(told, what), F.when(told, order)).alias("any"), F.max_by(F.when(told & runner, what), F.when(told & runner, order)).alias("of_runner"),
         F.min_by(F.when(hides, F.col("text")), F.when(hides, F.col("idx"))).alias("masking"),
     )
-    joined = known.select("job_id", X.outcome(F.col("status"), F.col("conclusion")).alias("outcome"), F.col("failure_reason"), (F.coalesce("log", F.lit("")) != "").alias("logged")).join(facts, "job_id", "left")
+
+
+def judged(jobs: DataFrame, of_logs: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """``findings`` of jobs (job_id, status, conclusion, failure_reason, logged) from the ``facts`` of their logs, keyed by job_id."""
+    spark = jobs.sparkSession
+    joined = jobs.select("job_id", X.outcome(F.col("status"), F.col("conclusion")).alias("outcome"), "failure_reason", "logged").join(of_logs, "job_id", "left")
     if configured is not None:
         plain = F.regexp_replace(F.trim("command"), r"^(?:- +|(?:before_|after_)?script: *)", "")
         dropped = configured.where(~F.trim("command").startswith("#") & C.hides_exit_code(plain)).groupBy("job_id").agg(F.min("command").alias("of_config"))
@@ -136,9 +145,13 @@ def classified(rows: DataFrame, key: str, text: str, done: str = "classified") -
     """
     null = F.lit(None).cast("string")
     jobs = rows.select(F.col(key).cast("string").alias("job_id"), F.lit("failed").alias("status"), null.alias("conclusion"), null.alias("failure_reason"), F.col(text).alias("log"))
-    found = findings(jobs)
-    state = F.when((F.col("confidence") == "unknown") | (F.col("category") == "unknown"), "unknown").otherwise(done)
-    return found.select(F.col("job_id").cast(rows.schema[key].dataType).alias(key), state.alias("state"), "rule_id", "category")
+    found = states(findings(jobs), done)
+    return found.select(F.col("job_id").cast(rows.schema[key].dataType).alias(key), "state", "rule_id", "category")
+
+
+def states(found: DataFrame, done: str = "classified") -> DataFrame:
+    """``findings`` with ``state``."""
+    return found.withColumn("state", F.when((F.col("confidence") == "unknown") | (F.col("category") == "unknown"), "unknown").otherwise(done))
 
 
 def reclassified(stored: DataFrame, key: str, text: str, *, done: str = "classified") -> DataFrame:
@@ -163,14 +176,18 @@ def diagnoses(logs: DataFrame, key: str = "job_id", log: str = "log", *, citatio
     ``cited`` has (chunk_id, line, text): of the three best signals the first of each chunk; a log
     without a signal cites its first chunk. A log without lines is of category unknown.
     """
-    lines = L.diagnosed_lines(L.redacted(logs, log), key, log)
+    return diagnoses_of(logs.select(key), L.diagnosed_lines(logs, key, log, masked=True), key, citations=citations)
+
+
+def diagnoses_of(logs: DataFrame, lines: DataFrame, key: str = "job_id", *, citations: int = 3) -> DataFrame:
+    """``diagnoses`` of logs (key) from their ``diagnosed`` lines."""
     found = L.chunks(lines, key)
     every = found.select(key, "rank", "chunk_id", "line_start", F.explode_outer("signals").alias("s"))
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("s.priority"), "line_start", "s.idx"))
     top = every.withColumn("n", best).where(F.when(F.col("s").isNull(), F.col("n") == 1).otherwise(F.col("n") <= citations))
     one = top.withColumn("of_chunk", F.row_number().over(Window.partitionBy(key, "chunk_id").orderBy("n"))).where("of_chunk = 1")
     cited_ = one.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "chunk_id", "s.line", "s.text"))).alias("c"), F.max(F.struct("s.priority")).alias("p"))
-    told = logs.select(key).join(L.fingerprints(lines, key).select(key, "category"), key, "left").join(cited_, key, "left")
+    told = logs.select(key).join(L.categories(lines, key), key, "left").join(cited_, key, "left")
     category = F.coalesce("category", F.lit("unknown"))
     return told.select(key, category.alias("category"), diagnosis_confidence(F.col("p.priority"), category).alias("confidence"), F.transform("c", lambda x: F.struct(x.chunk_id.alias("chunk_id"), x.line.alias("line"), x.text.alias("text"))).alias("cited"))
 
