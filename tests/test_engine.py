@@ -140,6 +140,35 @@ def test_chunks(spark):
     assert all(c.content.split("\n")[:2] == list(L.CONTEXT) and c.content.count("\n") < 80 for c in got)
 
 
+def test_chunks_are_cut_in_order(spark):
+    """Stretches of any length are cut line by line, as a walk over a whole stretch cuts them."""
+    rng = random.Random(4)
+
+    def walk(flags):
+        out, chunk, room, known = [], 0, 0, None
+        for x in flags:
+            room = 0 if x & L.BEGINNING else room
+            if not room or (x & L.KNOWN) != known:
+                if x & L.TRIMMED and x & L.FENCED:
+                    out.append(0)
+                    room = 0
+                    continue
+                chunk, room, known = chunk + 1, L.CHUNK_UPLOAD if x & L.INSIDE else L.CHUNK, x & L.KNOWN
+            room -= 1
+            out.append(chunk)
+        return out
+
+    given = {}
+    for k, n in (("a", 5000), ("b", 1), ("c", 700), (None, 300)):
+        trim, often = rng.choice((0, L.TRIMMED)), rng.choice((0.005, 0.05))
+        given[k] = [trim + L.KNOWN * (i < n * 0.8) + L.INSIDE * (rng.random() < 0.2) + L.FENCED * (rng.random() < 0.3) + L.BEGINNING * (i == 0 or rng.random() < often) for i in range(n)]
+    rows = [(k, i, x) for k, own in given.items() for i, x in enumerate(own)]
+    got = {}
+    for r in L._chunked(spark.createDataFrame(rows, "k string, idx int, flags int").repartition(7), "k").collect():
+        got.setdefault(r.k, {})[r.idx] = r.c
+    assert got == {k: {i: c for i, c in enumerate(walk(own)) if c} for k, own in given.items()}
+
+
 def plain_walk(codes):
     """The machine's marks by walking over all lines at once."""
     state, before = L.LINES.start, []

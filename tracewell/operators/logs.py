@@ -319,11 +319,11 @@ def chunks(lines: DataFrame, key: str = "job_id", *, before: int = 3, after: int
     in hundredths. A chunk's id says whether its numbers are the original log's. Windows over a
     log's lines find the stretches, so no line is joined to anything.
     """
-    every, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("idx")
+    order, back = Window.partitionBy(key).orderBy("idx"), Window.partitionBy(key).orderBy(F.desc("idx"))
     hit = F.when(F.col("v").isNotNull(), F.col("idx"))
-    last = F.last(hit, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    next_ = F.first(hit, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seen = lines.withColumn("any", F.count(hit).over(every) > 0).withColumn("last", last).withColumn("next", next_)
+    # the next signal is the last one from behind: a frame that ends with the log would be read again for each line
+    last, next_ = (F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (order, back))
+    seen = lines.withColumn("next", next_).withColumn("last", last).withColumn("any", F.col("last").isNotNull() | F.col("next").isNotNull())
     near = F.when(F.col("any"), F.coalesce(F.col("idx") - F.col("last") <= after, F.lit(False)) | F.coalesce(F.col("next") - F.col("idx") <= before, F.lit(False))).otherwise(F.col("idx") < head)
     kept = seen.where(near).withColumn("stretch", F.col("idx") - F.row_number().over(order))
     inside = F.col("uploading") & ~F.col("hidden") & ~F.col("text").rlike(R.UPLOAD)
