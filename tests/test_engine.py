@@ -547,6 +547,32 @@ def test_files_archives_and_yaml(spark, tmp_path):
     assert got == {"ok.zip": ('{"a": 1}', None), "twice.zip": (None, "ValueError"), "nan.zip": (None, "ValueError"), "bad.zip": (None, "BadZipFile")}
 
 
+def test_ci_files_are_composed_alike(spark):
+    """By libyaml or in plain Python: the same nodes, lines and failures; libyaml reads what it may."""
+    import yaml
+
+    rng = random.Random(6)
+    parts = ["build:", "test:", "  stage: a", "  script: [make, t1]", "  script:", "    - x", "    - |", "      more", "", "# c", "---", "...", "a: b", "jobs:", "  b:", "    needs: [x, {job: y}]", "    extends: .z", ".h: {stage: a}", "  x: 'q", "\t", "  - &a 1", "  <<: *a", "? k", "a: [", "\u00e9: 1", "key: @x"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) + rng.choice(("", "\n", "\n")) for _ in range(1500)]
+
+    def shape(node):
+        if isinstance(node, yaml.ScalarNode):
+            return node.tag, node.value, node.start_mark.line, node.end_mark.line
+        return node.tag, [tuple(map(shape, x)) if isinstance(x, tuple) else shape(x) for x in node.value] if node else None, node.start_mark.line, node.end_mark.line
+
+    def tried(compose, text):
+        try:
+            return [x and shape(x) for x in compose(text)]
+        except yaml.YAMLError:
+            return "invalid"
+
+    assert [tried(S._composed, t) for t in texts] == [tried(lambda x: list(yaml.compose_all(x)), t) for t in texts]
+    assert not yaml.__with_libyaml__ or S._composed("a: b\n")[0].start_mark.buffer is None
+    rows = [(str(i), "build:\n  stage: a\n") for i in range(9)] + [("long", "build:\n  stage: b\n" + "#" * 2000 + "\n"), ("none", None)]
+    got = {(r.path, r.stage, r.problem) for r in S.ci_nodes(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {*((str(i), "a", None) for i in range(9)), ("long", "b", None), ("none", None, "unreadable")}
+
+
 def test_stream_resumes(spark, tmp_path):
     source, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     spark.range(5).write.parquet(source)

@@ -6,9 +6,10 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -190,46 +191,73 @@ def ci_nodes(configs: DataFrame, *, path: str = "path", content: str = "content"
     key, with its ``problem``; jobs have none.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        names = ["path", "key", "stage", "needs", "extends", "script", "line_start", "line_end", "problem"]
-        reserved = {"stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache", "on", "name", "env", "permissions"}
-        plain = lambda n: n.value if isinstance(n, yaml.ScalarNode) else None
-
-        def many(node) -> list[str]:
-            if isinstance(node, yaml.SequenceNode):
-                found = [plain(x) if not isinstance(x, yaml.MappingNode) else next((plain(v) for k, v in x.value if k.value == "job"), None) for x in node.value]
-                return [x for x in found if x]
-            return [node.value] if isinstance(node, yaml.ScalarNode) else []
-
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lru_cache(YAML_KNOWN)(_ci_jobs)
         for batch in batches:
-            rows = []
-            for where, text in zip(batch[path], batch[content]):
-                fail = lambda why: rows.append((where, None, None, [], [], [], None, None, why))  # noqa: B023, E731
-                if text is None or len(text) > YAML_CHARACTERS:
-                    fail("unreadable" if text is None else "too long")
-                    continue
-                try:
-                    every = list(yaml.compose_all(text))
-                except (yaml.YAMLError, RecursionError):
-                    fail("invalid YAML")
-                    continue
-                if len(every) > YAML_DOCUMENTS:
-                    fail("too many documents")
-                    continue
-                docs = [d for d in every if isinstance(d, yaml.MappingNode)]
-                for doc in docs:
-                    jobs = next((v for k, v in doc.value if k.value == "jobs" and isinstance(v, yaml.MappingNode)), doc)
-                    for key, node in jobs.value:
-                        if not isinstance(node, yaml.MappingNode) or (jobs is doc and key.value in reserved):
-                            continue
-                        own = {k.value: v for k, v in node.value if isinstance(k, yaml.ScalarNode)}
-                        rows.append((where, key.value, plain(own["stage"]) if "stage" in own else None, many(own["needs"]) if "needs" in own else [], many(own["extends"]) if "extends" in own else [], many(own["script"]) if "script" in own else [], key.start_mark.line + 1, node.end_mark.line, None))
-            found = pd.DataFrame(rows, columns=names)
-            yield found.assign(line_start=found["line_start"].astype("Int32"), line_end=found["line_end"].astype("Int32"))
-
-    return configs.select(path, content).mapInPandas(task, "path string, key string, stage string, needs array<string>, extends array<string>, script array<string>, line_start int, line_end int, problem string")
+            wheres, rows = [], []
+            for where, text in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist()):
+                # files that are alike are read once in a while, and what is read of a long one is not kept
+                own = read(text) if text is None or len(text) <= YAML_SHORT else _ci_jobs(text)
+                wheres += [where] * len(own)
+                rows += own
+            columns = list(zip(*rows)) or [()] * len(_NODE)
+            yield pa.record_batch([pa.array(wheres, pa.string()), *(pa.array(list(c), kind) for c, kind in zip(columns, _NODE))], ["path", "key", "stage", "needs", "extends", "script", "line_start", "line_end", "problem"])
+
+    return configs.select(F.col(path).cast("string").alias(path), content).mapInArrow(task, "path string, key string, stage string, needs array<string>, extends array<string>, script array<string>, line_start int, line_end int, problem string")
+
+
+#: CI files that a task remembers, and characters of one at most.
+YAML_KNOWN, YAML_SHORT = 16_384, 1024
+_NODE = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.string())
+_RESERVED = frozenset({"stages", "variables", "include", "default", "workflow", "image", "services", "before_script", "after_script", "cache", "on", "name", "env", "permissions"})
+
+
+def _composed(text: str) -> list:
+    """The documents of a YAML text as nodes: by libyaml where it is there, agrees with plain Python and takes the text, else by the latter, which is slower by far and decides what is no YAML."""
+    import yaml
+
+    # they differ in tabs and in where a text without a line end ends
+    if yaml.__with_libyaml__ and text.isascii() and text.endswith("\n") and "\t" not in text and "\r" not in text:
+        try:
+            return list(yaml.compose_all(text, Loader=yaml.CSafeLoader))
+        except (yaml.YAMLError, RecursionError):
+            pass
+    return list(yaml.compose_all(text))
+
+
+def _ci_jobs(text: str | None) -> list[tuple]:
+    """(key, stage, needs, extends, script, line_start, line_end, problem) of a CI file's jobs, or its problem."""
+    import yaml
+
+    plain = lambda n: n.value if isinstance(n, yaml.ScalarNode) else None
+    fail = lambda why: [(None, None, [], [], [], None, None, why)]
+
+    def many(node) -> list[str]:
+        if isinstance(node, yaml.SequenceNode):
+            found = [plain(x) if not isinstance(x, yaml.MappingNode) else next((plain(v) for k, v in x.value if k.value == "job"), None) for x in node.value]
+            return [x for x in found if x]
+        return [node.value] if isinstance(node, yaml.ScalarNode) else []
+
+    if text is None or len(text) > YAML_CHARACTERS:
+        return fail("unreadable" if text is None else "too long")
+    try:
+        every = _composed(text)
+    except (yaml.YAMLError, RecursionError):
+        return fail("invalid YAML")
+    if len(every) > YAML_DOCUMENTS:
+        return fail("too many documents")
+    rows = []
+    for doc in every:
+        if not isinstance(doc, yaml.MappingNode):
+            continue
+        jobs = next((v for k, v in doc.value if k.value == "jobs" and isinstance(v, yaml.MappingNode)), doc)
+        for key, node in jobs.value:
+            if not isinstance(node, yaml.MappingNode) or (jobs is doc and key.value in _RESERVED):
+                continue
+            own = {k.value: v for k, v in node.value if isinstance(k, yaml.ScalarNode)}
+            of = lambda name: many(own[name]) if name in own else []  # noqa: B023, E731
+            rows.append((key.value, plain(own["stage"]) if "stage" in own else None, of("needs"), of("extends"), of("script"), key.start_mark.line + 1, node.end_mark.line, None))
+    return rows
 
 
 def skill_packs(spark: SparkSession, rows: list[tuple]) -> DataFrame:
