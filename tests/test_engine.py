@@ -114,6 +114,13 @@ def test_fingerprints_and_chunks(spark):
     assert odd["1"].category == odd["2"].category == "unknown" and odd["1"].digest == odd["2"].digest
 
 
+def test_categories_are_those_of_fingerprints(spark):
+    """The category of a log's failure from sums alone, without a window over its lines."""
+    said = ["x", "Job succeeded", "ERROR: boom", "3 | Account | FAIL | AMBIGUOUS", "3 | A | FAIL | AMBIGUOUS\nDataSync run failed for 1 target(s).\nHTTP 401", "HTTP 401\nexit code 2", "Test failures [3]\nerror CS0161: no"]
+    lines = L.diagnosed_lines(logs(spark, *said))
+    assert sorted(map(tuple, L.categories(lines).collect())) == sorted((r.job_id, r.category) for r in L.fingerprints(lines).collect())
+
+
 def chunked(spark, *texts, **options):
     return [[(c.line_start, c.line_end, c.chunk_type, c.score) for c in own] for own in (L.chunk_logs(logs(spark, t), **options).orderBy("rank").collect() for t in texts)]
 
