@@ -631,6 +631,13 @@ CI = {
 }
 
 
+def test_bags_by_project_need_no_join(spark):
+    df = spark.createDataFrame([(1, "p", "A b a"), (2, None, "b"), (3, "q", None)], "k int, project string, text string")
+    bags = R.token_bags(df, "k", "text", "project")
+    assert sorted(map(tuple, bags.collect())) == [(1, "p\x1fa", 2), (1, "p\x1fb", 1), (2, "b", 1)]
+    assert "Join" not in bags._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ci_graph(spark):
     files = spark.createDataFrame([("p", k, v) for k, v in CI.items()] + [("q", "a.yml", "include: b.yml\nx: {script: 1}"), ("q", "b.yml", "include: a.yml\ny: {script: [!reference [x, script]]}"), ("r", "z.yml", "a: [")], "config string, path string, content string")
     roots = spark.createDataFrame([("p", ".gitlab-ci.yml"), ("q", "a.yml"), ("r", "z.yml")], "config string, root string")

@@ -70,9 +70,10 @@ def dotted_lookup(rows: DataFrame, rule: str, table: DataFrame, prefix: str) ->
     return wanted.join(table, prefix).withColumn("rn", F.row_number().over(Window.partitionBy(rule).orderBy(F.desc(F.length(prefix))))).where("rn = 1").drop("rn")
 
 
-def token_bags(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, n): the multiset of a text's words."""
-    found = docs.select(F.col(key), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 0)).alias("token"))
+def token_bags(docs: DataFrame, key: str, text: str, scope: str | None = None) -> DataFrame:
+    """(key, token, n): the multiset of a text's words, each behind what its row has in ``scope``, if given, so that only words of one scope are equal."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), 0)
+    found = docs.select(F.col(key), F.explode(words if scope is None else F.transform(words, lambda w: F.concat_ws("\x1f", F.col(scope), w))).alias("token"))
     return found.groupBy(key, "token").agg(F.count("*").alias("n"))
 
 

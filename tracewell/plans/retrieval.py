@@ -27,7 +27,8 @@ def similar_incidents(queries: DataFrame, incidents: DataFrame, limit: int = 5,
     not its own answer. Candidates share a word, or are the first ``limit`` + 1 of their category or
     fingerprint: others of those tie with or lose to them, so no group is paired as a whole.
     """
-    scoped = lambda df, k: Q.token_bags(df, k, "text").join(df.select(k, "project"), k).select(k, F.concat_ws("\x1f", "project", "token").alias("token"), "n")
+    # words get their project as they are read: joined to it later, all bags would be shuffled once more
+    scoped = lambda df, k: Q.token_bags(df.where(F.col(k).isNotNull()), k, "text", "project")
     # a likeness below ``least`` counts for nothing, so it is not looked for
     whole, part = Fraction(str(least)).as_integer_ratio()[::-1]
     lexical = M.at_least(scoped(queries, "query_id"), "query_id", scoped(incidents, "incident_id"), "incident_id", part, whole)
